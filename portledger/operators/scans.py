@@ -50,7 +50,7 @@ def with_chunks(
         F.min(order.tie).alias("_t0"),
         F.max(order.tie).alias("_t1"),
     )
-    hot = hot_groups(counts, share=share, min_rows=min_rows).drop("_n")
+    hot = hot_groups(counts, df, share=share, min_rows=min_rows).drop("_n")
     # Cut by position; a bucket that is one single instant is cut by the tie value.
     by_pos = F.floor(
         (F.col(order.pos) - F.col("_p0")) / (F.col("_p1") - F.col("_p0") + 1.0) * F.col("_splits")
@@ -95,12 +95,16 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
 
 
 def running(
-    chunked: DataFrame, order: Order, exprs: Mapping[str, tuple[str, Column, bool]]
+    chunked: DataFrame,
+    order: Order,
+    exprs: Mapping[str, tuple[str, Column, bool]],
+    row_number: str | None = None,
 ) -> DataFrame:
     """Add running columns ``name -> (kind, value, inclusive)`` to a chunked table.
 
     ``kind`` is ``sum``, ``max`` or ``last`` (last non-NULL value). Exclusive
-    columns see only the rows strictly before the current one.
+    columns see only the rows strictly before the current one. ``row_number``
+    names a column for the rank inside the chunk.
     """
     tmp = chunked
     for name, (_, value, _) in exprs.items():
@@ -126,6 +130,7 @@ def running(
             _running(kind, F.col(f"_v_{n}")).over(upto if inclusive else before).alias(f"_l_{n}")
             for n, (kind, _, inclusive) in exprs.items()
         ],
+        *([F.row_number().over(inside).alias(row_number)] if row_number else []),
     )
     joined = local.join(carries, order.chunk, "left")
     return joined.select(
@@ -134,6 +139,7 @@ def running(
             _combine(kind, F.col(f"_k_{n}"), F.col(f"_l_{n}")).alias(n)
             for n, (kind, _, _) in exprs.items()
         ],
+        *([row_number] if row_number else []),
     )
 
 

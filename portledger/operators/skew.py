@@ -17,14 +17,16 @@ MIN_ROWS = 200_000
 
 
 def hot_groups(
-    counts: DataFrame, n: str = "_n", *, share: float = SHARE, min_rows: int = MIN_ROWS
+    counts: DataFrame, rows: DataFrame, *, share: float = SHARE, min_rows: int = MIN_ROWS
 ) -> DataFrame:
-    """Groups above both limits, with ``_splits``: the pieces each should be cut into."""
-    limit = F.greatest(
-        F.lit(float(min_rows)), counts.agg(F.coalesce(F.sum(n), F.lit(0)) * share).scalar()
-    )
-    return counts.filter(F.col(n) > limit).withColumn(
-        "_splits", F.ceil(F.col(n) / limit).cast("int")
+    """Groups above both limits, with ``_splits``: the pieces each should be cut into.
+
+    The total enters as a scalar subquery that reads no column of ``rows``.
+    """
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    limit = F.greatest(F.lit(float(min_rows)), total * share)
+    return counts.filter(F.col("_n") > limit).withColumn(
+        "_splits", F.ceil(F.col("_n") / limit).cast("int")
     )
 
 
@@ -45,7 +47,7 @@ def attach(
     keys = list(keys)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(
-        hot_groups(counts, share=share, min_rows=min_rows).select(*keys, "_splits")
+        hot_groups(counts, rows, share=share, min_rows=min_rows).select(*keys, "_splits")
     )
     spread = F.when(
         F.col("_splits").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_splits"))

@@ -1,6 +1,8 @@
 """All registered plans."""
 
 from portledger.plans import (  # noqa: F401 - importing registers the plans
+    ledgers,
     prices,
+    screening,
 )
 from portledger.plans.registry import PLANS, SQL  # noqa: F401

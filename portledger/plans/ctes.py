@@ -29,18 +29,18 @@ def with_ctes(body: str, uses: tuple[str, ...]) -> str:
 
 cte("fx_bars", """
 SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS session_date,
-       round(sum(l_extendedprice) / sum(l_quantity) + 1e-7, 4) AS close,
-       round(max(l_extendedprice / l_quantity) + 1e-7, 4) AS high,
-       round(min(l_extendedprice / l_quantity) + 1e-7, 4) AS low,
+       round(500 + 40 * ln(sum(l_extendedprice) / sum(l_quantity)) + 1e-7, 4) AS close,
+       round(500 + 40 * ln(max(l_extendedprice / l_quantity)) + 1e-7, 4) AS high,
+       round(500 + 40 * ln(min(l_extendedprice / l_quantity)) + 1e-7, 4) AS low,
        sum(l_quantity) AS volume
 FROM lineitem GROUP BY 1, 2
 """)
 
 cte("fx_market", """
 SELECT 'SPY' AS ticker, CAST(l_shipdate AS DATE) AS session_date,
-       round(sum(l_extendedprice) / sum(l_quantity) + 1e-7, 4) AS close,
-       round(max(l_extendedprice / l_quantity) + 1e-7, 4) AS high,
-       round(min(l_extendedprice / l_quantity) + 1e-7, 4) AS low,
+       round(500 + 40 * ln(sum(l_extendedprice) / sum(l_quantity)) + 1e-7, 4) AS close,
+       round(500 + 40 * ln(max(l_extendedprice / l_quantity)) + 1e-7, 4) AS high,
+       round(500 + 40 * ln(min(l_extendedprice / l_quantity)) + 1e-7, 4) AS low,
        sum(l_quantity) AS volume
 FROM lineitem GROUP BY 1, 2
 """)
@@ -54,7 +54,7 @@ cte("fx_benchmarks", """
 SELECT * FROM fx_market
 UNION ALL
 SELECT name, session_date, close * f, high * f, low * f, volume
-FROM (SELECT b.*, n.name, CASE WHEN n.name = '^VIX' THEN 0.01 ELSE 1.0 END AS f
+FROM (SELECT b.*, n.name, CASE WHEN n.name = '^VIX' THEN 0.02 ELSE 1.0 END AS f
       FROM fx_bars b JOIN bench_names n ON b.ticker = n.supplier)
 """, "fx_bars", "fx_market", "bench_names")
 
@@ -214,10 +214,10 @@ FROM fx_universe_raw GROUP BY 1
 cte("fx_holdings", """
 SELECT 'A' || (l_orderkey % 50) AS account_ref,
        CASE WHEN l_suppkey % 17 = 0 THEN 'X' ELSE 'S' END || l_suppkey AS ticker,
-       sum(l_quantity) AS shares, round(sum(l_extendedprice) / sum(l_quantity) + 1e-7, 4) AS avg_cost,
-       1000.0 AS last_price,
-       CASE WHEN l_suppkey % 3 = 0 THEN -10.0 END AS stop_loss_pct,
-       CASE WHEN l_suppkey % 4 = 0 THEN 20.0 END AS trim_profit_pct
+       sum(l_quantity) AS shares, round(500 + 40 * ln(sum(l_extendedprice) / sum(l_quantity)) + 1e-7, 4) AS avg_cost,
+       800.0 AS last_price,
+       CASE WHEN l_suppkey % 3 = 0 THEN -3.0 END AS stop_loss_pct,
+       CASE WHEN l_suppkey % 4 = 0 THEN 2.0 END AS trim_profit_pct
 FROM lineitem GROUP BY l_orderkey % 50, l_suppkey
 """)
 
@@ -259,3 +259,42 @@ REGIME = """CASE
     OR spy_20 IS NULL OR qqq_20 IS NULL OR iwm_20 IS NULL OR igv_20 IS NULL OR smh_20 IS NULL THEN 'INSUFFICIENT_DATA'
   WHEN spy_20 <= -5 OR qqq_20 <= -7 OR spy_g50 <= -3 OR qqq_g50 <= -4 OR vix_c >= 22 THEN 'RISK_OFF'
   WHEN spy_g50 > 0 AND qqq_g50 > 0 AND vix_c < 20 AND smh_20 > 0 THEN 'RISK_ON' ELSE 'MIXED' END"""
+
+cte("fx_trades", """
+SELECT 'A' || (o_custkey % 50) AS account_ref, upper(replace(p_brand, '#', '')) AS ticker,
+       CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
+       l_quantity AS quantity, round(l_extendedprice / l_quantity + 1e-7, 4) AS price,
+       CASE WHEN l_tax <> 0 THEN round(l_extendedprice * l_tax, 4) END AS fees,
+       l_shipdate AS trade_time, l_orderkey || '-' || l_linenumber AS execution_id,
+       l_orderkey * 8 + l_linenumber AS seq, l_partkey, l_suppkey,
+       CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS signed
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+""")
+
+cte("trade_rows", """
+SELECT *, row_number() OVER w AS j, count(*) OVER (PARTITION BY account_ref, ticker) AS n,
+       sum(signed) OVER (w ROWS UNBOUNDED PRECEDING) AS held_after
+FROM fx_trades WINDOW w AS (PARTITION BY account_ref, ticker
+                            ORDER BY trade_time, seq, l_partkey, l_suppkey, signed, price)
+""", "fx_trades")
+
+# Stepwise replay from an opening position of 20000 at 2000.
+cte("replay", """
+SELECT account_ref, ticker, CAST(0 AS BIGINT) AS j, max(n) AS n, CAST(20000 AS DOUBLE) AS q,
+       CAST(40000000 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS realised, true AS complete
+FROM trade_rows GROUP BY 1, 2
+UNION ALL
+SELECT r.account_ref, r.ticker, t.j, r.n, r.q + t.signed,
+       CASE WHEN t.side = 'SELL' THEN r.cost - t.quantity * r.cost / r.q
+            ELSE r.cost + t.quantity * t.price + coalesce(t.fees, 0) END,
+       CASE WHEN t.side = 'SELL' THEN r.realised + t.quantity * (t.price - r.cost / r.q) - coalesce(t.fees, 0)
+            ELSE r.realised END,
+       r.complete AND NOT (t.side = 'SELL' AND t.fees IS NULL)
+FROM replay r JOIN trade_rows t ON t.account_ref = r.account_ref AND t.ticker = r.ticker AND t.j = r.j + 1
+""", "trade_rows")
+
+cte("positions", """
+SELECT account_ref, ticker, q AS shares, cost AS total_cost, cost / q AS avg_cost,
+       CASE WHEN complete THEN realised END AS realised_pnl, complete AS realised_complete, n AS applied
+FROM replay WHERE j = n
+""", "replay")

@@ -37,9 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cents(price: Column) -> Column:
-    """Four decimals; the tiny shift keeps exact halves from depending on the engine."""
-    return F.round(price + 1e-7, 4)
+def _quote(price: Column) -> Column:
+    """A unit price damped to daily moves of a few per cent, to four decimals.
+
+    The tiny shift keeps exact halves from depending on the engine.
+    """
+    return F.round(500 + 40 * F.ln(price) + 1e-7, 4)
 
 
 def _bars(items: DataFrame, ticker: str | Column) -> DataFrame:
@@ -55,9 +58,9 @@ def _bars(items: DataFrame, ticker: str | Column) -> DataFrame:
         )
         .groupBy("ticker", "session_date")
         .agg(
-            _cents(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
-            _cents(F.max("_px")).alias("high"),
-            _cents(F.min("_px")).alias("low"),
+            _quote(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
+            _quote(F.max("_px")).alias("high"),
+            _quote(F.min("_px")).alias("low"),
             F.sum("l_quantity").alias("volume"),
         )
     )
@@ -79,7 +82,7 @@ def fx_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SPY plus nine suppliers that play the other benchmarks; VIX is scaled to its range."""
     pairs = [F.lit(x) for pair in BENCHMARK_SUPPLIERS.items() for x in pair]
     name = F.element_at(F.create_map(*pairs), F.col("ticker"))
-    scale = F.when(name == "^VIX", 0.01).otherwise(1.0)
+    scale = F.when(name == "^VIX", 0.02).otherwise(1.0)
     others = (
         fx_bars(spark, sf_dir)
         .filter(F.col("ticker").isin(*BENCHMARK_SUPPLIERS))
@@ -115,7 +118,7 @@ def fx_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
             F.lit("TRADE").alias("event_type"),
             F.col("l_quantity").cast("decimal(20,8)").alias("quantity"),
-            F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+            F.round(F.col("l_extendedprice") / F.col("l_quantity") + 1e-7, 4)
             .cast("decimal(20,8)")
             .alias("price"),
             F.when(F.col("l_tax") != 0, F.round(F.col("l_extendedprice") * F.col("l_tax"), 4))
@@ -372,18 +375,18 @@ def fx_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy((F.col("l_orderkey") % 50).alias("_a"), "l_suppkey")
         .agg(
             F.sum("l_quantity").alias("shares"),
-            _cents(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("avg_cost"),
+            _quote(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("avg_cost"),
         )
         .select(
             F.concat(F.lit("A"), F.col("_a").cast("string")).alias("account_ref"),
             F.concat(F.when(key % 17 == 0, "X").otherwise("S"), key.cast("string")).alias("ticker"),
             "shares",
             "avg_cost",
-            F.lit(1000.0).alias("last_price"),
+            F.lit(800.0).alias("last_price"),
             F.lit(None).cast("double").alias("market_value"),
             F.lit(None).cast("double").alias("portfolio_weight_pct"),
-            F.when(key % 3 == 0, F.lit(-10.0)).alias("stop_loss_pct"),
-            F.when(key % 4 == 0, F.lit(20.0)).alias("trim_profit_pct"),
+            F.when(key % 3 == 0, F.lit(-3.0)).alias("stop_loss_pct"),
+            F.when(key % 4 == 0, F.lit(2.0)).alias("trim_profit_pct"),
         )
     )
 

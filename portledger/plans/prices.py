@@ -42,7 +42,7 @@ def completed(spark, sf_dir):
 
 @plan(
     "f1_daily_return",
-    """SELECT ticker, CAST(session_date AS VARCHAR) AS session_date, round(ret, 6) AS ret FROM fx_bars_rows""",
+    """SELECT ticker, CAST(session_date AS VARCHAR) AS session_date, CASE WHEN round(ret, 6) = 0 THEN 0 ELSE round(ret, 6) END AS ret FROM fx_bars_rows""",
     uses=("fx_bars_rows",),
 )
 def daily_return(spark, sf_dir):
@@ -256,8 +256,8 @@ def _paired(spark, sf_dir):
 
 @plan(
     "d1_benchmark_return_join",
-    """SELECT b.ticker, CAST(b.session_date AS VARCHAR) AS session_date, round(b.ret, 6) AS ret,
-              round(x.ret, 6) AS bench_ret
+    """SELECT b.ticker, CAST(b.session_date AS VARCHAR) AS session_date, CASE WHEN round(b.ret, 6) = 0 THEN 0 ELSE round(b.ret, 6) END AS ret,
+              CASE WHEN round(x.ret, 6) = 0 THEN 0 ELSE round(x.ret, 6) END AS bench_ret
        FROM fx_bars_rows b JOIN bench_rows x ON b.session_date = x.session_date
        WHERE b.ret IS NOT NULL AND x.ret IS NOT NULL""",
     uses=("fx_bars_rows", "bench_rows"),

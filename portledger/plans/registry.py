@@ -29,5 +29,5 @@ def plan(name: str, sql: str | None = None, uses: tuple[str, ...] = ()) -> Calla
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double, so two engines that sum in other orders agree."""
     return df.select(
-        *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        *[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
     )

@@ -52,8 +52,9 @@ def compare(spark, con, sf_dir, query, sql):
         return False, f"columns differ: {left_cols} vs {right_cols}"
     if left == right:
         return True, f"{len(left)} rows"
-    only_left = [r for r in left if r not in set(right)][:3]
-    only_right = [r for r in right if r not in set(left)][:3]
+    lefts, rights = set(left), set(right)
+    only_left = [r for r in left if r not in rights][:3]
+    only_right = [r for r in right if r not in lefts][:3]
     return False, (
         f"{len(left)} vs {len(right)} rows; cols {left_cols}\n   spark {only_left}\n   sql   {only_right}"
     )

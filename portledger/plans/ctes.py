@@ -298,3 +298,106 @@ SELECT account_ref, ticker, q AS shares, cost AS total_cost, cost / q AS avg_cos
        CASE WHEN complete THEN realised END AS realised_pnl, complete AS realised_complete, n AS applied
 FROM replay WHERE j = n
 """, "replay")
+
+cte("fx_broker", """
+SELECT event_id AS seq, event_id AS i,
+  CASE WHEN event_id % 19 = 0 THEN 'other@example.com' ELSE ' Investor@Example.com' END AS source_account,
+  CASE WHEN event_id % 17 = 0 THEN 'ads@other.example' ELSE 'trades@verified.example' END AS sender_addr,
+  CASE WHEN event_id % 23 = 0 THEN 'Weekly news' ELSE ['Trade FILLED 7', 'Stock reward credited', 'trade filled'][event_id % 3 + 1] END AS subject,
+  lower(['true', '1', 'Yes', 'no', 'FALSE'][event_id % 5 + 1]) IN ('true', '1', 'yes') AS affects,
+  event_id % 13 <> 0 AS confirmed,
+  CASE WHEN event_id % 7 = 0 THEN 'STOCK_REWARD' ELSE 'TRADE' END AS event_type,
+  CASE WHEN event_id % 14 = 0 THEN 'CREDITED' WHEN event_id % 7 = 0 THEN 'FILLED' WHEN event_id % 11 = 0 THEN 'CANCELLED'
+       WHEN event_id % 2 = 0 THEN 'FILLED' ELSE 'PARTIALLY_FILLED' END AS status,
+  'A' || (user_id % 50) AS account_ref, 'T' || (user_id % 2) AS ticker, ts AS trade_time, event_id % 6 = 0 AS proxy,
+  ts + CASE WHEN event_id % 6 = 0 THEN to_microseconds((event_id % 4) * 500000) ELSE to_microseconds(-(event_id % 9) * 60000000) END AS received
+FROM events
+""")
+
+cte("broker_pos", """
+SELECT *, affects AND confirmed AND ((event_type = 'TRADE' AND status IN ('FILLED', 'PARTIALLY_FILLED'))
+          OR (event_type = 'STOCK_REWARD' AND status = 'CREDITED')) AS moves FROM fx_broker
+""", "fx_broker")
+
+cte("fx_overlays", """
+SELECT DISTINCT account_ref, 'corr-' || account_ref AS correction_id,
+       TIMESTAMP '2024-01-01' + to_hours(12 * CAST(substr(account_ref, 2) AS INT)) AS corrected_at,
+       CAST(substr(account_ref, 2) AS INT) % 10 <> 9 AS active FROM fx_broker
+""", "fx_broker")
+
+cte("fx_statelog", """
+SELECT 'evt-' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS event_id, 'U' || user_id AS ticker, ts, event_id AS seq,
+  CASE WHEN prev IS NULL THEN 'CANDIDATE_ADDED' WHEN event_id % 10 = 0 THEN 'CANDIDATE_REVIEWED' ELSE 'STATE_CHANGED' END AS event_type,
+  CASE WHEN prev IS NULL OR event_id % 10 <> 0 THEN prev END AS previous_state,
+  CASE WHEN prev IS NULL OR event_id % 10 <> 0 THEN mapped END AS new_state
+FROM (SELECT *, lag(mapped) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev
+      FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'RESEARCH_QUEUE' WHEN 'view' THEN 'WATCHING'
+              WHEN 'click' THEN 'NEAR_TRIGGER' WHEN 'purchase' THEN 'OPEN_CANDIDATE' ELSE 'PAUSED' END AS mapped FROM events))
+""")
+
+cte("state_rows", """
+SELECT *, last_value(CASE WHEN event_type <> 'CANDIDATE_REVIEWED' THEN new_state END IGNORE NULLS) OVER (
+         PARTITION BY ticker ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cur
+FROM fx_statelog
+""", "fx_statelog")
+
+cte("state_rules", """
+SELECT *, CASE
+  WHEN event_type = 'CANDIDATE_ADDED' AND cur IS NOT NULL THEN 'ALREADY_EXISTS'
+  WHEN event_type <> 'CANDIDATE_ADDED' AND cur IS NULL THEN 'NO_SUCH_CANDIDATE'
+  WHEN event_type = 'STATE_CHANGED' AND previous_state IS DISTINCT FROM cur THEN 'PREVIOUS_STATE_MISMATCH'
+  WHEN event_type = 'STATE_CHANGED' AND new_state = cur THEN 'SAME_STATE'
+  WHEN event_type = 'STATE_CHANGED' AND (cur || '>' || new_state) NOT IN (
+    'RESEARCH_QUEUE>WATCHING', 'RESEARCH_QUEUE>PAUSED', 'WATCHING>RESEARCH_QUEUE', 'WATCHING>NEAR_TRIGGER', 'WATCHING>PAUSED',
+    'NEAR_TRIGGER>WATCHING', 'NEAR_TRIGGER>OPEN_CANDIDATE', 'NEAR_TRIGGER>PAUSED', 'OPEN_CANDIDATE>NEAR_TRIGGER',
+    'OPEN_CANDIDATE>WATCHING', 'OPEN_CANDIDATE>PAUSED', 'PAUSED>RESEARCH_QUEUE', 'PAUSED>WATCHING', 'PAUSED>NEAR_TRIGGER')
+    THEN 'ILLEGAL_TRANSITION' END AS rule
+FROM state_rows
+""", "state_rows")
+
+cte("state_final", """
+SELECT ticker, arg_max(new_state, (ts, seq)) AS state FROM fx_statelog WHERE event_type <> 'CANDIDATE_REVIEWED' GROUP BY 1
+""", "fx_statelog")
+
+cte("fx_decision_log", """
+SELECT 'D' || lpad(CAST(i AS VARCHAR), 9, '0') AS decision_id,
+       'evt-D' || lpad(CAST(i AS VARCHAR), 9, '0') || '-' || k AS event_id, kind AS event_type,
+       ts + to_seconds(CASE k WHEN 0 THEN -120 WHEN 1 THEN -60 WHEN 2 THEN CASE WHEN i % 19 = 0 THEN -90 ELSE 0 END ELSE 5 END) AS happened,
+       CASE WHEN k = 2 AND i % 17 = 0 THEN 'mk-other' WHEN k > 0 THEN 'mk-' || i END AS marker,
+       CASE WHEN k = 1 AND i % 29 <> 0 THEN 'brief' END AS subject, CASE WHEN k = 2 AND i % 31 <> 0 THEN 'mid' END AS message_id,
+       k, i * 4 + k AS seq
+FROM (SELECT event_id AS i, ts FROM events WHERE event_type = 'purchase')
+CROSS JOIN (VALUES (0, 'DECISION_CREATED'), (1, 'EMAIL_SEND_INTENT'), (2, 'EMAIL_SENT'), (3, 'EMAIL_FAILED')) AS s(k, kind)
+WHERE (k <> 1 OR i % 13 <> 0) AND (k <> 3 OR i % 23 = 0)
+""")
+
+cte("fx_raw_minutes", """
+SELECT 'bar-' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS bar_id, 'T' || (user_id % 2) AS ticker,
+       date_trunc('minute', ts) AS bar_at, CAST(ts AS DATE) AS session_date, 'INTRADAY' AS bar_type, value AS close,
+       date_trunc('minute', ts) + INTERVAL 1 MINUTE AS collected_at, ts AS seen_at, event_id AS seq
+FROM events WHERE event_type <> 'purchase' AND value > 0
+""")
+
+cte("fx_sent_bars", """
+SELECT bar_id, ticker, bar_at, close, collected_at, seq * 2 AS seq FROM fx_raw_minutes
+UNION ALL SELECT bar_id, ticker, bar_at, close, collected_at, seq * 2 + 1 FROM fx_raw_minutes WHERE seq % 20 = 0
+UNION ALL SELECT bar_id, ticker, bar_at, close + 1, collected_at, seq * 2 + 1000000000 FROM fx_raw_minutes WHERE seq % 33 = 0
+""", "fx_raw_minutes")
+
+cte("fx_messages", """
+SELECT 'm' || conv_id AS source_message_id, turn AS seq,
+       CASE role WHEN 'system' THEN 'QUARANTINED' WHEN 'user' THEN 'DISCOVERED' ELSE 'COMMITTED' END AS processing_status,
+       sha256(text) AS content_hash, length(text) % 3 AS normalized_event_count
+FROM conversations
+""")
+
+cte("msg", """
+SELECT conv_id AS c, count(*) AS turns, arg_min(text, turn) AS text, conv_id // 10 AS b,
+       CASE WHEN conv_id % 5 = 0 THEN 'QUARANTINED' WHEN conv_id % 3 = 0 THEN 'IGNORED' ELSE 'COMMITTED' END AS status,
+       CASE WHEN conv_id % 5 <> 0 AND conv_id % 3 <> 0 THEN count(*) % 3 ELSE 0 END AS n_events
+FROM conversations GROUP BY conv_id
+""")
+
+cte("batch", """
+SELECT DISTINCT b, 'batch-' || lpad(CAST(b AS VARCHAR), 6, '0') AS batch_id FROM msg
+""", "msg")

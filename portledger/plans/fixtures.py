@@ -238,7 +238,14 @@ BAR_COLUMNS = (
 
 
 def fx_bar_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    minutes = fx_minutes(spark, sf_dir).select(*BAR_COLUMNS)
+    """Minutes within the session and daily closes, as one ledger."""
+    sessions = fx_sessions(spark, sf_dir).select("session_date", "close_ts")
+    minutes = (
+        fx_minutes(spark, sf_dir)
+        .join(F.broadcast(sessions), "session_date")
+        .filter(F.col("collected_at") <= F.col("close_ts"))
+        .select(*BAR_COLUMNS)
+    )
     return minutes.unionByName(fx_daily_closes(spark, sf_dir).select(*BAR_COLUMNS))
 
 
@@ -403,3 +410,189 @@ def fx_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         shares.alias("shares"),
         (F.col("close") * shares).alias("market_value"),
     )
+
+
+def fx_broker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broker-event rows with every kind of defect, one per event."""
+    i = F.col("event_id")
+
+    def pick(n: int, *values: str) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (i % n + 1).cast("int"))
+
+    reward = i % 7 == 0
+    proxy = i % 6 == 0
+    ts_micros = F.unix_micros("ts")
+    shift = F.when(proxy, (i % 4) * 500_000).otherwise(-(i % 9) * 60_000_000)
+    received = F.timestamp_micros(ts_micros + shift)
+    return _events(spark, sf_dir).select(
+        i.alias("seq"),
+        F.when(i % 19 == 0, "other@example.com").otherwise(" Investor@Example.com").alias("source_account"),
+        F.when(i % 17 == 0, "Spam <ads@other.example>").otherwise("Broker <Trades@Verified.example>").alias("sender"),
+        F.when(i % 23 == 0, "Weekly news").otherwise(pick(3, "Trade FILLED 7", "Stock reward credited", "trade filled")).alias("subject"),
+        pick(5, "true", "1", "Yes", "no", "FALSE").alias("affects_position"),
+        F.when(i % 13 == 0, "PROBABLE").otherwise("confirmed").alias("parse_confidence"),
+        F.when(reward, "STOCK_REWARD").otherwise("trade").alias("event_type"),
+        F.when(reward & (i % 14 == 0), "CREDITED")
+        .when(reward, "FILLED")
+        .when(i % 11 == 0, "CANCELLED")
+        .when(i % 2 == 0, "FILLED")
+        .otherwise("PARTIALLY_FILLED")
+        .alias("status"),
+        _event_account().alias("account_ref"),
+        F.concat(F.lit(" "), F.lower(_event_ticker())).alias("ticker"),
+        F.col("ts").alias("trade_time"),
+        F.when(proxy, "NOTIFICATION_TIME_PROXY").otherwise("BROKER_EXECUTION_TIME").alias("trade_time_source"),
+        received.alias("message_received_at"),
+        (received + F.expr("interval 30 seconds")).alias("parsed_at"),
+    )
+
+
+def fx_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One overlay per account, each later than the one of the account before."""
+    n = F.substring("account_ref", 2, 4).cast("int")
+    start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return (
+        fx_broker(spark, sf_dir).select("account_ref").distinct().select(
+            "account_ref",
+            F.concat(F.lit("corr-"), "account_ref").alias("correction_id"),
+            F.timestamp_micros((start + n.cast("long") * 43_200_000_000)).alias("corrected_at"),
+            (n % 10 != 9).alias("active"),
+        )
+    )
+
+
+def fx_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections in arrival order: each names its predecessor, every ninth a wrong one."""
+    events = _events(spark, sf_dir).filter(F.col("event_type") == "view").select(
+        _event_account().alias("account_ref"),
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("corr-"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("correction_id"),
+        F.col("value").cast("string").alias("content"),
+        F.when(F.col("event_id") % 7 == 0, F.col("ts") - F.expr("interval 9 days"))
+        .otherwise(F.col("ts"))
+        .alias("corrected_at"),
+    )
+    order = Order(("account_ref",), "seq", "seq", width=1 << 16)
+    linked = drop_chunks(
+        running(
+            with_chunks(events, order), order, {"_before": ("last", F.col("correction_id"), False)}
+        )
+    )
+    wrong = (F.col("seq") % 9 == 0) & F.col("_before").isNotNull()
+    return linked.select(
+        "account_ref", "seq", "correction_id", "content", "corrected_at",
+        F.when(wrong, "corr-000000").otherwise(F.col("_before")).alias("expected_previous"),
+        (F.col("seq") % 2 == 0).alias("active"),
+    )
+
+
+def fx_decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Created, intent and sent events per purchase, with planted faults by id."""
+    base = _events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    i = F.col("event_id")
+    marker = F.concat(F.lit("mk-"), i.cast("string"))
+    steps = F.filter(
+        F.array(
+            F.struct(F.lit(0).alias("k"), F.lit("DECISION_CREATED").alias("event_type"), F.lit(-120).alias("s")),
+            F.when(i % 13 != 0, F.struct(F.lit(1).alias("k"), F.lit("EMAIL_SEND_INTENT").alias("event_type"), F.lit(-60).alias("s"))),
+            F.struct(F.lit(2).alias("k"), F.lit("EMAIL_SENT").alias("event_type"), F.when(i % 19 == 0, -90).otherwise(0).alias("s")),
+            F.when(i % 23 == 0, F.struct(F.lit(3).alias("k"), F.lit("EMAIL_FAILED").alias("event_type"), F.lit(5).alias("s"))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    rows = base.select(
+        F.concat(F.lit("D"), F.lpad(i.cast("string"), 9, "0")).alias("decision_id"),
+        i.alias("_i"), "ts", marker.alias("_m"), F.explode(steps).alias("_s"),
+    )
+    k, mail = F.col("_s.k"), F.col("_s.k") > 0
+    at = F.timestamp_micros(F.unix_micros("ts") + F.col("_s.s").cast("long") * 1_000_000)
+    return rows.select(
+        "decision_id",
+        F.concat_ws("-", F.lit("evt"), "decision_id", k.cast("string")).alias("event_id"),
+        F.col("_s.event_type").alias("event_type"),
+        at.alias("occurred_at"),
+        F.when(mail & (k == 2) & (F.col("_i") % 17 == 0), "mk-other").when(mail, F.col("_m")).alias("marker"),
+        F.when(k == 1, "a@example.com").alias("recipient"),
+        F.when((k == 1) & (F.col("_i") % 29 != 0), "brief").alias("subject"),
+        F.when((k == 2) & (F.col("_i") % 31 != 0), "mid").alias("message_id"),
+        F.when(k == 3, "bounce").alias("error"),
+        k.cast("long").alias("pos"),
+        (F.col("_i") * 4 + k).alias("seq"),
+    )
+
+
+def fx_sent_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw minutes as ledger rows; some sent twice, some twice with another close."""
+    raw = fx_raw_minutes(spark, sf_dir).drop("seen_at").withColumn("seq", F.col("seq") * 2)
+    i = F.col("seq") / 2
+    again = raw.filter(i % 20 == 0)
+    changed = raw.filter(i % 33 == 0).withColumn("close", F.col("close") + 1.0)
+    return raw.unionByName(again.withColumn("seq", F.col("seq") + 1)).unionByName(
+        changed.withColumn("seq", F.col("seq") + 1_000_000_000)
+    )
+
+
+def fx_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan batches of at most ten messages each, one message per conversation."""
+    c = F.col("conv_id")
+    firsts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("turns"), F.min_by("text", "turn").alias("text")
+    )
+    start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+    def at(minutes: Column) -> Column:
+        return F.timestamp_micros((start + minutes.cast("long") * 60_000_000))
+
+    status = F.when(c % 5 == 0, "QUARANTINED").when(c % 3 == 0, "IGNORED").otherwise("COMMITTED")
+    event = F.struct(
+        F.concat_ws("-", F.lit("ex"), c.cast("string")).alias("execution_id"),
+        F.lit("TEST").alias("ticker"),
+        F.when(c % 2 == 0, "true").otherwise("no").alias("affects_position"),
+        F.lit("10").alias("quantity"),
+        at(c + F.when(c % 8 == 0, 100).otherwise(0)).alias("trade_time"),
+    )
+    events = F.when(status == "COMMITTED", F.array_repeat(event, (F.col("turns") % 3).cast("int"))).otherwise(
+        F.array_repeat(event, 0)
+    )
+    resolution = F.when(c % 10 == 0, "RESOLVED").otherwise("OPEN")
+    message = F.struct(
+        F.concat(F.lit("m"), c.cast("string")).alias("source_message_id"),
+        F.concat(F.lit("t"), c.cast("string")).alias("source_thread_id"),
+        at(c).alias("message_received_at"),
+        F.lit("Broker <trades@verified.example>").alias("sender"),
+        F.when(c % 41 != 0, "Trade filled").alias("subject"),
+        F.sha2("text", 256).alias("content_hash"),
+        F.lit("1.0.0").alias("parser_version"),
+        F.lit("fill").alias("lifecycle_type"),
+        status.alias("processing_status"),
+        F.lit(None).cast("timestamp").alias("discovered_at"),
+        F.lit(None).cast("timestamp").alias("processed_at"),
+        events.alias("events"),
+        F.when(c % 5 == 0, F.struct(F.lit("unclear").alias("reason"), resolution.alias("resolution_status"))).alias("quarantine"),
+        F.lit(None).cast("string").alias("notes"),
+    )
+    b = F.col("_b")
+    grouped = firsts.withColumn("_b", F.floor(c / 10)).groupBy("_b").agg(
+        F.array_sort(F.collect_list(message)).alias("messages")
+    )
+    number = F.lpad(b.cast("string"), 6, "0")
+    return grouped.select(
+        F.when(b % 37 == 0, 2).otherwise(1).alias("schema_version"),
+        F.concat(F.lit("run-"), number).alias("run_id"),
+        F.concat(F.lit("batch-"), number).alias("batch_id"),
+        F.lit("Investor@Example.com").alias("target_account"),
+        F.concat(F.lit("txn-"), F.lpad((b - 1).cast("string"), 6, "0")).alias("expected_parent_transaction_id"),
+        F.struct(
+            at(b * 10 + 8).alias("started_at"),
+            at(b * 10 + 12).alias("completed_at"),
+            at(b * 10 - 1440).alias("window_start"),
+            (b % 7 != 0).alias("pagination_complete"),
+            F.when(b % 11 == 0, 0).otherwise(1).cast("int").alias("pages_fetched"),
+            F.when(b % 4 == 0, "next").otherwise("").alias("terminal_next_page_token"),
+            (b * 100).cast("string").alias("history_id_before"),
+            (b * 100 + F.when(b % 6 == 0, -50).otherwise(100)).cast("string").alias("history_id_after"),
+        ).alias("scan"),
+        "messages",
+        F.concat(F.lit("txn-"), number).alias("transaction_id"),
+        (b + 1).alias("scan_no"),
+    )

@@ -4,9 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from portledger.operators import eventlog, ledger, overlay
 from portledger.operators import positions as p
-from portledger.plans.fixtures import fx_anchor, fx_trades
+from portledger.plans.fixtures import (
+    fx_anchor,
+    fx_bars,
+    fx_batches,
+    fx_broker,
+    fx_corrections,
+    fx_decision_log,
+    fx_holdings,
+    fx_messages,
+    fx_overlays,
+    fx_raw_minutes,
+    fx_sent_bars,
+    fx_sessions,
+    fx_statelog,
+    fx_trades,
+)
 from portledger.plans.registry import plan
+from portledger.sources import readers
 from portledger.sources.staging import staged
 
 
@@ -120,3 +137,560 @@ def replay_order(spark, sf_dir):
     return out.select(
         "account_ref", "ticker", "position", "seq", F.col("held_after").cast("double").alias("held_after")
     )
+
+
+# --- event filters ---------------------------------------------------------------
+
+def cutoff():
+    return F.lit("2024-01-20 00:00:00").cast("timestamp")
+
+
+def anchored():
+    return F.lit("2024-01-05 00:00:00").cast("timestamp")
+
+
+@plan(
+    "c4_visible_as_of",
+    """SELECT account_ref, count(*) AS visible, sum(i)::BIGINT AS id_sum FROM fx_broker
+       WHERE trade_time <= TIMESTAMP '2024-01-20' AND received <= TIMESTAMP '2024-01-20'
+         AND received + INTERVAL 30 SECOND <= TIMESTAMP '2024-01-20' GROUP BY 1""",
+    uses=("fx_broker",),
+)
+def visible(spark, sf_dir):
+    seen = ledger.visible_as_of(
+        fx_broker(spark, sf_dir), cutoff(), "trade_time", "message_received_at", "parsed_at"
+    )
+    return seen.groupBy("account_ref").agg(
+        F.count(F.lit(1)).alias("visible"), F.sum("seq").alias("id_sum")
+    )
+
+
+@plan(
+    "c5_position_affecting",
+    """SELECT seq, moves, affects AND NOT moves AS violates FROM broker_pos""",
+    uses=("broker_pos",),
+)
+def position_affecting(spark, sf_dir):
+    rows = fx_broker(spark, sf_dir)
+    bad = ledger.nonconforming(rows).select("seq", F.lit(True).alias("violates"))
+    good = rows.select("seq", ledger.position_affecting().alias("moves"))
+    return good.join(bad, "seq", "left").select(
+        "seq", "moves", F.coalesce("violates", F.lit(False)).alias("violates")
+    )
+
+
+@plan(
+    "c6_source_whitelist",
+    """SELECT seq, CASE WHEN lower(trim(source_account)) <> 'investor@example.com' THEN 'OTHER_ACCOUNT'
+              WHEN sender_addr <> 'trades@verified.example' THEN 'SENDER_NOT_LISTED' ELSE 'SUBJECT_NOT_CONFIRMED' END AS rule
+       FROM fx_broker WHERE lower(trim(source_account)) <> 'investor@example.com' OR sender_addr <> 'trades@verified.example'
+         OR NOT regexp_matches(subject, '(?i)trade filled|stock reward')""",
+    uses=("fx_broker",),
+)
+def source_whitelist(spark, sf_dir):
+    rule = ledger.source_rule(
+        "investor@example.com", ["trades@verified.example"], ["trade filled", "stock reward"]
+    )
+    rows = fx_broker(spark, sf_dir).select("seq", rule.alias("rule"))
+    return rows.filter(F.col("rule").isNotNull())
+
+
+@plan(
+    "c7_trade_time_consistency",
+    """SELECT seq, CASE WHEN proxy AND abs(epoch_us(trade_time) - epoch_us(received)) > 1000000 THEN 'PROXY_DIFFERS_FROM_NOTIFICATION'
+              WHEN NOT proxy AND epoch_us(trade_time) - epoch_us(received) > 300000000 THEN 'EXECUTED_AFTER_NOTIFICATION'
+              WHEN trade_time > TIMESTAMP '2024-01-20 00:05:00' OR received > TIMESTAMP '2024-01-20 00:05:00' THEN 'FUTURE_DATED' END AS rule
+       FROM fx_broker""",
+    uses=("fx_broker",),
+)
+def trade_time_consistency(spark, sf_dir):
+    return fx_broker(spark, sf_dir).select("seq", ledger.trade_time_rule(cutoff()).alias("rule"))
+
+
+@plan(
+    "c8_after_anchor_before_cutoff",
+    """SELECT usage, count(*) AS events FROM (SELECT CASE WHEN trade_time <= TIMESTAMP '2024-01-05' THEN 'BEFORE_ANCHOR'
+         WHEN trade_time > TIMESTAMP '2024-01-20' OR received > TIMESTAMP '2024-01-20' THEN 'AFTER_CUTOFF' ELSE 'APPLIED' END AS usage
+         FROM fx_broker) GROUP BY 1""",
+    uses=("fx_broker",),
+)
+def anchor_cutoff(spark, sf_dir):
+    rows = ledger.after_anchor_before_cutoff(fx_broker(spark, sf_dir), anchored(), cutoff())
+    return rows.groupBy("usage").agg(F.count(F.lit(1)).alias("events"))
+
+
+@plan(
+    "c9_later_than_correction",
+    """SELECT p.seq, p.account_ref, o.correction_id FROM broker_pos p JOIN fx_overlays o ON p.account_ref = o.account_ref
+       WHERE moves AND trade_time > corrected_at""",
+    uses=("broker_pos", "fx_overlays"),
+)
+def later_than_correction(spark, sf_dir):
+    events = fx_broker(spark, sf_dir).filter(ledger.position_affecting())
+    later = overlay.later_than_correction(events, fx_overlays(spark, sf_dir))
+    return later.select("seq", "account_ref", "correction_id")
+
+
+@plan(
+    "c2_final_minute_only",
+    """SELECT bar_id, epoch(bar_at)::BIGINT + 60 AS price_epoch FROM fx_raw_minutes WHERE seq % 3 <> 0""",
+    uses=("fx_raw_minutes",),
+)
+def final_minute_only(spark, sf_dir):
+    early = F.when(F.col("seq") % 3 == 0, F.col("bar_at")).otherwise(F.col("collected_at"))
+    bars = ledger.final_minutes(fx_raw_minutes(spark, sf_dir).withColumn("collected_at", early))
+    return bars.select("bar_id", F.unix_seconds("price_at").alias("price_epoch"))
+
+
+@plan(
+    "c3_bar_valid_in_session",
+    """SELECT rule, count(*) AS bars FROM (SELECT CASE WHEN isodow(session_date) > 5 THEN 'NOT_A_SESSION'
+         WHEN collected_at > session_date + INTERVAL 21 HOUR THEN 'OUTSIDE_SESSION' ELSE 'VALID' END AS rule FROM fx_raw_minutes) GROUP BY 1""",
+    uses=("fx_raw_minutes",),
+)
+def bar_valid_in_session(spark, sf_dir):
+    rows = ledger.bar_rules(fx_raw_minutes(spark, sf_dir), fx_sessions(spark, sf_dir))
+    return rows.groupBy(F.coalesce("rule", F.lit("VALID")).alias("rule")).agg(
+        F.count(F.lit(1)).alias("bars")
+    )
+
+
+# --- first and latest rows ----------------------------------------------------------
+
+@plan(
+    "f10_latest_per_key",
+    """SELECT source_message_id, seq, processing_status, content_hash FROM fx_messages
+       QUALIFY row_number() OVER (PARTITION BY source_message_id ORDER BY seq DESC) = 1""",
+    uses=("fx_messages",),
+)
+def latest_per_key(spark, sf_dir):
+    rows = fx_messages(spark, sf_dir).drop("text", "normalized_event_count")
+    return ledger.latest_per_key(rows, "source_message_id", ["seq"])
+
+
+@plan(
+    "f11_first_per_key_dedup",
+    """SELECT execution_id, dedup, count(*) AS n FROM (
+         SELECT execution_id, CASE WHEN r = 1 THEN 'FIRST' WHEN sig = first_value(sig) OVER (PARTITION BY execution_id ORDER BY r) THEN 'DUPLICATE' ELSE 'CONFLICT' END AS dedup
+         FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY copy, l_partkey, l_suppkey, quantity, price) AS r
+               FROM (SELECT *, (side, quantity, price, ticker, trade_time) AS sig
+                     FROM (SELECT *, 0 AS copy FROM fx_trades UNION ALL SELECT *, 1 AS copy FROM fx_trades WHERE seq % 10 = 0))))
+       GROUP BY 1, 2""",
+    uses=("fx_trades",),
+)
+def first_per_key(spark, sf_dir):
+    trades = fx_trades(spark, sf_dir).withColumn("copy", F.lit(0))
+    again = trades.filter(F.col("seq") % 10 == 0).withColumn("copy", F.lit(1))
+    rows = staged(trades.unionByName(again), "copies")
+    signature = F.sha2(F.to_json(F.struct("side", "quantity", "price", "ticker", "trade_time")), 256)
+    marked = ledger.dedup_first(
+        rows, ["execution_id"], ["copy", "l_partkey", "l_suppkey", "quantity", "price"], signature
+    )
+    return marked.groupBy("execution_id", "dedup").agg(F.count(F.lit(1)).alias("n"))
+
+
+@plan(
+    "f12_bar_dedup",
+    """SELECT dedup, count(*) AS bars, sum(seq)::BIGINT AS seq_sum FROM (
+         SELECT seq, CASE WHEN r = 1 THEN 'FIRST' WHEN close = first_value(close) OVER (PARTITION BY ticker, bar_at ORDER BY r) THEN 'DUPLICATE' ELSE 'CONFLICT' END AS dedup
+         FROM (SELECT *, row_number() OVER (PARTITION BY ticker, bar_at ORDER BY seq) AS r
+               FROM (SELECT * FROM fx_sent_bars QUALIFY row_number() OVER (PARTITION BY bar_id ORDER BY seq) = 1)
+               WHERE collected_at <= TIMESTAMP '2024-01-20')
+         UNION ALL SELECT seq, 'ID_CONFLICT' FROM (SELECT seq, close, first_value(close) OVER (PARTITION BY bar_id ORDER BY seq) AS f FROM fx_sent_bars) WHERE close <> f)
+       GROUP BY 1""",
+    uses=("fx_sent_bars",),
+)
+def bar_dedup(spark, sf_dir):
+    rows = ledger.dedup_bars(fx_sent_bars(spark, sf_dir), cutoff())
+    return rows.groupBy("dedup").agg(F.count(F.lit(1)).alias("bars"), F.sum("seq").alias("seq_sum"))
+
+
+@plan(
+    "a10_append_idempotent",
+    """SELECT outcome, count(*) AS rows, sum(seq)::BIGINT AS seq_sum FROM (
+         SELECT seq, CASE WHEN seq % 3 = 0 THEN 'APPENDED' WHEN seq % 5 = 0 THEN 'CONFLICT' ELSE 'DUPLICATE_NOOP' END AS outcome
+         FROM fx_raw_minutes WHERE seq % 2 = 0) GROUP BY 1""",
+    uses=("fx_raw_minutes",),
+)
+def append_idempotent(spark, sf_dir):
+    bars = fx_raw_minutes(spark, sf_dir).drop("seen_at")
+    existing = bars.filter(F.col("seq") % 3 != 0)
+    close = F.when(F.col("seq") % 5 == 0, F.col("close") + 1.0).otherwise(F.col("close"))
+    incoming = bars.filter(F.col("seq") % 2 == 0).withColumn("close", close)
+    out = ledger.append_idempotent(existing, incoming, "bar_id")
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"), F.sum("seq").alias("seq_sum"))
+
+
+@plan(
+    "h1_merge_rows",
+    """SELECT DISTINCT source_message_id, seq, processing_status, content_hash FROM fx_messages""",
+    uses=("fx_messages",),
+)
+def merge_rows(spark, sf_dir):
+    rows = fx_messages(spark, sf_dir).drop("text", "normalized_event_count")
+    return ledger.merge_rows(rows.filter(F.col("seq") < 4), rows.filter(F.col("seq") >= 2))
+
+
+@plan(
+    "h1_identity_conflicts",
+    """SELECT source_message_id FROM fx_messages GROUP BY 1 HAVING count(DISTINCT (seq, processing_status, content_hash)) > 1""",
+    uses=("fx_messages",),
+)
+def identity_conflicts(spark, sf_dir):
+    rows = fx_messages(spark, sf_dir).drop("text", "normalized_event_count")
+    return ledger.identity_conflicts(
+        rows.filter(F.col("seq") < 2), rows.filter(F.col("seq") >= 2), "source_message_id"
+    )
+
+
+@plan(
+    "h3_set_difference_report",
+    """SELECT coalesce(a.t, b.t) AS ticker, CASE WHEN b.t IS NULL THEN 'MISSING' ELSE 'EXTRA' END AS side
+       FROM (SELECT DISTINCT ticker AS t FROM fx_holdings) a FULL JOIN (SELECT DISTINCT ticker AS t FROM fx_bars) b ON a.t = b.t
+       WHERE a.t IS NULL OR b.t IS NULL""",
+    uses=("fx_holdings", "fx_bars"),
+)
+def set_difference(spark, sf_dir):
+    return ledger.set_difference(fx_holdings(spark, sf_dir), fx_bars(spark, sf_dir), "ticker")
+
+
+@plan(
+    "e11_events_per_message",
+    """SELECT 'm' || conv_id AS source_message_id, count(*) AS events FROM conversations WHERE role = 'user' GROUP BY 1""",
+)
+def events_per_message(spark, sf_dir):
+    rows = fx_messages(spark, sf_dir)
+    return ledger.events_per_message(rows.filter(F.col("processing_status") == "DISCOVERED"))
+
+
+LINKAGE_SQL = """SELECT e.source_message_id, CASE WHEN l.processing_status IS DISTINCT FROM 'COMMITTED' THEN 'NO_COMMITTED_STATE' ELSE 'EVENT_COUNT_DIFFERS' END AS rule,
+              e.events, CAST(l.normalized_event_count AS INT) AS normalized_event_count
+       FROM (SELECT source_message_id, count(*) AS events FROM fx_messages WHERE processing_status = 'DISCOVERED' GROUP BY 1) e
+       LEFT JOIN (SELECT * FROM fx_messages QUALIFY row_number() OVER (PARTITION BY source_message_id ORDER BY seq DESC) = 1) l
+         ON e.source_message_id = l.source_message_id
+       WHERE l.processing_status IS DISTINCT FROM 'COMMITTED' OR l.normalized_event_count <> e.events"""
+
+
+def _linkage(spark, sf_dir):
+    rows = fx_messages(spark, sf_dir)
+    events = rows.filter(F.col("processing_status") == "DISCOVERED").select("source_message_id")
+    return ledger.linkage_violations(events, rows.drop("text"), ["seq"])
+
+
+@plan("d13_message_event_linkage", LINKAGE_SQL, uses=("fx_messages",))
+def message_event_linkage(spark, sf_dir):
+    return _linkage(spark, sf_dir)
+
+
+@plan(
+    "g3_sample_first_k",
+    f"SELECT source_message_id FROM ({LINKAGE_SQL}) ORDER BY source_message_id LIMIT 3",
+    uses=("fx_messages",),
+)
+def sample_first_k(spark, sf_dir):
+    return ledger.first_offenders(_linkage(spark, sf_dir), "source_message_id")
+
+
+@plan(
+    "d15_evidence_required",
+    """SELECT e.id AS source_message_id, CASE WHEN l.source_message_id IS NULL THEN 'MISSING' ELSE 'WRONG_STATUS' END AS rule
+       FROM (SELECT DISTINCT 'm' || (conv_id * 2) AS id FROM conversations) e
+       LEFT JOIN (SELECT * FROM fx_messages QUALIFY row_number() OVER (PARTITION BY source_message_id ORDER BY seq DESC) = 1) l
+         ON e.id = l.source_message_id
+       WHERE l.source_message_id IS NULL OR l.processing_status <> 'COMMITTED'""",
+    uses=("fx_messages",),
+)
+def evidence_required(spark, sf_dir):
+    rows = fx_messages(spark, sf_dir)
+    status = F.when(F.col("processing_status") == "COMMITTED", "ANCHOR_EVIDENCE").otherwise(F.col("processing_status"))
+    index = rows.select(
+        "source_message_id", "seq", status.alias("processing_status"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("message_received_at"),
+    )
+    number = F.substring("source_message_id", 2, 20).cast("long") * 2
+    expected = rows.select(F.concat(F.lit("m"), number.cast("string")).alias("source_message_id"))
+    return ledger.evidence_problems(expected, index, ["seq"], cutoff())
+
+
+@plan(
+    "c13_anchor_contract",
+    """SELECT account_ref, ticker, CASE WHEN n % 5 = 0 THEN 'ANCHOR_TIME_DIFFERS' WHEN n % 7 = 0 THEN 'COST_REQUIRED' WHEN n % 11 = 0 THEN 'DUPLICATE_POSITION' END AS rule, count(*) AS rows
+       FROM (SELECT *, CAST(substr(account_ref, 2) AS INT) AS n FROM (SELECT DISTINCT account_ref, ticker FROM fx_trades))
+       JOIN (VALUES (0), (1)) AS c(copy) ON copy = 0 OR n % 11 = 0 GROUP BY 1, 2, 3""",
+    uses=("fx_trades",),
+)
+def anchor_contract(spark, sf_dir):
+    n = F.substring("account_ref", 2, 4).cast("int")
+    base = fx_anchor(spark, sf_dir)
+    rows = base.unionByName(base.filter(n % 11 == 0)).select(
+        "account_ref", "ticker", "shares", "entry_date", F.lit("user_chat").alias("source"),
+        F.when(n % 7 != 0, F.col("avg_cost")).alias("avg_cost"),
+        F.when(n % 5 == 0, cutoff()).otherwise(F.col("anchor_at")).alias("anchor_at"),
+    )
+    expected = F.lit("1995-01-01 00:00:00").cast("timestamp")
+    marked = ledger.anchor_rules(staged(rows, "anchors"), expected, "EXACT_USER_ANCHOR")
+    return marked.groupBy("account_ref", "ticker", "rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --- state machines -------------------------------------------------------------------
+
+@plan(
+    "i4_candidate_replay",
+    """SELECT ticker, rule, event_id AS detail, seq FROM state_rules WHERE rule IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) = 1""",
+    uses=("state_rules",),
+)
+def candidate_replay(spark, sf_dir):
+    return eventlog.candidate_violations(staged(fx_statelog(spark, sf_dir), "statelog"))
+
+
+@plan(
+    "i4_candidate_final_state",
+    "SELECT ticker, state FROM state_final",
+    uses=("state_final",),
+)
+def candidate_final(spark, sf_dir):
+    return eventlog.candidate_final(fx_statelog(spark, sf_dir))
+
+
+@plan(
+    "f17_current_state_before",
+    """SELECT event_id, ticker, coalesce(cur, 'NONE') AS current_state FROM state_rows""",
+    uses=("state_rows",),
+)
+def current_state_before(spark, sf_dir):
+    rows = eventlog.candidate_states(staged(fx_statelog(spark, sf_dir), "statelog"))
+    return rows.select("event_id", "ticker", F.coalesce("current_state", F.lit("NONE")).alias("current_state"))
+
+
+@plan(
+    "f16_time_order_check",
+    """SELECT seq, account_ref FROM (SELECT seq, account_ref, received, max(received) OVER (PARTITION BY account_ref ORDER BY seq
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM fx_broker) WHERE received < before""",
+    uses=("fx_broker",),
+)
+def time_order_check(spark, sf_dir):
+    log = fx_broker(spark, sf_dir).select(
+        "seq", "account_ref", F.col("message_received_at").alias("occurred_at")
+    )
+    return eventlog.time_order_violations(log, "account_ref").select("seq", "account_ref")
+
+
+@plan(
+    "d14_ledger_vs_watchlist",
+    """SELECT coalesce(s.ticker, w.ticker) AS ticker, s.state AS log_state, w.state AS table_state,
+              CASE WHEN w.state IS NULL THEN 'MISSING_FROM_TABLE' ELSE 'STATE_DIFFERS' END AS problem
+       FROM state_final s FULL JOIN (SELECT DISTINCT 'U' || user_id AS ticker, 'WATCHING' AS state FROM events WHERE user_id % 3 <> 0
+              UNION ALL SELECT DISTINCT 'X' || user_id, 'PAUSED' FROM events WHERE user_id % 10 = 0) w ON s.ticker = w.ticker
+       WHERE (w.state IS NULL AND s.state <> 'REMOVED') OR (w.state IS NOT NULL AND s.state IS DISTINCT FROM w.state)""",
+    uses=("state_final",),
+)
+def ledger_vs_watchlist(spark, sf_dir):
+    log = fx_statelog(spark, sf_dir)
+    number = F.substring("ticker", 2, 20).cast("long")
+    tickers = log.select("ticker").distinct()
+    watch = tickers.filter(number % 3 != 0).select("ticker", F.lit("WATCHING").alias("state")).unionByName(
+        tickers.filter(number % 10 == 0).select(
+            F.concat(F.lit("X"), number.cast("string")).alias("ticker"), F.lit("PAUSED").alias("state")
+        )
+    )
+    return eventlog.ledger_vs_watchlist(eventlog.candidate_final(log), watch)
+
+
+@plan(
+    "i5_decision_replay",
+    """SELECT decision_id, rule, event_id AS detail, seq FROM (SELECT *, CASE
+         WHEN event_type = 'DECISION_CREATED' THEN NULL
+         WHEN happened < before THEN 'TIME_OUT_OF_ORDER'
+         WHEN event_type = 'EMAIL_SEND_INTENT' THEN CASE WHEN subject IS NULL THEN 'SUBJECT_MISSING' END
+         WHEN intents <> 1 THEN 'NO_SINGLE_INTENT' WHEN marker <> im THEN 'MARKER_DIFFERS'
+         WHEN event_type = 'EMAIL_SENT' AND message_id IS NULL THEN 'MESSAGE_ID_MISSING'
+         WHEN event_type = 'EMAIL_FAILED' AND sent > 0 THEN 'FAILED_AFTER_SENT' END AS rule
+       FROM (SELECT *, max(happened) OVER w AS before, count(CASE WHEN event_type = 'EMAIL_SEND_INTENT' THEN 1 END) OVER w AS intents,
+                    count(CASE WHEN event_type = 'EMAIL_SENT' THEN 1 END) OVER w AS sent,
+                    max(CASE WHEN event_type = 'EMAIL_SEND_INTENT' THEN marker END) OVER w AS im
+             FROM fx_decision_log WINDOW w AS (PARTITION BY decision_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+       WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY decision_id ORDER BY k) = 1""",
+    uses=("fx_decision_log",),
+)
+def decision_replay(spark, sf_dir):
+    return eventlog.decision_violations(fx_decision_log(spark, sf_dir))
+
+
+@plan(
+    "i7_overlay_chain",
+    """SELECT account_ref, seq, CASE WHEN prev IS NULL THEN 'COMMIT' WHEN seq % 9 = 0 THEN 'PREVIOUS_DIFFERS'
+              WHEN happened <= prev THEN 'NOT_LATER' ELSE 'COMMIT' END AS status
+       FROM (SELECT *, lag(happened) OVER (PARTITION BY account_ref ORDER BY seq) AS prev
+             FROM (SELECT 'A' || (user_id % 50) AS account_ref, event_id AS seq,
+                          CASE WHEN event_id % 7 = 0 THEN ts - INTERVAL 9 DAY ELSE ts END AS happened FROM events WHERE event_type = 'view'))""",
+)
+def overlay_chain(spark, sf_dir):
+    rows = overlay.overlay_chain(staged(fx_corrections(spark, sf_dir), "corrections"))
+    return rows.select("account_ref", "seq", "status")
+
+
+@plan(
+    "i8_active_holdings_view",
+    """SELECT account_ref, basis, count(*) AS rows, round(sum(shares), 4) AS shares FROM (
+         SELECT h.account_ref, CASE WHEN active AND late THEN 'OVERLAY_STALE' WHEN active THEN 'OVERLAY' ELSE 'DERIVED' END AS basis,
+                CASE WHEN active THEN shares + 1 ELSE shares END AS shares
+         FROM fx_holdings h JOIN (SELECT o.*, EXISTS (SELECT 1 FROM broker_pos p WHERE moves AND p.account_ref = o.account_ref
+                                    AND p.trade_time > o.corrected_at) AS late FROM fx_overlays o) o ON h.account_ref = o.account_ref)
+       GROUP BY 1, 2""",
+    uses=("fx_holdings", "broker_pos", "fx_overlays"),
+)
+def active_holdings(spark, sf_dir):
+    derived = fx_holdings(spark, sf_dir).select("account_ref", "ticker", "shares")
+    overlays = fx_overlays(spark, sf_dir)
+    corrected = derived.select(
+        "account_ref", F.concat(F.lit("corr-"), "account_ref").alias("correction_id"), "ticker",
+        (F.col("shares") + 1).alias("shares"),
+    )
+    events = fx_broker(spark, sf_dir).filter(ledger.position_affecting())
+    rows = overlay.active_holdings(derived, corrected, overlays, events)
+    return rows.groupBy("account_ref", "basis").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("shares"), 4).alias("shares")
+    )
+
+
+@plan(
+    "c14_overlay_contract",
+    """SELECT account_ref AS correction_ref, ticker, CASE WHEN n % 6 = 0 THEN 'BAD_SOURCE' WHEN n % 4 = 0 THEN 'BAD_NUMBER' END AS rule
+       FROM (SELECT *, CAST(substr(account_ref, 2) AS INT) AS n FROM fx_holdings)""",
+    uses=("fx_holdings",),
+)
+def overlay_contract(spark, sf_dir):
+    n = F.substring("account_ref", 2, 4).cast("int")
+    rows = fx_holdings(spark, sf_dir).select(
+        F.concat(F.lit("corr-00"), "account_ref").alias("correction_id"),
+        F.when(n % 6 == 0, "file").otherwise("user_chat").alias("source"),
+        F.lower("ticker").alias("ticker"),
+        F.when(n % 4 == 0, "-1").otherwise(F.col("shares").cast("string")).alias("shares"),
+        F.lit("待确认").alias("avg_cost"),
+    )
+    marked = ledger.overlay_rules(rows, ["shares", "avg_cost"])
+    return marked.select(F.substring("correction_id", 8, 10).alias("correction_ref"), "ticker", "rule")
+
+
+# --- scan batches ---------------------------------------------------------------------
+
+def batches(spark, sf_dir):
+    """Nested scan batches, written as JSON documents and read by their declared schema."""
+    return readers.rescan_json(fx_batches(spark, sf_dir), "batches")
+
+
+@plan(
+    "a5_scan_batch_json",
+    """SELECT batch_id, count(*) AS messages, sum(n_events)::BIGINT AS events, CAST(min(b) * 10 + 12 AS BIGINT) AS completed_minute
+       FROM msg JOIN batch USING (b) GROUP BY 1""",
+    uses=("msg", "batch"),
+)
+def scan_batch_json(spark, sf_dir):
+    start = F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    n = F.aggregate("messages", F.lit(0).cast("long"), lambda acc, m: acc + F.size(m["events"]))
+    return batches(spark, sf_dir).select(
+        "batch_id", F.size("messages").cast("long").alias("messages"), n.alias("events"),
+        ((F.unix_seconds("scan.completed_at") - start) / 60).cast("long").alias("completed_minute"),
+    )
+
+
+@plan(
+    "a6_flatten_batch",
+    """SELECT 'idx-' || substr(sha256(batch_id || '|m' || c || '|' || s), 1, 24) AS index_event_id, 'm' || c AS source_message_id,
+              s AS processing_status, CAST(n_events AS INT) AS normalized_event_count
+       FROM (SELECT batch_id, c, n_events, unnest(['DISCOVERED', status]) AS s FROM msg JOIN batch USING (b))""",
+    uses=("msg", "batch"),
+)
+def flatten_batch(spark, sf_dir):
+    rows = ledger.flatten_index(ledger.message_rows(batches(spark, sf_dir)))
+    return rows.select("index_event_id", "source_message_id", "processing_status", "normalized_event_count")
+
+
+@plan(
+    "a6_flatten_batch_events",
+    """SELECT 'm' || c AS source_message_id, 'ex-' || c AS execution_id, count(*) AS n
+       FROM (SELECT c, unnest(range(n_events)) FROM msg) GROUP BY 1, 2""",
+    uses=("msg",),
+)
+def flatten_batch_events(spark, sf_dir):
+    rows = ledger.flatten_events(ledger.message_rows(batches(spark, sf_dir)))
+    return rows.groupBy("source_message_id", "execution_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@plan(
+    "h4_discovered_only",
+    """SELECT 'm' || c AS source_message_id, batch_id FROM msg JOIN batch USING (b)""",
+    uses=("msg", "batch"),
+)
+def discovered_only(spark, sf_dir):
+    index = ledger.flatten_index(ledger.message_rows(fx_batches(spark, sf_dir)))
+    return ledger.discovered_only(index).select("source_message_id", "batch_id")
+
+
+@plan(
+    "c11_batch_contract",
+    """SELECT batch_id, CASE WHEN b % 37 = 0 THEN 'SCHEMA_VERSION' WHEN b % 11 = 0 THEN 'NO_PAGES' END AS rule FROM batch""",
+    uses=("batch",),
+)
+def batch_contract(spark, sf_dir):
+    return fx_batches(spark, sf_dir).select("batch_id", ledger.batch_rules().alias("rule"))
+
+
+@plan(
+    "c12_message_contract",
+    """SELECT 'm' || c AS source_message_id, CASE WHEN c % 41 = 0 THEN 'METADATA_MISSING'
+              WHEN status = 'COMMITTED' AND n_events = 0 THEN 'COMMITTED_WITHOUT_EVENTS'
+              WHEN n_events > 0 AND c % 8 = 0 THEN 'EVENT_AFTER_SCAN' END AS rule FROM msg""",
+    uses=("msg",),
+)
+def message_contract(spark, sf_dir):
+    rows = staged(ledger.message_rows(fx_batches(spark, sf_dir)), "messages")
+    return ledger.message_rules(rows).select("source_message_id", "rule")
+
+
+GATE_SQL = """SELECT batch_id, b,
+         list_sort(list_filter([CASE WHEN b % 7 = 0 THEN 'pagination_incomplete' END, CASE WHEN b % 4 = 0 THEN 'terminal_next_page_token_not_empty' END,
+           CASE WHEN o > 0 THEN 'unresolved_quarantine_in_batch' END, CASE WHEN o > 0 THEN 'unresolved_quarantine' END], lambda x: x IS NOT NULL)) AS r
+       FROM (SELECT batch_id, b, count(*) FILTER (WHERE c % 5 = 0 AND c % 10 <> 0) AS o FROM msg JOIN batch USING (b) GROUP BY 1, 2)"""
+
+
+@plan(
+    "j13_batch_gate",
+    f"""SELECT batch_id, CASE WHEN len(r) > 0 THEN 'BLOCKED' ELSE 'SUCCESS' END AS commit_status, array_to_string(r, ',') AS blocked_reasons,
+               CAST(b * 100 AS VARCHAR) AS waterline_before,
+               CAST(CASE WHEN len(r) > 0 THEN b * 100 WHEN b % 6 = 0 THEN b * 100 - 50 ELSE b * 100 + 100 END AS VARCHAR) AS waterline_after
+        FROM ({GATE_SQL})""",
+    uses=("msg", "batch"),
+)
+def batch_gate(spark, sf_dir):
+    rows = fx_batches(spark, sf_dir)
+    return ledger.batch_gate(rows, ledger.message_rows(rows))
+
+
+@plan(
+    "e14_blocked_reasons",
+    f"SELECT reason, count(*) AS batches FROM (SELECT unnest(r) AS reason FROM ({GATE_SQL})) GROUP BY 1",
+    uses=("msg", "batch"),
+)
+def blocked_reasons(spark, sf_dir):
+    rows = fx_batches(spark, sf_dir)
+    gate = ledger.batch_gate(rows, ledger.message_rows(rows))
+    reason = F.explode(F.split("blocked_reasons", ",")).alias("reason")
+    return gate.filter(F.col("blocked_reasons") != "").select(reason).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("batches")
+    )
+
+
+@plan(
+    "j14_waterline_check",
+    """SELECT batch_id, CASE WHEN b > 0 AND (b - 1) % 6 = 0 THEN 'WATERLINE_DIFFERS' WHEN b > 0 AND b % 6 = 0 THEN 'WATERLINE_BACKWARDS' END AS rule FROM batch""",
+    uses=("batch",),
+)
+def waterline_check(spark, sf_dir):
+    scans = fx_batches(spark, sf_dir).select(
+        "batch_id", "target_account", "scan_no", "transaction_id",
+        F.col("expected_parent_transaction_id").alias("expected_parent"),
+        "scan.history_id_before", "scan.history_id_after", "scan.completed_at",
+    )
+    return ledger.waterline_rules(scans, ["scan_no"]).select("batch_id", "rule")

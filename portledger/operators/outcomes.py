@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from portledger.functions.columns import NEW_YORK, ceil_to_minute, session_date
 from portledger.operators.skew import attach
+from portledger.sources.staging import staged
 
 # The horizons with their session offsets.
 HORIZONS = (("1h", 0), ("close", 0), ("1d", 1), ("5d", 5), ("20d", 20))
@@ -122,14 +123,19 @@ def quarter_hours(bars: DataFrame) -> DataFrame:
     return near.groupBy("ticker", "_bucket15").agg(F.collect_set("_m").alias("_near"))
 
 
-def asof_nearest(rows: DataFrame, bars: DataFrame, target: str, **limits) -> DataFrame:
+def asof_nearest(
+    rows: DataFrame, bars: DataFrame, target: str, *, measured: DataFrame | None = None, **limits
+) -> DataFrame:
     """Adds ``nearest``: the completed minute closest to ``target`` within 15 minutes.
 
     Ties prefer the minute at or after the target. One equi-join on (ticker,
     quarter hour); the choice is an array minimum.
     """
-    keyed = rows.withColumn("_bucket15", F.floor(F.unix_micros(target) / QUARTER))
-    joined = attach(keyed, quarter_hours(bars), ["ticker", "_bucket15"], **limits)
+    bucket = F.floor(F.unix_micros(target) / QUARTER)
+    keyed = rows.withColumn("_bucket15", bucket)
+    if measured is not None:
+        measured = measured.withColumn("_bucket15", bucket)
+    joined = attach(keyed, quarter_hours(bars), ["ticker", "_bucket15"], measured=measured, **limits)
     t = F.unix_micros(target)
 
     def ranked(m: Column) -> Column:
@@ -161,7 +167,13 @@ def benchmark_days(bars: DataFrame, rules: OutcomeRules) -> DataFrame:
 
 
 def session_offset_close(
-    rows: DataFrame, bars: DataFrame, calendar: DataFrame, rules: OutcomeRules, **limits
+    rows: DataFrame,
+    bars: DataFrame,
+    calendar: DataFrame,
+    rules: OutcomeRules,
+    *,
+    measured: DataFrame | None = None,
+    **limits,
 ) -> DataFrame:
     """Adds the close ``offset`` sessions later, counted on the calendar, and its status."""
     ahead = calendar.select(
@@ -169,12 +181,16 @@ def session_offset_close(
         F.col("session_date").alias("target_date"),
         F.col("close_ts").alias("target_close"),
     )
-    keyed = rows.withColumn("_target_idx", F.col("session_idx") + F.col("offset"))
-    keyed = keyed.join(F.broadcast(ahead), "_target_idx", "left").join(
-        F.broadcast(benchmark_days(bars, rules)), "target_date", "left"
-    )
+
+
+    def targeted(df: DataFrame) -> DataFrame:
+        shifted = df.withColumn("_target_idx", F.col("session_idx") + F.col("offset"))
+        return shifted.join(F.broadcast(ahead), "_target_idx", "left")
+
+    keyed = targeted(rows).join(F.broadcast(benchmark_days(bars, rules)), "target_date", "left")
     closes = session_closes(bars).withColumnRenamed("session_date", "target_date")
-    joined = attach(keyed, closes, ["ticker", "target_date"], **limits)
+    measured = None if measured is None else targeted(measured)
+    joined = attach(keyed, closes, ["ticker", "target_date"], measured=measured, **limits)
     pending = F.col("target_close").isNull() | (rules.now() < F.col("target_close"))
     status = (
         F.when(pending, "PENDING")
@@ -238,9 +254,11 @@ def session_paths(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     return days.select("ticker", "session_date", "path", "next_1", "next_5", "next_20")
 
 
-def with_hold_path(rows: DataFrame, paths: DataFrame, **limits) -> DataFrame:
+def with_hold_path(
+    rows: DataFrame, paths: DataFrame, *, measured: DataFrame | None = None, **limits
+) -> DataFrame:
     """Adds ``hold_max_drawdown_pct`` over (reference, end] to matured horizon rows."""
-    joined = attach(rows, paths, ["ticker", "session_date"], **limits)
+    joined = attach(rows, paths, ["ticker", "session_date"], measured=measured, **limits)
     inside = F.filter(
         "path", lambda b: (b["price_at"] > F.col("reference_at")) & (b["price_at"] <= F.col("end_at"))
     )
@@ -249,7 +267,9 @@ def with_hold_path(rows: DataFrame, paths: DataFrame, **limits) -> DataFrame:
         F.col("offset") == 20, F.col("next_20")
     )
     worst = F.when(F.col("offset") == 0, first["worst"]).otherwise(fall_then(first, later)["worst"])
-    return joined.withColumn("hold_max_drawdown_pct", F.least(worst, F.lit(0.0)) * 100.0).drop(
+    mature = F.col("end_at").isNotNull()
+    held = F.when(mature, F.least(worst, F.lit(0.0)) * 100.0)
+    return joined.withColumn("hold_max_drawdown_pct", held).drop(
         "path", "next_1", "next_5", "next_20"
     )
 
@@ -257,11 +277,20 @@ def with_hold_path(rows: DataFrame, paths: DataFrame, **limits) -> DataFrame:
 def matured_rows(
     holdings: DataFrame, bars: DataFrame, calendar: DataFrame, rules: OutcomeRules, **limits
 ) -> DataFrame:
-    """Horizon rows with reference, end bar and status."""
+    """Horizon rows with reference, end bar and status.
+
+    Hot keys are looked for in the holdings themselves, before any lookup.
+    """
+    target = F.col("decision_at") + F.expr("interval 1 hour")
+    holdings = holdings.withColumn("target_1h", target)
     refs = with_reference(holdings, bars, calendar, rules, **limits)
-    refs = refs.withColumn("target_1h", F.col("decision_at") + F.expr("interval 1 hour"))
-    near = asof_nearest(refs, bars, "target_1h", **limits)
-    rows = session_offset_close(by_horizon(near), bars, calendar, rules, **limits)
+    near = asof_nearest(refs, bars, "target_1h", measured=holdings, **limits)
+    dated = holdings.withColumn("session_date", session_date(F.col("decision_at"), rules.zone)).join(
+        F.broadcast(_sessions(calendar)), "session_date", "left"
+    )
+    rows = session_offset_close(
+        by_horizon(near), bars, calendar, rules, measured=by_horizon(dated), **limits
+    )
     hour = (
         F.when(F.col("target_1h") > F.col("close_ts"), "NOT_APPLICABLE")
         .when(rules.now() < F.col("target_1h"), "PENDING")
@@ -318,15 +347,15 @@ def replay_values(rows: DataFrame, trades: DataFrame, bars: DataFrame) -> DataFr
     """
     moves = trades_in_span(rows, trades)
     sell = F.col("side") == "SELL"
-    cash = F.when(sell, F.col("quantity") * F.col("price") - F.col("fees")).otherwise(
-        -(F.col("quantity") * F.col("price") + F.col("fees"))
-    )
+    fees = F.coalesce("fees", F.lit(0.0))
+    amount = F.col("quantity") * F.col("price")
+    cash = F.when(sell, amount).otherwise(-amount) - fees
     common = [*KEY, "start_shares", "reference_price"]
     fills = moves.select(
         *common,
         F.col("trade_time").alias("at"), F.lit(0).alias("kind"), "seq",
         F.when(sell, -F.col("quantity")).otherwise(F.col("quantity")).alias("dq"),
-        F.coalesce(cash, F.lit(0.0)).alias("dc"),
+        cash.alias("dc"),
         F.lit(None).cast("double").alias("price"),
         (F.upper("trade_time_source") != "BROKER_EXECUTION_TIME").alias("proxy"),
         F.col("fees").isNull().alias("no_fees"),
@@ -417,7 +446,8 @@ def outcomes(
     log: DataFrame, bars: DataFrame, trades: DataFrame, calendar: DataFrame, rules: OutcomeRules, **limits
 ) -> DataFrame:
     """Outcome rows: one per decision, holding and horizon. ``bars`` must be deduplicated."""
-    holdings = decision_holdings(decision_delivery(log, rules), rules)
-    rows = score(matured_rows(holdings, bars, calendar, rules, **limits), rules)
-    rows = with_hold_path(rows, session_paths(bars, calendar), **limits)
+    holdings = staged(decision_holdings(decision_delivery(log, rules), rules), "holdings")
+    # Several joins read the results of the lookups: write them once.
+    rows = staged(score(matured_rows(holdings, bars, calendar, rules, **limits), rules), "matured")
+    rows = staged(with_hold_path(rows, session_paths(bars, calendar), **limits), "held")
     return final_status(with_actual(rows, replay_values(rows, trades, bars)))

@@ -43,14 +43,20 @@ def with_chunks(
     """Add ``_bucket`` and ``_part``; (bucket, part) never decreases along the order."""
     keys = list(order.keys)
     bucketed = df.withColumn("_bucket", F.floor(F.col(order.pos) / order.width).cast("long"))
-    counts = bucketed.groupBy(*keys, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(order.pos).alias("_p0"),
-        F.max(order.pos).alias("_p1"),
-        F.min(order.tie).alias("_t0"),
-        F.max(order.tie).alias("_t1"),
+    hot = hot_groups(
+        bucketed,
+        [*keys, "_bucket"],
+        stats=[
+            F.min(order.pos).alias("_p0"),
+            F.max(order.pos).alias("_p1"),
+            F.min(order.tie).alias("_t0"),
+            F.max(order.tie).alias("_t1"),
+        ],
+        share=share,
+        min_rows=min_rows,
     )
-    hot = hot_groups(counts, df, share=share, min_rows=min_rows).drop("_n")
+    if hot is None:
+        return bucketed.withColumn("_part", F.lit(0))
     # Cut by position; a bucket that is one single instant is cut by the tie value.
     by_pos = F.floor(
         (F.col(order.pos) - F.col("_p0")) / (F.col("_p1") - F.col("_p0") + 1.0) * F.col("_splits")

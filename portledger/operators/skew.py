@@ -1,33 +1,45 @@
 """Keeping hot groups apart.
 
-One key may hold a third of all rows. ``hot_groups`` finds such keys from a
-partially aggregated count; by construction there are at most ``1 / share`` of
-them, which is the size bound that allows their broadcast. ``attach`` joins a
-per-group table back to the rows with the hot groups spread over salts.
+One key may hold a third of all rows. ``hot_groups`` measures the table before
+a plan is built on it, the way a size is checked before a broadcast: it returns
+the groups that exceed both limits. By construction there are at most
+``1 / share`` of them, so the list is small whatever the table holds. Where
+nothing is hot, the plan that follows is the plain one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SHARE = 1e-4
 MIN_ROWS = 200_000
 
 
 def hot_groups(
-    counts: DataFrame, rows: DataFrame, *, share: float = SHARE, min_rows: int = MIN_ROWS
-) -> DataFrame:
-    """Groups above both limits, with ``_splits``: the pieces each should be cut into.
+    df: DataFrame,
+    keys: Sequence[str],
+    *,
+    stats: Sequence[Column] = (),
+    share: float = SHARE,
+    min_rows: int = MIN_ROWS,
+) -> DataFrame | None:
+    """Groups with more rows than allowed and ``_splits``, the pieces to cut each into.
 
-    The total enters as a scalar subquery that reads no column of ``rows``.
+    None when no group is hot. Counts aggregate before the shuffle; only the hot
+    groups, at most ``1 / share`` rows, reach the driver.
     """
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    limit = F.greatest(F.lit(float(min_rows)), total * share)
-    return counts.filter(F.col("_n") > limit).withColumn(
+    total = df.count()
+    limit = max(float(min_rows), total * share)
+    if total <= limit:
+        return None
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *stats)
+    hot = counts.filter(F.col("_n") > limit).withColumn(
         "_splits", F.ceil(F.col("_n") / limit).cast("int")
-    )
+    ).drop("_n")
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
 def attach(
@@ -36,19 +48,20 @@ def attach(
     keys: Sequence[str],
     *,
     how: str = "left",
-    share: float = SHARE,
-    min_rows: int = MIN_ROWS,
+    measured: DataFrame | None = None,
+    **limits,
 ) -> DataFrame:
     """Join one row per group onto ``rows``; hot groups are salted on both sides.
 
     ``how`` must keep or match left rows (``left``, ``inner``, ``left_semi`` or
-    ``left_anti``), since only the group side is replicated.
+    ``left_anti``), since only the group side is replicated. ``measured`` names a
+    cheaper table with the same key values to look for hot groups in.
     """
     keys = list(keys)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(
-        hot_groups(counts, rows, share=share, min_rows=min_rows).select(*keys, "_splits")
-    )
+    hot = hot_groups((rows if measured is None else measured).select(*keys), keys, **limits)
+    if hot is None:
+        return rows.join(groups, keys, how)
+    hot = F.broadcast(hot)
     spread = F.when(
         F.col("_splits").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_splits"))
     ).otherwise(0)

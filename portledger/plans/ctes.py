@@ -401,3 +401,134 @@ FROM conversations GROUP BY conv_id
 cte("batch", """
 SELECT DISTINCT b, 'batch-' || lpad(CAST(b AS VARCHAR), 6, '0') AS batch_id FROM msg
 """, "msg")
+
+AS_OF = "TIMESTAMP '2024-01-30 22:00:00'"
+
+cte("fx_sessions", """
+SELECT session_date, CAST(row_number() OVER (ORDER BY session_date) AS INT) AS session_idx, session_date + INTERVAL 21 HOUR AS close_ts,
+       lead(session_date) OVER (ORDER BY session_date) AS next_session
+FROM (SELECT DISTINCT CAST(ts AS DATE) AS session_date FROM events) WHERE isodow(session_date) <= 5
+""")
+
+cte("fx_daily_closes", """
+SELECT t AS ticker, e.session_date, close_ts AS bar_at, arg_max(value, (ts, event_id)) AS close
+FROM (SELECT *, CAST(ts AS DATE) AS session_date, unnest(['T' || (user_id % 2), 'SPY']) AS t FROM events WHERE value > 0) e
+JOIN fx_sessions s ON e.session_date = s.session_date WHERE ts <= close_ts AND (t <> 'SPY' OR day(e.session_date) % 7 <> 0)
+GROUP BY 1, 2, 3
+""", "fx_sessions")
+
+cte("ledger_bars", """
+SELECT 'INTRADAY' AS bar_type, ticker, bar_at, m.session_date, arg_max(close, (seen_at, seq)) AS close, bar_at + INTERVAL 1 MINUTE AS price_at
+FROM fx_raw_minutes m JOIN fx_sessions s ON m.session_date = s.session_date WHERE collected_at <= close_ts GROUP BY ticker, bar_at, m.session_date
+UNION ALL SELECT 'DAILY_CLOSE', ticker, bar_at, session_date, close, bar_at FROM fx_daily_closes
+""", "fx_raw_minutes", "fx_sessions", "fx_daily_closes")
+
+cte("vis_bars", f"""
+SELECT * FROM ledger_bars WHERE price_at <= {AS_OF} AND (bar_type = 'INTRADAY' OR bar_at + INTERVAL 5 MINUTE <= {AS_OF})
+""", "ledger_bars")
+
+cte("dec", f"""
+SELECT 'D' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS decision_id, event_id AS i, user_id, 'A' || (user_id % 50) AS account_ref,
+       ts - INTERVAL 2 MINUTE AS created_at, CASE WHEN event_id % 11 <> 0 AND ts <= {AS_OF} THEN ts END AS delivered_at,
+       coalesce(CASE WHEN event_id % 11 <> 0 AND ts <= {AS_OF} THEN ts END, ts - INTERVAL 2 MINUTE) AS decision_at
+FROM events WHERE event_type = 'purchase' AND ts - INTERVAL 2 MINUTE <= {AS_OF}
+""")
+
+cte("dec_h", """
+SELECT *, CASE WHEN given IS NOT NULL THEN given WHEN action IN ('HOLD', 'WATCH') THEN 1.0 END AS exposure FROM (
+  SELECT *, 'T' || (user_id % 2) AS ticker, ['HOLD', 'WATCH', 'TRIM', 'ADD', 'SELL_REVIEW'][i % 5 + 1] AS action,
+         CASE WHEN i % 3 = 0 THEN 0.5 END AS given, CASE WHEN i % 4 <> 0 THEN CAST(i % 50 + 5 AS DOUBLE) END AS start_shares FROM dec
+  UNION ALL SELECT *, 'T' || (1 - user_id % 2), 'HOLD', NULL, 10.0 FROM dec WHERE i % 2 = 0)
+""", "dec")
+
+cte("refs", f"""
+SELECT d.*, s.session_date, s.session_idx, s.close_ts, r.close AS ref_raw, r.price_at AS ref_raw_at,
+  CASE WHEN delivered_at IS NULL THEN 'NOT_DELIVERED' WHEN s.close_ts IS NULL OR start + INTERVAL 1 MINUTE > s.close_ts THEN 'NOT_APPLICABLE'
+       WHEN r.close IS NOT NULL THEN 'MATURED' WHEN {AS_OF} < delivered_at + INTERVAL 6 MINUTE THEN 'PENDING' ELSE 'PENDING_DATA' END AS rstat
+FROM (SELECT *, CASE WHEN delivered_at > date_trunc('minute', delivered_at) THEN date_trunc('minute', delivered_at) + INTERVAL 1 MINUTE
+                     ELSE delivered_at END AS start FROM dec_h) d
+LEFT JOIN fx_sessions s ON CAST(decision_at AS DATE) = s.session_date
+LEFT JOIN vis_bars r ON r.bar_type = 'INTRADAY' AND r.ticker = d.ticker AND r.bar_at = start
+""", "dec_h", "fx_sessions", "vis_bars")
+
+cte("near", """
+SELECT decision_id, r.ticker, b.close AS near_close, b.price_at AS near_at
+FROM refs r JOIN vis_bars b ON b.bar_type = 'INTRADAY' AND b.ticker = r.ticker
+ AND b.price_at BETWEEN decision_at + INTERVAL 45 MINUTE AND decision_at + INTERVAL 75 MINUTE
+QUALIFY row_number() OVER (PARTITION BY decision_id, r.ticker ORDER BY abs(epoch_us(b.price_at) - epoch_us(decision_at) - 3600000000),
+                           b.price_at < decision_at + INTERVAL 1 HOUR, b.price_at) = 1
+""", "refs", "vis_bars")
+
+cte("hor", f"""
+SELECT *, CASE WHEN stat = 'MATURED' THEN CASE WHEN horizon = '1h' THEN near_close ELSE day_close END END AS end_price,
+          CASE WHEN stat = 'MATURED' THEN CASE WHEN horizon = '1h' THEN near_at ELSE tclose END END AS end_at
+FROM (SELECT r.decision_id, r.ticker, r.account_ref, r.action, r.exposure, r.start_shares, r.decision_at, h.horizon, h.k,
+        CASE WHEN rstat = 'MATURED' THEN ref_raw END AS ref, CASE WHEN rstat = 'MATURED' THEN ref_raw_at END AS ref_at,
+        n.near_close, n.near_at, c.close AS day_close, t.close_ts AS tclose,
+        CASE WHEN rstat <> 'MATURED' THEN rstat
+             WHEN h.horizon = '1h' THEN CASE WHEN decision_at + INTERVAL 1 HOUR > r.close_ts THEN 'NOT_APPLICABLE'
+                  WHEN {AS_OF} < decision_at + INTERVAL 1 HOUR THEN 'PENDING' WHEN n.near_at IS NULL THEN 'PENDING_DATA' ELSE 'MATURED' END
+             WHEN t.close_ts IS NULL OR {AS_OF} < t.close_ts THEN 'PENDING'
+             WHEN b.close IS NULL OR c.close IS NULL THEN 'PENDING_DATA' ELSE 'MATURED' END AS stat
+      FROM refs r CROSS JOIN (VALUES ('1h', 0), ('close', 0), ('1d', 1), ('5d', 5), ('20d', 20)) h(horizon, k)
+      LEFT JOIN near n ON n.decision_id = r.decision_id AND n.ticker = r.ticker
+      LEFT JOIN fx_sessions t ON t.session_idx = r.session_idx + h.k
+      LEFT JOIN vis_bars b ON b.bar_type = 'DAILY_CLOSE' AND b.ticker = 'SPY' AND b.session_date = t.session_date
+      LEFT JOIN vis_bars c ON c.bar_type = 'DAILY_CLOSE' AND c.ticker = r.ticker AND c.session_date = t.session_date)
+""", "refs", "near", "fx_sessions", "vis_bars")
+
+cte("hold_path", """
+SELECT decision_id, ticker, horizon, least(min(close / peak - 1), 0) * 100 AS hold_dd
+FROM (SELECT h.decision_id, h.ticker, h.horizon, b.close,
+             greatest(ref, max(b.close) OVER (PARTITION BY h.decision_id, h.ticker, h.horizon
+                      ORDER BY b.price_at, b.bar_type = 'DAILY_CLOSE' ROWS UNBOUNDED PRECEDING)) AS peak
+      FROM hor h JOIN vis_bars b ON b.ticker = h.ticker AND b.price_at > h.ref_at AND b.price_at <= h.end_at)
+GROUP BY 1, 2, 3
+""", "hor", "vis_bars")
+
+cte("ev_trades", f"""
+SELECT 'A' || (user_id % 50) AS account_ref, 'T' || (user_id % 2) AS ticker, event_type = 'error' AS sell,
+       CAST(event_id % 5 + 1 AS DOUBLE) AS quantity, value AS price, CASE WHEN event_id % 97 <> 0 THEN 0.25 END AS fees, ts AS trade_time,
+       event_id % 89 = 0 AS proxy, event_id AS seq
+FROM events WHERE event_type IN ('signup', 'error') AND value > 0 AND ts <= {AS_OF}
+""")
+
+cte("moves", """
+SELECT h.decision_id, h.ticker, h.horizon, h.ref, h.start_shares, t.trade_time AS at_, 0 AS kind, t.seq,
+       CASE WHEN sell THEN -quantity ELSE quantity END AS dq,
+       CASE WHEN sell THEN quantity * price - coalesce(fees, 0) ELSE -quantity * price - coalesce(fees, 0) END AS dc,
+       NULL AS price, proxy, fees IS NULL AS nofee
+FROM hor h JOIN ev_trades t ON t.account_ref = h.account_ref AND t.ticker = h.ticker AND t.trade_time > h.decision_at AND t.trade_time <= h.end_at
+""", "hor", "ev_trades")
+
+cte("actual", """
+SELECT decision_id, ticker, horizon, max(start_shares) AS s0, arg_min(CASE WHEN proxy THEN 'TRADE_TIME_IS_PROXY' ELSE 'FEES_MISSING' END, (at_, seq)) FILTER (WHERE proxy OR nofee) AS flaw,
+       min(held) FILTER (WHERE kind = 0) AS least, arg_max(v, (at_, seq)) FILTER (WHERE kind = 1) AS end_value, max(ref) AS ref,
+       min(v / peak - 1) AS worst
+FROM (SELECT *, greatest(start_shares * ref, max(v) OVER (PARTITION BY decision_id, ticker, horizon ORDER BY at_, kind, seq ROWS UNBOUNDED PRECEDING)) AS peak
+  FROM (SELECT *, CASE WHEN kind = 1 THEN held * price + cash END AS v
+    FROM (SELECT *, start_shares + sum(dq) OVER w AS held, sum(dc) OVER w AS cash
+          FROM (SELECT * FROM moves UNION ALL
+                SELECT h.decision_id, h.ticker, h.horizon, h.ref, h.start_shares, b.price_at, 1, CASE WHEN b.bar_type = 'DAILY_CLOSE' THEN 1 ELSE 0 END, 0, 0, b.close, false, false
+                FROM hor h JOIN vis_bars b ON b.ticker = h.ticker AND b.price_at > h.ref_at AND b.price_at <= h.end_at
+                WHERE (h.decision_id, h.ticker, h.horizon) IN (SELECT decision_id, ticker, horizon FROM moves))
+          WINDOW w AS (PARTITION BY decision_id, ticker, horizon ORDER BY at_, kind, seq ROWS UNBOUNDED PRECEDING))))
+GROUP BY 1, 2, 3
+""", "moves", "hor", "vis_bars")
+
+cte("outcome", """
+SELECT h.*, (end_price / h.ref - 1) * 100 AS hold_return, exposure * (end_price / h.ref - 1) * 100 - abs(1 - exposure) * 10 / 100 AS advice_return,
+  CASE WHEN end_at IS NOT NULL THEN coalesce(p.hold_dd, 0) END AS hold_dd,
+  CASE WHEN end_at IS NULL THEN 'NOT_MATURE' WHEN a.ref IS NOT NULL THEN 'TRADED_AFTER' ELSE 'NO_TRADE' END AS relation,
+  CASE WHEN a.ref IS NULL THEN NULL WHEN a.s0 IS NULL THEN 'START_SHARES_MISSING' WHEN flaw IS NOT NULL THEN flaw
+       WHEN least < 0 THEN 'SOLD_MORE_THAN_HELD' END AS note,
+  end_value, a.s0, a.worst, a.ref AS traded_ref
+FROM hor h LEFT JOIN hold_path p ON p.decision_id = h.decision_id AND p.ticker = h.ticker AND p.horizon = h.horizon
+LEFT JOIN actual a ON a.decision_id = h.decision_id AND a.ticker = h.ticker AND a.horizon = h.horizon
+""", "hor", "hold_path", "actual")
+
+cte("scored_outcome", """
+SELECT *, CASE WHEN traded_ref IS NOT NULL AND note IS NULL THEN (end_value / (s0 * ref) - 1) * 100 WHEN traded_ref IS NULL THEN hold_return END AS actual_return,
+  CASE WHEN traded_ref IS NOT NULL AND note IS NULL THEN least(worst, 0) * 100 WHEN traded_ref IS NULL THEN hold_dd END AS actual_dd
+FROM outcome
+""", "outcome")

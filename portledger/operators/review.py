@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from portledger.operators.scans import Order, drop_chunks, running, with_chunks
+from portledger.operators.scans import DAY, Order, drop_chunks, running, with_chunks
 
 # The weights of the six selection dimensions, in per cent.
 DIMENSIONS = {
@@ -99,30 +99,53 @@ def episodes(signals: DataFrame, **limits) -> DataFrame:
     return drop_chunks(rows).drop("_before", "_new")
 
 
-def similar_cases(queries: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` best earlier mature cases per query: same ticker, then action and factors, then regime.
+def latest_before(
+    queries: DataFrame, cases: DataFrame, keys: tuple[str, ...], k: int, **limits
+) -> DataFrame:
+    """Per query the last ``k`` cases of the same keys that matured before its cutoff.
 
-    Cases are first cut to the newest ``k`` per (ticker, action, factor, regime)
-    and calendar day of maturity, so a query meets a bounded number of rows per
-    day; nothing older than the newest ``k`` of its own day can be among its best.
+    Cases are numbered along time by a chunked scan that queries take part in,
+    so each query knows how many came before it; the cases themselves follow by
+    an equi-join on (keys, number).
     """
-    kind = ["ticker", "action", "factor", "regime"]
-    day = F.to_date("matured_at")
-    per_day = Window.partitionBy(*kind, "day").orderBy(F.desc("matured_at"), F.desc("case_id"))
-    newest = cases.withColumn("day", day).withColumn("_r", F.row_number().over(per_day))
-    newest = newest.filter(F.col("_r") <= k).drop("_r", "day")
-    c = newest.select(
-        "ticker", "case_id", "matured_at", "outcome_pct",
-        F.col("action").alias("c_action"), F.col("factor").alias("c_factor"), F.col("regime").alias("c_regime"),
+    timeline = cases.select(
+        *keys, F.unix_micros("matured_at").alias("pos"), F.lit(1).cast("long").alias("is_case"),
+        F.col("case_id").alias("id"),
+    ).unionByName(
+        # At equal times the query comes first: maturity must be strictly earlier.
+        queries.select(
+            *keys, F.unix_micros("cutoff").alias("pos"), F.lit(0).cast("long").alias("is_case"),
+            F.col("query_id").alias("id"),
+        )
     )
-    tier = (
-        F.when((F.col("action") == F.col("c_action")) & (F.col("factor") == F.col("c_factor")), 0)
-        .when(F.col("regime") == F.col("c_regime"), 1)
-        .otherwise(2)
+    order = Order(keys, "pos", "is_case", width=DAY, rest=("id",))
+    counted = running(
+        with_chunks(timeline, order, **limits), order, {"case_no": ("sum", F.col("is_case"), True)}
     )
-    pairs = queries.join(c, "ticker").filter(F.col("matured_at") < F.col("cutoff"))
+    numbered = counted.filter(F.col("is_case") == 1).select(*keys, "case_no", F.col("id").alias("case_id"))
+    last = F.col("case_no")
+    wanted = counted.filter((F.col("is_case") == 0) & (last > 0)).select(
+        *keys, F.col("id").alias("query_id"),
+        F.explode(F.sequence(F.greatest(last - (k - 1), F.lit(1).cast("long")), last)).alias("case_no"),
+    )
+    return wanted.join(numbered, [*keys, "case_no"]).select("query_id", "case_id")
+
+
+def similar_cases(queries: DataFrame, cases: DataFrame, k: int = 3, **limits) -> DataFrame:
+    """The ``k`` best earlier mature cases per query: action and factor, then regime, then ticker.
+
+    The last ``k`` of each tier contain the best ``k`` overall, so a query never
+    meets more than ``3k`` cases.
+    """
+    tiers = (("ticker", "action", "factor"), ("ticker", "regime"), ("ticker",))
+    found = None
+    for tier, keys in enumerate(tiers):
+        part = latest_before(queries, cases, keys, k, **limits).withColumn("tier", F.lit(tier))
+        found = part if found is None else found.unionByName(part)
+    best_tier = found.groupBy("query_id", "case_id").agg(F.min("tier").alias("tier"))
+    facts = cases.select("case_id", "matured_at", "outcome_pct")
     best = Window.partitionBy("query_id").orderBy("tier", F.desc("matured_at"), F.desc("case_id"))
-    return pairs.withColumn("tier", tier).withColumn("rank", F.row_number().over(best)).filter(
+    return best_tier.join(facts, "case_id").withColumn("rank", F.row_number().over(best)).filter(
         F.col("rank") <= k
     ).select("query_id", "case_id", "tier", "rank", "outcome_pct")
 

@@ -3,6 +3,7 @@
 from portledger.plans import (  # noqa: F401 - importing registers the plans
     ledgers,
     prices,
+    reviews,
     scoring,
     screening,
 )

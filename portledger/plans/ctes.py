@@ -532,3 +532,10 @@ SELECT *, CASE WHEN traded_ref IS NOT NULL AND note IS NULL THEN (end_value / (s
   CASE WHEN traded_ref IS NOT NULL AND note IS NULL THEN least(worst, 0) * 100 WHEN traded_ref IS NULL THEN hold_dd END AS actual_dd
 FROM outcome
 """, "outcome")
+
+cte("seq", """
+SELECT b.ticker, b.session_date, b.close, m.close AS bench, c.session_idx,
+       b.close / lag(b.close) OVER (PARTITION BY b.ticker ORDER BY b.session_date) - 1 AS step
+FROM fx_bars b JOIN fx_market m ON b.session_date = m.session_date
+JOIN (SELECT session_date, CAST(row_number() OVER (ORDER BY session_date) AS INT) AS session_idx FROM fx_market) c ON b.session_date = c.session_date
+""", "fx_bars", "fx_market")

@@ -183,8 +183,8 @@ def append_idempotent(existing: DataFrame, incoming: DataFrame, key: str) -> Dat
     ).drop("_known", "_new")
 
 
-def merge_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Existing rows as they are, plus incoming rows not present on all columns.
+def new_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming rows, once each, that are not present on all columns.
 
     Rows match on a digest of all columns, blanks and NULLs alike; the anti-join
     is on the digest alone, so no column value can be hot.
@@ -197,7 +197,12 @@ def merge_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     fresh = keyed(incoming).dropDuplicates(["_row"])
     seen = keyed(existing).select("_row").distinct()
-    return existing.unionByName(fresh.join(seen, "_row", "left_anti").drop("_row"))
+    return fresh.join(seen, "_row", "left_anti").drop("_row")
+
+
+def merge_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Existing rows as they are, duplicates included, plus the new ones."""
+    return existing.unionByName(new_rows(existing, incoming))
 
 
 def identity_conflicts(existing: DataFrame, incoming: DataFrame, key: str = "index_event_id") -> DataFrame:

@@ -539,3 +539,33 @@ SELECT b.ticker, b.session_date, b.close, m.close AS bench, c.session_idx,
 FROM fx_bars b JOIN fx_market m ON b.session_date = m.session_date
 JOIN (SELECT session_date, CAST(row_number() OVER (ORDER BY session_date) AS INT) AS session_idx FROM fx_market) c ON b.session_date = c.session_date
 """, "fx_bars", "fx_market")
+
+cte("decision_rules", """
+SELECT *, CASE WHEN event_type = 'DECISION_CREATED' THEN NULL WHEN happened < before THEN 'TIME_OUT_OF_ORDER'
+         WHEN event_type = 'EMAIL_SEND_INTENT' THEN CASE WHEN subject IS NULL THEN 'SUBJECT_MISSING' END
+         WHEN intents <> 1 THEN 'NO_SINGLE_INTENT' WHEN marker <> im THEN 'MARKER_DIFFERS'
+         WHEN event_type = 'EMAIL_SENT' AND message_id IS NULL THEN 'MESSAGE_ID_MISSING'
+         WHEN event_type = 'EMAIL_FAILED' AND sent > 0 THEN 'FAILED_AFTER_SENT' END AS rule
+FROM (SELECT *, max(happened) OVER w AS before, count(CASE WHEN event_type = 'EMAIL_SEND_INTENT' THEN 1 END) OVER w AS intents,
+             count(CASE WHEN event_type = 'EMAIL_SENT' THEN 1 END) OVER w AS sent,
+             max(CASE WHEN event_type = 'EMAIL_SEND_INTENT' THEN marker END) OVER w AS im
+      FROM fx_decision_log WINDOW w AS (PARTITION BY decision_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+""", "fx_decision_log")
+
+# Replay from nothing; a sell of more than is held changes nothing.
+cte("live_rows", """
+SELECT *, row_number() OVER (PARTITION BY account_ref, ticker ORDER BY trade_time, seq, l_partkey * 100000 + l_suppkey) AS lj FROM trade_rows
+""", "trade_rows")
+
+cte("live", """
+SELECT account_ref, ticker, CAST(0 AS BIGINT) AS lj, max(n) AS n, CAST(0 AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS realised,
+       CAST(0 AS BIGINT) AS refused FROM live_rows GROUP BY 1, 2
+UNION ALL
+SELECT r.account_ref, r.ticker, t.lj, r.n,
+       CASE WHEN t.side = 'SELL' AND t.quantity > r.q THEN r.q ELSE r.q + t.signed END,
+       CASE WHEN t.side = 'SELL' AND t.quantity > r.q THEN r.cost WHEN t.side = 'SELL' AND t.quantity = r.q THEN 0
+            WHEN t.side = 'SELL' THEN r.cost - t.quantity * r.cost / r.q ELSE r.cost + t.quantity * t.price + coalesce(t.fees, 0) END,
+       CASE WHEN t.side = 'SELL' AND t.quantity <= r.q THEN r.realised + t.quantity * (t.price - r.cost / r.q) - coalesce(t.fees, 0) ELSE r.realised END,
+       r.refused + CASE WHEN t.side = 'SELL' AND t.quantity > r.q THEN 1 ELSE 0 END
+FROM live r JOIN live_rows t ON t.account_ref = r.account_ref AND t.ticker = r.ticker AND t.lj = r.lj + 1
+""", "live_rows")

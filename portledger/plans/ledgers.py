@@ -499,19 +499,9 @@ def ledger_vs_watchlist(spark, sf_dir):
 
 @plan(
     "i5_decision_replay",
-    """SELECT decision_id, rule, event_id AS detail, seq FROM (SELECT *, CASE
-         WHEN event_type = 'DECISION_CREATED' THEN NULL
-         WHEN happened < before THEN 'TIME_OUT_OF_ORDER'
-         WHEN event_type = 'EMAIL_SEND_INTENT' THEN CASE WHEN subject IS NULL THEN 'SUBJECT_MISSING' END
-         WHEN intents <> 1 THEN 'NO_SINGLE_INTENT' WHEN marker <> im THEN 'MARKER_DIFFERS'
-         WHEN event_type = 'EMAIL_SENT' AND message_id IS NULL THEN 'MESSAGE_ID_MISSING'
-         WHEN event_type = 'EMAIL_FAILED' AND sent > 0 THEN 'FAILED_AFTER_SENT' END AS rule
-       FROM (SELECT *, max(happened) OVER w AS before, count(CASE WHEN event_type = 'EMAIL_SEND_INTENT' THEN 1 END) OVER w AS intents,
-                    count(CASE WHEN event_type = 'EMAIL_SENT' THEN 1 END) OVER w AS sent,
-                    max(CASE WHEN event_type = 'EMAIL_SEND_INTENT' THEN marker END) OVER w AS im
-             FROM fx_decision_log WINDOW w AS (PARTITION BY decision_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+    """SELECT decision_id, rule, event_id AS detail, seq FROM decision_rules
        WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY decision_id ORDER BY k) = 1""",
-    uses=("fx_decision_log",),
+    uses=("decision_rules",),
 )
 def decision_replay(spark, sf_dir):
     return eventlog.decision_violations(fx_decision_log(spark, sf_dir))

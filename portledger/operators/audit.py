@@ -63,7 +63,11 @@ def fingerprint(df: DataFrame, config: str, buckets: int = 4096) -> DataFrame:
     Row digests are summed per bucket as exact numbers (order-free, partial
     aggregation, duplicates counted); the last digest is over ``buckets`` lines.
     """
-    row = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    # Hash each value first: no separator can be confused with content, NULL stays apart.
+    values = [
+        F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("null")) for c in sorted(df.columns)
+    ]
+    row = F.sha2(F.concat(*values), 256)
     parts = [
         F.conv(F.substring("_h", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(5)
     ]

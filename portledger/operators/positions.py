@@ -112,7 +112,7 @@ def _step() -> Column:
         F.when(sell, q * F.col("price") - fees).otherwise(0.0).alias("rb"),
         F.when(closes, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("resets"),
         (blind & ~closes).alias("reward"),
-        (F.col("fees").isNull() & ~closes).alias("fee_gap"),
+        ((F.col("fees").isNull() | (F.col("event_type") != "TRADE")) & ~closes).alias("fee_gap"),
         sell.alias("sell_first"),
         F.lit(False).alias("sell_blind"),
         (sell & F.col("fees").isNull()).alias("sell_fee_gap"),

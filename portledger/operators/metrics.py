@@ -138,10 +138,7 @@ def quote_metrics(bars: DataFrame, benchmark_bars: DataFrame) -> DataFrame:
         .withColumn("ret_n", year_n)
         .withColumn("var_ret", var)
         .withColumn("vol_n", F.count("volume").over(whole))
-        .withColumn(
-            "vol_k",
-            F.count("volume").over(w.rowsBetween(1, Window.unboundedFollowing)),
-        )
+        .withColumn("vol_k", F.col("vol_n") - F.count("volume").over(w))
         .withColumn("tr", spread)
         .join(bench, "session_date", "left")
     )

@@ -262,15 +262,17 @@ def with_hold_path(
     inside = F.filter(
         "path", lambda b: (b["price_at"] > F.col("reference_at")) & (b["price_at"] <= F.col("end_at"))
     )
-    first = fall(inside["close"], F.col("reference_price"))
+    mature = F.col("end_at").isNotNull()
+    # A column of its own: the fold is read several times but must run once.
+    joined = joined.withColumn("_first", F.when(mature, fall(inside["close"], F.col("reference_price"))))
+    first = F.col("_first")
     later = F.when(F.col("offset") == 1, F.col("next_1")).when(F.col("offset") == 5, F.col("next_5")).when(
         F.col("offset") == 20, F.col("next_20")
     )
     worst = F.when(F.col("offset") == 0, first["worst"]).otherwise(fall_then(first, later)["worst"])
-    mature = F.col("end_at").isNotNull()
     held = F.when(mature, F.least(worst, F.lit(0.0)) * 100.0)
     return joined.withColumn("hold_max_drawdown_pct", held).drop(
-        "path", "next_1", "next_5", "next_20"
+        "path", "next_1", "next_5", "next_20", "_first"
     )
 
 
@@ -339,90 +341,116 @@ def trades_in_span(rows: DataFrame, trades: DataFrame) -> DataFrame:
     ).drop("day")
 
 
-def replay_values(rows: DataFrame, trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Value of every traded holding after each bar of its span, with fills applied first.
-
-    A window holds one decision's own bars and fills: its span ends after 20
-    sessions.
-    """
-    moves = trades_in_span(rows, trades)
+def signed_fills(moves: DataFrame) -> DataFrame:
+    """Fills as changes of shares and cash, with the flaws that forbid an exact replay."""
     sell = F.col("side") == "SELL"
-    fees = F.coalesce("fees", F.lit(0.0))
     amount = F.col("quantity") * F.col("price")
-    cash = F.when(sell, amount).otherwise(-amount) - fees
-    common = [*KEY, "start_shares", "reference_price"]
-    fills = moves.select(
-        *common,
-        F.col("trade_time").alias("at"), F.lit(0).alias("kind"), "seq",
+    return moves.select(
+        *KEY, "start_shares", "reference_price",
+        F.col("trade_time").alias("at"), "seq",
         F.when(sell, -F.col("quantity")).otherwise(F.col("quantity")).alias("dq"),
-        cash.alias("dc"),
-        F.lit(None).cast("double").alias("price"),
-        (F.upper("trade_time_source") != "BROKER_EXECUTION_TIME").alias("proxy"),
-        F.col("fees").isNull().alias("no_fees"),
+        (F.when(sell, amount).otherwise(-amount) - F.coalesce("fees", F.lit(0.0))).alias("dc"),
+        F.when(F.upper("trade_time_source") != "BROKER_EXECUTION_TIME", "TRADE_TIME_IS_PROXY")
+        .when(F.col("fees").isNull(), "FEES_MISSING")
+        .alias("flaw"),
         (~F.col("side").isin("BUY", "SELL")).alias("odd_side"),
     )
-    traded = moves.select(*KEY).distinct()
+
+
+def judge_fills(rows: DataFrame, fills: DataFrame) -> DataFrame:
+    """Per horizon row with fills: how many, and why no exact result is possible (NULL if it is).
+
+    Judged from the fills alone, so bars are only brought in where they count.
+    """
+    w = Window.partitionBy(*KEY).orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    held = fills.withColumn("held", F.col("start_shares") + F.sum("dq").over(w))
+    ends = rows.filter(F.col("end_at").isNotNull()).select(*KEY, "horizon", "end_at")
+    start = F.col("start_shares")
+    judged = ends.join(held, list(KEY)).filter(F.col("at") <= F.col("end_at")).groupBy(
+        *KEY, "horizon", "end_at", "start_shares"
+    ).agg(
+        F.count(F.lit(1)).alias("fills"),
+        F.min_by("flaw", F.when(F.col("flaw").isNotNull(), F.struct("at", "seq"))).alias("flaw"),
+        F.bool_or("odd_side").alias("odd"),
+        F.min("held").alias("least_held"),
+    )
+    note = (
+        F.when(start.isNull() | (start <= 0), "START_SHARES_MISSING")
+        .when(F.col("flaw").isNotNull(), F.col("flaw"))
+        .when(F.col("odd"), "UNSUPPORTED_SIDE")
+        .when(F.col("least_held") < 0, "SOLD_MORE_THAN_HELD")
+    )
+    return judged.select(*KEY, "horizon", "end_at", "fills", note.alias("actual_note"))
+
+
+def replay_values(rows: DataFrame, fills: DataFrame, bars: DataFrame, judged: DataFrame) -> DataFrame:
+    """End value and worst fall of every exactly replayable horizon row.
+
+    A window holds one decision's own bars and fills, up to its last exact end.
+    """
+    exact = judged.filter(F.col("actual_note").isNull()).select(*KEY, "horizon", "end_at")
+    last = exact.groupBy(*KEY).agg(F.max("end_at").alias("last_end"))
+    facts = rows.select(*KEY, "start_shares", "reference_price", "reference_at").distinct()
+    spans = last.join(facts, list(KEY))
+    moved = fills.join(last, list(KEY)).filter(F.col("at") <= F.col("last_end")).select(
+        *KEY, "start_shares", "reference_price", "at", F.lit(0).alias("kind"), "seq", "dq", "dc",
+        F.lit(None).cast("double").alias("price"),
+    )
     day_bars = bars.select(
         "ticker", F.to_date("price_at").alias("day"), F.col("price_at").alias("at"),
         (F.col("bar_type") == "DAILY_CLOSE").cast("long").alias("seq"), F.col("close").alias("price"),
     )
+    days = F.explode(F.sequence(F.to_date("reference_at"), F.to_date("last_end")))
     marks = (
-        _spans(rows).join(traded, list(KEY), "left_semi").join(day_bars, ["ticker", "day"])
+        spans.withColumn("day", days).join(day_bars, ["ticker", "day"])
         .filter((F.col("at") > F.col("reference_at")) & (F.col("at") <= F.col("last_end")))
         .select(
-            *common, "at", F.lit(1).alias("kind"), "seq", F.lit(0.0).alias("dq"), F.lit(0.0).alias("dc"), "price",
-            *[F.lit(False).alias(f) for f in ("proxy", "no_fees", "odd_side")],
+            *KEY, "start_shares", "reference_price", "at", F.lit(1).alias("kind"), "seq",
+            F.lit(0.0).alias("dq"), F.lit(0.0).alias("dc"), "price",
         )
     )
     w = Window.partitionBy(*KEY).orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.col("start_shares") + F.sum("dq").over(w)
-    timeline = fills.unionByName(marks).withColumn("held", held).withColumn("cash", F.sum("dc").over(w))
     value = F.when(F.col("kind") == 1, F.col("held") * F.col("price") + F.col("cash"))
-    timeline = timeline.withColumn("value", value).withColumn(
-        "peak", F.greatest(F.col("start_shares") * F.col("reference_price"), F.max("value").over(w))
+    initial = F.col("start_shares") * F.col("reference_price")
+    timeline = (
+        moved.unionByName(marks)
+        .withColumn("held", F.col("start_shares") + F.sum("dq").over(w))
+        .withColumn("cash", F.sum("dc").over(w))
+        .withColumn("value", value)
+        .withColumn("peak", F.greatest(initial, F.max("value").over(w)))
+        .withColumn("worst", F.min(F.col("value") / F.col("peak") - 1.0).over(w))
+        # One row per instant: the last bar, which is where a horizon can end.
+        .filter(F.col("kind") == 1)
+        .groupBy(*KEY, "at")
+        .agg(F.max_by("value", "seq").alias("end_value"), F.min("worst").alias("worst"))
+    )
+    return exact.join(timeline.withColumnRenamed("at", "end_at"), [*KEY, "end_at"]).select(
+        *KEY, "horizon", "end_value", "worst"
     )
-    return timeline.withColumn("worst", F.min(F.col("value") / F.col("peak") - 1.0).over(w))
 
 
-def with_actual(rows: DataFrame, timeline: DataFrame) -> DataFrame:
+def with_actual(rows: DataFrame, judged: DataFrame, replayed: DataFrame) -> DataFrame:
     """Adds actual return, drawdown, relation and note per horizon row."""
-    at_end = rows.filter(F.col("end_at").isNotNull()).select(*KEY, "horizon", "end_at").join(
-        timeline, list(KEY)
-    ).filter(F.col("at") <= F.col("end_at"))
-    order = F.struct("at", "kind", "seq")
-    flaw = F.when(F.col("proxy"), "TRADE_TIME_IS_PROXY").when(F.col("no_fees"), "FEES_MISSING")
-    traded = at_end.groupBy(*KEY, "horizon").agg(
-        F.count_if(F.col("kind") == 0).alias("fills"),
-        F.min_by(flaw, F.when(flaw.isNotNull(), order)).alias("flaw"),
-        F.bool_or("odd_side").alias("odd"),
-        F.min(F.when(F.col("kind") == 0, F.col("held"))).alias("least_held"),
-        F.max_by("value", F.when(F.col("kind") == 1, order)).alias("end_value"),
-        F.min("worst").alias("worst"),
-    ).filter(F.col("fills") > 0)
-    start = F.col("start_shares")
-    note = (
-        F.when(start.isNull() | (start <= 0), "START_SHARES_MISSING")
-        .when(F.col("flaw").isNotNull(), F.col("flaw"))
-        .when(F.col("odd"), "UNSUPPORTED_SIDE")
-        .when(F.col("least_held") < 0, "SOLD_MORE_THAN_HELD")
-    )
-    has = F.col("fills").isNotNull()
+    at = [*KEY, "horizon"]
+    joined = rows.join(judged.drop("end_at"), at, "left").join(replayed, at, "left")
+    has, done = F.col("fills").isNotNull(), F.col("end_at").isNotNull()
     exact = has & F.col("actual_note").isNull()
-    done = F.col("end_at").isNotNull()
+    start_value = F.col("start_shares") * F.col("reference_price")
     return (
-        rows.join(traded, [*KEY, "horizon"], "left")
-        .withColumn("actual_note", F.when(has, note))
-        .withColumn("relation", F.when(~done, "NOT_MATURE").when(has, "TRADED_AFTER").otherwise("NO_TRADE"))
+        joined.withColumn(
+            "relation", F.when(~done, "NOT_MATURE").when(has, "TRADED_AFTER").otherwise("NO_TRADE")
+        )
         .withColumn(
             "actual_return_pct",
-            F.when(exact, (F.col("end_value") / (start * F.col("reference_price")) - 1.0) * 100.0)
+            F.when(exact, (F.col("end_value") / start_value - 1.0) * 100.0)
             .when(done & ~has, F.col("hold_return_pct")),
         )
         .withColumn(
             "actual_max_drawdown_pct",
-            F.when(exact, F.least(F.col("worst"), F.lit(0.0)) * 100.0).when(done & ~has, F.col("hold_max_drawdown_pct")),
+            F.when(exact, F.least(F.col("worst"), F.lit(0.0)) * 100.0)
+            .when(done & ~has, F.col("hold_max_drawdown_pct")),
         )
-        .drop("fills", "flaw", "odd", "least_held", "end_value", "worst")
+        .drop("fills", "end_value", "worst")
     )
 
 
@@ -450,4 +478,6 @@ def outcomes(
     # Several joins read the results of the lookups: write them once.
     rows = staged(score(matured_rows(holdings, bars, calendar, rules, **limits), rules), "matured")
     rows = staged(with_hold_path(rows, session_paths(bars, calendar), **limits), "held")
-    return final_status(with_actual(rows, replay_values(rows, trades, bars)))
+    fills = staged(signed_fills(trades_in_span(rows, trades)), "fills")
+    judged = staged(judge_fills(rows, fills), "judged")
+    return final_status(with_actual(rows, judged, replay_values(rows, fills, bars, judged)))

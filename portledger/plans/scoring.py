@@ -161,22 +161,16 @@ def trade_interval(spark, sf_dir):
 @plan(
     "f14_replay_shares_cash",
     """SELECT decision_id, ticker, horizon, round(end_value, 4) AS end_value, round(least(worst, 0) * 100, 6) AS worst_pct
-       FROM actual WHERE s0 IS NOT NULL""",
+       FROM actual WHERE s0 IS NOT NULL AND flaw IS NULL AND least >= 0""",
     uses=("actual",),
 )
 def replay_shares_cash(spark, sf_dir):
     shared = bars(spark, sf_dir)
     rows = o.matured_rows(holdings(spark, sf_dir), shared, fx_sessions(spark, sf_dir), RULES)
     rows = staged(rows, "matured")
-    timeline = o.replay_values(rows, trades(spark, sf_dir), shared)
-    ends = rows.filter(F.col("end_at").isNotNull() & F.col("start_shares").isNotNull())
-    joined = ends.select("decision_id", "ticker", "horizon", "end_at").join(timeline, ["decision_id", "ticker"])
-    upto = joined.filter(F.col("at") <= F.col("end_at")).groupBy("decision_id", "ticker", "horizon").agg(
-        F.max_by("value", F.when(F.col("kind") == 1, F.struct("at", "seq"))).alias("end_value"),
-        F.min("worst").alias("worst"),
-        F.count_if(F.col("kind") == 0).alias("fills"),
-    )
-    return upto.filter(F.col("fills") > 0).select(
+    fills = staged(o.signed_fills(o.trades_in_span(rows, trades(spark, sf_dir))), "fills")
+    out = o.replay_values(rows, fills, shared, o.judge_fills(rows, fills))
+    return out.select(
         "decision_id", "ticker", "horizon", F.round("end_value", 4).alias("end_value"),
         (F.round(F.least("worst", F.lit(0.0)) * 100, 6) + 0.0).alias("worst_pct"),
     )

@@ -13,6 +13,8 @@ run again on the same split gives the same sequences.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import deque
 from collections.abc import Iterator
 from itertools import chain
@@ -30,9 +32,8 @@ CAPACITY = 4096
 POOL = 256
 #: Id after each document.
 END_ID = 2
-#: Words whose ids a task remembers before it starts afresh, and the longest one worth remembering.
-CACHE_WORDS = 200_000
-CACHE_BYTES = 64
+#: Words whose ids a task remembers before it starts afresh.
+CACHE_WORDS = 400_000
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
@@ -40,27 +41,72 @@ PIECES = (
 )
 
 
-class WordIds(dict):
-    """Ids of single words. The tokenizer never joins text across ASCII white space."""
+def _plain_pieces() -> re.Pattern:
+    """What the tokenizer's own pattern cuts lower-cased words into, for letters below U+0250."""
+    kinds = {"L": "", "N": ""}
+    for char in map(chr, range(0x250)):
+        kind = unicodedata.category(char)[0]
+        if kind in kinds:
+            kinds[kind] += char
+    letters, numbers = kinds["L"], kinds["N"]
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+class WordIds:
+    """Ids of whole texts, from remembered ids of words and of the pieces words are cut into.
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    The tokenizer never joins text across ASCII white space, so words are encoded one by one. A word
+    not seen before is lower-cased and cut here if all its characters lie below U+0250, where the
+    tokenizer's normalisation is lower-casing alone, and its pieces go to the tokenizer's model in one call a batch; any
+    other word, and one that may hold a special token, goes through the whole tokenizer.
+    """
 
-    def document(self, text: bytes) -> np.ndarray:
-        """Ids of a whole text and the closing id, unsigned 32 bit, little-endian."""
-        ids = chain(chain.from_iterable(map(self.__getitem__, text.split())), (END_ID,))
-        return np.fromiter(ids, dtype="<u4")
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.plain, self.other = _plain_pieces(), re.compile("[\x00-\x1f\x7f-\xa0\u0250-\U0010ffff]|<\\|")
+        self.words: dict[bytes, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        new = [piece for piece in pieces if piece not in self.pieces]
+        if not new:
+            return
+        if len(self.pieces) + len(new) > CACHE_WORDS:
+            self.pieces, new = {}, list(pieces)
+        encoded = self.model.encode_batch([" ".join(new)], add_special_tokens=False)[0]
+        ids: list[list[int]] = [[] for _ in new]
+        for word, token in zip(encoded.word_ids, encoded.ids, strict=True):
+            ids[word].append(token)
+        self.pieces.update(zip(new, map(tuple, ids), strict=True))
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [word.decode("utf-8", "replace") for word in words]
+        cut = [None if self.other.search(text) else self.plain.findall(text.lower()) for text in texts]
+        self._learn_pieces(set(chain.from_iterable(pieces for pieces in cut if pieces)))
+        for word, text, pieces in zip(words, texts, cut, strict=True):
+            if pieces is None:
+                self.words[word] = tuple(self.whole.encode(text, add_special_tokens=False).ids)
+            else:
+                self.words[word] = tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+
+    def documents(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text and the closing id, unsigned 32 bit, little-endian."""
+        split = [text.split() for text in texts]
+        distinct = set(chain.from_iterable(split))
+        new = [word for word in distinct if word not in self.words]
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words, new = {}, list(distinct)
+        self._learn(new)
+        for words in split:
+            ids = chain(chain.from_iterable(map(self.words.__getitem__, words)), (END_ID,))
+            yield np.fromiter(ids, dtype="<u4")
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -173,8 +219,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, pool: int =
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, pool)
         for batch in slices(batches):
             pieces: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                pieces += packer.add(doc_id, words.document(text))
+            texts = as_bytes(batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.documents(texts), strict=True):
+                pieces += packer.add(doc_id, ids)
             yield _table(pieces)
         yield _table(list(packer.finish()))
 

@@ -22,9 +22,9 @@ from portledger.llm.common import as_bytes, doc_rows, held_out, slices
 
 BITS = 18
 #: Labelled documents to learn from at most.
-TRAIN_DOCS = 6000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 1.0
+TRAIN_DOCS = 5000
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.05
 #: Score from which a document counts as good.
 GOOD = 0.7
 #: Fixed features: the constant, and a token that follows itself.

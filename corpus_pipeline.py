@@ -4,28 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portledger.llm import exact, pack
+from portledger.llm import exact, jaccard, langid, mix, pack
 from portledger.llm.common import table
 from portledger.llm.queries import tokenizer
 from portledger.sources.staging import staged
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay whose language is known; texts without a letter, or unlike any language, go."""
+    return langid.keep_known(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exact.dedup(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
+    return jaccard.keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn so that sources, languages and topics come near their target shares."""
+    return mix.mixed(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay, as token sequences."""
     return pack.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("language_id", language_id),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
     ("packing", packing),
 ]
 
-#: No SQL runs tokenizers or trained models.
+#: No SQL runs the tokenizer and the trained network; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -45,3 +45,11 @@ def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Stru
 def doc_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that further columns of any name cannot clash."""
     return docs.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table written by ``staged`` once everything that reads it has been written itself."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portledger.llm.common import as_bytes, doc_rows, slices
+from portledger.llm.common import as_bytes, discard, doc_rows, slices
 from portledger.llm.graph import components
 from portledger.sources.staging import staged
 
@@ -201,37 +201,58 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     docs = doc_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter("doc_id is not null")
-    sets = staged(features(docs, words, percent, cells), "shingle-signatures")
-    filled = sets.filter("n_shingles > 0 and doc_id is not null")
-    # One row for each set; equal sets have equal signatures and sizes.
-    classes = filled.groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("signatures").alias("signatures")
-    )
-    shared = staged(shared_signatures(classes), "multiple-signatures")
-    star = staged(shared.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "star-pairs")
+    signed = staged(features(docs, words, percent, cells), "shingle-signatures")
+    sets = staged(signed.drop("signatures"), "shingle-sets")
+    shared = staged(shared_signatures(signed.filter("doc_id is not null")), "multiple-signatures")
+    discard(signed)
+    # Equal sets act through the smallest id among them.
+    roots = staged(equal_sets(sets), "equal-sets")
+    star = shared.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = staged(between_roots(star, roots), "star-pairs")
     links = staged(similar(star, known, words, percent), "star-links")
     # Pairs that the stars leave: one signature, different components.
     members = shared.select("signature", "doc_id").unionByName(
         shared.select("signature", F.col("center").alias("doc_id")).distinct()
     )
     label = components(links)
-    members = members.join(label, members.doc_id == label.node, "left").select(
-        "signature", "doc_id", F.coalesce("component", "doc_id").alias("component")
+    members = members.join(roots, "doc_id").select("signature", "root").distinct()
+    members = members.join(label, members.root == label.node, "left").select(
+        "signature", "root", F.coalesce("component", "root").alias("component")
     )
     mixed = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    members = staged(members.join(mixed, "signature").select("signature", "doc_id", "component"), "open-members")
-    left = members.select("signature", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    right = members.select("signature", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
+    members = staged(members.join(mixed, "signature").select("signature", "root", "component"), "open-members")
+    discard(shared)
+    left = members.select("signature", F.col("root").alias("x"), F.col("component").alias("cx"))
+    right = members.select("signature", F.col("root").alias("y"), F.col("component").alias("cy"))
     across = left.join(right, "signature").filter("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     across = staged(across.join(star, ["a", "b"], "left_anti"), "open-pairs")
     links = staged(links.unionByName(similar(across, known, words, percent)), "all-links")
     label = components(links)
-    roots = filled.groupBy("digest").agg(F.min("doc_id").alias("root"))
-    roots = roots.join(label, roots.root == label.node, "left").select(
-        F.col("digest").alias("_digest"), F.coalesce("component", "root").alias("component")
+    linked = roots.join(label, roots.root == label.node, "left").select(
+        F.col("doc_id").alias("_id"), F.coalesce("component", "root").alias("component_id")
     )
-    linked = sets.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest")
-    linked = linked.join(roots, F.col("digest") == F.col("_digest"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
+    return sets.join(linked, sets.doc_id == linked._id, "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
-    return linked.unionByName(sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def equal_sets(sets: DataFrame) -> DataFrame:
+    """doc_id and root, the smallest id with the same set, of every id with shingles."""
+    filled = sets.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "digest")
+    least = filled.groupBy("digest").agg(F.min("doc_id").alias("root"))
+    return filled.join(least, "digest").groupBy("doc_id").agg(F.min("root").alias("root"))
+
+
+def between_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both ids replaced by their roots, each once, smaller first."""
+    first = roots.select(F.col("doc_id").alias("a"), F.col("root").alias("ra"))
+    second = roots.select(F.col("doc_id").alias("b"), F.col("root").alias("rb"))
+    both = pairs.join(first, "a").join(second, "b").filter("ra != rb")
+    return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, cells: int = 2) -> DataFrame:
+    """The document with the smallest id of each group, with all its columns; rows without an id stay."""
+    classes = jaccard_classes(docs, words, percent, cells).filter("doc_id is not null")
+    gone = classes.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

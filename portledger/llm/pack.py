@@ -13,10 +13,12 @@ run again on the same split gives the same sequences.
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +35,7 @@ POOL = 256
 #: Id after each document.
 END_ID = 2
 #: Words whose ids a task remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
@@ -71,8 +73,9 @@ class WordIds:
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.plain, self.other = _plain_pieces(), re.compile("[\x00-\x1f\x7f-\xa0\u0250-\U0010ffff]|<\\|")
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        # Ids as little-endian unsigned 32-bit bytes, so that a text is their concatenation.
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _learn_pieces(self, pieces: set[str]) -> None:
         new = [piece for piece in pieces if piece not in self.pieces]
@@ -81,32 +84,46 @@ class WordIds:
         if len(self.pieces) + len(new) > CACHE_WORDS:
             self.pieces, new = {}, list(pieces)
         encoded = self.model.encode_batch([" ".join(new)], add_special_tokens=False)[0]
-        ids: list[list[int]] = [[] for _ in new]
-        for word, token in zip(encoded.word_ids, encoded.ids, strict=True):
-            ids[word].append(token)
-        self.pieces.update(zip(new, map(tuple, ids), strict=True))
+        ids = np.array(encoded.ids, dtype="<u4").tobytes()
+        ends = 4 * np.searchsorted(encoded.word_ids, np.arange(len(new)), side="right")
+        begin = 0
+        for piece, end in zip(new, ends.tolist(), strict=True):
+            self.pieces[piece] = ids[begin:end]
+            begin = end
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [word.decode("utf-8", "replace") for word in words]
         cut = [None if self.other.search(text) else self.plain.findall(text.lower()) for text in texts]
         self._learn_pieces(set(chain.from_iterable(pieces for pieces in cut if pieces)))
+        piece = self.pieces.__getitem__
         for word, text, pieces in zip(words, texts, cut, strict=True):
             if pieces is None:
-                self.words[word] = tuple(self.whole.encode(text, add_special_tokens=False).ids)
+                ids = self.whole.encode(text, add_special_tokens=False).ids
+                self.words[word] = np.array(ids, dtype="<u4").tobytes()
             else:
-                self.words[word] = tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+                self.words[word] = b"".join(map(piece, pieces))
 
     def documents(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text and the closing id, unsigned 32 bit, little-endian."""
         split = [text.split() for text in texts]
-        distinct = set(chain.from_iterable(split))
+        distinct = set().union(*split)
         new = [word for word in distinct if word not in self.words]
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words, new = {}, list(distinct)
         self._learn(new)
+        end = np.array([END_ID], dtype="<u4").tobytes()
         for words in split:
-            ids = chain(chain.from_iterable(map(self.words.__getitem__, words)), (END_ID,))
-            yield np.fromiter(ids, dtype="<u4")
+            yield np.frombuffer(b"".join([*map(self.words.__getitem__, words), end]), dtype="<u4")
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker, so that later ones find the words of earlier ones.
+
+    Packing makes no reference cycles; the collector would only walk the split words again and again.
+    """
+    gc.disable()
+    return WordIds(path)
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -215,9 +232,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, pool: int =
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, pool)
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             pieces: list[tuple] = []
             texts = as_bytes(batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.documents(texts), strict=True):

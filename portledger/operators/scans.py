@@ -1,8 +1,8 @@
 """Ordered scans (running sums, maxima, last values) over groups of any size.
 
 A plain window sends a whole group to one task. Here a group is first cut into
-consecutive chunks: one per ``width`` of the order position, and chunks that
-are still hot are cut again. Each chunk runs its own window, one summary row
+consecutive chunks: one per ``width`` of the order position, and chunks of more
+than a fixed number of rows are cut again. Each chunk runs its own window, one summary row
 per chunk carries the state over from the chunks before it.
 """
 
@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from portledger.operators.skew import MIN_ROWS, SHARE, hot_groups
+from portledger.operators.skew import ROWS, hot_groups
+from portledger.sources.staging import staged
 
 DAY = 86_400_000_000
 
@@ -37,43 +38,34 @@ class Order:
         return [*self.keys, "_bucket", "_part"]
 
 
-def with_chunks(
-    df: DataFrame, order: Order, *, share: float = SHARE, min_rows: int = MIN_ROWS
-) -> DataFrame:
+#: Pieces a cut makes of a hot group at most; a second cut makes as many of each piece.
+PIECES = 128
+
+
+def _cut(df: DataFrame, order: Order, group: list[str], limit: int) -> DataFrame:
+    """Add ``_cut``: hot groups cut at quantiles of (position, tie), so a busy instant is cut as well."""
+    ends = [F.min(order.pos).alias("_p0"), F.min(order.tie).alias("_t0"), F.max(order.tie).alias("_t1")]
+    hot = hot_groups(df, group, stats=ends, limit=limit)
+    inside = (F.col(order.tie) - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + 1.0)
+    place = (F.col(order.pos) - F.col("_p0")).cast("double") + F.coalesce(inside, F.lit(0.0))
+    shares = [i / PIECES for i in range(1, PIECES)]
+    marks = df.join(hot, group).groupBy(*group).agg(
+        F.percentile_approx(place, shares, 100 * PIECES).alias("_marks"),
+        *[F.first(c).alias(c) for c in ("_p0", "_t0", "_t1")],
+    )
+    marked = df.join(staged(marks, "cut-marks"), group, "left")
+    before = F.size(F.filter("_marks", lambda mark: mark <= place))
+    cut = marked.withColumn("_cut", F.when(F.col("_marks").isNull(), 0).otherwise(before).cast("int"))
+    return cut.drop("_marks", "_p0", "_t0", "_t1")
+
+
+def with_chunks(df: DataFrame, order: Order, *, limit: int = ROWS) -> DataFrame:
     """Add ``_bucket`` and ``_part``; (bucket, part) never decreases along the order."""
     keys = list(order.keys)
     bucketed = df.withColumn("_bucket", F.floor(F.col(order.pos) / order.width).cast("long"))
-    hot = hot_groups(
-        bucketed,
-        [*keys, "_bucket"],
-        stats=[
-            F.min(order.pos).alias("_p0"),
-            F.max(order.pos).alias("_p1"),
-            F.min(order.tie).alias("_t0"),
-            F.max(order.tie).alias("_t1"),
-        ],
-        share=share,
-        min_rows=min_rows,
-    )
-    if hot is None:
-        return bucketed.withColumn("_part", F.lit(0))
-    # Cut by position; a bucket that is one single instant is cut by the tie value.
-    by_pos = F.floor(
-        (F.col(order.pos) - F.col("_p0")) / (F.col("_p1") - F.col("_p0") + 1.0) * F.col("_splits")
-    )
-    by_tie = F.floor(
-        (F.col(order.tie) - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + 1.0) * F.col("_splits")
-    )
-    part = (
-        F.when(F.col("_splits").isNull(), 0)
-        .when(F.col("_p1") > F.col("_p0"), by_pos)
-        .otherwise(by_tie)
-    )
-    return (
-        bucketed.join(F.broadcast(hot), [*keys, "_bucket"], "left")
-        .withColumn("_part", part.cast("int"))
-        .drop("_splits", "_p0", "_p1", "_t0", "_t1")
-    )
+    first = _cut(bucketed, order, [*keys, "_bucket"], limit).withColumnRenamed("_cut", "_part")
+    second = _cut(first, order, [*keys, "_bucket", "_part"], limit)
+    return second.withColumn("_part", F.col("_part") * PIECES + F.col("_cut")).drop("_cut")
 
 
 # kind -> (aggregate of a chunk, running aggregate, how carry and local combine)

@@ -14,7 +14,7 @@ SCHEMA = (
     "account_ref string, ticker string, event_type string, side string, quantity decimal(20,8), "
     "price decimal(20,8), fees decimal(20,8), trade_time timestamp, seq long"
 )
-HOT = {"min_rows": 5, "share": 1e-6}
+HOT = {"limit": 5}
 
 
 def fill(n, side, q, price=None, fees=None, account="a", ticker="T", kind="TRADE", days=0):

@@ -14,7 +14,7 @@ def at(text):
     return dt.datetime.fromisoformat(text)
 
 
-@pytest.mark.parametrize("limits", [{}, {"min_rows": 1, "share": 1e-6}])
+@pytest.mark.parametrize("limits", [{}, {"limit": 1}])
 def test_candidate_log_reports_the_first_broken_rule(spark, limits):
     rows = [
         ("e1", "AAA", "CANDIDATE_ADDED", at("2026-01-01"), None, "RESEARCH_QUEUE", 1),
@@ -53,7 +53,7 @@ def test_calendar_gate_priority(spark):
     assert reasons["07-17 20:46"] is None and reasons["07-16 20:46"] == "SKIP_CADENCE_NOT_DUE"
 
 
-@pytest.mark.parametrize("limits", [{}, {"min_rows": 0, "share": 1e-6}])
+@pytest.mark.parametrize("limits", [{}, {"limit": 1}])
 def test_nearest_minute_prefers_the_later_of_two_equal_gaps(spark, limits):
     bars = spark.createDataFrame(
         [("T", at("2026-07-16T15:20:00"), "INTRADAY", 1.0, "f"), ("T", at("2026-07-16T15:40:00"), "INTRADAY", 2.0, "f"),

@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from portledger.operators.scans import Order, drop_chunks, running, with_chunks
 from portledger.operators.skew import attach, hot_groups
 
-HOT = {"min_rows": 7, "share": 0.001}
+HOT = {"limit": 7}
 
 
 @pytest.fixture(scope="module")
@@ -69,7 +69,24 @@ def test_attach_equals_join(spark, rows, how):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_hot_groups_are_bounded(rows):
-    hot = hot_groups(rows, ["k"], share=0.2, min_rows=1)
-    assert {r["k"] for r in hot.collect()} == {"hot"}
-    assert hot_groups(rows, ["k"]) is None
+def test_hot_groups_depend_on_rows_alone(rows):
+    hot = hot_groups(rows, ["k"], limit=120)
+    assert {(r["k"], r["_splits"]) for r in hot.collect()} == {("hot", 4)}
+    assert hot_groups(rows, ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_null_keys_match_nothing_and_are_spread(spark, how):
+    rows = spark.range(300).selectExpr("if(id % 3 > 0, null, 'k') as k", "id")
+    groups = spark.createDataFrame([("k", 1), (None, 2)], "k string, g int")
+    got = attach(rows, groups, ["k"], how=how, **HOT)
+    want = rows.join(groups, ["k"], how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_busy_instant_in_a_wide_chunk_is_cut(spark):
+    rows = spark.range(2000).selectExpr("'k' as k", "if(id < 1000, 50, id % 100) as pos", "id as tie", "1L as v")
+    cut = with_chunks(rows, Order(("k",), "pos", "tie", width=1000), limit=100)
+    assert cut.filter("pos = 50").select("_part").distinct().count() > 5
+    w = Window.partitionBy("k").orderBy("pos", "tie")
+    assert cut.withColumn("p", F.lag("_part").over(w)).filter(F.col("p") > F.col("_part")).count() == 0

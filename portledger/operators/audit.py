@@ -6,6 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from portledger.operators.chains import walk
+from portledger.sources.writers import require_clean
+
 # What must not appear in published text.
 FORBIDDEN_PATTERNS = {
     "absolute home-directory path": r"/(?:Users|home)/[a-z][a-z0-9._-]{2,}",
@@ -31,6 +34,7 @@ PUNCTUATION = {
     "％": "%",
     "｜": "|",
 }
+#: Fixed value: punctuation, ideographs, compatibility forms and full-width forms.
 CJK_PATTERN = "[\\u3000-\\u303f\\u4e00-\\u9fff\\uf900-\\ufaff\\uff00-\\uffef]"
 
 
@@ -38,7 +42,7 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of every file below a path, one task row per file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"),
+        F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"),
         "length",
     )
 
@@ -112,29 +116,31 @@ def has_residue(body: Column, pattern: str = CJK_PATTERN) -> Column:
     return F.coalesce(body.rlike(pattern), F.lit(False))
 
 
-def generation_chain(generations: DataFrame, heads: DataFrame, max_hops: int = 100) -> DataFrame:
-    """Ancestors of each head along (parent id, parent hash) links, head included.
+def generation_chain(generations: DataFrame, heads: DataFrame) -> DataFrame:
+    """Ancestors of each head along (parent id, parent hash) links, head included, however many there are.
 
     ``generations(transaction_id, parent_id, parent_hash, content_hash, batch_id)``.
     A link holds only when the parent's content has the hash the child recorded.
-    One recursive query walks all heads at once, a hop per round.
+    Two manifests that claim to be one generation close the gate.
     """
-    spark = generations.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE chain(head, transaction_id, parent_id, parent_hash, batch_id, hops) MAX RECURSION LEVEL {max_hops} AS (
-          SELECT h.transaction_id, g.transaction_id, g.parent_id, g.parent_hash, g.batch_id, 0
-          FROM {{heads}} h JOIN {{generations}} g ON g.transaction_id = h.transaction_id
-          UNION ALL
-          SELECT c.head, g.transaction_id, g.parent_id, g.parent_hash, g.batch_id, c.hops + 1
-          FROM chain c JOIN {{generations}} g
-            ON g.transaction_id = c.parent_id AND g.content_hash = c.parent_hash
-        )
-        SELECT head, transaction_id, batch_id, hops FROM chain
-        """,
-        heads=heads,
-        generations=generations,
+    require_clean(ambiguous_parents(generations))
+    children = generations.select(F.col("transaction_id").alias("node"), "parent_id", "parent_hash")
+    parents = generations.select(F.col("transaction_id").alias("parent_id"), F.col("content_hash").alias("parent_hash"))
+    links = children.join(parents, ["parent_id", "parent_hash"]).select("node", F.col("parent_id").alias("next"))
+    reached = walk(links, heads.select(F.col("transaction_id").alias("node")))
+    batches = generations.select(F.col("transaction_id").alias("node"), "batch_id")
+    return reached.join(batches, "node").select("head", F.col("node").alias("transaction_id"), "batch_id", F.col("hops").cast("int").alias("hops"))
+
+
+def find_batch(chain: DataFrame, generations: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adds ``found`` to wanted batches (head, batch_id, batch_hash): NEW, SAME, or CONFLICT for other content."""
+    known = generations.select("transaction_id", F.col("batch_hash").alias("_known"))
+    seen = chain.join(known, "transaction_id").groupBy("head", "batch_id").agg(
+        F.min("_known").alias("_a"), F.max("_known").alias("_b")
     )
+    rows = wanted.join(seen, ["head", "batch_id"], "left")
+    same = (F.col("_a") == F.col("batch_hash")) & (F.col("_b") == F.col("batch_hash"))
+    return rows.withColumn("found", F.when(F.col("_a").isNull(), "NEW").when(same, "SAME").otherwise("CONFLICT")).drop("_a", "_b")
 
 
 def ambiguous_parents(generations: DataFrame) -> DataFrame:

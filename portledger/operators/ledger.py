@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from portledger.functions.columns import (
     alias_ticker,
@@ -170,17 +170,31 @@ def bar_rules(bars: DataFrame, calendar: DataFrame) -> DataFrame:
 
 # --- appending and merging -----------------------------------------------------
 
-def append_idempotent(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Adds ``outcome`` to the incoming rows: APPENDED, DUPLICATE_NOOP or CONFLICT."""
+def append_idempotent(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Adds ``outcome`` to the incoming rows: APPENDED, DUPLICATE_NOOP or CONFLICT.
+
+    The first incoming row of an id, by ``order`` and then by content, is judged against the store, the
+    others against it. An id stored with two contents is a conflict.
+    """
     columns = existing.columns
-    known = existing.groupBy(key).agg(F.min(content_hash(columns)).alias("_known"))
-    rows = attach(incoming.withColumn("_new", content_hash(columns)), known, [key])
-    return rows.withColumn(
+    known = existing.groupBy(key).agg(
+        F.min(content_hash(columns)).alias("_known"), F.max(content_hash(columns)).alias("_other")
+    )
+    rows = incoming.withColumn("_new", content_hash(columns)).withColumn("_place", F.struct(*order, "_new"))
+    # Exact repeats at one place: all but one of them are no-ops.
+    copies = Window.partitionBy(key, "_place").orderBy("_new")
+    rows = rows.withColumn("_copy", F.row_number().over(copies))
+    first = rows.groupBy(key).agg(F.min("_place").alias("_first"))
+    judged = attach(rows, first.join(known, key, "left"), [key])
+    leads = (F.col("_place") == F.col("_first")) & (F.col("_copy") == 1)
+    wanted = F.coalesce("_known", F.col("_first._new"))
+    return judged.withColumn(
         "outcome",
-        F.when(F.col("_known").isNull(), "APPENDED")
-        .when(F.col("_known") == F.col("_new"), "DUPLICATE_NOOP")
+        F.when(F.col("_known") != F.col("_other"), "CONFLICT")
+        .when(F.col("_known").isNull() & leads, "APPENDED")
+        .when(F.col("_new") == wanted, "DUPLICATE_NOOP")
         .otherwise("CONFLICT"),
-    ).drop("_known", "_new")
+    ).drop("_known", "_other", "_new", "_place", "_copy", "_first")
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:

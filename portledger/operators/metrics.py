@@ -135,6 +135,7 @@ def quote_metrics(bars: DataFrame, benchmark_bars: DataFrame) -> DataFrame:
     )
     rows = (
         rows.withColumn("peak60", F.max(_tail(F.col("close"), 60)).over(w))
+        .withColumn("peak_year", F.max(_tail(F.col("close"), YEAR)).over(w))
         .withColumn("ret_n", year_n)
         .withColumn("var_ret", var)
         .withColumn("vol_n", F.count("volume").over(whole))
@@ -156,8 +157,8 @@ def quote_metrics(bars: DataFrame, benchmark_bars: DataFrame) -> DataFrame:
         last.alias("close"),
         *[total_return(d).alias(f"ret_{d}d_pct") for d in (1, 5, 20, 60)],
         annualised_vol(30).alias("vol_30d_ann_pct"),
-        (F.min(F.col("close") / F.col("peak") - 1.0) * 100.0).alias("max_drawdown_1y_pct"),
-        (F.max(F.when(F.col("k") == 0, F.col("close") / F.col("peak") - 1.0)) * 100.0).alias(
+        (F.min(_tail(F.col("close") / F.col("peak_year") - 1.0, YEAR)) * 100.0).alias("max_drawdown_1y_pct"),
+        (F.max(F.when(F.col("k") == 0, F.col("close") / F.col("peak_year") - 1.0)) * 100.0).alias(
             "current_drawdown_1y_pct"
         ),
         (F.min(_tail(F.col("close") / F.col("peak60") - 1.0, 60)) * 100.0).alias(

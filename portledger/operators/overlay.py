@@ -4,35 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from portledger.operators.chains import walk
 from portledger.operators.scans import Order, drop_chunks, running, with_chunks
 from portledger.operators.skew import attach
+from portledger.sources.staging import staged
 
 
 def overlay_chain(corrections: DataFrame, **limits) -> DataFrame:
     """Adds ``status`` to corrections in arrival order (``seq``) per account.
 
-    Compare-and-swap: a new id must name the one before it and be strictly
-    later; the same id with the same content is a no-op. As elsewhere, the
-    first refused row of an account is exact, later ones are judged against the
-    row that arrived before them.
+    Compare-and-swap on the correction in force, the last one accepted: a new id must name it and be
+    strictly later; its own id with the same content is a no-op. A refused row leaves no trace. The
+    accepted rows are a chain: each one's successor is the first later row that names it rightly.
     """
+    names = ("account_ref", "seq", "correction_id", "corrected_at")
+    rows = staged(corrections.withColumn("node", F.struct("account_ref", "seq")), "corrections")
+    now = rows.select("node", *[F.col(n).alias(f"_{n}") for n in names])
+    after = rows.select(*names, F.col("expected_previous").alias("_correction_id"), F.col("account_ref").alias("_account_ref"))
+    follows = now.join(after, ["_account_ref", "_correction_id"]).filter(
+        (F.col("seq") > F.col("_seq"))
+        & (F.col("corrected_at") > F.col("_corrected_at"))
+        & (F.col("correction_id") != F.col("_correction_id"))
+    )
+    links = follows.groupBy("node").agg(F.struct(F.first("account_ref").alias("account_ref"), F.min("seq").alias("seq")).alias("next"))
+    heads = rows.filter("expected_previous is null").groupBy("account_ref").agg(F.min("seq").alias("seq"))
+    accepted = walk(links, heads.select(F.struct("account_ref", "seq").alias("node"))).select("node", F.lit(True).alias("_in"))
+    judged = staged(rows.join(accepted, "node", "left").drop("node"), "accepted-corrections")
+
     order = Order(("account_ref",), "seq", "seq", width=1 << 16)
-    prior = F.struct("correction_id", "content", "corrected_at")
+    prior = F.when(F.col("_in"), F.struct("correction_id", "content", "corrected_at"))
     rows = drop_chunks(
-        running(with_chunks(corrections, order, **limits), order, {"_prev": ("last", prior, False)})
+        running(with_chunks(judged, order, **limits), order, {"_prev": ("last", prior, False)})
     )
     prev = F.col("_prev")
     same_id = F.col("correction_id") == prev["correction_id"]
     return rows.withColumn(
         "status",
-        F.when(prev.isNull() & F.col("expected_previous").isNotNull(), "NOTHING_TO_REPLACE")
-        .when(prev.isNull(), "COMMIT")
+        F.when(F.col("_in"), "COMMIT")
+        .when(prev.isNull(), "NOTHING_TO_REPLACE")
         .when(same_id & (F.col("content") == prev["content"]), "DUPLICATE_NOOP")
         .when(same_id, "ID_REUSED")
         .when(~F.col("expected_previous").eqNullSafe(prev["correction_id"]), "PREVIOUS_DIFFERS")
-        .when(F.col("corrected_at") <= prev["corrected_at"], "NOT_LATER")
-        .otherwise("COMMIT"),
-    ).drop("_prev")
+        .otherwise("NOT_LATER"),
+    ).drop("_prev", "_in")
 
 
 def latest_overlay(chain: DataFrame) -> DataFrame:

@@ -78,8 +78,8 @@ FROM (
     (max(CASE WHEN k=0 THEN close END)/max(CASE WHEN k=60 THEN close END)-1)*100 AS ret_60d_pct,
     CASE WHEN count(CASE WHEN k<30 THEN ret END)>=10
          THEN stddev_samp(CASE WHEN k<30 THEN ret END)*sqrt(252)*100 END AS vol_30d_ann_pct,
-    min(close/peak-1)*100 AS max_drawdown_1y_pct,
-    max(CASE WHEN k=0 THEN close/peak-1 END)*100 AS current_drawdown_1y_pct,
+    min(CASE WHEN k<252 THEN close/peak_year-1 END)*100 AS max_drawdown_1y_pct,
+    max(CASE WHEN k=0 THEN close/peak_year-1 END)*100 AS current_drawdown_1y_pct,
     min(CASE WHEN k<60 THEN close/peak60-1 END)*100 AS max_drawdown_60d_pct,
     CASE WHEN max(n)>=20 THEN (max(CASE WHEN k=0 THEN close END)/avg(CASE WHEN k<20 THEN close END)-1)*100 END AS sma_20_gap_pct,
     CASE WHEN max(n)>=50 THEN (max(CASE WHEN k=0 THEN close END)/avg(CASE WHEN k<50 THEN close END)-1)*100 END AS sma_50_gap_pct,
@@ -98,6 +98,7 @@ FROM (
   FROM (
     SELECT b.*, x.ret AS bench_ret,
            max(CASE WHEN b.k<60 THEN b.close END) OVER (PARTITION BY b.ticker ORDER BY b.session_date) AS peak60,
+           max(CASE WHEN b.k<252 THEN b.close END) OVER (PARTITION BY b.ticker ORDER BY b.session_date) AS peak_year,
            count(CASE WHEN b.k<252 THEN b.ret END) OVER (PARTITION BY b.ticker) AS ret_n,
            avg(CASE WHEN b.k<252 THEN b.ret END) OVER (PARTITION BY b.ticker)
              - 1.6448536269514722 * stddev_samp(CASE WHEN b.k<252 THEN b.ret END) OVER (PARTITION BY b.ticker) AS var_ret

@@ -85,41 +85,43 @@ def scan_event_log(spark, sf_dir):
 @plan(
     "a7_ohlcv_wide_to_long",
     """SELECT CAST(session_date AS VARCHAR) AS session_date, ticker, close, volume FROM fx_bars
-       WHERE ticker IN ('S0', 'S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7')""",
+       WHERE regexp_matches(ticker, '^S[0-9]+$')""",
     uses=("fx_bars",),
 )
 def wide_to_long(spark, sf_dir):
-    names = [f"S{i}" for i in range(8)]
-    bars = fx_bars(spark, sf_dir).filter(F.col("ticker").isin(*names))
-    wide = bars.groupBy("session_date").agg(
+    """Every ticker, eight to a wide row; the rows of one session differ in ``band``."""
+    number = F.substring("ticker", 2, 9).cast("long")
+    slots = [f"S{i}" for i in range(8)]
+    bars = fx_bars(spark, sf_dir).filter(F.col("ticker").rlike("^S[0-9]+$"))
+    bars = bars.withColumn("_slot", F.concat(F.lit("S"), (number % 8).cast("string"))).withColumn("_band", F.floor(number / 8))
+    wide = bars.groupBy(F.struct("session_date", F.col("_band").alias("band")).alias("session_date")).agg(
         *[
-            F.max(F.when(F.col("ticker") == t, F.col(f))).alias(f"{t}|{f.title()}")
-            for t in names
+            F.max(F.when(F.col("_slot") == t, F.col(f))).alias(f"{t}|{f.title()}")
+            for t in slots
             for f in ("close", "volume")
         ]
     )
     long = metrics.ohlcv_wide_to_long(wide, field_first=False)
-    return long.select(F.col("session_date").cast("string").alias("session_date"), "ticker", "close", "volume")
+    ticker = F.concat(F.lit("S"), (F.col("session_date.band") * 8 + F.substring("ticker", 2, 1).cast("long")).cast("string"))
+    return long.select(F.col("session_date.session_date").cast("string").alias("session_date"), ticker.alias("ticker"), "close", "volume")
 
 
 @plan(
     "a9_snapshot_upsert",
-    """SELECT snapshot_date, count(*) AS rows, round(sum(CASE WHEN snapshot_date >= '2001-01-01' THEN market_value * 2 ELSE market_value END), 3) AS total
-       FROM fx_snapshots WHERE snapshot_date >= '2000-11-01' AND snapshot_date < '2001-03-01' GROUP BY 1""",
+    """SELECT snapshot_date, count(*) AS rows, CAST(sum(CAST(CASE WHEN snapshot_date >= '2001-01-01' THEN market_value * 2 ELSE market_value END AS DECIMAL(18, 4))) AS DOUBLE) AS total
+       FROM fx_snapshots GROUP BY 1""",
     uses=("fx_snapshots",),
 )
 def snapshot_upsert(spark, sf_dir):
-    """Two writes to one partitioned table; the second replaces only its own months' dates."""
-    rows = fx_snapshots(spark, sf_dir).filter(
-        (F.col("snapshot_date") >= "2000-11-01") & (F.col("snapshot_date") < "2001-03-01")
-    )
+    """Two writes to one table partitioned by month; the second replaces only its own months."""
+    rows = fx_snapshots(spark, sf_dir).withColumn("month", F.substring(F.col("snapshot_date").cast("string"), 1, 7))
     path = scratch_path(spark, "snapshots")
-    writers.upsert_slices(rows, path, "snapshot_date")
+    writers.upsert_slices(rows, path, "month")
     newer = rows.filter(F.col("snapshot_date") >= "2001-01-01")
-    writers.upsert_slices(newer.withColumn("market_value", F.col("market_value") * 2), path, "snapshot_date")
-    schema = "account_ref string, ticker string, shares double, market_value double, snapshot_date string"
+    writers.upsert_slices(newer.withColumn("market_value", F.col("market_value") * 2), path, "month")
+    schema = "account_ref string, ticker string, shares double, market_value double, snapshot_date string, month string"
     return spark.read.schema(schema).parquet(path).groupBy("snapshot_date").agg(
-        F.count(F.lit(1)).alias("rows"), F.round(F.sum("market_value"), 3).alias("total")
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("market_value").cast("decimal(18,4)")).cast("double").alias("total")
     )
 
 
@@ -152,19 +154,18 @@ def artifact_hash_audit(spark, sf_dir):
 
 @plan(
     "a12_file_hash_audit",
-    "SELECT CAST(16 AS BIGINT) AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(16 AS BIGINT) AS hashed FROM documents",
+    """SELECT CAST(doc_id // 500 AS BIGINT) AS bucket, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes,
+              sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1""",
 )
 def file_hash_audit(spark, sf_dir):
-    """Real files written from the documents, re-hashed from disk: the bytes must add up."""
-    docs = table(spark, sf_dir, "documents").select("text")
+    """A file for every 500 documents, re-hashed from disk."""
+    docs = table(spark, sf_dir, "documents").withColumn("bucket", F.floor(F.col("doc_id") / 500))
     path = scratch_path(spark, "files")
-    docs.repartition(16).write.text(path, lineSep="\n")
-    files = audit.file_hashes(spark, path).filter(F.col("name").startswith("part-"))
-    return files.agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
-        F.count_if(F.length("sha256") == 64).alias("hashed"),
-    )
+    ordered = docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "text")
+    ordered.write.partitionBy("bucket").text(path, lineSep="\n")
+    files = audit.file_hashes(spark, path).filter(F.col("name").contains("/part-"))
+    bucket = F.regexp_extract("name", r"bucket=(\d+)", 1).cast("long").alias("bucket")
+    return files.select(bucket, F.col("length").alias("bytes"), "sha256")
 
 
 HEX = "coalesce(sha256({0}), 'null')"
@@ -283,12 +284,12 @@ def phrase_rewrite(spark, sf_dir):
     "d16_generation_chain_lookup",
     """WITH RECURSIVE g AS (SELECT 'A' || (o_custkey % 50) || '-' || row_number() OVER w AS id, 'A' || (o_custkey % 50) || '-' || (row_number() OVER w - 1) AS parent,
              row_number() OVER w AS n, count(*) OVER (PARTITION BY o_custkey % 50) AS m, o_orderkey FROM orders WINDOW w AS (PARTITION BY o_custkey % 50 ORDER BY o_orderkey)),
-       chain(head, id, parent, o_orderkey, hops) AS (SELECT id, id, parent, o_orderkey, 0 FROM g WHERE n = least(m, 40)
-         UNION ALL SELECT c.head, g.id, g.parent, g.o_orderkey, c.hops + 1 FROM chain c JOIN g ON g.id = c.parent WHERE c.o_orderkey % 17 <> 0)
+       chain(head, id, parent, o_orderkey, hops) AS (SELECT id, id, parent, o_orderkey, 0 FROM g WHERE n = m
+         UNION ALL SELECT c.head, g.id, g.parent, g.o_orderkey, c.hops + 1 FROM chain c JOIN g ON g.id = c.parent WHERE c.o_orderkey % 503 <> 0)
        SELECT head, id AS transaction_id, o_orderkey AS batch_id, hops FROM chain""",
 )
 def generation_chain(spark, sf_dir):
-    """Forty generations of every account walked back; a link with a wrong hash ends the walk."""
+    """All generations of every account walked back; a link with a wrong hash ends the walk."""
     from portledger.operators.scans import Order, drop_chunks, running, with_chunks
 
     account = F.concat(F.lit("A"), (F.col("o_custkey") % 50).cast("string")).alias("account")
@@ -304,12 +305,12 @@ def generation_chain(spark, sf_dir):
     def digest(number):
         return F.sha2(name(number), 256)
 
-    n, broken = F.col("n"), F.col("o_orderkey") % 17 == 0
+    n, broken = F.col("n"), F.col("o_orderkey") % 503 == 0
     rows = numbered.select(
         "account", "n", name(n).alias("transaction_id"), name(n - 1).alias("parent_id"),
         F.when(broken, "wrong").otherwise(digest(n - 1)).alias("parent_hash"), digest(n).alias("content_hash"),
         F.col("o_orderkey").alias("batch_id"),
     )
     rows = staged(rows, "generations")
-    newest = rows.filter(F.col("n") <= 40).groupBy("account").agg(F.max_by("transaction_id", "n").alias("transaction_id"))
-    return audit.generation_chain(rows.filter(F.col("n") <= 40), newest)
+    newest = rows.groupBy("account").agg(F.max_by("transaction_id", "n").alias("transaction_id"))
+    return audit.generation_chain(rows, newest)

@@ -462,23 +462,20 @@ def fx_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrections in arrival order: each names its predecessor, every ninth a wrong one."""
+    """Corrections in arrival order; each names the last good one, every ninth a wrong one, every seventh is too early."""
+    seq = F.col("event_id")
+    start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     events = _events(spark, sf_dir).filter(F.col("event_type") == "view").select(
         _event_account().alias("account_ref"),
-        F.col("event_id").alias("seq"),
-        F.concat(F.lit("corr-"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("correction_id"),
+        seq.alias("seq"),
+        F.concat(F.lit("corr-"), F.lpad(seq.cast("string"), 9, "0")).alias("correction_id"),
         F.col("value").cast("string").alias("content"),
-        F.when(F.col("event_id") % 7 == 0, F.col("ts") - F.expr("interval 9 days"))
-        .otherwise(F.col("ts"))
-        .alias("corrected_at"),
+        F.timestamp_micros(start + seq * 1_000_000 - F.when(seq % 7 == 0, 777_600_000_000).otherwise(0)).alias("corrected_at"),
     )
     order = Order(("account_ref",), "seq", "seq", width=1 << 16)
-    linked = drop_chunks(
-        running(
-            with_chunks(events, order), order, {"_before": ("last", F.col("correction_id"), False)}
-        )
-    )
-    wrong = (F.col("seq") % 9 == 0) & F.col("_before").isNotNull()
+    good = F.when((F.col("seq") % 9 != 0) & (F.col("seq") % 7 != 0), F.col("correction_id"))
+    linked = drop_chunks(running(with_chunks(events, order), order, {"_before": ("last", good, False)}))
+    wrong = (F.col("seq") % 9 == 0) | ((F.col("seq") % 7 == 0) & F.col("_before").isNull())
     return linked.select(
         "account_ref", "seq", "correction_id", "content", "corrected_at",
         F.when(wrong, "corr-000000").otherwise(F.col("_before")).alias("expected_previous"),

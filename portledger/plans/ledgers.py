@@ -509,14 +509,25 @@ def decision_replay(spark, sf_dir):
 
 @plan(
     "i7_overlay_chain",
-    """SELECT account_ref, seq, CASE WHEN prev IS NULL THEN 'COMMIT' WHEN seq % 9 = 0 THEN 'PREVIOUS_DIFFERS'
-              WHEN happened <= prev THEN 'NOT_LATER' ELSE 'COMMIT' END AS status
-       FROM (SELECT *, lag(happened) OVER (PARTITION BY account_ref ORDER BY seq) AS prev
-             FROM (SELECT 'A' || (user_id % 50) AS account_ref, event_id AS seq,
-                          CASE WHEN event_id % 7 = 0 THEN ts - INTERVAL 9 DAY ELSE ts END AS happened FROM events WHERE event_type = 'view'))""",
+    """WITH RECURSIVE e AS (
+         SELECT 'A' || (user_id % 50) AS account_ref, event_id AS seq, 'corr-' || lpad(event_id::VARCHAR, 9, '0') AS id,
+                event_id - CASE WHEN event_id % 7 = 0 THEN 777600 ELSE 0 END AS happened FROM events WHERE event_type = 'view'),
+       f AS (SELECT *, row_number() OVER w AS n, last_value(CASE WHEN seq % 9 <> 0 AND seq % 7 <> 0 THEN id END IGNORE NULLS)
+                       OVER (PARTITION BY account_ref ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good
+             FROM e WINDOW w AS (PARTITION BY account_ref ORDER BY seq)),
+       o AS (SELECT *, CASE WHEN seq % 9 = 0 OR (seq % 7 = 0 AND good IS NULL) THEN 'corr-000000' ELSE good END AS wanted FROM f),
+       w(account_ref, n, seq, cur, cur_at, status) AS (
+         SELECT DISTINCT account_ref, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR FROM o
+         UNION ALL
+         SELECT account_ref, n, seq, CASE WHEN status = 'COMMIT' THEN id ELSE cur END, CASE WHEN status = 'COMMIT' THEN happened ELSE cur_at END, status
+         FROM (SELECT o.account_ref, o.n, o.seq, o.id, o.happened, w.cur, w.cur_at,
+                      CASE WHEN cur IS NULL AND wanted IS NULL THEN 'COMMIT' WHEN cur IS NULL THEN 'NOTHING_TO_REPLACE'
+                           WHEN wanted IS DISTINCT FROM cur THEN 'PREVIOUS_DIFFERS' WHEN happened <= cur_at THEN 'NOT_LATER' ELSE 'COMMIT' END AS status
+               FROM w JOIN o ON o.account_ref = w.account_ref AND o.n = w.n + 1))
+       SELECT account_ref, seq, status FROM w WHERE n > 0""",
 )
 def overlay_chain(spark, sf_dir):
-    rows = overlay.overlay_chain(staged(fx_corrections(spark, sf_dir), "corrections"))
+    rows = overlay.overlay_chain(fx_corrections(spark, sf_dir))
     return rows.select("account_ref", "seq", "status")
 
 

@@ -93,39 +93,27 @@ def sma_gap(spark, sf_dir):
 
 @plan(
     "f4_max_drawdown",
-    """SELECT ticker, round(min(close/peak-1)*100, 6) AS max_drawdown_1y_pct,
+    """SELECT ticker, round(min(CASE WHEN k<252 THEN close/p252-1 END)*100, 6) AS max_drawdown_1y_pct,
               round(min(CASE WHEN k<60 THEN close/p60-1 END)*100, 6) AS max_drawdown_60d_pct
-       FROM (SELECT *, max(CASE WHEN k<60 THEN close END) OVER (PARTITION BY ticker ORDER BY session_date) AS p60
+       FROM (SELECT *, max(CASE WHEN k<60 THEN close END) OVER (PARTITION BY ticker ORDER BY session_date) AS p60,
+                    max(CASE WHEN k<252 THEN close END) OVER (PARTITION BY ticker ORDER BY session_date) AS p252
              FROM fx_bars_rows) GROUP BY ticker""",
     uses=("fx_bars_rows",),
 )
 def max_drawdown(spark, sf_dir):
-    w = Window.partitionBy("ticker").orderBy("session_date")
-    rows = m.numbered(fx_bars(spark, sf_dir)).withColumn(
-        "p60", F.max(F.when(F.col("k") < 60, F.col("close"))).over(w)
-    )
-    return rounded(
-        rows.groupBy("ticker").agg(
-            (F.min(F.col("close") / F.col("peak") - 1) * 100).alias("max_drawdown_1y_pct"),
-            (F.min(F.when(F.col("k") < 60, F.col("close") / F.col("p60") - 1)) * 100).alias(
-                "max_drawdown_60d_pct"
-            ),
-        )
-    )
+    found = m.quote_metrics(fx_bars(spark, sf_dir), fx_market(spark, sf_dir))
+    return rounded(found.select("ticker", "max_drawdown_1y_pct", "max_drawdown_60d_pct"))
 
 
 @plan(
     "f5_current_drawdown",
     """SELECT ticker, round((arg_max(close, session_date)/max(close)-1)*100, 6) AS current_drawdown_1y_pct
-       FROM fx_bars GROUP BY ticker""",
-    uses=("fx_bars",),
+       FROM fx_bars_rows WHERE k < 252 GROUP BY ticker""",
+    uses=("fx_bars_rows",),
 )
 def current_drawdown(spark, sf_dir):
-    """The last close against the highest: two plain aggregates, no window at all."""
-    fall = (F.max_by("close", "session_date") / F.max("close") - 1) * 100
-    return rounded(
-        fx_bars(spark, sf_dir).groupBy("ticker").agg(fall.alias("current_drawdown_1y_pct"))
-    )
+    found = m.quote_metrics(fx_bars(spark, sf_dir), fx_market(spark, sf_dir))
+    return rounded(found.select("ticker", "current_drawdown_1y_pct"))
 
 
 @plan(

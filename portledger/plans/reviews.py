@@ -137,26 +137,27 @@ def similar_cases(spark, sf_dir):
 
 @plan(
     "l7_candidate_outcomes",
-    """SELECT ticker, CAST(session_date AS VARCHAR) AS session_date, round(ret_1, 6) AS ret_1, round(rel_1, 6) AS rel_1, round(ret_5, 6) AS ret_5,
-              round(rel_5, 6) AS rel_5, round(worst_5, 6) AS worst_day_5, round(least(dd_5, 0) * 100, 6) AS drawdown_5
-       FROM (SELECT a.ticker, a.session_date,
-                    (max(CASE WHEN b.session_idx = a.session_idx + 1 THEN b.close END) / any_value(a.close) - 1) * 100 AS ret_1,
-                    (max(CASE WHEN b.session_idx = a.session_idx + 1 THEN b.close END) / any_value(a.close) - 1) * 100 - (max(CASE WHEN b.session_idx = a.session_idx + 1 THEN b.bench END) / any_value(a.bench) - 1) * 100 AS rel_1,
-                    (max(CASE WHEN b.session_idx = a.session_idx + 5 THEN b.close END) / any_value(a.close) - 1) * 100 AS ret_5,
-                    (max(CASE WHEN b.session_idx = a.session_idx + 5 THEN b.close END) / any_value(a.close) - 1) * 100 - (max(CASE WHEN b.session_idx = a.session_idx + 5 THEN b.bench END) / any_value(a.bench) - 1) * 100 AS rel_5,
-                    min(b.step) * 100 AS worst_5,
-                    min(CASE WHEN b.ticker IS NULL THEN 0 ELSE b.close / (SELECT max(c.close) FROM seq c WHERE c.ticker = a.ticker AND c.session_idx BETWEEN a.session_idx AND b.session_idx) - 1 END) AS dd_5
-             FROM seq a LEFT JOIN seq b ON a.ticker = b.ticker AND b.session_idx BETWEEN a.session_idx + 1 AND a.session_idx + 5
-             WHERE day(a.session_date) = 15 GROUP BY 1, 2)""",
+    """SELECT ticker, CAST(session_date AS VARCHAR) AS session_date, """
+    + ", ".join(
+        f"""round((max(CASE WHEN d = {k} THEN close END) / any_value(c0) - 1) * 100, 6) AS ret_{k},
+            round((max(CASE WHEN d = {k} THEN close END) / any_value(c0) - 1) * 100 - (max(CASE WHEN d = {k} THEN bench END) / any_value(b0) - 1) * 100, 6) AS rel_{k},
+            round(min(CASE WHEN d <= {k} THEN step END) * 100, 6) AS worst_day_{k},
+            round(least(coalesce(min(CASE WHEN d <= {k} THEN close / peak - 1 END), 0), 0) * 100, 6) AS drawdown_{k}"""
+        for k in (1, 5, 20)
+    )
+    + """ FROM (SELECT a.ticker, a.session_date, a.close AS c0, a.bench AS b0, b.session_idx - a.session_idx AS d, b.close, b.bench, b.step,
+                      greatest(a.close, max(b.close) OVER (PARTITION BY a.ticker, a.session_idx ORDER BY b.session_idx)) AS peak
+               FROM seq a LEFT JOIN seq b ON a.ticker = b.ticker AND b.session_idx BETWEEN a.session_idx + 1 AND a.session_idx + 20) p
+       GROUP BY ticker, session_date""",
     uses=("seq",),
 )
 def candidate_outcomes(spark, sf_dir):
+    """Every session of every ticker as an entry, at all three horizons."""
     bench = fx_market(spark, sf_dir).select("session_date", F.col("close").alias("bench_close"))
     closes = fx_bars(spark, sf_dir).select("ticker", "session_date", "close").join(F.broadcast(bench), "session_date")
-    entries = closes.filter(F.dayofmonth("session_date") == 15).select("ticker", "session_date")
+    entries = closes.select("ticker", "session_date")
     out = r.candidate_outcomes(entries, closes, fx_calendar(spark, sf_dir))
-    keep = ("ret_1", "rel_1", "ret_5", "rel_5", "worst_day_5", "drawdown_5")
-    return rounded(out.select("ticker", F.col("session_date").cast("string").alias("session_date"), *keep))
+    return rounded(out.withColumn("session_date", F.col("session_date").cast("string")))
 
 
 def samples(spark, sf_dir):

@@ -47,19 +47,23 @@ def market_regime(spark, sf_dir):
     return rounded(market.market_regime(bench_metrics(spark, sf_dir)))
 
 
-@plan(
-    "j4_market_heat",
-    """SELECT CASE WHEN score >= 4 AND hot >= 2 AND vix_c < 16 THEN 'OVERHEATED' WHEN score >= 4 THEN 'HOT'
-         WHEN score >= 2 THEN 'NEUTRAL_WARM' WHEN score >= 0 THEN 'NEUTRAL' WHEN score >= -2 THEN 'COOL'
-         ELSE 'RISK_AVERSE' END AS heat, score, hot AS hot_rsi_count, '' AS missing
-       FROM (SELECT *,
+HEAT_VOTES = """(SELECT *,
          CASE WHEN spy_20 > 0 THEN 1 ELSE -1 END + CASE WHEN qqq_20 > 0 THEN 1 ELSE -1 END
          + CASE WHEN rsp_rel >= 0 THEN 1 ELSE -1 END + CASE WHEN iwm_rel >= 0 THEN 1 ELSE -1 END
          + CASE WHEN hyg_20 - ief_20 >= 0 THEN 1 ELSE -1 END + CASE WHEN smh_rel >= 0 THEN 1 ELSE -1 END
          + CASE WHEN vix_c >= 22 THEN -2 WHEN vix_c >= 18 THEN -1 WHEN vix_c < 16 THEN 1 ELSE 0 END
          + CASE WHEN vix_5 >= 20 THEN -1 ELSE 0 END AS score,
          CASE WHEN spy_rsi >= 70 THEN 1 ELSE 0 END + CASE WHEN qqq_rsi >= 70 THEN 1 ELSE 0 END
-         + CASE WHEN smh_rsi >= 70 THEN 1 ELSE 0 END AS hot FROM bench)""",
+         + CASE WHEN smh_rsi >= 70 THEN 1 ELSE 0 END AS hot FROM bench)"""
+
+
+@plan(
+    "j4_market_heat",
+    """SELECT CASE WHEN score >= 4 AND hot >= 2 AND vix_c < 16 THEN 'OVERHEATED' WHEN score >= 4 THEN 'HOT'
+         WHEN score >= 2 THEN 'NEUTRAL_WARM' WHEN score >= 0 THEN 'NEUTRAL' WHEN score >= -2 THEN 'COOL'
+         ELSE 'RISK_AVERSE' END AS heat, score, hot AS hot_rsi_count, '' AS missing
+       FROM """
+    + HEAT_VOTES,
     uses=("bench",),
 )
 def market_heat(spark, sf_dir):
@@ -68,17 +72,11 @@ def market_heat(spark, sf_dir):
 
 @plan(
     "e8_heat_score",
-    """SELECT count(*) FILTER (WHERE v > 0) - count(*) FILTER (WHERE v <= 0) AS breadth_score
-       FROM (SELECT ret_20d_pct AS v FROM all_metrics WHERE ret_20d_pct IS NOT NULL)""",
-    uses=("all_metrics",),
+    "SELECT score FROM " + HEAT_VOTES,
+    uses=("bench",),
 )
 def heat_score(spark, sf_dir):
-    up = F.col("ret_20d_pct") > 0
-    return (
-        all_metrics(spark, sf_dir)
-        .filter(F.col("ret_20d_pct").isNotNull())
-        .agg(F.sum(F.when(up, 1).otherwise(-1)).alias("breadth_score"))
-    )
+    return market.market_heat(bench_metrics(spark, sf_dir)).select("score")
 
 
 @plan(
@@ -130,15 +128,13 @@ def opening_risks(spark, sf_dir):
 
 @plan(
     "c10_exclude_severe_risk",
-    """SELECT ticker, score FROM scored WHERE score >= 3 AND NOT list_has_any(risks,
-         ['RSI_HOT', 'VOL_30D_HIGH', 'BELOW_SMA_50', 'WEAKER_THAN_SPY_20D'])
-       UNION ALL SELECT ticker, score FROM scored WHERE len(risks) = 0 AND score < 3""",
+    """SELECT ticker, score FROM scored WHERE score >= 5 AND NOT list_has_any(risks,
+         ['RSI_HOT', 'VOL_30D_HIGH', 'BELOW_SMA_50', 'WEAKER_THAN_SPY_20D'])""",
     uses=("scored",),
 )
 def exclude_severe(spark, sf_dir):
     scored = screen.opening_risks(all_metrics(spark, sf_dir))
-    clean = scored.filter((F.size("risks") == 0) & (F.col("score") < 3))
-    return screen.exclude_severe(scored, min_score=3).unionByName(clean).select("ticker", "score")
+    return screen.exclude_severe(scored).select("ticker", "score")
 
 
 @plan(
@@ -299,16 +295,24 @@ def holding_facts(spark, sf_dir):
 
 @plan(
     "e12_position_weight",
+    """SELECT account_ref, ticker, round(weight_pct, 6) AS weight_pct FROM facts""",
+    uses=("facts",),
+)
+def position_weight(spark, sf_dir):
+    return rounded(facts(spark, sf_dir).select("account_ref", "ticker", "weight_pct"))
+
+
+@plan(
+    "e12_position_weight_without_prices",
     """SELECT account_ref, ticker, round(shares / sum(shares) OVER (PARTITION BY account_ref) * 100, 6) AS weight_pct
        FROM fx_holdings""",
     uses=("fx_holdings",),
 )
-def position_weight(spark, sf_dir):
+def position_weight_without_prices(spark, sf_dir):
+    """No ticker has a price: the values the holdings came with decide."""
     valued = fx_holdings(spark, sf_dir).withColumn("market_value", F.col("shares"))
-    empty = F.lit(None).cast("double")
-    no_prices = fx_holdings(spark, sf_dir).select("ticker").limit(0).withColumn("close", empty)
-    out = h.holding_facts(valued, no_prices)
-    return rounded(out.select("account_ref", "ticker", "weight_pct"))
+    no_prices = spark.createDataFrame([], "ticker string, close double")
+    return rounded(h.holding_facts(valued, no_prices).select("account_ref", "ticker", "weight_pct"))
 
 
 @plan(

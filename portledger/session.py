@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,16 +44,21 @@ def local_session(app: str = "portledger", cores: int | str = "*", **extra: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local master, whose executors share the driver's disk, may leave it unset; a cluster that does
+    gets an error, since a folder of the driver's own disk would lose what executors write.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="portledger-")
-        spark.conf.set("spark.portledger.scratch", base)
-        spark.sparkContext.setCheckpointDir(base)
+    if base:
+        return base
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = tempfile.mkdtemp(prefix="portledger-")
+    spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the shared folder."""
-    base = spark.conf.get("spark.portledger.scratch", None) or shared_dir(spark)
-    return f"{base.rstrip('/')}/portledger/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/portledger/{name}-{uuid.uuid4().hex}"

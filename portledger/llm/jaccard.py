@@ -9,6 +9,10 @@ in a subset, hashed together with band, part and subset, are a signature: simila
 Sets that are equal are joined by a digest first. Rows of one signature are sorted next to each other and
 compared with the smallest of them (a star); links found so make components, and only pairs of one
 signature from different components, not compared yet, are compared afterwards. Comparing is exact.
+
+Each set also has a parity sketch: features are hashed to bits, and a bit says whether an odd number fell on
+it. Each feature that two sets differ in changes one bit, so they differ in at least as many features as bits. A pair
+that differs in too many bits is not similar and is not made; all others are compared by their sets.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portledger.llm.common import as_bytes, discard, doc_rows, slices
@@ -33,6 +37,8 @@ PERCENT = 90
 WORDS = 3
 CELLS = 3
 CACHE_WORDS = 300_000
+#: Bits of a parity sketch.
+SKETCH = 1024
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -106,9 +112,22 @@ class Signatures:
         return _mixed(without ^ _mixed(place * M1))
 
 
+def sketch(features: np.ndarray) -> np.ndarray:
+    """Parity of the features on each bit, as signed words."""
+    bit = (_mixed(features * M1 + M2) & np.uint64(SKETCH - 1)).astype(np.int64)
+    odd = np.bincount(bit, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_be_similar(percent: int, a: str, b: str) -> Column:
+    """Whether sizes and sketches (columns ``a`` + n, ``a`` + sketch, ...) leave room for the similarity."""
+    bits = [F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH // 64)]
+    return sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (100 - percent)
+
+
 def features(docs: DataFrame, words: int, percent: int, cells: int) -> DataFrame:
-    """doc_id, n_shingles, a digest of the set and its signatures."""
-    schema = "doc_id bigint, n_shingles bigint, digest binary, signatures array<bigint>"
+    """doc_id, n_shingles, a digest and a sketch of the set and its signatures."""
+    schema = "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>, signatures array<bigint>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, signatures = Shingles(words), Signatures(percent, cells)
@@ -121,9 +140,10 @@ def features(docs: DataFrame, words: int, percent: int, cells: int) -> DataFrame
                 batch.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
+                pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "signatures"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sketch", "signatures"])
 
     return docs.mapInArrow(task, schema)
 
@@ -208,7 +228,11 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # Equal sets act through the smallest id among them.
     roots = staged(equal_sets(sets), "equal-sets")
     star = shared.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = staged(between_roots(star, roots), "star-pairs")
+    profiles = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(
+        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+    )
+    profiles = staged(profiles, "set-profiles")
+    star = staged(promising(between_roots(star, roots), profiles, percent), "star-pairs")
     links = staged(similar(star, known, words, percent), "star-links")
     # Pairs that the stars leave: one signature, different components.
     members = shared.select("signature", "doc_id").unionByName(
@@ -220,11 +244,13 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         "signature", "root", F.coalesce("component", "root").alias("component")
     )
     mixed = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    members = staged(members.join(mixed, "signature").select("signature", "root", "component"), "open-members")
+    members = members.join(mixed, "signature").join(profiles, members.root == profiles.doc_id)
+    members = staged(members.select("signature", "root", "component", "n", "sketch"), "open-members")
     discard(shared)
-    left = members.select("signature", F.col("root").alias("x"), F.col("component").alias("cx"))
-    right = members.select("signature", F.col("root").alias("y"), F.col("component").alias("cy"))
-    across = left.join(right, "signature").filter("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = members.select("signature", *(F.col(c).alias(f"x_{c}") for c in ("root", "component", "n", "sketch")))
+    right = members.select("signature", *(F.col(c).alias(f"y_{c}") for c in ("root", "component", "n", "sketch")))
+    close = (left.signature == right.signature) & (F.col("x_component") < F.col("y_component")) & may_be_similar(percent, "x_", "y_")
+    across = left.join(right, close).select(F.least("x_root", "y_root").alias("a"), F.greatest("x_root", "y_root").alias("b")).distinct()
     across = staged(across.join(star, ["a", "b"], "left_anti"), "open-pairs")
     links = staged(links.unionByName(similar(across, known, words, percent)), "all-links")
     label = components(links)
@@ -251,6 +277,13 @@ def between_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
+def promising(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+    first = profiles.select(F.col("doc_id").alias("a"), F.col("n").alias("x_n"), F.col("sketch").alias("x_sketch"))
+    second = profiles.select(F.col("doc_id").alias("b"), F.col("n").alias("y_n"), F.col("sketch").alias("y_sketch"))
+    return pairs.join(first, "a").join(second, "b").filter(may_be_similar(percent, "x_", "y_")).select("a", "b")
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, cells: int = 2) -> DataFrame:
     """The document with the smallest id of each group, with all its columns; rows without an id stay."""
     classes = jaccard_classes(docs, words, percent, cells).filter("doc_id is not null")

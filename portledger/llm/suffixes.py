@@ -5,7 +5,7 @@ in one bucket. Neighbouring starts of one bucket make a run, and a run's bytes a
 counted; where one occurs twice, all its strings are repeated. Buckets with different segments, one copy of each, go
 to suffix sorting in two stages: suffixes smaller than their successor are sorted directly, the others
 follow from their successors in a scan over the buckets of first bytes, and neighbours in the order whose
-common prefix reaches LENGTH are repeated. A bucket of more than GROUP segments is sorted in groups; strings that are
+common prefix reaches LENGTH are repeated. A bucket of more than SORTED_BYTES is sorted in groups; strings that are
 single in theirs are then counted by digest across the groups.
 """
 
@@ -25,11 +25,10 @@ from portledger.sources.staging import staged
 
 LENGTH = 400
 #: Bytes under one hash; a string has LENGTH - K + 1 of them.
-K = 50
-#: Starts in a run at most, bytes of a text hashed at a time, segments sorted together, bytes sorted at a time.
+K = 100
+#: Starts in a run at most, bytes of a text hashed at a time, bytes sorted at a time.
 RUN = 4096
 BLOCK = 1 << 20
-GROUP = 2000
 SORTED_BYTES = 1 << 18
 
 _RANDOM = np.random.default_rng(97)
@@ -38,7 +37,9 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n - 1, base, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    factors = np.full(n, base, dtype=np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
 
 
 class Buckets:
@@ -49,11 +50,17 @@ class Buckets:
         n = BLOCK + length
         self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
 
-    def hashes(self, data: np.ndarray) -> np.ndarray:
-        n = len(data)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[data] * self.up[:n], out=total[1:])
-        x = (total[self.k :] - total[: n - self.k + 1]) * self.down[: n - self.k + 1]
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[data] * self.up[: len(data)], out=total[1:])
+        return total
+
+    def rolled(self, total: np.ndarray, begin: int, end: int, size: int) -> np.ndarray:
+        """Hashes of the strings of ``size`` bytes that start in a stretch."""
+        return (total[begin + size : end + size] - total[begin:end]) * self.down[begin:end]
+
+    def hashes(self, total: np.ndarray) -> np.ndarray:
+        x = self.rolled(total, 0, len(total) - self.k, self.k)
         x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         return x ^ x >> np.uint64(29)
 
@@ -61,7 +68,8 @@ class Buckets:
         """Bucket, digest of the segment, first start, starts, and whether a segment may repeat itself."""
         for begin in range(0, len(text) - self.length + 1, BLOCK):
             part = text[begin : begin + BLOCK + self.length - 1]
-            hashed = self.hashes(np.frombuffer(part, dtype=np.uint8))
+            total = self.sums(np.frombuffer(part, dtype=np.uint8))
+            hashed = self.hashes(total)
             least, span = hashed, 1
             while span < self.window:
                 step = min(span, self.window - span)
@@ -73,6 +81,8 @@ class Buckets:
             keys = least[first[:-1]]
             for key, a, b in zip(keys, first[:-1].tolist(), first[1:].tolist(), strict=True):
                 again = int(np.count_nonzero(hashed[a : b - 1 + self.window] == key)) > 1
+                if again:  # the smallest hash stands twice; does a whole string?
+                    again = len(np.unique(self.rolled(total, a, b, self.length))) < b - a
                 digest = xxhash.xxh3_64_intdigest(part[a : b - 1 + self.length])
                 yield int(key), digest, begin + a, b - a, again
 
@@ -259,12 +269,12 @@ def kept_parts(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(task, schema).dropDuplicates(["_id", "_content"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = SORTED_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     ``docs`` needs doc_id and text; other columns are ignored. A null text counts as empty, and a text of
     fewer than ``length`` bytes keeps all. Repeated rows repeat their text, so long ones lose it.
-    Rows without an id are treated like others. An empty table gives no rows.
+    Rows without an id are treated like others. ``group`` bounds the bytes of a bucket sorted together. An empty table gives no rows.
     """
     docs = doc_rows(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -282,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, group: int
     )
     segments = staged(segments, "segments")
     todo = segments.filter("_sort")
-    kinds = todo.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
+    kinds = todo.groupBy("key").agg(F.ceil(F.sum(F.col("starts") + length) / group).cast("int").alias("groups"))
     todo = todo.join(kinds, "key").select(
         "_at.*", "key", "segment", "starts", "counted", "groups", F.pmod(F.xxhash64("segment"), F.col("groups")).cast("int").alias("group")
     )

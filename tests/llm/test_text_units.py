@@ -56,6 +56,9 @@ def test_equal_strings_share_a_bucket():
         at = text.index(passage)
         keys.append([next(k for k, _, s, n, _ in finder.runs(text) if s <= at + i < s + n) for i in range(100)])
     assert keys[0] == keys[1]
+    random_text = bytes(rng.randrange(256) for _ in range(20_000))
+    runs = list(finder.runs(random_text))
+    assert 60 < len({run[0] for run in runs}) < 200 and sum(run[3] for run in runs) == len(random_text) - 399
 
 
 @settings(deadline=None, max_examples=80)

@@ -25,7 +25,7 @@ def walk(links: DataFrame, heads: DataFrame) -> DataFrame:
         further = staged(further, "reached-further")
         if further.isEmpty():
             break
-        reached = staged(reached.unionByName(further), "reached")
+        reached = reached.unionByName(further)
         second = jumps.select(F.col("node").alias("next"), F.col("next").alias("_after"))
         jumps = staged(jumps.join(second, "next").select("node", F.col("_after").alias("next")), "jumps")
         step *= 2

@@ -23,7 +23,10 @@ from portledger.functions.columns import (
     valid_email,
     valid_event_id,
 )
+from portledger.operators.chains import ends, walk
+from portledger.operators.scans import Order, drop_chunks, running, with_chunks
 from portledger.operators.skew import attach
+from portledger.sources.staging import staged
 
 RESOLVED = ("RESOLVED", "FALSE_POSITIVE")
 FINAL_STATUSES = ("COMMITTED", "IGNORED", "QUARANTINED", "ANCHOR_EVIDENCE")
@@ -441,29 +444,59 @@ def batch_gate(batches: DataFrame, messages: DataFrame, ledger_unresolved: DataF
     )
 
 
-def waterline_rules(scans: DataFrame, order: Sequence[str], key: str = "target_account") -> DataFrame:
-    """Adds ``rule``: each scan must start at the waterline the one before it left.
+def waterline_rules(scans: DataFrame, order: Sequence[str], key: str = "target_account", **limits) -> DataFrame:
+    """Adds ``rule``: each scan must start at the cursor that the last accepted one left.
 
-    Scans of one account are joined to their predecessor by number, so an
-    account of any length stays spread out. ``scan_no`` counts from 1.
+    A refused scan leaves no trace. A ``blocked`` one (an optional column) becomes the parent of the next but leaves the
+    waterline and the time of the last scan where they were. Accepted scans are a chain: the
+    successor of each is the first later scan that names it and fits its cursor. ``scan_no`` counts from 1.
     """
-    before = scans.select(
-        key, (F.col("scan_no") + 1).alias("scan_no"),
-        F.col("history_id_after").alias("_prev_id"), F.col("completed_at").alias("_prev_at"),
-        F.col("transaction_id").alias("_prev_txn"),
-    )
     digits = r"^\d+$"
     a, b = F.col("history_id_before"), F.col("history_id_after")
-    backwards = a.rlike(digits) & b.rlike(digits) & (b.try_cast("decimal(38,0)") < a.try_cast("decimal(38,0)"))
-    rule = (
-        F.when(F.col("_prev_txn").isNotNull() & ~F.col("expected_parent").eqNullSafe(F.col("_prev_txn")), "STALE_PARENT")
-        .when(F.col("_prev_id").isNotNull() & ~a.eqNullSafe(F.col("_prev_id")), "WATERLINE_DIFFERS")
-        .when(F.coalesce(backwards, F.lit(False)), "WATERLINE_BACKWARDS")
-        .when(F.col("completed_at") < F.col("_prev_at"), "SCAN_BACKWARDS")
+    backwards = F.coalesce(
+        a.rlike(digits) & b.rlike(digits) & (b.try_cast("decimal(38,0)") < a.try_cast("decimal(38,0)")), F.lit(False)
+    )
+    blocked = F.coalesce(F.col("blocked"), F.lit(False)) if "blocked" in scans.columns else F.lit(False)
+    rows = staged(
+        scans.withColumns({"_node": F.struct(key, "scan_no"), "_blocked": blocked, "_backwards": backwards}), "scans"
     )
-    return scans.join(before, [key, "scan_no"], "left").withColumn("rule", rule).drop(
-        "_prev_id", "_prev_at", "_prev_txn"
+    # The time of the last unblocked scan, which a blocked one takes over from its parents.
+    parents = rows.select(F.col(key), F.col("transaction_id").alias("expected_parent"), F.col("_node").alias("next"))
+    held = rows.filter("_blocked").join(parents, [key, "expected_parent"]).select(F.col("_node").alias("node"), "next")
+    times = rows.filter("not _blocked").select(F.col("_node").alias("end"), F.col("completed_at").alias("_held_at"))
+    since = ends(held).join(times, "end").select(F.col("node").alias("_node"), "_held_at")
+    state = rows.join(since, "_node", "left").select(
+        "*",
+        F.when(F.col("_blocked"), a).otherwise(b).alias("_left_id"),
+        F.when(F.col("_blocked"), F.col("_held_at")).otherwise(F.col("completed_at")).alias("_left_at"),
+    )
+    state = staged(state.drop("_held_at"), "scan-cursors")
+    now = state.select(key, F.col("_node").alias("node"), F.col("scan_no").alias("_no"), F.col("transaction_id").alias("expected_parent"), "_left_id", "_left_at")
+    after = rows.filter("not _backwards").select(key, "expected_parent", "scan_no", "history_id_before", "completed_at")
+    follows = now.join(after, [key, "expected_parent"]).filter(
+        (F.col("scan_no") > F.col("_no"))
+        & (F.col("_left_id").isNull() | a.eqNullSafe(F.col("_left_id")))
+        & ~F.coalesce(F.col("completed_at") < F.col("_left_at"), F.lit(False))
+    )
+    links = follows.groupBy("node").agg(F.struct(F.first(key).alias(key), F.min("scan_no").alias("scan_no")).alias("next"))
+    heads = rows.filter("not _backwards").groupBy(key).agg(F.min("scan_no").alias("scan_no"))
+    accepted = walk(links, heads.select(F.struct(key, "scan_no").alias("node")))
+    accepted = accepted.select(F.col("node").alias("_node"), F.lit(True).alias("_in"))
+    judged = staged(state.join(accepted, "_node", "left"), "accepted-scans")
+
+    chunked = with_chunks(judged, Order((key,), "scan_no", "scan_no", width=1 << 16), **limits)
+    prior = F.when(F.col("_in"), F.struct("transaction_id", "_left_id", "_left_at"))
+    ordered = Order((key,), "scan_no", "scan_no", width=1 << 16)
+    judged = drop_chunks(running(chunked, ordered, {"_prev": ("last", prior, False)}))
+    prev = F.col("_prev")
+    rule = (
+        F.when(F.col("_in"), None)
+        .when(prev.isNotNull() & ~F.col("expected_parent").eqNullSafe(prev["transaction_id"]), "STALE_PARENT")
+        .when(prev["_left_id"].isNotNull() & ~a.eqNullSafe(prev["_left_id"]), "WATERLINE_DIFFERS")
+        .when(F.col("_backwards"), "WATERLINE_BACKWARDS")
+        .when(F.col("completed_at") < prev["_left_at"], "SCAN_BACKWARDS")
     )
+    return judged.select(*scans.columns, rule.alias("rule"))
 
 
 def signature_of(df: DataFrame) -> Column:

@@ -593,3 +593,25 @@ def fx_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("txn-"), number).alias("transaction_id"),
         (b + 1).alias("scan_no"),
     )
+
+
+def fx_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan a batch, each on the cursor of the last good one, with planted backward, wrong and stale ones."""
+    b = F.col("scan_no") - 1
+    backwards, wrong, stale = (b % 6 == 5), (b % 10 == 3), (b % 13 == 8)
+    good = ~(backwards | wrong | stale)
+    rows = fx_batches(spark, sf_dir).select(
+        "batch_id", "target_account", "scan_no", "transaction_id", (b % 7 == 2).alias("blocked"), F.col("scan.completed_at").alias("completed_at"),
+        F.when(good, F.col("transaction_id")).alias("_good"),
+        F.when(good & (b % 7 != 2), (b + 1) * 100).alias("_mark"),
+    )
+    order = Order(("target_account",), "scan_no", "scan_no", width=1 << 16)
+    last = {"_parent": ("last", F.col("_good"), False), "_line": ("last", F.col("_mark"), False)}
+    linked = drop_chunks(running(with_chunks(rows, order), order, last))
+    line = F.coalesce("_line", F.lit(0))
+    return linked.select(
+        "batch_id", "target_account", "scan_no", "transaction_id", "blocked", "completed_at",
+        F.when(stale, "txn-unknown").otherwise(F.col("_parent")).alias("expected_parent"),
+        F.when(wrong, line + 1).otherwise(line).cast("string").alias("history_id_before"),
+        F.when(backwards, line - 50).otherwise((b + 1) * 100).cast("string").alias("history_id_after"),
+    )

@@ -17,6 +17,7 @@ from portledger.plans.fixtures import (
     fx_messages,
     fx_overlays,
     fx_raw_minutes,
+    fx_scans,
     fx_sent_bars,
     fx_sessions,
     fx_statelog,
@@ -683,15 +684,27 @@ def blocked_reasons(spark, sf_dir):
     )
 
 
-@plan(
-    "j14_waterline_check",
-    """SELECT batch_id, CASE WHEN b > 0 AND (b - 1) % 6 = 0 THEN 'WATERLINE_DIFFERS' WHEN b > 0 AND b % 6 = 0 THEN 'WATERLINE_BACKWARDS' END AS rule FROM batch""",
-    uses=("batch",),
-)
+#: Each scan judged in turn against the cursor that the last accepted one left.
+WATERLINE_SQL = """WITH RECURSIVE f AS (
+       SELECT batch_id, CAST(b AS BIGINT) AS b, b % 7 = 2 AS blocked, b % 6 = 5 AS backwards, b % 10 = 3 AS wrong, b % 13 = 8 AS stale FROM batch),
+     g AS (SELECT *, last_value(CASE WHEN NOT (backwards OR wrong OR stale) THEN b END IGNORE NULLS) OVER w AS parent,
+                  coalesce(last_value(CASE WHEN NOT (backwards OR wrong OR stale OR blocked) THEN (b + 1) * 100 END IGNORE NULLS) OVER w, 0) AS line
+           FROM f WINDOW w AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+     o AS (SELECT *, row_number() OVER (ORDER BY b) AS n, CASE WHEN stale THEN -1 ELSE parent END AS names,
+                  CASE WHEN wrong THEN line + 1 ELSE line END AS low, CASE WHEN backwards THEN line - 50 ELSE (b + 1) * 100 END AS high FROM g),
+     w(n, batch_id, cur, cur_line, rule) AS (
+       SELECT 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR
+       UNION ALL
+       SELECT n, batch_id, CASE WHEN rule IS NULL THEN b ELSE cur END,
+              CASE WHEN rule IS NULL THEN CASE WHEN blocked THEN low ELSE high END ELSE cur_line END, rule
+       FROM (SELECT o.*, w.cur, w.cur_line,
+                    CASE WHEN cur IS NOT NULL AND names IS DISTINCT FROM cur THEN 'STALE_PARENT'
+                         WHEN cur_line IS NOT NULL AND low <> cur_line THEN 'WATERLINE_DIFFERS'
+                         WHEN high < low THEN 'WATERLINE_BACKWARDS' END AS rule
+             FROM w JOIN o ON o.n = w.n + 1))
+     SELECT batch_id, rule FROM w WHERE n > 0"""
+
+
+@plan("j14_waterline_check", f"SELECT batch_id, rule FROM ({WATERLINE_SQL})", uses=("batch",))
 def waterline_check(spark, sf_dir):
-    scans = fx_batches(spark, sf_dir).select(
-        "batch_id", "target_account", "scan_no", "transaction_id",
-        F.col("expected_parent_transaction_id").alias("expected_parent"),
-        "scan.history_id_before", "scan.history_id_after", "scan.completed_at",
-    )
-    return ledger.waterline_rules(scans, ["scan_no"]).select("batch_id", "rule")
+    return ledger.waterline_rules(fx_scans(spark, sf_dir), ["scan_no"]).select("batch_id", "rule")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from portledger.plans.fixtures import (
-    fx_batches,
     fx_broker,
     fx_decision_log,
     fx_messages,
     fx_raw_minutes,
+    fx_scans,
     fx_statelog,
     fx_trades,
 )
 from portledger.operators import positions as p
+from portledger.plans.ledgers import WATERLINE_SQL
 from portledger.plans.registry import plan
 from portledger.streaming import ledgers as s
 
@@ -124,15 +125,6 @@ def stream_positions(spark, sf_dir):
     )
 
 
-@plan(
-    "k7_stream_waterline",
-    """SELECT batch_id, CASE WHEN b > 0 AND (b - 1) % 6 = 0 THEN 'WATERLINE_DIFFERS' WHEN b > 0 AND b % 6 = 0 THEN 'WATERLINE_BACKWARDS' END AS rule FROM batch""",
-    uses=("batch",),
-)
+@plan("k7_stream_waterline", f"SELECT batch_id, rule FROM ({WATERLINE_SQL})", uses=("batch",))
 def stream_waterline(spark, sf_dir):
-    scans = fx_batches(spark, sf_dir).select(
-        "batch_id", "target_account", "scan_no", "transaction_id",
-        F.col("expected_parent_transaction_id").alias("expected_parent"),
-        "scan.history_id_before", "scan.history_id_after", "scan.completed_at", F.col("scan_no").alias("seq"),
-    )
-    return s.check_waterline(scans, "scans")
+    return s.check_waterline(fx_scans(spark, sf_dir).withColumn("seq", F.col("scan_no")), "scans")

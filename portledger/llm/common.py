@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,8 +49,13 @@ def doc_rows(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table written by ``staged`` once everything that reads it has been written itself."""
+    """Delete a table written by ``staged`` once everything that reads it has been written itself.
+
+    The collectors are run so that Spark's cleaner also drops the shuffle files of steps that are over.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark._jvm.System.gc()
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

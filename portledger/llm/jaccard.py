@@ -36,8 +36,8 @@ from portledger.sources.staging import staged
 PERCENT = 90
 WORDS = 3
 CELLS = 3
-CACHE_WORDS = 300_000
-#: Bits of a parity sketch.
+CACHE_WORDS = 100_000
+#: A parity sketch has this many bits, or the next power of two from twice the features.
 SKETCH = 1024
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -113,16 +113,31 @@ class Signatures:
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
-    """Parity of the features on each bit, as signed words."""
-    bit = (_mixed(features * M1 + M2) & np.uint64(SKETCH - 1)).astype(np.int64)
-    odd = np.bincount(bit, minlength=SKETCH) & 1
+    """Parity of the features on each bit, as signed words; its two halves together make one of half the size."""
+    bits = max(SKETCH, 1 << (2 * len(features) - 1).bit_length()) if len(features) else SKETCH
+    bit = (_mixed(features * M1 + M2) & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(bit, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def may_be_similar(percent: int, a: str, b: str) -> Column:
     """Whether sizes and sketches (columns ``a`` + n, ``a`` + sketch, ...) leave room for the similarity."""
-    bits = [F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH // 64)]
-    return sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (100 - percent)
+    x, y, m, n = F.col(f"{a}sketch"), F.col(f"{b}sketch"), F.col(f"{a}n"), F.col(f"{b}n")
+
+    def halved(words: Column) -> Column:
+        half = (F.size(words) / 2).cast("int")
+        return F.zip_with(F.slice(words, 1, half), F.slice(words, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def differ(p: Column, q: Column) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda total, one: total + one)
+
+    bits = (
+        F.when(F.size(x) == F.size(y), differ(x, y))
+        .when(F.size(x) == 2 * F.size(y), differ(halved(x), y))
+        .when(F.size(y) == 2 * F.size(x), differ(x, halved(y)))
+        .otherwise(0)
+    )
+    return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (bits * (100 + percent) <= (m + n) * (100 - percent))
 
 
 def features(docs: DataFrame, words: int, percent: int, cells: int) -> DataFrame:
@@ -228,10 +243,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # Equal sets act through the smallest id among them.
     roots = staged(equal_sets(sets), "equal-sets")
     star = shared.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    profiles = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(
-        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
-    )
-    profiles = staged(profiles, "set-profiles")
+    profiles = sets.filter("doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "sketch")
     star = staged(promising(between_roots(star, roots), profiles, percent), "star-pairs")
     links = staged(similar(star, known, words, percent), "star-links")
     # Pairs that the stars leave: one signature, different components.
@@ -281,7 +293,7 @@ def promising(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches do not rule out."""
     first = profiles.select(F.col("doc_id").alias("a"), F.col("n").alias("x_n"), F.col("sketch").alias("x_sketch"))
     second = profiles.select(F.col("doc_id").alias("b"), F.col("n").alias("y_n"), F.col("sketch").alias("y_sketch"))
-    return pairs.join(first, "a").join(second, "b").filter(may_be_similar(percent, "x_", "y_")).select("a", "b")
+    return pairs.join(first, "a").join(second, "b").filter(may_be_similar(percent, "x_", "y_")).select("a", "b").distinct()
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, cells: int = 2) -> DataFrame:

@@ -5,7 +5,7 @@ in one bucket. Neighbouring starts of one bucket make a run, and a run's bytes a
 counted; where one occurs twice, all its strings are repeated. Buckets with different segments, one copy of each, go
 to suffix sorting in two stages: suffixes smaller than their successor are sorted directly, the others
 follow from their successors in a scan over the buckets of first bytes, and neighbours in the order whose
-common prefix reaches LENGTH are repeated. A bucket of more than SORTED_BYTES is sorted in groups; strings that are
+common prefix reaches LENGTH are repeated. A bucket of more than GROUP_BYTES is sorted in groups; strings that are
 single in theirs are then counted by digest across the groups.
 """
 
@@ -26,10 +26,12 @@ from portledger.sources.staging import staged
 LENGTH = 400
 #: Bytes under one hash; a string has LENGTH - K + 1 of them.
 K = 100
-#: Starts in a run at most, bytes of a text hashed at a time, bytes sorted at a time.
+#: Starts in a run at most, and bytes of a text hashed at a time.
 RUN = 4096
 BLOCK = 1 << 20
+#: Bytes of small buckets sorted together, and of one bucket: this bounds the memory of a task.
 SORTED_BYTES = 1 << 18
+GROUP_BYTES = 1 << 22
 
 _RANDOM = np.random.default_rng(97)
 _BYTES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,8 +136,7 @@ def suffix_order(text: bytes, wanted: np.ndarray) -> np.ndarray:
     needed = np.cumsum(steps[:-1]) > 0
 
     direct = np.flatnonzero(needed & small)
-    slices_ = [text[i : i + LENGTH] for i in direct.tolist()]
-    direct = direct[sorted(range(len(direct)), key=slices_.__getitem__)]
+    direct = direct[np.argsort(data[direct], kind="stable")]
     heads = data[direct]
     induced: dict[int, list[np.ndarray]] = {}
     order: list[np.ndarray] = []
@@ -147,7 +148,9 @@ def suffix_order(text: bytes, wanted: np.ndarray) -> np.ndarray:
             latest = before[needed[before] & ~small[before] & (data[before] == byte)]
             larger.append(latest)
         a, b = np.searchsorted(heads, [byte, byte + 1])
-        bucket = np.concatenate([*larger, direct[a:b]])
+        strings = [text[i : i + LENGTH] for i in direct[a:b].tolist()]
+        ordered = direct[a:b][sorted(range(len(strings)), key=strings.__getitem__)]
+        bucket = np.concatenate([*larger, ordered])
         order.append(bucket)
         before = bucket[bucket > 0] - 1
         before = before[needed[before] & ~small[before] & (data[before] > byte)]
@@ -269,7 +272,7 @@ def kept_parts(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(task, schema).dropDuplicates(["_id", "_content"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = SORTED_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     ``docs`` needs doc_id and text; other columns are ignored. A null text counts as empty, and a text of

@@ -74,6 +74,21 @@ def test_similar_sets_share_a_signature(size, less, more, percent, seed):
         assert equal or set(signatures(np.unique(a)).tolist()) & set(signatures(np.unique(b)).tolist())
 
 
+@settings(deadline=None, max_examples=30)
+@given(st.integers(1, 2000), st.integers(0, 300), st.integers(0, 300), st.integers(0, 10**6))
+def test_sketches_differ_in_no_more_bits_than_sets(size, less, more, seed):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+    b = np.concatenate([a[min(less, size - 1) :], rng.integers(0, 1 << 63, more, dtype=np.uint64)])
+    x, y = jaccard.sketch(np.unique(a)), jaccard.sketch(np.unique(b))
+    while len(x) != len(y):
+        long = max(x, y, key=len)
+        half = long[: len(long) // 2] ^ long[len(long) // 2 :]
+        x, y = (half, y) if long is x else (x, half)
+    bits = sum(int(w).bit_count() for w in (x ^ y).view(np.uint64))
+    assert bits <= len(np.setxor1d(a, b))
+
+
 def test_fingerprints_follow_content():
     rng = random.Random(2)
     text = " ".join(f"w{rng.randrange(5000)}" for _ in range(800))

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from portledger.functions import columns as c
-from portledger.operators import calendars, eventlog, ledger, outcomes as o
+from portledger.operators import audit, calendars, eventlog, ledger, outcomes as o, overlay
+from portledger.session import shared_dir
 from portledger.sources.writers import GateClosed, require_clean
 
 
@@ -88,3 +89,53 @@ def test_naive_times_are_missing(spark):
     df = spark.createDataFrame([("2026-07-16T09:31:00-04:00",), ("2026-07-16T09:31:00",), ("x",)], "t string")
     got = [r.p for r in df.select(F.unix_seconds(c.parse_aware_time(F.col("t"))).alias("p")).collect()]
     assert got == [1784208660, None, None]
+
+
+def test_append_judges_repeats_inside_the_incoming_rows(spark):
+    schema = "id string, v int"
+    stored = spark.createDataFrame([("a", 1), ("x", 1), ("x", 2)], schema)
+    incoming = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 5), ("c", 5), ("x", 1)], schema)
+    out = ledger.append_idempotent(stored, incoming, "id").collect()
+    seen = sorted((r.id, r.outcome) for r in out)
+    assert seen == [
+        ("a", "CONFLICT"), ("a", "DUPLICATE_NOOP"), ("b", "APPENDED"), ("b", "CONFLICT"),
+        ("c", "APPENDED"), ("c", "DUPLICATE_NOOP"), ("x", "CONFLICT"),
+    ]
+
+
+def test_refused_overlay_leaves_no_trace(spark):
+    rows = [("A", 1, "c1", "p", 10, None), ("A", 2, "c2", "p", 9, "c1"), ("A", 3, "c3", "p", 20, "c1"), ("A", 4, "c4", "p", 30, "c2"), ("A", 5, "c3", "p", 20, "c1"), ("A", 6, "c3", "q", 20, "c1")]
+    frame = spark.createDataFrame(rows, "account_ref string, seq long, correction_id string, content string, corrected_at long, expected_previous string")
+    out = {r.seq: r.status for r in overlay.overlay_chain(frame).collect()}
+    assert out == {1: "COMMIT", 2: "NOT_LATER", 3: "COMMIT", 4: "PREVIOUS_DIFFERS", 5: "DUPLICATE_NOOP", 6: "ID_REUSED"}
+
+
+def test_refused_scan_leaves_no_trace(spark):
+    rows = [("M", 1, "t1", None, "0", "10", 1, False), ("M", 2, "t2", "t1", "10", "5", 2, False), ("M", 3, "t3", "t1", "10", "20", 3, True), ("M", 4, "t4", "t3", "20", "30", 4, False), ("M", 5, "t5", "t3", "10", "30", 5, False)]
+    frame = spark.createDataFrame(rows, "target_account string, scan_no long, transaction_id string, expected_parent string, history_id_before string, history_id_after string, completed_at long, blocked boolean")
+    out = {r.scan_no: r.rule for r in ledger.waterline_rules(frame, ["scan_no"]).collect()}
+    assert out == {1: None, 2: "WATERLINE_BACKWARDS", 3: None, 4: "WATERLINE_DIFFERS", 5: None}
+
+
+def test_long_generation_chains_are_walked(spark):
+    rows = [(f"g{i}", f"g{i - 1}", f"h{i - 1}", f"h{i}", f"b{i}") for i in range(150)]
+    frame = spark.createDataFrame(rows, "transaction_id string, parent_id string, parent_hash string, content_hash string, batch_id string")
+    heads = spark.createDataFrame([("g149",)], "transaction_id string")
+    out = audit.generation_chain(frame, heads).collect()
+    assert sorted(r.hops for r in out) == list(range(150))
+    with pytest.raises(GateClosed):
+        audit.generation_chain(frame.union(frame.filter("transaction_id = 'g3'")), heads)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)

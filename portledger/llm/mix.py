@@ -21,7 +21,7 @@ from portledger.sources.staging import staged
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are the shares of words to this power, made to add up to one: below 1, large groups give way.
-POWERS = {"source": 0.8, "lang": 0.9, "topic": 0.9}
+POWERS = {"source": 0.8, "lang": 0.95, "topic": 1.0}
 ROUNDS = 6
 SEED = "mix"
 NOT_SPACE = SPACE_CLASS.replace("[", "[^", 1) + "+"

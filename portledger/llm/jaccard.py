@@ -227,12 +227,25 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return common.filter(F.col("both") * 100 >= percent * (F.col("sizes") - F.col("both"))).select("a", "b")
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
+def folded(sketch: Column, words: int) -> Column:
+    """A sketch folded to fewer words (a power of two); it still differs in no more bits than the sets."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(words - 1)),
+        lambda j: F.aggregate(
+            F.filter(sketch, lambda w, i: i % words == j), F.lit(0).cast("long"), lambda total, w: total.bitwiseXOR(w)
+        ),
+    )
+
+
+def jaccard_classes(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cells: int = CELLS, carried: int = 0
+) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     ``docs`` needs doc_id and text; other columns are ignored. Null and white texts have no shingles and are
     linked with nothing; a row without an id has a null component. Repeated rows get the same answer
-    each. An empty table gives no rows.
+    each. An empty table gives no rows. ``carried`` is how many words of its sketch go with each signature of a
+    set (0: all); with fewer, the pairs found are held against the whole sketches afterwards.
     """
     docs = doc_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter("doc_id is not null")
@@ -256,13 +269,15 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         "signature", "root", F.coalesce("component", "root").alias("component")
     )
     mixed = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    members = members.join(mixed, "signature").join(profiles, members.root == profiles.doc_id)
+    brief = profiles.withColumn("sketch", folded(F.col("sketch"), carried)) if carried else profiles
+    members = members.join(mixed, "signature").join(brief, members.root == brief.doc_id)
     members = staged(members.select("signature", "root", "component", "n", "sketch"), "open-members")
     discard(shared)
     left = members.select("signature", *(F.col(c).alias(f"x_{c}") for c in ("root", "component", "n", "sketch")))
     right = members.select("signature", *(F.col(c).alias(f"y_{c}") for c in ("root", "component", "n", "sketch")))
     close = (left.signature == right.signature) & (F.col("x_component") < F.col("y_component")) & may_be_similar(percent, "x_", "y_")
     across = left.join(right, close).select(F.least("x_root", "y_root").alias("a"), F.greatest("x_root", "y_root").alias("b")).distinct()
+    across = promising(across, profiles, percent) if carried else across
     across = staged(across.join(star, ["a", "b"], "left_anti"), "open-pairs")
     links = staged(links.unionByName(similar(across, known, words, percent)), "all-links")
     label = components(links)
@@ -296,8 +311,8 @@ def promising(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").filter(may_be_similar(percent, "x_", "y_")).select("a", "b").distinct()
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, cells: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, cells: int = 2, carried: int = 4) -> DataFrame:
     """The document with the smallest id of each group, with all its columns; rows without an id stay."""
-    classes = jaccard_classes(docs, words, percent, cells).filter("doc_id is not null")
+    classes = jaccard_classes(docs, words, percent, cells, carried).filter("doc_id is not null")
     gone = classes.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

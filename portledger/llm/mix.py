@@ -5,12 +5,17 @@ factor a source, a language and a topic is fitted in turn so that the cells, wei
 up to the targets. A document stays with a probability in proportion to its cell's weight, the largest
 being one, so the expected words of the sample have the target shares.
 
+Where that would keep less than ``KEPT`` of the words, because a small group sets the scale, ``drawn`` holds to
+that budget: groups with fewer words than they should give stay whole, the others share the rest by their targets,
+and cells that reach the probability one stay there while the rest is fitted again.
+
 Everything here is DataFrame functions. Documents are aggregated to cells before anything else; factors are
 written after each step, which ends their lineage, and joins are left to the planner, which broadcasts by size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +28,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are the shares of words to this power, made to add up to one: below 1, large groups give way.
 POWERS = {"source": 0.8, "lang": 0.95, "topic": 1.0}
 ROUNDS = 6
+#: Share of the words that ``drawn`` keeps at least.
+KEPT = 0.9
 SEED = "mix"
 NOT_SPACE = SPACE_CLASS.replace("[", "[^", 1) + "+"
 
@@ -83,19 +90,64 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int) -> dict[str, D
     return factors
 
 
-def rates(described_docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Probability of each cell: _source, _lang, _topic and _rate."""
+def weights(described_docs: DataFrame, powers: dict[str, float], rounds: int) -> tuple[DataFrame, float]:
+    """Cells with their words and fitted _weight, and the largest weight of a cell with words."""
     keys = [F.col(f"_{name}").alias(name) for name in DIMENSIONS]
     cells = staged(described_docs.groupBy(*keys).agg(F.sum("_words").alias("words")), "mix-cells")
-    factors = rake(cells, powers or POWERS, rounds)
+    factors = rake(cells, powers, rounds)
     weighted = reduce(lambda df, name: df.join(factors[name].drop(f"{name}_target"), name), DIMENSIONS, cells)
     product = reduce(lambda a, b: a * b, [F.col(f"{name}_factor") for name in DIMENSIONS])
     weighted = staged(weighted.select(*DIMENSIONS, "words", product.alias("_weight")), "mix-weights")
-    most = weighted.filter("words > 0").agg(F.max("_weight")).first()[0] or 1.0
-    return weighted.select(
-        *(F.col(name).alias(f"_{name}") for name in DIMENSIONS),
-        F.least(F.lit(1.0), F.col("_weight") / F.lit(float(most))).alias("_rate"),
-    )
+    return weighted, float(weighted.filter("words > 0").agg(F.max("_weight")).first()[0] or 1.0)
+
+
+def rates(described_docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """Probability of each cell: _source, _lang, _topic and _rate."""
+    weighted, most = weights(described_docs, powers or POWERS, rounds)
+    return as_rates(weighted, F.col("_weight") / F.lit(most))
+
+
+def as_rates(cells: DataFrame, rate: Column) -> DataFrame:
+    return cells.select(*(F.col(name).alias(f"_{name}") for name in DIMENSIONS), F.least(F.lit(1.0), rate).alias("_rate"))
+
+
+def wanted(cells: DataFrame, name: str, power: float, budget: float) -> DataFrame:
+    """Words each group should give: its target's part of ``budget``, or all of them where it has fewer."""
+    groups = staged(cells.groupBy(name).agg(F.sum("words").alias("_n")).withColumn("_p", F.pow("_n", F.lit(power))), f"mix-{name}")
+    scale = 0.0
+    while True:
+        whole = F.col("_p") * F.lit(scale) >= F.col("_n")
+        sums = groups.agg(F.sum(F.when(whole, F.col("_n")).otherwise(0)), F.sum(F.when(whole, 0.0).otherwise(F.col("_p")))).first()
+        after = (budget - sums[0]) / sums[1] if sums[1] else scale
+        if after <= scale * (1 + 1e-9):
+            return groups.select(name, F.least(F.col("_n").cast("double"), F.col("_p") * F.lit(scale)).alias("_wanted"))
+        scale = after
+
+
+def budgeted(described_docs: DataFrame, kept: float = KEPT, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """As ``rates``, but at least ``kept`` of the words are expected to stay."""
+    powers = powers or POWERS
+    cells, most = weights(described_docs, powers, rounds)
+    whole, now = cells.agg(F.sum("words"), F.sum(F.col("words") * F.col("_weight"))).first()
+    if not whole or now / most >= kept * whole:
+        return as_rates(cells, F.col("_weight") / F.lit(most))
+    aims = {name: staged(wanted(cells, name, powers[name], kept * whole), f"mix-{name}") for name in DIMENSIONS}
+    cells = cells.withColumn("_weight", F.col("_weight") * F.lit(kept * whole / now))
+    for _ in range(rounds):
+        for name in DIMENSIONS:
+            free = F.col("_weight") < 1
+            sums = cells.groupBy(name).agg(
+                F.sum(F.when(free, F.col("words") * F.col("_weight")).otherwise(0.0)).alias("_free"),
+                F.sum(F.when(free, 0).otherwise(F.col("words"))).alias("_held"),
+            )
+            ratio = (
+                F.when((F.col("_free") > 0) & (F.col("_wanted") > F.col("_held")), (F.col("_wanted") - F.col("_held")) / F.col("_free"))
+                .when(F.col("_free") + F.col("_held") > 0, F.col("_wanted") / (F.col("_free") + F.col("_held")))
+                .otherwise(1.0)
+            )
+            steps = sums.join(aims[name], name).select(name, ratio.alias("_step"))
+            cells = staged(cells.join(steps, name).select(*DIMENSIONS, "words", (F.col("_weight") * F.col("_step")).alias("_weight")), "mix-held")
+    return as_rates(cells, F.col("_weight"))
 
 
 def sampled(docs: DataFrame) -> DataFrame:
@@ -119,10 +171,19 @@ def sampled(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents drawn, with all their columns."""
+    return with_rates(docs, rates)
+
+
+def drawn(docs: DataFrame) -> DataFrame:
+    """The documents drawn within the budget of words, with all their columns."""
+    return with_rates(docs, budgeted)
+
+
+def with_rates(docs: DataFrame, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rows = described(docs)
     names = [f"_{name}" for name in DIMENSIONS]
-    drawn = rows.join(rates(rows.select(*names, "_words")), names).filter("_draw < _rate")
-    return drawn.select(*(f"`{c}`" for c in docs.columns))
+    kept = rows.join(of(rows.select(*names, "_words")), names).filter("_draw < _rate")
+    return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 def sql(rounds: int = ROUNDS) -> str:

@@ -257,3 +257,30 @@ def test_mixing_meets_targets_and_sql(spark, docs, no_docs):
 def test_mixing_plan_is_native(docs):
     plan = mix.mixed(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
+
+
+def test_mixing_keeps_its_budget_beside_a_tiny_source(spark):
+    """One short document of a new source must not set the scale for all others."""
+    rows = [(i, "abc " * (50 + i % 40), ("en", "de")[i % 2], ("hot", "a", "b")[i % 7 % 3]) for i in range(600)]
+    rows += [(900, "one short text of twenty words " * 3, "en", "rare"), (901, None, "fr", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = mix.described(docs).select(*(f"_{n}" for n in mix.DIMENSIONS), "_words")
+    names = [f"_{n}" for n in mix.DIMENSIONS]
+
+    def shares(of):
+        return cells.join(of(cells), names).selectExpr("*", "_words * _rate as _kept").toPandas()
+
+    small, out = shares(mix.rates), shares(mix.budgeted)
+    assert small._kept.sum() < 0.5 * small._words.sum()
+    assert 0.89 * out._words.sum() < out._kept.sum() and out._rate.between(0, 1).all()
+    assert out[out._source == "rare"]._rate.min() == 1
+    part = {n: out.groupby(f"_{n}")[["_words", "_kept"]].sum() for n in mix.DIMENSIONS}
+    hot, others = part["source"].loc["hot"], part["source"].loc[["a", "b"]]
+    assert hot._kept / hot._words < (others._kept / others._words).min()
+    assert mix.drawn(docs).columns == docs.columns and mix.drawn(docs).count() > 0.8 * len(rows)
+    assert mix.drawn(docs.limit(0)).count() == 0
+
+
+def test_mixing_budget_leaves_kind_corpora_alone(spark):
+    docs = spark.createDataFrame([(i, "some words of a text", "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string")
+    assert mix.drawn(docs).count() == 20

@@ -11,7 +11,7 @@ from portledger.sources.staging import staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay whose language is known; texts without a letter, or unlike any language, go."""
+    """Documents stay in whatever language, mixed or rare ones too; texts without a letter go."""
     return langid.keep_known(docs)
 
 

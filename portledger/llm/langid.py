@@ -214,7 +214,13 @@ def identify(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is known with at least this score."""
-    answers = predict(docs, train(doc_rows(docs, "doc_id", "text", "lang")))
-    return answers.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*(f"`{c}`" for c in docs.columns))
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents in some language: a text without a letter goes, however sure or mixed the others are.
+
+    Where no row is labelled there is no language to name, and every text with a letter stays.
+    """
+    network = train(doc_rows(docs, "doc_id", "text", "lang"))
+    if network is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    answers = predict(docs, network)
+    return answers.filter(F.col("_lang_pred") != UNKNOWN).select(*(f"`{c}`" for c in docs.columns))

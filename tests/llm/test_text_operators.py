@@ -284,3 +284,17 @@ def test_mixing_keeps_its_budget_beside_a_tiny_source(spark):
 def test_mixing_budget_leaves_kind_corpora_alone(spark):
     docs = spark.createDataFrame([(i, "some words of a text", "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string")
     assert mix.drawn(docs).count() == 20
+
+
+def test_known_languages_keep_mixed_and_unlabelled_texts(spark):
+    phrases = ("the quick brown fox and", "der schnelle braune fuchs und", "le renard brun rapide et")
+    rows = [(i, " ".join([phrases[i % 3]] * (5 + i % 20)), ("en", "de", "fr")[i % 3]) for i in range(150)]
+    mixed = " ".join(" ".join([p] * n) for p, n in zip(phrases, (45, 35, 20), strict=True))
+    rows += [(900 + i, mixed, "en") for i in range(8)] + [(950, "日本語の文章です", None), (951, "12 !?", "en"), (952, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scores = {r.doc_id: r.score for r in langid.identify(docs).collect()}
+    assert scores[901] < 1
+    want = {r[0] for r in rows} - {951, 952}
+    assert {r.doc_id for r in langid.keep_known(docs).collect()} == want
+    bare = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert {r.doc_id for r in langid.keep_known(bare).collect()} == want

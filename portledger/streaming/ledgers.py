@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from portledger.operators.eventlog import TRANSITIONS
+from portledger.operators import positions as p
 from portledger.operators.ledger import new_rows, waterline_rules
 from portledger.session import scratch_path
 from portledger.sources.staging import staged
@@ -60,10 +61,10 @@ def by_batch(df: DataFrame, name: str, handle: Callable[[DataFrame, int], None],
     return drain
 
 
-def feed(df: DataFrame, name: str, drain: Drain, steps: int = 3) -> None:
-    """Let a table arrive in ``steps`` along ``seq``, draining the stream after each arrival."""
+def feed(df: DataFrame, name: str, drain: Drain, steps: int = 3, path: str | None = None) -> None:
+    """Let a table arrive in ``steps`` along ``seq`` (at ``path``), draining the stream after each arrival."""
     spark = df.sparkSession
-    whole, path = staged(df, f"{name}-all"), scratch_path(spark, name)
+    whole, path = staged(df, f"{name}-all"), path or scratch_path(spark, name)
     cuts = whole.approxQuantile("seq", [i / steps for i in range(1, steps)], 0.01) if steps > 1 else []
     step = sum((F.when(F.col("seq") > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
     for number in range(steps):
@@ -212,31 +213,110 @@ def decision_outbox(stream: DataFrame) -> DataFrame:
 
 
 def _position(key, chunks, group: GroupState) -> Iterator[pd.DataFrame]:
-    shares, cost, realised, latest, done = group.get if group.exists else (0.0, 0.0, 0.0, None, 0)
+    shares, cost, realised, *latest, done, late = group.get if group.exists else (0.0, 0.0, 0.0, None, None, None, 0, False)
     out = []
     for row in _rows(chunks, ["pos", "item", "tie"]):
-        rule, q, p, fees = None, row["quantity"], row["price"], row["fees"] or 0.0
-        if latest is not None and row["pos"] < latest:
-            rule = "LATE"  # needs the batch replay of its key
-        elif row["side"] == "SELL" and q > shares:
+        rule, q, price, fees = None, row["quantity"], row["price"], row["fees"] or 0.0
+        at = (row["pos"], row["item"], row["tie"])
+        late = late or latest[0] is not None and at < tuple(latest)
+        done += 1
+        if late:  # from here on the key is replayed from the log of its fills
+            out.append((*key, done, None, None, None, "LATE"))
+            continue
+        if row["side"] == "SELL" and q > shares:
             rule = "OVERSOLD"
         elif row["side"] == "SELL":
             average = cost / shares
-            realised += q * (p - average) - fees
+            realised += q * (price - average) - fees
             shares -= q
             cost = cost - q * average if shares else 0.0
         else:
-            shares, cost = shares + q, cost + q * p + fees
-        latest = row["pos"] if latest is None else max(latest, row["pos"])
-        done += 1
+            shares, cost = shares + q, cost + q * price + fees
+        latest = at
         out.append((*key, done, shares, cost, realised, rule))
-    group.update((shares, cost, realised, latest, done))
+    group.update((shares, cost, realised, *latest, done, late))
     yield pd.DataFrame(out, columns=["account_ref", "ticker", "step", "shares", "total_cost", "realised", "rule"])
 
 
 def positions(stream: DataFrame) -> DataFrame:
-    """Average-cost positions as keyed state; fills older than the state are marked, not applied."""
+    """Average-cost positions as keyed state; from its first late fill on, a key's fills are marked, not applied."""
     return stream.groupBy("account_ref", "ticker").applyInPandasWithState(
-        _position, POSITION_OUT, "shares double, cost double, realised double, latest long, done long",
+        _position, POSITION_OUT,
+        "shares double, cost double, realised double, pos long, item long, tie long, done long, late boolean",
         "append", GroupStateTimeout.NoTimeout,
     )
+
+
+LIVE = "account_ref string, ticker string, fills long, refused long, shares double, total_cost double, realised double"
+
+
+def replayed(fills: DataFrame) -> DataFrame:
+    """Positions from whole logs of fills, as the keyed state makes them from fills in order.
+
+    The batch fold, for positions of any size; where a sell was more than was held, and is refused, what is held
+    next depends on it, so these positions are folded fill by fill.
+    """
+    rows = fills.select(
+        *p.KEYS, "side", F.col("quantity").cast(p.BIG).alias("quantity"), "price", F.coalesce("fees", F.lit(0.0)).alias("fees"),
+        "pos", F.col("item").alias("seq"), "tie", F.lit("TRADE").alias("event_type"), F.timestamp_micros("pos").alias("trade_time"),
+        F.lit(None).cast("date").alias("entry_date"),
+    ).withColumn("signed", F.when(F.col("side") == "SELL", -F.col("quantity")).otherwise(F.col("quantity")))
+    rows = staged(rows, "replay-fills")
+    folded = staged(p.fold(rows, order=p.Order(p.KEYS, "pos", "seq", 30 * p.DAY, ("tie", "signed", "price"))), "replay-folded")
+    plain = folded.filter(~F.col("oversold")).select(
+        *p.KEYS, F.col("applied").alias("fills"), F.lit(0).cast("long").alias("refused"), F.col("shares").cast("double").alias("shares"),
+        F.coalesce("total_cost", F.lit(0.0)).alias("total_cost"), F.col("realised_pnl").alias("realised"),
+    )
+    packed = rows.join(folded.filter("oversold").select(*p.KEYS), list(p.KEYS), "left_semi").groupBy(*p.KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "seq", "tie", "side", F.col("quantity").cast("double").alias("q"), "price", "fees"))).alias("_f")
+    )
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(0).cast("long").alias("refused"), zero.alias("shares"), zero.alias("total_cost"), zero.alias("realised"))
+
+    def step(held, f):
+        sell, left = f["side"] == "SELL", held["shares"] - f["q"]
+        refused = sell & (left < 0)
+        average = held["total_cost"] / F.nullif(held["shares"], zero)
+        return F.struct(
+            (held["refused"] + refused.cast("long")).alias("refused"),
+            F.when(refused, held["shares"]).when(sell, left).otherwise(held["shares"] + f["q"]).alias("shares"),
+            F.when(refused, held["total_cost"]).when(sell & (left == 0), zero).when(sell, held["total_cost"] - f["q"] * average)
+            .otherwise(held["total_cost"] + f["q"] * f["price"] + f["fees"]).alias("total_cost"),
+            F.when(sell & ~refused, held["realised"] + f["q"] * (f["price"] - average) - f["fees"]).otherwise(held["realised"]).alias("realised"),
+        )
+
+    one_by_one = packed.select(*p.KEYS, F.size("_f").cast("long").alias("fills"), F.aggregate("_f", start, step).alias("_e"))
+    return plain.unionByName(one_by_one.select(*p.KEYS, "fills", "_e.*"))
+
+
+def live_positions(df: DataFrame, name: str, steps: int = 3) -> DataFrame:
+    """Positions of fills that arrive along ``seq`` in any order of their own times.
+
+    Keys whose fills arrive in order are kept as state. Rows of a key from its first late fill on go to a table of
+    their own; each batch that brings some replays these keys from the log of all fills.
+    """
+    spark = df.sparkSession
+    log, out, late, again = (scratch_path(spark, f"{name}{part}") for part in ("", "-applied", "-late", "-replayed"))
+
+    def handle(batch: DataFrame, number: int) -> None:
+        # A batch replayed after a failure writes its own folders anew.
+        session, rows = batch.sparkSession, staged(batch, f"{name}-batch")
+        marked = F.coalesce(F.col("rule") == "LATE", F.lit(False))
+        rows.filter(~marked).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows.filter(marked).write.mode("overwrite").parquet(f"{late}/batch={number}")
+        keys = rows.filter(marked).select(*p.KEYS).distinct()
+        made = session.createDataFrame([], LIVE)
+        if not keys.isEmpty():
+            made = replayed(session.read.schema(df.schema).parquet(log).join(keys, list(p.KEYS), "left_semi"))
+        made.write.mode("overwrite").parquet(f"{again}/batch={number}")
+
+    drain = by_batch(df, name, handle)
+    feed(df, name, lambda stream: drain(positions(stream)), steps, log)
+    replays = spark.read.schema(f"{LIVE}, batch int").parquet(again).groupBy(*p.KEYS).agg(
+        F.max_by(F.struct("fills", "refused", "shares", "total_cost", "realised"), "batch").alias("_e")
+    )
+    kept = spark.read.schema(POSITION_OUT).parquet(out).join(replays, list(p.KEYS), "left_anti").groupBy(*p.KEYS).agg(
+        F.count(F.lit(1)).alias("fills"), F.count_if(F.col("rule") == "OVERSOLD").alias("refused"),
+        F.max_by(F.struct("shares", "total_cost", "realised"), "step").alias("_e"),
+    )
+    return kept.select(*p.KEYS, "fills", "refused", "_e.*").unionByName(replays.select(*p.KEYS, "_e.*"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from portledger.operators import positions as p
 from portledger.operators.scans import DAY
+from portledger.streaming import ledgers as streams
 
 START = dt.datetime(2026, 7, 1, 13, 30)
 SCHEMA = (
@@ -153,3 +154,30 @@ def test_consolidate_keeps_unknown_cost_visible(spark):
     rows = [fill(1, "BUY", 10, 100, 1, account="a"), fill(2, "CREDIT", 1, account="b", kind="STOCK_REWARD")]
     row = p.consolidate(fold(spark, rows)).first()
     assert float(row.shares) == 11 and row.avg_cost is None and not row.cost_known and row.accounts == 2
+
+
+def test_stream_applies_late_fills(spark):
+    """Keys: in order, late buy, late sell, late fill that turns a sale into a refused one, and rows after it."""
+    fills = [  # ticker, side, quantity, price, day of the trade, arrival
+        ("A", "BUY", 10, 5.0, 1, 1), ("A", "SELL", 4, 6.0, 5, 2), ("A", "BUY", 1, 7.0, 9, 3),
+        ("B", "BUY", 10, 5.0, 3, 1), ("B", "BUY", 10, 9.0, 1, 2), ("B", "SELL", 5, 8.0, 6, 3),
+        ("C", "BUY", 10, 5.0, 1, 1), ("C", "BUY", 10, 7.0, 6, 1), ("C", "SELL", 10, 6.0, 4, 3),
+        ("D", "BUY", 5, 5.0, 1, 1), ("D", "SELL", 5, 6.0, 7, 1), ("D", "SELL", 3, 8.0, 4, 2), ("D", "BUY", 2, 1.0, 8, 3),
+    ]
+    rows = [("x", t, side, float(q), price, 0.5, day * 86_400_000_000, i, 0, at) for i, (t, side, q, price, day, at) in enumerate(fills)]
+    df = spark.createDataFrame(
+        rows, "account_ref string, ticker string, side string, quantity double, price double, fees double, pos long, item long, tie long, seq long"
+    )
+    want = {}
+    for t, side, q, price, _, _ in sorted(fills, key=lambda f: f[4]):
+        n, refused, shares, cost, realised = want.get(t, (0, 0, 0.0, 0.0, 0.0))
+        if side == "BUY":
+            shares, cost = shares + q, cost + q * price + 0.5
+        elif q > shares:
+            refused += 1
+        else:
+            realised += q * (price - cost / shares) - 0.5
+            shares, cost = shares - q, (cost - q * cost / shares if shares > q else 0.0)
+        want[t] = (n + 1, refused, shares, cost, realised)
+    found = {r.ticker: tuple(r)[2:] for r in streams.live_positions(df, "late-fills-test").collect()}
+    assert {t: [round(x, 6) for x in v] for t, v in found.items()} == {t: [round(x, 6) for x in v] for t, v in want.items()}

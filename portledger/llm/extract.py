@@ -25,7 +25,7 @@ from portledger.llm.common import as_bytes, slices
 MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
 )
-NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 #: Fixed values of HTML: elements without an end, elements whose text is not shown, and inline elements.
@@ -51,6 +51,17 @@ WORD = re.compile(
     re.I,
 )
 GOOD_WORD, BAD_WORD = 1.0, -6.0
+#: Names of sections in an article that may be what the section is about, where they are the whole name.
+TITLES = frozenset(
+    "discussion legal search notice notices consent copyright social sharing cookie cookies navigation recommendation "
+    "recommendations alert replies".split()
+)
+ASIDE = frozenset("nav footer header aside menu dialog".split())
+HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
+#: An article or main of this share of the page's text, or more, is what the page is about.
+CORE = 0.2
+#: Bound of all evidence against a text; two elements' worth, above what an article and long text can add up to.
+LOWEST = -12.0
 #: Constant, log odds for all text in links, and for a doubling of the words.
 START, LINKED, LENGTH = 0.3, -4.0, 0.3
 #: Smoothness between neighbours and for DOM proximity.
@@ -63,44 +74,109 @@ class Block(NamedTuple):
     text: str
 
 
-def evidence(tag: str, attributes: str) -> float:
-    odds = ELEMENT.get(tag, 0.0)
-    for quoted in NAMES.findall(attributes):
-        words = re.sub(r"[_-]+", " ", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", quoted.strip("\"'")))
-        kinds = {m.lastgroup for m in WORD.finditer(words)}
-        odds += BAD_WORD if "bad" in kinds else GOOD_WORD if "good" in kinds else 0.0
-    return odds
+def named(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
+    """Evidence against and for, of the names of an element; ``inside`` an article or main, ids of headings are their
+    titles, and a section is boilerplate only by a whole name that is no title."""
+    bad = good = 0.0
+    for kind, quoted in NAMES.findall(attributes):
+        if inside and tag in HEADINGS and kind.lower() == "id":
+            continue
+        value = quoted.strip("\"'")
+        for name in value.split() if inside and tag == "section" else [value]:
+            words = re.sub(r"[_-]+", " ", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))
+            kinds = {m.lastgroup for m in WORD.finditer(words)}
+            if inside and tag == "section" and (" " in words.strip() or words.lower() in TITLES):
+                kinds.discard("bad")
+            if "bad" in kinds:
+                bad += BAD_WORD
+            if "good" in kinds:
+                good += GOOD_WORD
+    return bad, good
+
+
+class Element(NamedTuple):
+    tag: str
+    parent: int
+    bad: float
+    good: float
+
+
+def above(elements: list[Element], number: int) -> Iterator[int]:
+    """The element and those around it."""
+    while number:
+        yield number
+        number = elements[number].parent
+
+
+def evidence(elements: list[Element], sizes: list[int]) -> list[float]:
+    """Log odds of the text in each element by its own and all outer names; ``sizes`` are characters of text.
+
+    What holds the page's article, or most of its text and its heading, is its frame: names on it say how the page
+    is laid out, not what its text is, and count only in favour.
+    """
+    cores: set[int] = set()
+    inner = [0] * len(elements)  # text in an element and below
+    for n in range(len(elements) - 1, -1, -1):
+        inner[n] += sizes[n]
+        if n:
+            inner[elements[n].parent] += inner[n]
+    whole = inner[0]
+    for kind in ("article", "main"):
+        best = 0
+        for n, e in enumerate(elements):
+            if e.tag == kind and inner[n] >= max(CORE * whole, 1) and inner[n] > inner[best] * (best > 0):
+                if (kind == "main" or not e.bad or e.good) and not any(elements[m].tag in ASIDE for m in above(elements, n)):
+                    best = n
+        cores |= {best} - {0}
+    frames = {m for n in cores for m in above(elements, n)}
+    title = next((n for n, e in enumerate(elements) if e.tag == "h1"), 0)
+    if not cores:
+        around = set(above(elements, title)) if title else set(range(len(elements)))
+        frames = {n for n in around if 2 * inner[n] > whole}
+    against, odds = [0.0] * len(elements), [0.0] * len(elements)
+    for n, e in enumerate(elements):
+        if n:
+            own = ELEMENT.get(e.tag, 0.0)
+            less = 0.0 if n in frames or e.tag in ("html", "body") else e.bad + min(own, 0.0)
+            against[n] = against[e.parent] + less
+            odds[n] = odds[e.parent] + (0.0 if e.bad and less else e.good) + max(own, 0.0)
+    return [max(LOWEST, a) + o for a, o in zip(against, odds, strict=True)]
 
 
 def blocks(page: str) -> list[Block]:
     """Visible text between block-level markup, in page order, with its elements and their evidence."""
-    found: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = []  # element, its number, evidence so far, shown
+    found: list[tuple[tuple[int, ...], int, float, str]] = []  # path, innermost element, odds of its own, text
+    elements = [Element("", 0, 0.0, 0.0)]
+    sizes = [0]
+    stack: list[tuple[str, int, bool]] = []  # element, its number, shown
+    cores = 0  # open articles and mains
     parts: list[str] = []
-    linked = at = number = links = 0
+    linked = at = links = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(n for tag, n, _, _ in stack if tag not in INLINE)
+            path = tuple(n for tag, n, _ in stack if tag not in INLINE)
             share = min(1.0, linked / len(text))
-            odds = START + (stack[-1][2] if stack else 0.0) + LINKED * share + LENGTH * math.log2(1 + text.count(" "))
-            found.append(Block(path, odds, text))
+            inner = stack[-1][1] if stack else 0
+            sizes[inner] += len(text)
+            found.append((path, inner, START + LINKED * share + LENGTH * math.log2(1 + text.count(" ")), text))
         parts.clear()
         linked = 0
 
     def take(text: str) -> None:
         nonlocal linked
-        if text and (not stack or stack[-1][3]):
+        if text and (not stack or stack[-1][2]):
             parts.append(text)
             linked += len(text) * (links > 0)
 
     def close(depth: int) -> None:
-        nonlocal links
+        nonlocal links, cores
         if any(tag not in INLINE for tag, *_ in stack[depth:]):
             flush()
         links -= sum(tag == "a" for tag, *_ in stack[depth:])
+        cores -= sum(tag in ("article", "main") for tag, *_ in stack[depth:])
         del stack[depth:]
 
     while (m := MARKUP.search(page, at)) is not None:
@@ -128,17 +204,20 @@ def blocks(page: str) -> list[Block]:
             if tag == "br":
                 parts.append(" ")
             continue
-        number += 1
         links += tag == "a"
-        above, shown = (stack[-1][2], stack[-1][3]) if stack else (0.0, True)
+        outer, shown = (stack[-1][1], stack[-1][2]) if stack else (0, True)
         shown = shown and tag not in UNSEEN and not HIDDEN.search(m[3])
-        stack.append((tag, number, above + evidence(tag, m[3]), shown))
+        stack.append((tag, len(elements), shown))
+        elements.append(Element(tag, outer, *named(tag, m[3], cores > 0)))
+        sizes.append(0)
+        cores += tag in ("article", "main")
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = end.start() if end else len(page)
     take(page[at:])
     flush()
-    return found
+    weights = evidence(elements, sizes)
+    return [Block(path, weights[inner] + odds, text) for path, inner, odds, text in found]
 
 
 def nodes(found: list[Block]) -> list[list[Block]]:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -180,3 +181,35 @@ def test_tokenizer_pieces_match_the_whole_tokenizer():
 
 def test_normalised_matches_contract():
     assert re.sub("[\x20\x09-\x0D]", "", " a\tb\x0bc\x1c\xa0d\r\n") == "abc\x1c\xa0d"
+
+
+PROSE = " ".join(f"word{i} of the story" for i in range(25))
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "comments-open", "header-full-width", "single related"])
+@pytest.mark.parametrize("at", ["html", "body", "div", "article"])
+def test_layout_names_on_frames_of_the_article(name, at):
+    on = {t: f' class="{name}"' if t == at and (t, name) != ("article", "single related") else "" for t in ("html", "body", "div", "article")}
+    page = (
+        f"<html{on['html']}><body{on['body']}><nav><a href=/a>one</a></nav><div{on['div']}><article{on['article'] if 'open' in name else ''}>"
+        f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></article><div class='sidebar'><p>Other stories of ours to read.</p></div></div>"
+        f"<div id='comments'><p>{PROSE} says a reader.</p></div><footer>someone</footer></body></html>"
+    )
+    assert extract.main_text(page) == f"Title {PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize("where", ["article", "main"])
+@pytest.mark.parametrize("mark", ["id='discussion'", "id='related-work'", "id='legal-basis'", "class='search-methods'"])
+def test_sections_of_an_article_named_by_their_subject(where, mark):
+    page = (
+        f"<body><{where}><h1 id='comments-on-x'>Title</h1><p>{PROSE}</p><section {mark}><h2 id='search'>Part</h2><p>{PROSE}</p></section>"
+        f"<section id='comments'><p>I do not agree.</p></section><div class='share'><p>Tell others.</p></div></{where}></body>"
+    )
+    assert extract.main_text(page) == f"Title {PROSE} Part {PROSE}"
+
+
+def test_frames_without_an_article():
+    page = f"<body class='has-sidebar'><div id='page' class='no-sidebar'><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div><div id='comments'><p>{PROSE}</p></div></body>"
+    assert extract.main_text(page) == f"Title {PROSE} {PROSE}"
+    cards = f"<body><div><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div><div class='related'><article><p>Another story.</p></article></div></body>"
+    assert extract.main_text(cards) == f"Title {PROSE} {PROSE}"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portledger.llm import chat, exact, extract, jaccard, langid, mix, pack, quality, suffixes, syncmers
+from portledger.llm import chat, exact, extract, jaccard, langid, merkle, mix, pack, quality, suffixes, syncmers
 from portledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_source_mixing", mix.sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.sampled(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", merkle.sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from portledger.llm.common import doc_rows, with_fields
 from portledger.sources.staging import staged
 
-#: Nodes hashed into one, and leaves of a superblock (a power of it).
+#: Nodes hashed into one, and leaves of a superblock: two levels of them.
 FAN = 16
 SPAN = FAN * FAN
 #: One document in so many is tampered with.
@@ -98,17 +98,26 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def level(nodes: DataFrame) -> DataFrame:
-    """The nodes above (_group, _at, hash, _n): a run of FAN becomes one; a group's only node is its root and stays."""
-    runs = nodes.groupBy("_group", F.floor(F.col("_at") / FAN).cast("long").alias("_above")).agg(
+    """The nodes SPAN-fold above (_group, _at, hash, _n) with the run below each and, of large groups, what is between.
+
+    A run of FAN nodes becomes one, twice; a group's only node is its root and stays.
+    """
+    runs = nodes.groupBy("_group", F.floor(F.col("_at") / SPAN).cast("long").alias("_above")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_at", "hash"))), lambda x: x["hash"]).alias("run"), F.max("_n").alias("_below")
     )
+    first = F.sequence(F.lit(1), F.size("run"), F.lit(FAN))
+    runs = runs.withColumn("between", F.transform(first, lambda i: F.sha2(F.array_join(F.slice("run", i, FAN), ""), 256)))
     return runs.select(
         "_group",
         F.col("_above").alias("_at"),
-        F.when(F.col("_below") == 1, F.col("run")[0]).otherwise(F.sha2(F.concat_ws("", "run"), 256)).alias("hash"),
-        F.ceil(F.col("_below") / FAN).cast("long").alias("_n"),
+        F.when(F.col("_below") == 1, F.col("run")[0])
+        .when(F.col("_below") <= FAN, F.col("between")[0])
+        .otherwise(F.sha2(F.array_join("between", ""), 256))
+        .alias("hash"),
+        F.ceil(F.col("_below") / SPAN).cast("long").alias("_n"),
         "run",
-        (F.col("_below") > 1).alias("_joined"),
+        "between",
+        "_below",
     )
 
 
@@ -118,7 +127,7 @@ def levels(nodes: DataFrame, name: str) -> list[DataFrame]:
     out = [nodes]
     while most > 1:
         out.append(staged(level(out[-1].select("_group", "_at", "hash", "_n")), name))
-        most = -(-most // FAN)
+        most = -(-most // SPAN)
     return out
 
 
@@ -126,14 +135,19 @@ def downward(tree: list[DataFrame], roots: DataFrame) -> DataFrame:
     """_group, _at and path of the lowest nodes: from ``roots`` (_group, path) down, each node's runs, lowest first."""
     paths = roots.withColumn("_at", F.lit(0).cast("long"))
     for upper in reversed(tree[1:]):
-        runs = upper.select("_group", "_at", "run", "_joined").join(paths, ["_group", "_at"])
-        each = runs.select("*", F.posexplode("run").alias("_slot", "_hash"))
-        step = F.array(F.struct(F.col("_slot").alias("slot"), F.col("run").alias("run")))
+        nodes = upper.select("_group", "_at", "run", "between", "_below").join(paths, ["_group", "_at"])
+        each = nodes.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.size("run") - 1)))
+        place, run = F.col("_slot") % FAN, F.floor(F.col("_slot") / FAN).cast("int")
+        near = F.array(F.struct(place.alias("slot"), F.slice("run", run * FAN + 1, FAN).alias("run")))
+        far = F.array(F.struct(run.alias("slot"), F.col("between").alias("run")))
         paths = each.select(
             "_group",
-            (F.col("_at") * FAN + F.col("_slot")).alias("_at"),
+            (F.col("_at") * SPAN + F.col("_slot")).alias("_at"),
             *(c for c in roots.columns if c not in ("_group", "path")),
-            F.when(F.col("_joined"), F.concat(step, "path")).otherwise(F.col("path")).alias("path"),
+            F.when(F.col("_below") == 1, F.col("path"))
+            .when(F.col("_below") <= FAN, F.concat(near, "path"))
+            .otherwise(F.concat(near, far, "path"))
+            .alias("path"),
         )
     return paths
 
@@ -144,9 +158,7 @@ PATH = "array<struct<slot:int,run:array<string>>>"
 def outer_runs(rows: DataFrame) -> DataFrame:
     """_group, _block, subroot, root and path of every superblock of the numbered leaves ``rows``."""
     nodes = rows.select("_group", "_at", F.col("leaf").alias("hash"), "_n")
-    for _ in range(2):  # SPAN is FAN squared
-        nodes = level(nodes).select("_group", "_at", "hash", "_n")
-    tree = levels(staged(nodes, "manifest-blocks"), "manifest-level")
+    tree = levels(staged(level(nodes).select("_group", "_at", "hash", "_n"), "manifest-blocks"), "manifest-level")
     subroots = tree[-1].select("_group", F.col("hash").alias("subroot"))
     named = numbered(subroots.select(F.lit("").alias("_group"), F.col("_group").alias("_source"), "subroot"), ["_source"])
     top = levels(named.select("_group", "_at", F.col("subroot").alias("hash"), "_n"), "manifest-top")

@@ -175,32 +175,28 @@ def compare(key: tuple, cells: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFram
     counts = np.zeros((len(seen), len(sides)), np.int64)
     counts[row.reshape(-1), cells["source"].map(place).to_numpy(np.int64)] = cells["count"].to_numpy(np.int64)
     total = sides["n"].to_numpy(np.int64)
+    p, none = counts, np.ones(len(sides), np.int64)
     if terms:
         p, none = share(counts, total[None, :], terms), share(np.zeros(len(sides), np.int64), total, terms)
-    else:
-        p = none = np.ones((0, len(sides)), np.int64)
-        none = np.ones(len(sides), np.int64)
     first = np.flatnonzero(sides["tile"].to_numpy() == low)
     second = first if low == high else np.flatnonzero(sides["tile"].to_numpy() == high)
-    names, out = sides["source"].to_numpy(), []
-    for i in first:
-        others = second[second > i] if low == high else second
-        if len(others):
-            out.append(
-                pd.DataFrame(
-                    {
-                        "lang": lang,
-                        "a": names[i],
-                        "b": names[others],
-                        "part_value": distance(p[:, i : i + 1], p[:, others]).sum(axis=0),
-                        "seen": len(seen),
-                        "unseen_value": distance(none[i], none[others]),
-                        "v": terms,
-                    }
-                )
-            )
-    empty = pd.DataFrame({name: [] for name in ("lang", "a", "b", "part_value", "seen", "unseen_value", "v")})
-    return pd.concat(out) if out else empty
+    names = sides["source"].to_numpy()
+    ways = [(i, second[second > i] if low == high else second) for i in first]
+    empty = np.empty(0, np.int64)
+    a = np.concatenate([empty, *(np.full(len(others), i) for i, others in ways)])
+    b = np.concatenate([empty, *(others for _, others in ways)])
+    values = [distance(p[:, i : i + 1], p[:, others]).sum(axis=0) for i, others in ways]
+    return pd.DataFrame(
+        {
+            "lang": lang,
+            "a": names[a],
+            "b": names[b],
+            "part_value": np.concatenate([empty, *values]),
+            "seen": len(seen),
+            "unseen_value": distance(none[a], none[b]),
+            "v": terms,
+        }
+    )
 
 
 def pairs(kept: DataFrame, groups: DataFrame, block: int, tile: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portledger.llm import chat, divergence, exact, extract, jaccard, langid, merkle, mix, pack, quality, suffixes, syncmers
+from portledger.llm import chat, divergence, exact, extract, jaccard, langid, merkle, mix, pack, quality, suffixes, syncmers, vamana
 from portledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_source_divergence", divergence.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_nearest_neighbours")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.neighbours(table(spark, sf_dir, "embeddings"))

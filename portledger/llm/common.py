@@ -48,14 +48,16 @@ def doc_rows(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in columns))
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table written by ``staged`` once everything that reads it has been written itself.
-
-    The collectors are run so that Spark's cleaner also drops the shuffle files of steps that are over.
-    """
-    spark = df.sparkSession
+def release(spark: SparkSession) -> None:
+    """Run the collectors, so that Spark's cleaner drops the shuffle files of steps that are over."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table written by ``staged`` once everything that reads it has been written itself."""
+    spark = df.sparkSession
+    release(spark)
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

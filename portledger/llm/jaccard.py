@@ -2,9 +2,12 @@
 
 Sizes are cut into bands so that similar sets lie in one band or in neighbouring ones. Within a band the
 similarity bounds how many features two sets may differ in, ``k``. The feature domain is hashed into
-``k // 2 + 1`` parts, so similar sets differ in at most one feature of some part, and each part into CELLS cells;
-leaving out each cell in turn enumerates the subsets, one of which misses the difference. The features
-in a subset, hashed together with band, part and subset, are a signature: similar sets share one, always.
+``k // (d + 1) + 1`` parts, so similar sets differ in at most ``d`` features of some part. A part is cut into ``d + 1`` cells, one of
+which none of the differences falls into: the features in a cell, hashed together with band, part and cell, are a
+signature, and similar sets share one, always. An empty cell would say nothing: where a part has one, it is
+cut anew by another hash, up to LEVELS times; similar sets that shared only the empty cell share one of the
+new ones for the same reason. ``d`` is chosen so that a part holds some features, which leaves few parts with an empty
+cell at all levels.
 
 Sets that are equal are joined by a digest first. Rows of one signature are sorted next to each other and
 compared with the smallest of them (a star); links found so make components, and only pairs of one
@@ -28,14 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portledger.llm.common import as_bytes, discard, doc_rows, slices
+from portledger.llm.common import as_bytes, discard, doc_rows, release, slices
 from portledger.llm.graph import components
 from portledger.sources.staging import staged
 
-#: Similar means intersection * 100 >= union * 90; words in a shingle; cells of a part.
+#: Similar means intersection * 100 >= union * 90; words in a shingle; features that a part should hold; times it is cut.
 PERCENT = 90
 WORDS = 3
-CELLS = 3
+HELD = 16
+LEVELS = 12
+#: Members of a signature that meet all others in one piece of work, and pairs that a task makes.
+MEMBERS, PAIRS = 256, 2_000_000
 CACHE_WORDS = 100_000
 #: A parity sketch has this many bits, or the next power of two from twice the features.
 SKETCH = 1024
@@ -83,9 +89,9 @@ class Shingles:
 class Signatures:
     """PartEnum signatures of feature sets for a similarity of ``percent``."""
 
-    def __init__(self, percent: int, cells: int):
+    def __init__(self, percent: int, held: int = HELD):
         self.first, self.last = size_bands(percent)
-        self.percent, self.cells = percent, cells
+        self.percent, self.held = percent, held
 
     def differences(self, band: int) -> int:
         """Similar sets of this band and the one below differ in at most so many features."""
@@ -101,15 +107,28 @@ class Signatures:
         k = self.differences(band)
         if not k:  # equal sets only, which the digest joins
             return np.empty(0, np.uint64)
-        parts = k // 2 + 1
-        count = np.uint64(parts * self.cells)
-        cell = ((_mixed(features ^ M2) >> np.uint64(32)) * count >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(parts * self.cells, dtype=np.uint64)
-        np.add.at(sums, cell, _mixed(features + M1))
-        sums = sums.reshape(parts, self.cells)
-        without = (sums.sum(1, dtype=np.uint64)[:, None] - sums).reshape(-1)
-        place = np.arange(parts * self.cells, dtype=np.uint64) + np.uint64(band << 40)
-        return _mixed(without ^ _mixed(place * M1))
+        # Differences allowed in a part: so many that it holds enough features.
+        allowed = min(k, max(1, -(-self.held * k // self.last[band]) - 1))
+        parts, cells = k // (allowed + 1) + 1, allowed + 1
+        part = ((_mixed(features ^ M2) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        value, out = _mixed(features + M1), []
+        for level in range(LEVELS):
+            cell = (_mixed(features * M1 + np.uint64(level + 1)) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)
+            place = part * cells + cell.astype(np.int64)
+            sums = np.zeros(parts * cells, dtype=np.uint64)
+            np.add.at(sums, place, value)
+            empty = (np.bincount(place, minlength=parts * cells) == 0).reshape(parts, cells)
+            given = ~empty if level < LEVELS - 1 else np.ones_like(empty)
+            if level:
+                given &= again[:, None]
+            number = np.arange(parts * cells, dtype=np.uint64) + np.uint64((band << 44) + (level << 36))
+            out.append(_mixed(sums ^ _mixed(number * M1))[given.reshape(-1)])
+            again = empty.any(1) if not level else again & empty.any(1)
+            if not again.any():
+                break
+            kept = again[part]
+            features, part, value = features[kept], part[kept], value[kept]
+        return np.concatenate(out)
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
@@ -140,12 +159,12 @@ def may_be_similar(percent: int, a: str, b: str) -> Column:
     return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (bits * (100 + percent) <= (m + n) * (100 - percent))
 
 
-def features(docs: DataFrame, words: int, percent: int, cells: int) -> DataFrame:
+def features(docs: DataFrame, words: int, percent: int, held: int) -> DataFrame:
     """doc_id, n_shingles, a digest and a sketch of the set and its signatures."""
     schema = "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>, signatures array<bigint>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, signatures = Shingles(words), Signatures(percent, cells)
+        shingles, signatures = Shingles(words), Signatures(percent, held)
         for batch in slices(batches):
             sets = [shingles(text) for text in as_bytes(batch.column(1))]
             found = [signatures(s) for s in sets]
@@ -238,18 +257,20 @@ def folded(sketch: Column, words: int) -> Column:
 
 
 def jaccard_classes(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cells: int = CELLS, carried: int = 0
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, held: int = HELD, carried: int = 16
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     ``docs`` needs doc_id and text; other columns are ignored. Null and white texts have no shingles and are
     linked with nothing; a row without an id has a null component. Repeated rows get the same answer
-    each. An empty table gives no rows. ``carried`` is how many words of its sketch go with each signature of a
-    set (0: all); with fewer, the pairs found are held against the whole sketches afterwards.
+    each. An empty table gives no rows. A text of any length is one set. ``carried`` is how many words (a power of
+    two) of its sketch go with a signature of a set; the pairs found are held against the whole sketches afterwards.
     """
+    spark = docs.sparkSession
+    release(spark)  # what earlier steps have left on disk
     docs = doc_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter("doc_id is not null")
-    signed = staged(features(docs, words, percent, cells), "shingle-signatures")
+    signed = staged(features(docs, words, percent, held), "shingle-signatures")
     sets = staged(signed.drop("signatures"), "shingle-sets")
     shared = staged(shared_signatures(signed.filter("doc_id is not null")), "multiple-signatures")
     discard(signed)
@@ -268,17 +289,31 @@ def jaccard_classes(
     members = members.join(label, members.root == label.node, "left").select(
         "signature", "root", F.coalesce("component", "root").alias("component")
     )
-    mixed = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    brief = profiles.withColumn("sketch", folded(F.col("sketch"), carried)) if carried else profiles
+    # A frequent signature is cut: a piece of its members meets all of them.
+    mixed = members.groupBy("signature").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
+    )
+    mixed = mixed.filter("low < high").withColumn("pieces", F.ceil(F.col("members") / MEMBERS).cast("int"))
+    brief = profiles.withColumn("sketch", folded(F.col("sketch"), carried))
     members = members.join(mixed, "signature").join(brief, members.root == brief.doc_id)
-    members = staged(members.select("signature", "root", "component", "n", "sketch"), "open-members")
+    members = staged(members.select("signature", "root", "component", "n", "sketch", "members", "pieces"), "open-members")
     discard(shared)
-    left = members.select("signature", *(F.col(c).alias(f"x_{c}") for c in ("root", "component", "n", "sketch")))
-    right = members.select("signature", *(F.col(c).alias(f"y_{c}") for c in ("root", "component", "n", "sketch")))
-    close = (left.signature == right.signature) & (F.col("x_component") < F.col("y_component")) & may_be_similar(percent, "x_", "y_")
+    pairs = members.agg(F.sum("members")).first()[0] or 0
+    # Partitions by the pairs they make: the rows that make them are too few to tell.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs // PAIRS + 1)
+
+    def side(name: str, piece: Column) -> DataFrame:
+        rows = members.withColumn("piece", piece)
+        rows = rows.select("signature", "piece", *(F.col(c).alias(f"{name}_{c}") for c in ("root", "component", "n", "sketch")))
+        return rows.repartition(tasks, "signature", "piece")
+
+    left = side("x", F.pmod(F.xxhash64("root"), F.col("pieces")).cast("int"))
+    right = side("y", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    same = (left.signature == right.signature) & (left.piece == right.piece)
+    close = same & (F.col("x_component") < F.col("y_component")) & may_be_similar(percent, "x_", "y_")
     across = left.join(right, close).select(F.least("x_root", "y_root").alias("a"), F.greatest("x_root", "y_root").alias("b")).distinct()
-    across = promising(across, profiles, percent) if carried else across
-    across = staged(across.join(star, ["a", "b"], "left_anti"), "open-pairs")
+    across = staged(across.join(star, ["a", "b"], "left_anti"), "open-candidates")
+    across = staged(promising(across, profiles, percent), "open-pairs")
     links = staged(links.unionByName(similar(across, known, words, percent)), "all-links")
     label = components(links)
     linked = roots.join(label, roots.root == label.node, "left").select(
@@ -311,8 +346,8 @@ def promising(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").filter(may_be_similar(percent, "x_", "y_")).select("a", "b").distinct()
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, cells: int = 2, carried: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, held: int = HELD) -> DataFrame:
     """The document with the smallest id of each group, with all its columns; rows without an id stay."""
-    classes = jaccard_classes(docs, words, percent, cells, carried).filter("doc_id is not null")
+    classes = jaccard_classes(docs, words, percent, held).filter("doc_id is not null")
     gone = classes.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

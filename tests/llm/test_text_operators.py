@@ -111,9 +111,9 @@ def shingle_set(text, n):
     return {tuple(split[i : i + n]) for i in range(max(1, len(split) - n + 1))} if split else set()
 
 
-@pytest.mark.parametrize(("n", "percent", "cells"), [(3, 90, 3), (5, 80, 2), (2, 60, 3)])
-def test_jaccard_classes(docs, no_docs, corpus, n, percent, cells):
-    out = {r.doc_id: r for r in jaccard.jaccard_classes(docs, n, percent, cells).collect()}
+@pytest.mark.parametrize(("n", "percent", "held"), [(3, 90, 16), (5, 80, 16), (2, 60, 3)])
+def test_jaccard_classes(docs, no_docs, corpus, n, percent, held):
+    out = {r.doc_id: r for r in jaccard.jaccard_classes(docs, n, percent, held).collect()}
     sets = {i: shingle_set(t, n) for i, t in corpus}
     root = {i: i for i in sets}
 

@@ -62,19 +62,29 @@ def test_equal_strings_share_a_bucket():
     assert 60 < len({run[0] for run in runs}) < 200 and sum(run[3] for run in runs) == len(random_text) - 399
 
 
-@settings(deadline=None, max_examples=80)
-@given(st.integers(2, 400), st.integers(0, 30), st.integers(0, 30), st.sampled_from([80, 90]), st.integers(0, 10**6))
-def test_similar_sets_share_a_signature(size, less, more, percent, seed):
+@settings(deadline=None, max_examples=300)
+@given(st.integers(2, 400), st.integers(0, 30), st.integers(0, 30), st.sampled_from([80, 90]), st.sampled_from([2, 9, 16]), st.integers(0, 10**6))
+def test_similar_sets_share_a_signature(size, less, more, percent, held, seed):
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
     b = np.concatenate([a[min(less, size - 1) :], rng.integers(0, 1 << 63, more, dtype=np.uint64)])
     both = len(np.intersect1d(a, b))
     if 100 * both >= percent * (len(a) + len(b) - both):
-        signatures = jaccard.Signatures(percent, 3)
+        signatures = jaccard.Signatures(percent, held)
         equal = len(a) == len(b) == both
         assert equal or set(signatures(np.unique(a)).tolist()) & set(signatures(np.unique(b)).tolist())
 
 
+def test_few_signatures_say_nothing_of_a_set():
+    """Sets without a common feature share a signature only where cells are empty."""
+    rng, signatures, shared = np.random.default_rng(4), jaccard.Signatures(80), {}
+    for _ in range(400):
+        for found in signatures(np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))).tolist():
+            shared[found] = shared.get(found, 0) + 1
+    pairs = sum(n * (n - 1) // 2 for n in shared.values())
+    assert pairs <= 400 * 399 / 2 * 0.002
+
+
 @settings(deadline=None, max_examples=30)
 @given(st.integers(1, 2000), st.integers(0, 300), st.integers(0, 300), st.integers(0, 10**6))
 def test_sketches_differ_in_no_more_bits_than_sets(size, less, more, seed):

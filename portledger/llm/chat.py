@@ -49,6 +49,19 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Characters of one stretch of white space that are split at once; the pattern's engine can't take a million.
+SPACES = 20_000
+LONG_SPACES = re.compile(rf"\s{{{SPACES},}}")
+
+
+def encode(coder, text: str) -> list[int]:
+    """Ids of a text of any length; stretches of more than SPACES white characters are encoded in pieces."""
+    cuts = [cut for m in LONG_SPACES.finditer(text) for cut in range(m.start() + SPACES, m.end() - 1, SPACES)]
+    if not cuts:
+        return coder.encode_ordinary(text)
+    return [i for a, b in zip([0, *cuts], [*cuts, len(text)]) for i in coder.encode_ordinary(text[a:b])]
+
+
 def assemble(roles: list[list[int]], texts: list[list[int]], loss: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids and loss mask of turns one after the other, and where each turn begins."""
     head = np.array([len(r) + 2 for r in roles], dtype=np.int64)
@@ -68,7 +81,8 @@ def format_turns(turns: DataFrame, ranks: str) -> DataFrame:
     """Each turn as ids, loss mask and string; a conversation is the concatenation in order of ``turn``.
 
     ``turns`` needs conv_id, turn, role and text; other columns are ignored. Null roles and texts count as
-    empty, null ids and turns stay. Repeated rows are formatted each; an empty table gives no rows.
+    empty, null ids and turns stay. Repeated rows are formatted each; an empty table gives no rows. Texts of any
+    length are formatted whole; only white space of more than SPACES characters in a row gets other ids than in one piece.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,8 +92,8 @@ def format_turns(turns: DataFrame, ranks: str) -> DataFrame:
             roles = [escape(role) for role in plain]
             texts = [escape(value.decode("utf-8", "replace")) for value in as_bytes(batch.column(3))]
             ids, mask, begin = assemble(
-                [coder.encode_ordinary(role) for role in roles],
-                [coder.encode_ordinary(text) for text in texts],
+                [encode(coder, role) for role in roles],
+                [encode(coder, text) for text in texts],
                 [role == LOSS_ROLE for role in plain],
             )
             offsets = pa.array(begin, pa.int32())

@@ -2,8 +2,10 @@
 
 A k-mer of bytes is an anchor when the smallest of its inner s-mers, by hash, is the first or the last one.
 That depends on the k-mer alone, so equal stretches of text have equal anchors whatever surrounds them.
-A fingerprint holds the anchors with the smallest hashes and where each first stands. Two fingerprints
-are alike by the share of those anchors that both have at places that agree on one shift.
+A fingerprint holds the anchors with hashes below a fixed limit, and the smallest ones where these are few, with the
+place where each first stands; it grows with the text. Two fingerprints are alike by the share of their anchors that
+both have in passages: an anchor counts when the next one that both have, or the one before, lies as far from it in
+both texts, but for a part of that distance.
 
 The text after each document is found by cutting the ids into ranges at sampled ids, sending the texts to
 their ranges once, and sending the first text of a range to the range before it as well.
@@ -24,13 +26,11 @@ from pyspark.sql import functions as F
 
 from portledger.llm.common import as_bytes, doc_rows, slices
 
-K, S = 20, 8
-#: Texts of fewer bytes also have anchors of shorter k-mers, as they hold few of the longer.
-SHORT, SHORT_K, SHORT_S = 256, 8, 4
-#: Anchors in a fingerprint.
-ANCHORS = 64
-#: Places agree within this share of the longer text, and always within so many bytes.
-DRIFT, LEAST_DRIFT = 1 / 8, 64
+K, S = 12, 4
+#: Anchors in a fingerprint at least, and the hashes (of 2 ** 32) that it holds all anchors of.
+ANCHORS, LIMIT = 64, (1 << 32) // 16
+#: Two anchors of a passage may stand apart in both texts by so many bytes and this share of their distance.
+LEAST_DRIFT, DRIFT = 64, 1 / 8
 
 ANCHOR = np.dtype([("hash", "<u4"), ("at", "<u4")])
 ROWS = (
@@ -68,22 +68,20 @@ def syncmers(text: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarra
 
 
 def fingerprint(text: bytes) -> np.ndarray:
-    """The anchors with the smallest hashes; a text without a syncmer has one anchor, an empty text none."""
+    """The anchors below the limit, ANCHORS at least; a text without a syncmer has one anchor, an empty text none."""
     if not text:
         return np.empty(0, ANCHOR)
     hashes, at = syncmers(text)
-    if len(text) < SHORT:
-        more, places = syncmers(text, SHORT_K, SHORT_S)
-        hashes, at = np.append(hashes, more), np.append(at, places)
     if not len(hashes):
         hashes, at = np.array([xxhash.xxh32_intdigest(text)], np.uint32), np.zeros(1, np.int64)
-    if len(hashes) > 16 * ANCHORS:
-        low = np.flatnonzero(hashes <= np.partition(hashes, 8 * ANCHORS)[8 * ANCHORS])
+    if len(hashes) > 32 * ANCHORS:
+        low = np.flatnonzero(hashes < LIMIT)
         if len(np.unique(hashes[low])) >= ANCHORS:
             hashes, at = hashes[low], at[low]
     hashes, first = np.unique(hashes, return_index=True)
-    out = np.empty(min(len(hashes), ANCHORS), ANCHOR)
-    out["hash"], out["at"] = hashes[:ANCHORS], at[first[:ANCHORS]]
+    count = max(ANCHORS, int(np.searchsorted(hashes, LIMIT)))
+    out = np.empty(min(len(hashes), count), ANCHOR)
+    out["hash"], out["at"] = hashes[:count], at[first[:count]]
     return out
 
 
@@ -95,20 +93,26 @@ def from_text(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text), ANCHOR)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, length: int = 0) -> float:
-    """Dice share of anchors that match in hash and place; ``length`` is that of the longer text."""
+def complete(anchors: np.ndarray) -> int:
+    """The hash below which a fingerprint holds every anchor of its text."""
+    return 1 << 32 if len(anchors) < ANCHORS else max(LIMIT, int(anchors["hash"][-1]) + 1)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Dice share of the anchors that match in passages, among those that both fingerprints would hold."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a["hash"], b["hash"])
-    limit = union[min(len(union), ANCHORS) - 1]
+    limit = min(complete(a), complete(b))
+    a, b = a[a["hash"] < limit], b[b["hash"] < limit]
     _, i, j = np.intersect1d(a["hash"], b["hash"], assume_unique=True, return_indices=True)
-    i, j = i[a["hash"][i] <= limit], j[b["hash"][j] <= limit]
-    shift = b["at"][j].astype(np.int64) - a["at"][i].astype(np.int64)
-    if not len(shift):
-        return 0.0
-    drift = max(LEAST_DRIFT, DRIFT * length)
-    shared = int((np.abs(shift - np.sort(shift)[len(shift) // 2]) <= drift).sum())
-    return 2 * shared / (min(len(union), ANCHORS) + shared)
+    x, y = a["at"][i].astype(np.int64), b["at"][j].astype(np.int64)
+    order = np.lexsort((y, x))
+    # The two starts are a match as well.
+    x, y = np.append(0, x[order]), np.append(0, y[order])
+    apart, other = np.diff(x), np.diff(y)
+    agree = np.abs(apart - other) <= LEAST_DRIFT + DRIFT * np.maximum(apart, np.abs(other))
+    shared = int((agree | np.append(agree[1:], False)).sum())
+    return 2 * shared / max(1, len(a) + len(b))
 
 
 def edited(text: str, after: str) -> str:
@@ -186,8 +190,8 @@ def _row(held: tuple, after: tuple) -> tuple:
         hashlib.sha256(changed).hexdigest(),
         as_text(own),
         as_text(its),
-        likeness(own, its, max(len(text), len(changed))),
-        likeness(own, after[3], max(len(text), len(after[1]))),
+        likeness(own, its),
+        likeness(own, after[3]),
     )
 
 

@@ -244,7 +244,8 @@ def cut_segments(docs: DataFrame, todo: DataFrame, length: int) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.join(pieces, ["_id", "_content"]).select("text", "_pieces").mapInArrow(task, schema)
+    rows = docs.join(pieces, ["_id", "_content"]).dropDuplicates(["_id", "_content"])
+    return rows.select("text", "_pieces").mapInArrow(task, schema)
 
 
 def kept_parts(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
@@ -268,15 +269,16 @@ def kept_parts(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    joined = docs.join(gone, ["_id", "_content"]).select("_id", "_content", "text", "_gone")
-    return joined.mapInArrow(task, schema).dropDuplicates(["_id", "_content"])
+    joined = docs.join(gone, ["_id", "_content"]).dropDuplicates(["_id", "_content"])
+    return joined.select("_id", "_content", "text", "_gone").mapInArrow(task, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     ``docs`` needs doc_id and text; other columns are ignored. A null text counts as empty, and a text of
-    fewer than ``length`` bytes keeps all. Repeated rows repeat their text, so long ones lose it.
+    fewer than ``length`` bytes keeps all. Repeated rows repeat their text, so long ones lose it; they are worked on once.
+    Texts of any length are cut where their hashes say.
     Rows without an id are treated like others. ``group`` bounds the bytes of a bucket sorted together. An empty table gives no rows.
     """
     docs = doc_rows(docs, "doc_id", "text").select(
@@ -286,12 +288,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, group: int
         "text",
     )
     sets = staged(buckets(docs, length, k), "suffix-buckets")
-    runs = sets.select("_id", "_content", F.explode(F.arrays_zip("key", "segment", "start", "starts", "again")).alias("r")).select("_id", "_content", "r.*")
-    several = runs.groupBy("key").agg(F.count("*").alias("_n"), F.max("again").alias("_again"), (F.min("segment") < F.max("segment")).alias("_differ"))
+    # Of rows repeated with their id one stands for two: that is enough to make its strings repeated.
+    names = ["_id", "_content"]
+    copies = sets.groupBy(*names).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(*names, F.lit(2).alias("_copies"))
+    marked = sets.join(staged(copies, "repeated-rows"), names, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    once = marked.filter("_copies = 1").unionByName(marked.filter("_copies = 2").dropDuplicates(names))
+    runs = once.select(*names, "_copies", F.explode(F.arrays_zip("key", "segment", "start", "starts", "again")).alias("r")).select(*names, "_copies", "r.*")
+    several = runs.groupBy("key").agg(F.sum("_copies").alias("_n"), F.max("again").alias("_again"), (F.min("segment") < F.max("segment")).alias("_differ"))
     several = several.filter("_n > 1 or _again").select("key", (F.col("_differ") | F.col("_again")).alias("_sort"))
     runs = staged(runs.join(several, "key"), "shared-buckets")
     segments = runs.groupBy("key", "segment", "starts").agg(
-        (F.count("*") > 1).alias("counted"), F.max("_sort").alias("_sort"), F.min(F.struct("_id", "_content", "start")).alias("_at")
+        (F.sum("_copies") > 1).alias("counted"), F.max("_sort").alias("_sort"), F.min(F.struct("_id", "_content", "start")).alias("_at")
     )
     segments = staged(segments, "segments")
     todo = segments.filter("_sort")

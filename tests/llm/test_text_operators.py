@@ -2,6 +2,7 @@
 empty tables and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -21,6 +22,10 @@ def frame(df):
     return df.toPandas()
 
 
+def words(rng, n, kinds):
+    return " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))
+
+
 def test_packing_places_each_id_once(docs, no_docs, corpus):
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     whole = Tokenizer.from_file(path)
@@ -237,6 +242,34 @@ def test_repeated_strings(docs, no_docs, corpus, length, k, group):
         assert suffixes.remove_repeats(no_docs, length, k).count() == 0
 
 
+def test_repeated_strings_of_repeated_rows(spark):
+    """Hundreds of equal rows, with and without an id, cost no more than one; what they share with others goes too."""
+    rng = random.Random(9)
+    long, other = (words(rng, 4000, 10**6) for _ in range(2))
+    rows = [(7, long)] * 300 + [(None, other)] * 300 + [(8, "x " + long[500:2000] + " y"), (None, "z" * 100), (9, words(rng, 300, 10**6))]
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r.n_bytes in (len(long), len(other)):
+            assert (r.n_removed, r.n_spans, r.kept_sha256) == (r.n_bytes, 1, hashlib.sha256(b"").hexdigest())
+        elif r.doc_id == 8:
+            assert (r.n_removed, r.n_spans) == (1500, 1)
+        else:
+            assert (r.n_removed, r.n_spans) == (0, 0)
+
+
+def test_passages_shorter_than_the_length_stay(spark):
+    """Passages of over 50 words but under 400 bytes that many documents share are no repeats of 400 bytes."""
+    rng = random.Random(12)
+    short, long = " ".join(f"w{i % 10}" + "abc"[i % 3] for i in range(60)), words(rng, 120, 10**6)
+    assert len(short) < 400 < len(long)
+    rows = [(i, f"{words(rng, 50, 10**6)} {short if i % 2 else long} {words(rng, 50, 10**6)}") for i in range(12)]
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # The blanks around a passage are shared as well.
+    assert {(r.n_removed, r.n_spans) for r in found if r.doc_id % 2} == {(0, 0)}
+    assert all(r.n_spans == 1 and len(long) <= r.n_removed <= len(long) + 4 for r in found if r.doc_id % 2 == 0)
+
+
 def test_mixing_meets_targets_and_sql(spark, docs, no_docs):
     out = mix.sampled(docs).toPandas()
     assert len(out) == docs.count() and out.probability.between(0, 1).all() and out.probability.max() == 1

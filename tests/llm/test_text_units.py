@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from portledger.llm import chat, extract, jaccard, langid, pack, quality, suffixes, syncmers
+from portledger.llm import chat, extract, jaccard, langid, pack, quality, queries, suffixes, syncmers
 
 
 @settings(deadline=None, max_examples=60)
@@ -100,6 +100,15 @@ def test_sketches_differ_in_no_more_bits_than_sets(size, less, more, seed):
     assert bits <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\n" * 60_000 + "b", "x" * 300_000, "7" * 200_000, "!" * 200_000, "é " * 100_000, "a b\tc"])
+def test_long_texts_are_encoded_whole(text):
+    coder = chat.encoding(queries.tokenizer("byte_bpe_50k.tiktoken"))
+    ids = chat.encode(coder, text)
+    assert coder.decode_bytes(ids).decode() == text
+    if len(text) < 10_000 or not text.isspace() and "\n" not in text:
+        assert ids == coder.encode_ordinary(text)
+
+
 def test_fingerprints_follow_content():
     rng = random.Random(2)
     text = " ".join(f"w{rng.randrange(5000)}" for _ in range(800))
@@ -107,12 +116,45 @@ def test_fingerprints_follow_content():
     moved = syncmers.fingerprint(("intro " * 20 + text).encode())
     other = syncmers.fingerprint(" ".join(f"v{rng.randrange(5000)}" for _ in range(800)).encode())
     assert syncmers.likeness(print_, print_) == 1
-    assert syncmers.likeness(print_, moved, len(text)) > 0.9 and syncmers.likeness(print_, other, len(text)) < 0.1
+    assert syncmers.likeness(print_, moved) > 0.9 and syncmers.likeness(print_, other) < 0.1
     assert np.array_equal(syncmers.from_text(syncmers.as_text(print_)), print_)
     empty = syncmers.fingerprint(b"")
     assert syncmers.likeness(empty, empty) == 1 and syncmers.likeness(empty, print_) == 0
 
 
+def test_fingerprints_grow_with_the_text():
+    """A passage of 200 words is found in texts of 20,000, wherever it stands; unlike texts stay unlike."""
+    rng = random.Random(3)
+    make = lambda tag, n: " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n))
+    passage = make("p", 200)
+    a, b = (syncmers.fingerprint(t.encode()) for t in (make("a", 20_000) + passage, passage + make("b", 20_000)))
+    assert len(a) > 1000 and 0.002 < syncmers.likeness(a, b) < 0.05
+    assert syncmers.likeness(a, syncmers.fingerprint(make("c", 20_000).encode())) < 0.001
+
+
+def brute_fingerprint(text, k=12, s=4):
+    """The k-mers whose smallest inner substring is the first or the last, each where it first stands."""
+    out = {}
+    for i in range(len(text) - k + 1):
+        inner = [text[i + j : i + j + s] for j in range(k - s + 1)]
+        hashes = [int(syncmers._mixed(np.frombuffer(x, "<u4").astype(np.uint64))[0]) for x in inner]
+        if min(hashes) in (hashes[0], hashes[-1]):
+            h = np.uint64(hashes[0])
+            for part in (4, 8):
+                h = syncmers._mixed(np.array([h ^ np.uint64(hashes[part])]))[0]
+            out.setdefault(int(h) >> 32, i)
+    kept = sorted(out.items())
+    return kept[: max(64, sum(h < 2**28 for h, _ in kept))]
+
+
+@settings(deadline=None, max_examples=30)
+@given(st.one_of(st.binary(min_size=12, max_size=300), st.text("ab c", min_size=12, max_size=900).map(str.encode), st.integers(0, 10**6).map(lambda n: random.Random(n).randbytes(9000))))
+def test_fingerprint_against_brute_force(text):
+    want = brute_fingerprint(text)
+    if want:
+        assert [tuple(map(int, anchor)) for anchor in syncmers.fingerprint(text)] == want
+
+
 def test_syncmers_do_not_depend_on_context():
     rng = random.Random(4)
     core = bytes(rng.randrange(97, 123) for _ in range(300))

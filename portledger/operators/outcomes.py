@@ -2,9 +2,8 @@
 
 Every lookup is an equi-join against one row per (ticker, minute), (ticker,
 quarter hour) or (ticker, session), with hot keys salted. Price paths are never
-expanded per decision: a session's bars fold into (peak, low, worst fall), those
-summaries compose over 1, 5 and 20 sessions once per ticker, and a decision adds
-only its own first session.
+expanded per decision: bars are summed up once in blocks of minutes, and a path
+between two fills or ends is a handful of blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from portledger.functions.columns import NEW_YORK, ceil_to_minute, session_date
+from portledger.operators.audit import stamp
+from portledger.operators.ledger import visible_as_of
+from portledger.operators.paths import blocks, extremes
 from portledger.operators.skew import attach
 from portledger.sources.staging import staged
 
@@ -202,78 +204,29 @@ def session_offset_close(
     ).drop("_target_idx", "target_date", "target_close", "has_benchmark", "_close")
 
 
-def fall(prices: Column, start: Column) -> Column:
-    """(peak, low, worst) of a price array after an optional start price."""
-    seed = F.struct(start.alias("peak"), start.alias("low"), F.lit(0.0).alias("worst"))
+def with_hold_path(rows: DataFrame, table: DataFrame, **limits) -> DataFrame:
+    """Adds ``hold_max_drawdown_pct`` over (reference, end] to matured horizon rows.
 
-    def step(acc: Column, p: Column) -> Column:
-        peak = F.greatest(acc["peak"], p)
-        return F.struct(
-            peak.alias("peak"), F.least(acc["low"], p).alias("low"),
-            F.least(acc["worst"], p / peak - 1.0).alias("worst"),
-        )
-
-    return F.aggregate(prices, seed, step)
-
-
-def fall_then(x: Column, y: Column) -> Column:
-    """The fall of path ``x`` followed by path ``y``; a missing path changes nothing."""
-    both = F.struct(
-        F.greatest(x["peak"], y["peak"]).alias("peak"),
-        F.least(x["low"], y["low"]).alias("low"),
-        F.least(x["worst"], y["worst"], y["low"] / x["peak"] - 1.0).alias("worst"),
-    )
-    return F.when(x.isNull() | x["peak"].isNull(), y).when(y.isNull() | y["peak"].isNull(), x).otherwise(both)
-
-
-def session_paths(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Per ticker and session: its bars in order, and the fall over the next 1, 5, 20 sessions.
-
-    A session has one bar per minute and one close, so the array is bounded;
-    after that a ticker has one row per session and the window is too.
+    The ends of a decision's horizons cut one path into stretches; ``table`` has the bars in blocks.
     """
-    number = F.broadcast(calendar.select("session_date", "session_idx"))
-    none = F.lit(None).cast("double")
-    days = (
-        bars.groupBy("ticker", "session_date")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("price_at", (F.col("bar_type") == "DAILY_CLOSE").alias("last"), "close"))
-            ).alias("path")
-        )
-        .join(number, "session_date")
-        .withColumn("_f", fall(F.col("path")["close"], none))
-    )
-    ordered = Window.partitionBy("ticker").orderBy("session_idx")
-    empty = F.struct(none.alias("peak"), none.alias("low"), F.lit(0.0).alias("worst"))
-    for k in (1, 5, 20):
-        ahead = F.collect_list(F.struct("session_idx", "_f")).over(ordered.rangeBetween(1, k))
-        days = days.withColumn(
-            f"next_{k}", F.aggregate(F.array_sort(ahead), empty, lambda acc, d: fall_then(acc, d["_f"]))
-        )
-    return days.select("ticker", "session_date", "path", "next_1", "next_5", "next_20")
-
-
-def with_hold_path(
-    rows: DataFrame, paths: DataFrame, *, measured: DataFrame | None = None, **limits
-) -> DataFrame:
-    """Adds ``hold_max_drawdown_pct`` over (reference, end] to matured horizon rows."""
-    joined = attach(rows, paths, ["ticker", "session_date"], measured=measured, **limits)
-    inside = F.filter(
-        "path", lambda b: (b["price_at"] > F.col("reference_at")) & (b["price_at"] <= F.col("end_at"))
-    )
-    mature = F.col("end_at").isNotNull()
-    # A column of its own: the fold is read several times but must run once.
-    joined = joined.withColumn("_first", F.when(mature, fall(inside["close"], F.col("reference_price"))))
-    first = F.col("_first")
-    later = F.when(F.col("offset") == 1, F.col("next_1")).when(F.col("offset") == 5, F.col("next_5")).when(
-        F.col("offset") == 20, F.col("next_20")
-    )
-    worst = F.when(F.col("offset") == 0, first["worst"]).otherwise(fall_then(first, later)["worst"])
-    held = F.when(mature, F.least(worst, F.lit(0.0)) * 100.0)
-    return joined.withColumn("hold_max_drawdown_pct", held).drop(
-        "path", "next_1", "next_5", "next_20", "_first"
-    )
+    order = Window.partitionBy(*KEY).orderBy("hi")
+    ends = rows.filter(F.col("end_at").isNotNull()).select(
+        *KEY, "reference_at", F.col("reference_price").alias("initial"), F.unix_micros("end_at").alias("hi")
+    )
+    start = F.unix_micros("reference_at") + 1
+    stretches = ends.distinct().select(
+        *KEY, "hi", "initial", F.greatest(start, F.lag("hi").over(order)).alias("lo"), F.row_number().over(order).alias("part"),
+        F.lit(1.0).alias("shares"), F.lit(0.0).alias("cash"),
+    ).withColumn("hi", F.col("hi") + 1)
+    stretches = staged(stretches, "hold-stretches")
+    found = extremes(stretches, table, KEY, **limits).select(*KEY, "part", "worst")
+    so_far = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    worst = stretches.join(found, [*KEY, "part"], "left").select(
+        *KEY, (F.col("hi") - 1).alias("_end"), F.coalesce(F.min("worst").over(so_far), F.lit(0.0)).alias("_worst")
+    )
+    joined = rows.withColumn("_end", F.unix_micros("end_at")).join(worst, [*KEY, "_end"], "left")
+    held = F.when(F.col("end_at").isNotNull(), F.coalesce("_worst", F.lit(0.0)) * 100.0)
+    return joined.withColumn("hold_max_drawdown_pct", held).drop("_end", "_worst")
 
 
 def matured_rows(
@@ -350,10 +303,10 @@ def signed_fills(moves: DataFrame) -> DataFrame:
         F.col("trade_time").alias("at"), "seq",
         F.when(sell, -F.col("quantity")).otherwise(F.col("quantity")).alias("dq"),
         (F.when(sell, amount).otherwise(-amount) - F.coalesce("fees", F.lit(0.0))).alias("dc"),
-        F.when(F.upper("trade_time_source") != "BROKER_EXECUTION_TIME", "TRADE_TIME_IS_PROXY")
+        F.when(F.coalesce(F.upper("trade_time_source"), F.lit("")) != "BROKER_EXECUTION_TIME", "TRADE_TIME_IS_PROXY")
         .when(F.col("fees").isNull(), "FEES_MISSING")
         .alias("flaw"),
-        (~F.col("side").isin("BUY", "SELL")).alias("odd_side"),
+        (~F.coalesce(F.col("side").isin("BUY", "SELL"), F.lit(False))).alias("odd_side"),
     )
 
 
@@ -364,6 +317,9 @@ def judge_fills(rows: DataFrame, fills: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy(*KEY).orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
     held = fills.withColumn("held", F.col("start_shares") + F.sum("dq").over(w))
+    # Flaws of time and fees count before any replay; in a replay the first fill that can't be followed ends it.
+    stop = F.when(F.col("odd_side"), "UNSUPPORTED_SIDE").when(F.col("held") < 0, "SOLD_MORE_THAN_HELD")
+    held = held.withColumn("stop", stop)
     ends = rows.filter(F.col("end_at").isNotNull()).select(*KEY, "horizon", "end_at")
     start = F.col("start_shares")
     judged = ends.join(held, list(KEY)).filter(F.col("at") <= F.col("end_at")).groupBy(
@@ -371,61 +327,62 @@ def judge_fills(rows: DataFrame, fills: DataFrame) -> DataFrame:
     ).agg(
         F.count(F.lit(1)).alias("fills"),
         F.min_by("flaw", F.when(F.col("flaw").isNotNull(), F.struct("at", "seq"))).alias("flaw"),
-        F.bool_or("odd_side").alias("odd"),
-        F.min("held").alias("least_held"),
+        F.min_by("stop", F.when(F.col("stop").isNotNull(), F.struct("at", "seq"))).alias("stop"),
     )
     note = (
         F.when(start.isNull() | (start <= 0), "START_SHARES_MISSING")
-        .when(F.col("flaw").isNotNull(), F.col("flaw"))
-        .when(F.col("odd"), "UNSUPPORTED_SIDE")
-        .when(F.col("least_held") < 0, "SOLD_MORE_THAN_HELD")
+        .otherwise(F.coalesce("flaw", "stop"))
     )
     return judged.select(*KEY, "horizon", "end_at", "fills", note.alias("actual_note"))
 
 
-def replay_values(rows: DataFrame, fills: DataFrame, bars: DataFrame, judged: DataFrame) -> DataFrame:
+def replay_values(rows: DataFrame, fills: DataFrame, table: DataFrame, judged: DataFrame, **limits) -> DataFrame:
     """End value and worst fall of every exactly replayable horizon row.
 
-    A window holds one decision's own bars and fills, up to its last exact end.
+    Between two fills value is ``shares * price + cash``: fills and ends cut the path into stretches, whose falls
+    come from the blocks of ``table``. A fill counts from its own instant on; the end's price closes the path.
     """
     exact = judged.filter(F.col("actual_note").isNull()).select(*KEY, "horizon", "end_at")
+    prices = rows.select(*KEY, "horizon", "end_price")
+    exact = exact.join(prices, [*KEY, "horizon"])
     last = exact.groupBy(*KEY).agg(F.max("end_at").alias("last_end"))
     facts = rows.select(*KEY, "start_shares", "reference_price", "reference_at").distinct()
-    spans = last.join(facts, list(KEY))
-    moved = fills.join(last, list(KEY)).filter(F.col("at") <= F.col("last_end")).select(
-        *KEY, "start_shares", "reference_price", "at", F.lit(0).alias("kind"), "seq", "dq", "dc",
-        F.lit(None).cast("double").alias("price"),
-    )
-    day_bars = bars.select(
-        "ticker", F.to_date("price_at").alias("day"), F.col("price_at").alias("at"),
-        (F.col("bar_type") == "DAILY_CLOSE").cast("long").alias("seq"), F.col("close").alias("price"),
-    )
-    days = F.explode(F.sequence(F.to_date("reference_at"), F.to_date("last_end")))
-    marks = (
-        spans.withColumn("day", days).join(day_bars, ["ticker", "day"])
-        .filter((F.col("at") > F.col("reference_at")) & (F.col("at") <= F.col("last_end")))
-        .select(
-            *KEY, "start_shares", "reference_price", "at", F.lit(1).alias("kind"), "seq",
-            F.lit(0.0).alias("dq"), F.lit(0.0).alias("dc"), "price",
+    spans = last.join(facts, list(KEY)).withColumn("_first", F.unix_micros("reference_at") + 1)
+    none = F.lit(0.0)
+
+    def cut(df: DataFrame, at: Column, kind: int, seq: Column, dq: Column, dc: Column) -> DataFrame:
+        return df.select(
+            *KEY, "start_shares", "reference_price", at.alias("lo"), F.lit(kind).alias("kind"), seq.alias("seq"),
+            dq.alias("dq"), dc.alias("dc"),
         )
-    )
-    w = Window.partitionBy(*KEY).orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    value = F.when(F.col("kind") == 1, F.col("held") * F.col("price") + F.col("cash"))
-    initial = F.col("start_shares") * F.col("reference_price")
+
+    zero = F.lit(0).cast("long")
+    moves = fills.drop("start_shares", "reference_price").join(spans, list(KEY)).filter(F.col("at") <= F.col("last_end"))
+    moves = cut(moves, F.greatest(F.unix_micros("at"), F.col("_first")), 2, F.col("seq"), F.col("dq"), F.col("dc"))
+    ends = exact.select(*KEY, "end_at").distinct().join(spans, list(KEY))
     timeline = (
-        moved.unionByName(marks)
-        .withColumn("held", F.col("start_shares") + F.sum("dq").over(w))
-        .withColumn("cash", F.sum("dc").over(w))
-        .withColumn("value", value)
-        .withColumn("peak", F.greatest(initial, F.max("value").over(w)))
-        .withColumn("worst", F.min(F.col("value") / F.col("peak") - 1.0).over(w))
-        # One row per instant: the last bar, which is where a horizon can end.
-        .filter(F.col("kind") == 1)
-        .groupBy(*KEY, "at")
-        .agg(F.max_by("value", "seq").alias("end_value"), F.min("worst").alias("worst"))
-    )
-    return exact.join(timeline.withColumnRenamed("at", "end_at"), [*KEY, "end_at"]).select(
-        *KEY, "horizon", "end_value", "worst"
+        cut(spans, F.col("_first"), 0, zero, none, none)
+        .unionByName(cut(ends, F.unix_micros("end_at") + 1, 1, zero, none, none))
+        .unionByName(moves)
+    )
+    order = Window.partitionBy(*KEY).orderBy("lo", "kind", "seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    timeline = timeline.select(
+        *KEY, "kind", "lo", F.lead("lo").over(order).alias("hi"), F.row_number().over(order).alias("part"),
+        (F.col("start_shares") + F.sum("dq").over(upto)).alias("shares"), F.sum("dc").over(upto).alias("cash"),
+        (F.col("start_shares") * F.col("reference_price")).alias("initial"),
+    )
+    timeline = staged(timeline, "replay-stretches")
+    found = extremes(timeline, table, KEY, **limits).select(*KEY, "part", "worst", "peak")
+    before = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    at_ends = timeline.join(found, [*KEY, "part"], "left").select(
+        *KEY, "kind", (F.col("lo") - 1).alias("_end"), "shares", "cash",
+        F.coalesce(F.min("worst").over(before), none).alias("worst"),
+        F.greatest("initial", F.max("peak").over(before)).alias("peak"),
+    ).filter(F.col("kind") == 1)
+    value = F.col("shares") * F.col("end_price") + F.col("cash")
+    return exact.withColumn("_end", F.unix_micros("end_at")).join(at_ends, [*KEY, "_end"]).select(
+        *KEY, "horizon", value.alias("end_value"), F.least("worst", value / F.col("peak") - 1.0).alias("worst")
     )
 
 
@@ -470,14 +427,82 @@ def final_status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(partial, "MATURED_PARTIAL").otherwise(F.col("status")))
 
 
+def learnt_fills(trades: DataFrame, rules: OutcomeRules) -> DataFrame:
+    """Fills executed, received and parsed by ``as_of``: one learnt later changes no outcome of that time."""
+    return visible_as_of(trades, rules.now(), "trade_time", "received_at", "parsed_at")
+
+
+def seen_bars(bars: DataFrame, rules: OutcomeRules) -> DataFrame:
+    """Bars of times up to ``as_of`` that were collected by then, whole minutes only."""
+    seen = visible_as_of(bars, rules.now(), "bar_at", "collected_at")
+    return seen.filter((F.col("bar_type") != "INTRADAY") | (F.col("collected_at") >= F.col("price_at")))
+
+
+def learnt_too_early(trades: DataFrame) -> DataFrame:
+    """Fills parsed before they were received, or without one of the two times: a violation each."""
+    fine = F.coalesce(F.col("parsed_at") >= F.col("received_at"), F.lit(False))
+    return trades.filter(~fine).withColumn("rule", F.lit("PARSED_BEFORE_RECEIPT"))
+
+
 def outcomes(
     log: DataFrame, bars: DataFrame, trades: DataFrame, calendar: DataFrame, rules: OutcomeRules, **limits
 ) -> DataFrame:
-    """Outcome rows: one per decision, holding and horizon. ``bars`` must be deduplicated."""
+    """Outcome rows: one per decision, holding and horizon. ``bars`` must be deduplicated.
+
+    Only what was known at ``as_of`` counts: log entries, bars and fills are filtered here by event and learn time.
+    """
+    bars, trades = seen_bars(bars, rules), learnt_fills(trades, rules)
+    table = staged(blocks(bars), "price-blocks")
     holdings = staged(decision_holdings(decision_delivery(log, rules), rules), "holdings")
     # Several joins read the results of the lookups: write them once.
     rows = staged(score(matured_rows(holdings, bars, calendar, rules, **limits), rules), "matured")
-    rows = staged(with_hold_path(rows, session_paths(bars, calendar), **limits), "held")
+    rows = staged(with_hold_path(rows, table, **limits), "held")
     fills = staged(signed_fills(trades_in_span(rows, trades)), "fills")
     judged = staged(judge_fills(rows, fills), "judged")
-    return final_status(with_actual(rows, judged, replay_values(rows, fills, bars, judged)))
+    return final_status(with_actual(rows, judged, replay_values(rows, fills, table, judged, **limits)))
+
+
+def _fixed(value: Column) -> Column:
+    return F.when(value.isNotNull() & ~F.isnan(value), F.format_string("%.8f", value)).otherwise("")
+
+
+def outcome_table(scored: DataFrame, rules: OutcomeRules, digest: DataFrame) -> DataFrame:
+    """The outcome table as it is written: 22 columns of text, numbers with eight digits, missing ones empty.
+
+    ``digest`` is the one-row fingerprint of the inputs.
+    """
+
+    def instant(c: str) -> Column:
+        return F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.lit(""))
+
+    start = F.when(F.col("delivered_at").isNull(), "NOT_DELIVERED").when(
+        F.col("reference_price").isNotNull(), "FROM_FIRST_WHOLE_MINUTE"
+    ).when(F.col("status") == "PENDING", "REFERENCE_PENDING").otherwise("REFERENCE_MISSING")
+    done = F.col("end_at").isNotNull()
+    notes = F.array(
+        start, F.when(done & F.col("exposure").isNull(), "EXPOSURE_MISSING"), F.when(done, F.col("actual_note"))
+    )
+    rows = scored.select(
+        "decision_id",
+        "ticker",
+        instant("decision_at").alias("decision_at"),
+        F.coalesce("market_phase", F.lit("UNCONFIRMED")).alias("market_phase"),
+        F.col("action").alias("advice_action"),
+        F.col("relation").alias("user_event_relation"),
+        F.col("horizon").alias("outcome_horizon"),
+        F.col("status").alias("outcome_status"),
+        _fixed(F.col("actual_return_pct")).alias("actual_return_pct"),
+        _fixed(F.col("hold_return_pct")).alias("hold_return_pct"),
+        _fixed(F.col("advice_return_pct")).alias("advice_counterfactual_return_pct"),
+        _fixed(F.col("actual_max_drawdown_pct")).alias("actual_max_drawdown_pct"),
+        _fixed(F.col("hold_max_drawdown_pct")).alias("hold_max_drawdown_pct"),
+        F.lit(f"{rules.cost_bps:.2f} bps on changed exposure").alias("transaction_cost_assumption"),
+        _fixed(F.col("reference_price")).alias("reference_price"),
+        instant("reference_at").alias("reference_price_at"),
+        _fixed(F.col("end_price")).alias("end_price"),
+        instant("end_at").alias("end_price_at"),
+        F.coalesce("price_source", F.lit("")).alias("price_source"),
+        F.concat_ws(";", F.filter(notes, lambda n: n.isNotNull())).alias("notes"),
+        F.date_format(rules.now(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("calculated_at"),
+    )
+    return stamp(rows, digest)

@@ -42,10 +42,15 @@ class Order:
 PIECES = 128
 
 
-def _cut(df: DataFrame, order: Order, group: list[str], limit: int) -> DataFrame:
-    """Add ``_cut``: hot groups cut at quantiles of (position, tie), so a busy instant is cut as well."""
+def _cut(df: DataFrame, order: Order, group: list[str], limit: int) -> DataFrame | None:
+    """Add ``_cut``: hot groups cut at quantiles of (position, tie), so a busy instant is cut as well.
+
+    None where no group is hot.
+    """
     ends = [F.min(order.pos).alias("_p0"), F.min(order.tie).alias("_t0"), F.max(order.tie).alias("_t1")]
     hot = hot_groups(df, group, stats=ends, limit=limit)
+    if hot.isEmpty():
+        return None
     inside = (F.col(order.tie) - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + 1.0)
     place = (F.col(order.pos) - F.col("_p0")).cast("double") + F.coalesce(inside, F.lit(0.0))
     shares = [i / PIECES for i in range(1, PIECES)]
@@ -63,8 +68,13 @@ def with_chunks(df: DataFrame, order: Order, *, limit: int = ROWS) -> DataFrame:
     """Add ``_bucket`` and ``_part``; (bucket, part) never decreases along the order."""
     keys = list(order.keys)
     bucketed = df.withColumn("_bucket", F.floor(F.col(order.pos) / order.width).cast("long"))
-    first = _cut(bucketed, order, [*keys, "_bucket"], limit).withColumnRenamed("_cut", "_part")
+    first = _cut(bucketed, order, [*keys, "_bucket"], limit)
+    if first is None:
+        return bucketed.withColumn("_part", F.lit(0))
+    first = first.withColumnRenamed("_cut", "_part")
     second = _cut(first, order, [*keys, "_bucket", "_part"], limit)
+    if second is None:
+        return first.withColumn("_part", F.col("_part") * PIECES)
     return second.withColumn("_part", F.col("_part") * PIECES + F.col("_cut")).drop("_cut")
 
 

@@ -3,8 +3,7 @@
 One key may hold a third of all rows. ``hot_groups`` measures a table once, before a plan is built on it:
 groups of more than ROWS rows are written down with the number of pieces to cut each into. The limit is a
 fixed number of rows, so a piece never grows with the data. The list is a table; whether it is
-broadcast is left to the planner, which sees its size. The plan is the same at every size: where no
-group is that large the list is empty.
+broadcast is left to the planner, which sees its size. Where the list is empty it isn't joined.
 """
 
 from __future__ import annotations
@@ -59,11 +58,11 @@ def attach(
     keys = list(keys)
     hot = hot_groups((rows if measured is None else measured).select(*keys), keys, **limits)
     mixed = F.xxhash64(*rows.columns)
-    spread = (
-        F.when(~_complete(keys), F.pmod(mixed, F.lit(NULL_SALTS)))
-        .when(F.col("_splits").isNotNull(), F.pmod(mixed, F.col("_splits")))
-        .otherwise(0)
-    )
+    spread = F.when(~_complete(keys), F.pmod(mixed, F.lit(NULL_SALTS)))
+    if hot.isEmpty():
+        left = rows.withColumn("_salt", spread.otherwise(0).cast("int"))
+        return left.join(groups.withColumn("_salt", F.lit(0)), [*keys, "_salt"], how).drop("_salt")
+    spread = spread.when(F.col("_splits").isNotNull(), F.pmod(mixed, F.col("_splits"))).otherwise(0)
     left = rows.join(hot, keys, "left").withColumn("_salt", spread.cast("int")).drop("_splits")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)
     right = (

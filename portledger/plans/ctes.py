@@ -491,7 +491,8 @@ cte("ev_trades", f"""
 SELECT 'A' || (user_id % 50) AS account_ref, 'T' || (user_id % 2) AS ticker, event_type = 'error' AS sell,
        CAST(event_id % 5 + 1 AS DOUBLE) AS quantity, value AS price, CASE WHEN event_id % 97 <> 0 THEN 0.25 END AS fees, ts AS trade_time,
        event_id % 89 = 0 AS proxy, event_id AS seq
-FROM events WHERE event_type IN ('signup', 'error') AND value > 0 AND ts <= {AS_OF}
+FROM events WHERE event_type IN ('signup', 'error') AND value > 0 AND ts + INTERVAL 20 SECOND <= {AS_OF}
+ AND ts + CASE WHEN event_id % 13 = 0 THEN INTERVAL 2 DAY ELSE INTERVAL 30 SECOND END <= {AS_OF}
 """)
 
 cte("moves", """
@@ -504,15 +505,18 @@ FROM hor h JOIN ev_trades t ON t.account_ref = h.account_ref AND t.ticker = h.ti
 
 cte("actual", """
 SELECT decision_id, ticker, horizon, max(start_shares) AS s0, arg_min(CASE WHEN proxy THEN 'TRADE_TIME_IS_PROXY' ELSE 'FEES_MISSING' END, (at_, seq)) FILTER (WHERE proxy OR nofee) AS flaw,
-       min(held) FILTER (WHERE kind = 0) AS least, arg_max(v, (at_, seq)) FILTER (WHERE kind = 1) AS end_value, max(ref) AS ref,
+       min(held) FILTER (WHERE kind = 0) AS least, max(v) FILTER (WHERE kind = 2) AS end_value, max(ref) AS ref,
        min(v / peak - 1) AS worst
 FROM (SELECT *, greatest(start_shares * ref, max(v) OVER (PARTITION BY decision_id, ticker, horizon ORDER BY at_, kind, seq ROWS UNBOUNDED PRECEDING)) AS peak
-  FROM (SELECT *, CASE WHEN kind = 1 THEN held * price + cash END AS v
+  FROM (SELECT *, CASE WHEN kind >= 1 THEN held * price + cash END AS v
     FROM (SELECT *, start_shares + sum(dq) OVER w AS held, sum(dc) OVER w AS cash
           FROM (SELECT * FROM moves UNION ALL
                 SELECT h.decision_id, h.ticker, h.horizon, h.ref, h.start_shares, b.price_at, 1, CASE WHEN b.bar_type = 'DAILY_CLOSE' THEN 1 ELSE 0 END, 0, 0, b.close, false, false
                 FROM hor h JOIN vis_bars b ON b.ticker = h.ticker AND b.price_at > h.ref_at AND b.price_at <= h.end_at
-                WHERE (h.decision_id, h.ticker, h.horizon) IN (SELECT decision_id, ticker, horizon FROM moves))
+                WHERE (h.decision_id, h.ticker, h.horizon) IN (SELECT decision_id, ticker, horizon FROM moves)
+                UNION ALL
+                SELECT decision_id, ticker, horizon, ref, start_shares, end_at, 2, 0, 0, 0, end_price, false, false FROM hor
+                WHERE (decision_id, ticker, horizon) IN (SELECT decision_id, ticker, horizon FROM moves))
           WINDOW w AS (PARTITION BY decision_id, ticker, horizon ORDER BY at_, kind, seq ROWS UNBOUNDED PRECEDING))))
 GROUP BY 1, 2, 3
 """, "moves", "hor", "vis_bars")

@@ -276,6 +276,7 @@ def fx_decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("DECISION_CREATED").alias("event_type"),
         (F.col("ts") - F.expr("interval 2 minutes")).alias("occurred_at"),
         holdings.alias("holdings"),
+        F.when(F.col("event_id") % 4 != 0, "REGULAR").alias("market_phase"),
         (F.col("event_id") * 4).alias("seq"),
     )
     sent = base.filter(F.col("event_id") % 11 != 0).select(
@@ -283,6 +284,7 @@ def fx_decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("EMAIL_SENT").alias("event_type"),
         F.col("ts").alias("occurred_at"),
         F.lit(None).cast(created.schema["holdings"].dataType).alias("holdings"),
+        F.lit(None).cast("string").alias("market_phase"),
         (F.col("event_id") * 4 + 1).alias("seq"),
     )
     return created.unionByName(sent)
@@ -305,6 +307,11 @@ def fx_event_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise("BROKER_EXECUTION_TIME")
             .alias("trade_time_source"),
             F.col("event_id").alias("seq"),
+            # One fill in thirteen is parsed two days after its message came.
+            (F.col("ts") + F.expr("interval 20 seconds")).alias("received_at"),
+            (
+                F.col("ts") + F.when(F.col("event_id") % 13 == 0, F.expr("interval 2 days")).otherwise(F.expr("interval 30 seconds"))
+            ).alias("parsed_at"),
         )
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from portledger.operators import calendars, ledger, outcomes as o
+from portledger.operators import audit, calendars, ledger, outcomes as o, paths
 from portledger.plans.fixtures import (
     fx_bar_ledger,
     fx_decision_events,
@@ -13,6 +13,8 @@ from portledger.plans.fixtures import (
     table,
 )
 from portledger.plans.registry import plan, rounded
+from portledger.session import scratch_path
+from portledger.sources import writers
 from portledger.sources.staging import staged
 
 RULES = o.OutcomeRules(as_of="2024-01-30 22:00:00", zone="UTC")
@@ -25,7 +27,7 @@ def bars(spark, sf_dir):
 
 
 def trades(spark, sf_dir):
-    return ledger.visible_as_of(fx_event_trades(spark, sf_dir), RULES.now(), "trade_time")
+    return o.learnt_fills(fx_event_trades(spark, sf_dir), RULES)
 
 
 def holdings(spark, sf_dir):
@@ -120,7 +122,7 @@ def session_offset_close(spark, sf_dir):
 def path_interval(spark, sf_dir):
     shared, calendar = bars(spark, sf_dir), fx_sessions(spark, sf_dir)
     rows = o.matured_rows(holdings(spark, sf_dir), shared, calendar, RULES).filter(F.col("end_at").isNotNull())
-    out = o.with_hold_path(rows, o.session_paths(shared, calendar))
+    out = o.with_hold_path(staged(rows, "matured"), staged(paths.blocks(shared), "price-blocks"))
     return rounded(out.select("decision_id", "ticker", "horizon", "hold_max_drawdown_pct"))
 
 
@@ -132,13 +134,17 @@ def path_interval(spark, sf_dir):
     uses=("vis_bars",),
 )
 def path_drawdown(spark, sf_dir):
-    none = F.lit(None).cast("double")
-    days = o.session_paths(bars(spark, sf_dir), fx_sessions(spark, sf_dir))
-    worst = o.fall(F.col("path")["close"], none)["worst"]
+    """Each session as one stretch that starts with its first bar."""
+    shared, at, key = bars(spark, sf_dir), F.unix_micros("price_at"), ["ticker", "session_date"]
+    sessions = shared.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("bars"), F.min(at).alias("lo"), (F.max(at) + 1).alias("hi"), F.lit(1).alias("part"),
+        F.lit(1.0).alias("shares"), F.lit(0.0).alias("cash"), F.lit(None).cast("double").alias("initial"),
+    )
+    sessions = staged(sessions, "sessions")
+    falls = paths.extremes(sessions, staged(paths.blocks(shared), "price-blocks"), key)
     return rounded(
-        days.select(
-            "ticker", F.col("session_date").cast("string").alias("session_date"),
-            F.size("path").cast("long").alias("bars"), (worst * 100.0).alias("drawdown_pct"),
+        sessions.join(falls, key).select(
+            "ticker", F.col("session_date").cast("string").alias("session_date"), "bars", (F.col("worst") * 100.0).alias("drawdown_pct")
         )
     )
 
@@ -169,7 +175,7 @@ def replay_shares_cash(spark, sf_dir):
     rows = o.matured_rows(holdings(spark, sf_dir), shared, fx_sessions(spark, sf_dir), RULES)
     rows = staged(rows, "matured")
     fills = staged(o.signed_fills(o.trades_in_span(rows, trades(spark, sf_dir))), "fills")
-    out = o.replay_values(rows, fills, shared, o.judge_fills(rows, fills))
+    out = o.replay_values(rows, fills, staged(paths.blocks(shared), "price-blocks"), o.judge_fills(rows, fills))
     return out.select(
         "decision_id", "ticker", "horizon", F.round("end_value", 4).alias("end_value"),
         (F.round(F.least("worst", F.lit(0.0)) * 100, 6) + 0.0).alias("worst_pct"),
@@ -202,6 +208,39 @@ def actual_vs_hold_vs_advice(spark, sf_dir):
     )
 
 
+@plan(
+    "i6_outcome_table",
+    """SELECT decision_id, ticker, strftime(decision_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS decision_at,
+              CASE WHEN CAST(substr(decision_id, 2) AS BIGINT) % 4 <> 0 THEN 'REGULAR' ELSE 'UNCONFIRMED' END AS market_phase,
+              action AS advice_action, relation AS user_event_relation, horizon AS outcome_horizon,
+              CASE WHEN stat = 'MATURED' AND (exposure IS NULL OR actual_return IS NULL) THEN 'MATURED_PARTIAL' ELSE stat END AS outcome_status,
+              round(actual_return, 4) AS actual_return_pct, coalesce(printf('%.8f', (end_price / ref - 1) * 100), '') AS hold_return_pct,
+              coalesce(printf('%.8f', exposure * ((end_price / ref - 1) * 100) - abs(1 - exposure) * 10 / 100), '') AS advice_counterfactual_return_pct,
+              round(actual_dd, 4) AS actual_max_drawdown_pct, coalesce(printf('%.8f', hold_dd), '') AS hold_max_drawdown_pct,
+              '10.00 bps on changed exposure' AS transaction_cost_assumption, coalesce(printf('%.8f', ref), '') AS reference_price,
+              coalesce(strftime(ref_at, '%Y-%m-%dT%H:%M:%S.%fZ'), '') AS reference_price_at, coalesce(printf('%.8f', end_price), '') AS end_price,
+              coalesce(strftime(end_at, '%Y-%m-%dT%H:%M:%S.%fZ'), '') AS end_price_at,
+              CASE WHEN end_at IS NULL THEN '' ELSE 'feed' END AS price_source, '2024-01-30T22:00:00.000000Z' AS calculated_at,
+              concat_ws(';', CASE WHEN stat = 'NOT_DELIVERED' THEN 'NOT_DELIVERED' WHEN ref IS NOT NULL THEN 'FROM_FIRST_WHOLE_MINUTE'
+                                  WHEN stat = 'PENDING' THEN 'REFERENCE_PENDING' ELSE 'REFERENCE_MISSING' END,
+                        CASE WHEN end_at IS NOT NULL AND exposure IS NULL THEN 'EXPOSURE_MISSING' END, CASE WHEN end_at IS NOT NULL THEN note END) AS notes,
+              true AS stamped
+       FROM scored_outcome""",
+    uses=("scored_outcome",),
+)
+def outcome_table(spark, sf_dir):
+    """The 22 columns as written to the sink and read back; the fingerprint is held against one made anew."""
+    digest = audit.fingerprint(bars(spark, sf_dir), "outcomes")
+    rows = o.outcome_table(scored(spark, sf_dir), RULES, digest)
+    path = scratch_path(spark, "outcome-table")
+    writers.write_sorted(rows, path, "decision_at", "decision_id", "ticker", "outcome_horizon")
+    rows = spark.read.schema(rows.schema).parquet(path)
+    number = [(F.round(F.expr(f"try_cast({c} AS double)"), 4) + 0.0).alias(c) for c in ("actual_return_pct", "actual_max_drawdown_pct")]
+    others = [c for c in rows.columns if c not in ("actual_return_pct", "actual_max_drawdown_pct", "input_sha256")]
+    again = audit.fingerprint(bars(spark, sf_dir), "outcomes").select("input_sha256").scalar()
+    return rows.select(*others, *number, (F.col("input_sha256") == again).alias("stamped"))
+
+
 @plan(
     "j15_calendar_classify",
     """SELECT seq, is_session, in_regular AS in_regular_session, after_regular AS after_regular_session, coalesce(slot, '') AS scheduled_slot,

@@ -69,15 +69,6 @@ def test_nearest_minute_prefers_the_later_of_two_equal_gaps(spark, limits):
     assert got["d1"].close == 2.0 and got["d2"] is None
 
 
-def test_falls_compose(spark):
-    df = spark.createDataFrame([([10.0, 8.0, 12.0], [11.0, 6.0, 7.0])], "a array<double>, b array<double>")
-    none = F.lit(None).cast("double")
-    whole = o.fall(F.concat("a", "b"), none)["worst"]
-    parts = o.fall_then(o.fall(F.col("a"), none), o.fall(F.col("b"), none))["worst"]
-    row = df.select(whole.alias("x"), parts.alias("y")).first()
-    assert row.x == pytest.approx(-0.5) and row.y == pytest.approx(row.x)
-
-
 def test_merge_keeps_old_duplicates_and_adds_new_rows_once(spark):
     old = spark.createDataFrame([("a", None), ("a", None)], "k string, v string")
     new = spark.createDataFrame([("a", ""), ("b", "1"), ("b", "1")], "k string, v string")

@@ -22,6 +22,7 @@ from portledger.functions.columns import (
     text,
     valid_email,
     valid_event_id,
+    valid_ticker,
 )
 from portledger.operators.chains import ends, walk
 from portledger.operators.scans import Order, drop_chunks, running, with_chunks
@@ -158,7 +159,7 @@ def bar_rules(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     price = F.col("close")
     rule = (
         F.when(~F.coalesce(F.col("bar_id").rlike(r"^[A-Za-z0-9._:-]{6,200}$"), F.lit(False)), "BAD_ID")
-        .when(~F.coalesce(F.col("ticker").rlike(r"^[A-Z][A-Z0-9.-]{0,9}$"), F.lit(False)), "BAD_TICKER")
+        .when(~valid_ticker(F.col("ticker")), "BAD_TICKER")
         .when(~F.coalesce(F.col("bar_type").isin("INTRADAY", "DAILY_CLOSE"), F.lit(False)), "BAD_TYPE")
         .when(F.trim(F.coalesce("source", F.lit(""))) == "", "NO_SOURCE")
         .when(price.isNull() | F.isnan(price) | (price <= 0) | (price == float("inf")), "BAD_PRICE")
@@ -305,7 +306,7 @@ def anchor_rules(anchors: DataFrame, expected_at: Column, mode: str, **limits) -
     copies = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
     rule = (
         F.when(~F.coalesce(F.col("anchor_at") == expected_at, F.lit(False)), "ANCHOR_TIME_DIFFERS")
-        .when(~F.coalesce(F.col("ticker").rlike(r"^[A-Z][A-Z0-9.-]{0,9}$"), F.lit(False)), "BAD_TICKER")
+        .when(~valid_ticker(F.col("ticker")), "BAD_TICKER")
         .when(~F.coalesce(F.col("shares") > 0, F.lit(False)), "BAD_SHARES")
         .when(~F.col("source").eqNullSafe(source), "BAD_SOURCE")
         .when(F.lit(mode == "EXACT_USER_ANCHOR") & F.col("avg_cost").isNull(), "COST_REQUIRED")
@@ -523,7 +524,7 @@ def overlay_rules(rows: DataFrame, allowed: Sequence[str], **limits) -> DataFram
         F.when(F.lit(bool(unknown)), "UNKNOWN_FIELDS")
         .when(~valid_event_id(F.col("correction_id")), "BAD_ID")
         .when(~F.col("source").eqNullSafe("user_chat"), "BAD_SOURCE")
-        .when(~F.coalesce(F.col("ticker").rlike(r"^[A-Z][A-Z0-9.-]{0,9}$"), F.lit(False)), "BAD_TICKER")
+        .when(~valid_ticker(F.col("ticker")), "BAD_TICKER")
         .when(F.col("_copies") > 1, "DUPLICATE_TICKER")
         .when(reduce(lambda a, b: a | b, wrong, F.lit(False)), "BAD_NUMBER")
     )

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from portledger.functions.columns import NEW_YORK, ceil_to_minute, session_date
+from portledger.functions.columns import NEW_YORK, ceil_to_minute, fmt_outcome, session_date
 from portledger.operators.audit import stamp
 from portledger.operators.ledger import visible_as_of
 from portledger.operators.paths import blocks, extremes
@@ -462,10 +462,6 @@ def outcomes(
     return final_status(with_actual(rows, judged, replay_values(rows, fills, table, judged, **limits)))
 
 
-def _fixed(value: Column) -> Column:
-    return F.when(value.isNotNull() & ~F.isnan(value), F.format_string("%.8f", value)).otherwise("")
-
-
 def outcome_table(scored: DataFrame, rules: OutcomeRules, digest: DataFrame) -> DataFrame:
     """The outcome table as it is written: 22 columns of text, numbers with eight digits, missing ones empty.
 
@@ -491,15 +487,15 @@ def outcome_table(scored: DataFrame, rules: OutcomeRules, digest: DataFrame) ->
         F.col("relation").alias("user_event_relation"),
         F.col("horizon").alias("outcome_horizon"),
         F.col("status").alias("outcome_status"),
-        _fixed(F.col("actual_return_pct")).alias("actual_return_pct"),
-        _fixed(F.col("hold_return_pct")).alias("hold_return_pct"),
-        _fixed(F.col("advice_return_pct")).alias("advice_counterfactual_return_pct"),
-        _fixed(F.col("actual_max_drawdown_pct")).alias("actual_max_drawdown_pct"),
-        _fixed(F.col("hold_max_drawdown_pct")).alias("hold_max_drawdown_pct"),
+        fmt_outcome(F.col("actual_return_pct")).alias("actual_return_pct"),
+        fmt_outcome(F.col("hold_return_pct")).alias("hold_return_pct"),
+        fmt_outcome(F.col("advice_return_pct")).alias("advice_counterfactual_return_pct"),
+        fmt_outcome(F.col("actual_max_drawdown_pct")).alias("actual_max_drawdown_pct"),
+        fmt_outcome(F.col("hold_max_drawdown_pct")).alias("hold_max_drawdown_pct"),
         F.lit(f"{rules.cost_bps:.2f} bps on changed exposure").alias("transaction_cost_assumption"),
-        _fixed(F.col("reference_price")).alias("reference_price"),
+        fmt_outcome(F.col("reference_price")).alias("reference_price"),
         instant("reference_at").alias("reference_price_at"),
-        _fixed(F.col("end_price")).alias("end_price"),
+        fmt_outcome(F.col("end_price")).alias("end_price"),
         instant("end_at").alias("end_price_at"),
         F.coalesce("price_source", F.lit("")).alias("price_source"),
         F.concat_ws(";", F.filter(notes, lambda n: n.isNotNull())).alias("notes"),

@@ -403,6 +403,12 @@ cte("batch", """
 SELECT DISTINCT b, 'batch-' || lpad(CAST(b AS VARCHAR), 6, '0') AS batch_id FROM msg
 """, "msg")
 
+cte("ok", "SELECT b FROM batch WHERE b % 29 <> 0 AND b % 31 <> 0", "batch")
+
+cte("placed", """
+SELECT *, CAST(row_number() OVER (PARTITION BY b ORDER BY 'm' || c) - 1 AS VARCHAR) AS place FROM msg WHERE b IN (SELECT b FROM ok)
+""", "msg", "ok")
+
 AS_OF = "TIMESTAMP '2024-01-30 22:00:00'"
 
 cte("fx_sessions", """

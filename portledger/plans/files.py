@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from portledger.functions import columns as c
 from portledger.operators import audit, ledger, metrics
-from portledger.plans.fixtures import BAR_COLUMNS, fx_bars, fx_broker, fx_raw_minutes, fx_snapshots, table
+from portledger.plans.fixtures import BAR_COLUMNS, fx_bars, fx_benchmarks, fx_broker, fx_raw_minutes, fx_snapshots, table
 from portledger.plans.registry import plan, rounded
 from portledger.session import scratch_path
 from portledger.sources import readers, writers
@@ -82,19 +82,48 @@ def scan_event_log(spark, sf_dir):
     )
 
 
+@plan(
+    "a4_bad_log_lines",
+    """SELECT part, 2 * n - 1 AS line, '{broken ' || event_id AS text, true AS bad
+       FROM (SELECT event_id, event_id % 3 AS part, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS n FROM events)
+       WHERE event_id % 50 = 0""",
+)
+def bad_log_lines(spark, sf_dir):
+    """Three log files with a blank line after each entry; the broken lines with their numbers."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    whole = F.to_json(F.struct("event_id", "event_type"))
+    broken = F.concat(F.lit("{broken "), F.col("event_id").cast("string"))
+    path = scratch_path(spark, "log-lines")
+    lines = events.select(
+        (F.col("event_id") % 3).alias("part"), "event_id",
+        F.concat(F.when(F.col("event_id") % 50 == 0, broken).otherwise(whole), F.lit("\n")).alias("value"),
+    )
+    # One file a part, in order: the fixture's own.
+    lines = lines.repartition("part").sortWithinPartitions("part", "event_id")
+    lines.select("part", "value").write.partitionBy("part").text(path)
+    schema = StructType([StructField("event_id", StringType()), StructField("event_type", StringType())])
+    found = readers.bad_lines(readers.scan_numbered_jsonl(spark, path, schema))
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long")
+    return found.select(part.alias("part"), "line", "text", F.lit(True).alias("bad"))
+
+
 @plan(
     "a7_ohlcv_wide_to_long",
     """SELECT CAST(session_date AS VARCHAR) AS session_date, ticker, close, volume FROM fx_bars
-       WHERE regexp_matches(ticker, '^S[0-9]+$')""",
-    uses=("fx_bars",),
+       UNION ALL SELECT CAST(session_date AS VARCHAR), ticker, close, volume FROM fx_benchmarks""",
+    uses=("fx_bars", "fx_benchmarks"),
 )
 def wide_to_long(spark, sf_dir):
-    """Every ticker, eight to a wide row; the rows of one session differ in ``band``."""
-    number = F.substring("ticker", 2, 9).cast("long")
+    """Every ticker, stocks and benchmarks, eight to a wide row; the rows of one session differ in ``band``."""
+    columns = ["ticker", "session_date", "close", "volume"]
+    bars = fx_bars(spark, sf_dir).select(*columns).unionByName(fx_benchmarks(spark, sf_dir).select(*columns))
+    bars = staged(bars, "bars")
+    # One row a listed security.
+    names = bars.select("ticker").distinct().withColumn("_n", F.row_number().over(Window.orderBy("ticker")) - 1)
+    names = staged(names, "tickers")
     slots = [f"S{i}" for i in range(8)]
-    bars = fx_bars(spark, sf_dir).filter(F.col("ticker").rlike("^S[0-9]+$"))
-    bars = bars.withColumn("_slot", F.concat(F.lit("S"), (number % 8).cast("string"))).withColumn("_band", F.floor(number / 8))
-    wide = bars.groupBy(F.struct("session_date", F.col("_band").alias("band")).alias("session_date")).agg(
+    numbered = bars.join(names, "ticker").withColumn("_slot", F.concat(F.lit("S"), (F.col("_n") % 8).cast("string")))
+    wide = numbered.groupBy(F.struct("session_date", F.floor(F.col("_n") / 8).alias("band")).alias("session_date")).agg(
         *[
             F.max(F.when(F.col("_slot") == t, F.col(f))).alias(f"{t}|{f.title()}")
             for t in slots
@@ -102,8 +131,10 @@ def wide_to_long(spark, sf_dir):
         ]
     )
     long = metrics.ohlcv_wide_to_long(wide, field_first=False)
-    ticker = F.concat(F.lit("S"), (F.col("session_date.band") * 8 + F.substring("ticker", 2, 1).cast("long")).cast("string"))
-    return long.select(F.col("session_date.session_date").cast("string").alias("session_date"), ticker.alias("ticker"), "close", "volume")
+    long = long.withColumn("_n", (F.col("session_date.band") * 8 + F.substring("ticker", 2, 1).cast("long")).cast("int"))
+    return long.drop("ticker").join(names, "_n").select(
+        F.col("session_date.session_date").cast("string").alias("session_date"), "ticker", "close", "volume"
+    )
 
 
 @plan(
@@ -236,6 +267,36 @@ def column_helpers(spark, sf_dir):
     )
 
 
+@plan(
+    "b_formats",
+    """SELECT event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'NA' ELSE printf('%.2f', value) END AS num,
+              CASE WHEN event_id % 11 = 0 THEN 'NA' ELSE '$' || format('{:,.2f}', value) END AS money,
+              CASE WHEN event_id % 11 = 0 THEN '' ELSE printf('%.8f', value) END AS outcome,
+              CASE WHEN event_id % 3 = 1 AND event_id % 7 <> 0 THEN CAST(event_id % 7 AS DOUBLE) + 0.25 WHEN event_id % 3 = 1 THEN 0.25 END AS quantity,
+              CASE WHEN event_id % 3 = 0 THEN 0.0 WHEN event_id % 3 = 1 THEN CAST(event_id % 7 AS DOUBLE) + 0.25 END AS fees,
+              CASE WHEN event_id % 4 = 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) WHEN event_id % 4 = 1 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS day,
+              event_id % 5 IN (0, 3) AS ticker_ok
+       FROM events""",
+)
+def column_formats(spark, sf_dir):
+    """Numbers as text, decimals under a sign rule, dates and tickers of every event."""
+    i, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    infinite = F.when(i % 11 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    # Zero, a quantity with blanks around it, or one that is negative or no number.
+    amount = F.when(i % 3 == 0, "0").when(i % 3 == 1, F.concat(F.lit(" "), (i % 7).cast("string"), F.lit(".25 "))).otherwise(
+        F.when(i % 2 == 0, "-1").otherwise("1,5")
+    )
+    day = F.date_format(ts, "yyyy-MM-dd")
+    days = F.when(i % 4 == 0, day).when(i % 4 == 1, F.concat(day, F.lit("T10:00:00"))).when(i % 4 == 2, "2024-13-45")
+    names = F.element_at(F.array(*[F.lit(t) for t in ("AB.C-1", "", "ABCDEFGHIJK", "T0", "1AB")]), (i % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(
+        i.alias("seq"), c.fmt_num(infinite).alias("num"), c.fmt_money(infinite).alias("money"), c.fmt_outcome(infinite).alias("outcome"),
+        c.parse_decimal(amount, allow_zero=False).cast("double").alias("quantity"),
+        c.parse_decimal(amount, allow_zero=True).cast("double").alias("fees"),
+        c.iso_date(days).cast("string").alias("day"), c.valid_ticker(names).alias("ticker_ok"),
+    )
+
+
 @plan(
     "b19_event_signature",
     """SELECT count(*) AS events, count(DISTINCT (lower(trim(source_account)), event_type, status, account_ref, ticker, trade_time, proxy, affects, confirmed)) AS signatures FROM fx_broker""",

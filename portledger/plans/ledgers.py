@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from portledger.operators import eventlog, ledger, overlay
+from portledger.operators import contracts, eventlog, ledger, overlay
 from portledger.operators import positions as p
 from portledger.plans.fixtures import (
     fx_anchor,
@@ -651,6 +651,57 @@ def message_contract(spark, sf_dir):
     return ledger.message_rules(rows).select("source_message_id", "rule")
 
 
+#: Fields of an event and of a quarantine record in this fixture's ledgers.
+EVENT_FIELDS = ("execution_id", "ticker", "affects_position", "quantity", "trade_time", *contracts.DERIVED_EVENT)
+QUARANTINE_FIELDS = ("reason", "resolution_status", *contracts.DERIVED_QUARANTINE)
+
+
+def batch_documents(spark, sf_dir):
+    """Batches as JSON text with planted fields at every level, a missing one, a wrong type and broken documents."""
+    rows = fx_batches(spark, sf_dir)
+    b = F.col("scan_no") - 1
+
+    def message(m):
+        n = F.substring(m["source_message_id"], 2, 18).cast("long")
+        strange = F.when(n % 9 == 0, "someone else").when(n % 9 == 1, m["sender"])
+        record = m["quarantine"]
+        record = F.when(
+            record.isNotNull(),
+            record.withField("extra", F.when(n % 15 == 0, "?")).withField("reason", F.when(n % 25 == 0, "  ").otherwise(record["reason"])),
+        )
+        events = F.transform(m["events"], lambda e: e.withField("venue", F.when(n % 7 == 0, "X")).withField("sender", strange))
+        return m.withField("mood", F.when(n % 16 == 0, "calm")).withField("events", events).withField("quarantine", record)
+
+    token = F.when(b % 8 != 3, F.col("scan.terminal_next_page_token"))
+    rows = rows.withColumn("scan", F.col("scan").withField("terminal_next_page_token", token)).withColumn(
+        "messages", F.transform("messages", message)
+    )
+    known = [c for c in rows.columns if c not in ("transaction_id", "scan_no")]
+    body = F.to_json(F.struct(*known, F.when(b % 9 == 0, 1).alias("surprise")))
+    body = F.when(b % 5 == 2, F.regexp_replace(body, r'"pages_fetched":(\d)', '"pages_fetched":"$1"')).otherwise(body)
+    body = F.when(b % 29 == 0, "[1]").when(b % 31 == 0, "{broken").otherwise(body)
+    return rows.select("batch_id", body.alias("body"))
+
+
+@plan(
+    "c11_field_contract",
+    """SELECT batch_id, level, place, field, rule FROM (
+         SELECT b, 'batch' AS level, '' AS place, '' AS field, 'NOT_AN_OBJECT' AS rule FROM batch WHERE b % 29 = 0 OR b % 31 = 0
+         UNION ALL SELECT b, 'batch', '', 'surprise', 'UNKNOWN_FIELD' FROM ok WHERE b % 9 = 0
+         UNION ALL SELECT b, 'scan', '', 'terminal_next_page_token', 'MISSING_FIELD' FROM ok WHERE b % 8 = 3
+         UNION ALL SELECT b, 'scan', '', 'pages_fetched', 'WRONG_TYPE' FROM ok WHERE b % 5 = 2
+         UNION ALL SELECT b, 'message', place, 'mood', 'UNKNOWN_FIELD' FROM placed WHERE c % 16 = 0
+         UNION ALL SELECT b, 'event', place || '.' || e, 'venue', 'UNKNOWN_FIELD' FROM (SELECT *, unnest(range(n_events)) AS e FROM placed) WHERE c % 7 = 0
+         UNION ALL SELECT b, 'event', place || '.' || e, 'sender', 'CONFLICTING_FIELD' FROM (SELECT *, unnest(range(n_events)) AS e FROM placed) WHERE c % 9 = 0
+         UNION ALL SELECT b, 'quarantine', place, 'extra', 'UNKNOWN_FIELD' FROM placed WHERE c % 15 = 0
+         UNION ALL SELECT b, 'quarantine', place, 'reason', 'EMPTY_FIELD' FROM placed WHERE c % 25 = 0) JOIN batch USING (b)""",
+    uses=("batch", "ok", "placed"),
+)
+def field_contract(spark, sf_dir):
+    documents = contracts.read_documents(batch_documents(spark, sf_dir), "body", "batch_id")
+    return contracts.batch_violations(documents, "batch_id", EVENT_FIELDS, QUARANTINE_FIELDS)
+
+
 GATE_SQL = """SELECT batch_id, b,
          list_sort(list_filter([CASE WHEN b % 7 = 0 THEN 'pagination_incomplete' END, CASE WHEN b % 4 = 0 THEN 'terminal_next_page_token_not_empty' END,
            CASE WHEN o > 0 THEN 'unresolved_quarantine_in_batch' END, CASE WHEN o > 0 THEN 'unresolved_quarantine' END], lambda x: x IS NOT NULL)) AS r

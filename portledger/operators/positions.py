@@ -17,12 +17,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from portledger.functions.columns import valid_ticker
 from portledger.operators.scans import DAY, Order, running, with_chunks
+from portledger.sources.staging import staged
 
 KEYS = ("account_ref", "ticker")
 RUN = 4096
 BIG = "decimal(38,8)"
 
+def broker_rules(trades: DataFrame) -> DataFrame:
+    """Adds ``rule``, the first rule of the broker contract that a fill breaks; NULL where it holds all.
+
+    Nothing is guessed: a side, currency, ticker, time or amount that isn't known to be right refuses the fill.
+    """
+    reward = F.col("event_type") == "STOCK_REWARD"
+    side = F.upper(F.trim("side"))
+    sides = F.when(reward, side == "CREDIT").when(F.col("event_type") == "TRADE", side.isin("BUY", "SELL"))
+
+    def known(condition: Column) -> Column:
+        return F.coalesce(condition, F.lit(False))
+
+    rule = (
+        F.when(F.col("trade_time").isNull(), "TRADE_TIME_MISSING")
+        .when(~known(F.col("event_type").isin("TRADE", "STOCK_REWARD")), "UNSUPPORTED_EVENT_TYPE")
+        .when(~known(sides), "UNSUPPORTED_SIDE")
+        .when(~valid_ticker(F.upper(F.trim("ticker"))), "INVALID_TICKER")
+        .when(~known(F.upper(F.trim("currency")) == "USD"), "NON_USD")
+        .when(~known(F.col("quantity") > 0), "BAD_QUANTITY")
+        .when(~reward & ~known(F.col("price") > 0), "BAD_PRICE")
+        .when(~reward & (F.col("fees") < 0), "BAD_FEES")
+    )
+    return trades.withColumn("rule", rule)
+
+
+def replay(trades: DataFrame, anchors: DataFrame | None = None, **limits) -> DataFrame:
+    """Positions from fills under the broker contract, and how many fills of a position were refused.
+
+    A position with a refused fill has no quantity, cost or result: what it holds isn't known.
+    """
+    judged = staged(broker_rules(trades), "judged-fills")
+    fine = judged.filter(F.col("rule").isNull()).drop("rule")
+    fine = fine.withColumn("side", F.upper(F.trim("side"))).withColumn("ticker", F.upper(F.trim("ticker")))
+    found = fold(staged(prepare(fine, anchors), "fills"), **limits)
+    refused = judged.filter(F.col("rule").isNotNull()).groupBy("account_ref", F.upper(F.trim("ticker")).alias("ticker")).agg(
+        F.count(F.lit(1)).alias("refused"), F.min("rule").alias("first_rule")
+    )
+    both = found.join(refused, list(KEYS), "full").withColumn("refused", F.coalesce("refused", F.lit(0).cast("long")))
+    known = F.col("refused") == 0
+    return both.select(
+        *[c if c in (*KEYS, "refused", "first_rule") else F.when(known, F.col(c)).alias(c) for c in both.columns]
+    )
+
+
 def prepare(trades: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """Fills (and opening positions, as fills of their own) in one shape.
 
@@ -37,6 +83,7 @@ def prepare(trades: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
         F.col("fees").cast("double").alias("fees"),
         F.col("trade_time"),
         F.col("seq").cast("long").alias("seq"),
+        company(trades),
         *[c for c in ("l_partkey", "l_suppkey") if c in trades.columns],
     )
     if anchors is not None:
@@ -55,14 +102,23 @@ def prepare(trades: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
             F.lit(None).cast("double").alias("fees"),
             F.col("anchor_at").alias("trade_time"),
             F.lit(-1).cast("long").alias("seq"),
+            company(anchors),
             F.col("entry_date").alias("entry_date"),
         )
         fills = fills.unionByName(opening, allowMissingColumns=True)
     else:
         fills = fills.withColumn("entry_date", F.lit(None).cast("date"))
-    return fills.withColumn("pos", F.unix_micros("trade_time")).withColumn(
-        "signed", F.when(F.col("side") == "SELL", -F.col("quantity")).otherwise(F.col("quantity"))
-    )
+    gains = F.col("side").isin("BUY", "CREDIT", "OPEN")
+    # Any other side has no sign: it must have been refused before.
+    signed = F.when(F.col("side") == "SELL", -F.col("quantity")).when(gains, F.col("quantity"))
+    signed = F.coalesce(signed, F.raise_error(F.concat(F.lit("fill without a known side or quantity: "), F.coalesce(F.col("seq").cast("string"), F.lit("?")))))
+    return fills.withColumn("pos", F.unix_micros("trade_time")).withColumn("signed", signed.cast(BIG))
+
+
+def company(df: DataFrame) -> Column:
+    """The company name, NULL where it is empty or the table has none."""
+    name = F.trim("company_name") if "company_name" in df.columns else F.lit(None).cast("string")
+    return F.when(name != "", name).alias("company_name")
 
 
 def order_of(fills: DataFrame, width: int = 30 * DAY) -> Order:
@@ -120,6 +176,8 @@ def _step() -> Column:
         F.col("signed").cast(BIG).alias("shares"),
         F.when(anchor, 0).otherwise(1).cast("long").alias("applied"),
         (sell & (F.col("held_after") < 0)).alias("oversold"),
+        F.col("company_name").alias("company"),
+        F.struct("pos", "seq").alias("seen"),
     )
 
 
@@ -132,6 +190,8 @@ def _identity() -> Column:
         F.lit(0).cast(BIG).alias("shares"),
         F.lit(0).cast("long").alias("applied"),
         F.lit(False).alias("oversold"),
+        F.lit(None).cast("string").alias("company"),
+        F.lit(None).cast("struct<pos:bigint,seq:bigint>").alias("seen"),
     )
 
 
@@ -154,6 +214,8 @@ def _then(x: Column, y: Column) -> Column:
         (x["shares"] + y["shares"]).cast(BIG).alias("shares"),
         (x["applied"] + y["applied"]).alias("applied"),
         (x["oversold"] | y["oversold"]).alias("oversold"),
+        F.coalesce(y["company"], x["company"]).alias("company"),
+        F.coalesce(x["seen"], y["seen"]).alias("seen"),
     )
 
 
@@ -172,6 +234,8 @@ def fold(fills: DataFrame, *, order: Order | None = None, run: int = RUN, **limi
     """
     order = order or order_of(fills)
     rows = running_quantity(fills, order, **limits)
+    if "company_name" not in rows.columns:
+        rows = rows.withColumn("company_name", F.lit(None).cast("string"))
     steps = rows.select(
         *order.chunk, "_rn", F.floor((F.col("_rn") - 1) / run).alias("_run"), _step().alias("step")
     )
@@ -195,11 +259,16 @@ def fold(fills: DataFrame, *, order: Order | None = None, run: int = RUN, **limi
         F.when(open_, s["entry"]).alias("entry_date"),
         s["applied"].alias("applied"),
         s["oversold"].alias("oversold"),
+        s["company"].alias("company_name"),
+        s["seen"].alias("first_seen"),
     )
 
 
 def consolidate(positions: DataFrame) -> DataFrame:
-    """Accounts summed to one row per ticker; closed positions drop out."""
+    """Accounts summed to one row per ticker; closed positions drop out.
+
+    The company's name is that of the position opened last which has one.
+    """
     held = positions.filter(F.col("shares") != 0)
     known = F.bool_and("cost_known")
     return held.groupBy("ticker").agg(
@@ -210,6 +279,7 @@ def consolidate(positions: DataFrame) -> DataFrame:
         F.bool_and("fees_complete").alias("fees_complete"),
         F.min("entry_date").alias("entry_date"),
         F.count(F.lit(1)).alias("accounts"),
+        F.max_by("company_name", F.when(F.col("company_name").isNotNull(), F.struct("first_seen", "account_ref"))).alias("company_name"),
     )
 
 

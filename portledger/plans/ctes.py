@@ -300,6 +300,46 @@ SELECT account_ref, ticker, q AS shares, cost AS total_cost, cost / q AS avg_cos
 FROM replay WHERE j = n
 """, "replay")
 
+cte("fx_fills", """
+SELECT account_ref, CASE WHEN seq % 1913 = 0 THEN 'NO TICKER!' ELSE ticker END AS ticker, reward,
+       CASE WHEN seq % 2503 = 0 THEN 'SHORT' WHEN reward AND seq % 2111 <> 0 THEN 'CREDIT' ELSE side END AS side,
+       CASE WHEN seq % 2309 = 0 THEN 0 ELSE quantity END AS quantity, CASE WHEN seq % 2017 <> 0 THEN price END AS price, fees,
+       seq % 2411 = 0 AS foreign_money, CASE WHEN seq % 2203 <> 0 THEN trade_time END AS trade_time,
+       CASE WHEN seq % 3 = 0 THEN 'Name ' || (seq % 5) END AS company, seq, l_partkey, l_suppkey
+FROM (SELECT *, seq % 499 = 0 OR seq % 2111 = 0 AS reward FROM fx_trades)
+""", "fx_trades")
+
+cte("ruled_fills", """
+SELECT *, CASE WHEN trade_time IS NULL THEN 'TRADE_TIME_MISSING' WHEN (reward AND side <> 'CREDIT') OR (NOT reward AND side NOT IN ('BUY', 'SELL')) THEN 'UNSUPPORTED_SIDE'
+               WHEN NOT regexp_full_match(ticker, '[A-Z][A-Z0-9.-]{0,9}') THEN 'INVALID_TICKER' WHEN foreign_money THEN 'NON_USD'
+               WHEN quantity <= 0 THEN 'BAD_QUANTITY' WHEN NOT reward AND price IS NULL THEN 'BAD_PRICE' END AS rule FROM fx_fills
+""", "fx_fills")
+
+cte("fill_rows", """
+SELECT *, row_number() OVER (PARTITION BY account_ref, ticker ORDER BY trade_time, seq, l_partkey, l_suppkey) AS j,
+       count(*) OVER (PARTITION BY account_ref, ticker) AS n FROM ruled_fills WHERE rule IS NULL
+""", "ruled_fills")
+
+# The same replay with rewards, names and every flag carried along.
+cte("broker_replay", """
+SELECT account_ref, ticker, CAST(0 AS BIGINT) AS j, max(n) AS n, CAST(20000 AS DOUBLE) AS q, CAST(40000000 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS realised,
+       true AS complete, true AS known, false AS fees_ok, CAST(NULL AS VARCHAR) AS company
+FROM fill_rows GROUP BY 1, 2
+UNION ALL
+SELECT r.account_ref, r.ticker, t.j, r.n, r.q + CASE WHEN t.side = 'SELL' THEN -t.quantity ELSE t.quantity END,
+       CASE WHEN t.reward OR (t.side = 'BUY' AND NOT r.known) THEN r.cost WHEN t.side = 'BUY' THEN r.cost + t.quantity * t.price + coalesce(t.fees, 0)
+            WHEN r.known THEN r.cost - t.quantity * r.cost / r.q ELSE 0 END,
+       CASE WHEN t.side = 'SELL' AND r.known THEN r.realised + t.quantity * (t.price - r.cost / r.q) - coalesce(t.fees, 0) ELSE r.realised END,
+       r.complete AND NOT (t.side = 'SELL' AND (t.fees IS NULL OR NOT r.known)), r.known AND NOT t.reward, r.fees_ok AND NOT t.reward AND t.fees IS NOT NULL,
+       coalesce(t.company, r.company)
+FROM broker_replay r JOIN fill_rows t ON t.account_ref = r.account_ref AND t.ticker = r.ticker AND t.j = r.j + 1
+""", "fill_rows")
+
+cte("broker_positions", """
+SELECT *, coalesce(refused, 0) = 0 AS fine FROM (SELECT * FROM broker_replay WHERE j = n) p
+FULL JOIN (SELECT account_ref, ticker, count(*) AS refused, min(rule) AS first_rule FROM ruled_fills WHERE rule IS NOT NULL GROUP BY 1, 2) v USING (account_ref, ticker)
+""", "broker_replay", "ruled_fills")
+
 cte("fx_broker", """
 SELECT event_id AS seq, event_id AS i,
   CASE WHEN event_id % 19 = 0 THEN 'other@example.com' ELSE ' Investor@Example.com' END AS source_account,

@@ -133,6 +133,32 @@ def fx_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fx_broker_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills as brokers report them: rewards, names, and some that break a rule of the contract."""
+    fills, n = fx_trades(spark, sf_dir), F.col("seq")
+    reward = (n % 499 == 0) | (n % 2111 == 0)
+    return fills.select(
+        "account_ref",
+        F.when(n % 1913 == 0, "no ticker!").otherwise(F.col("ticker")).alias("ticker"),
+        F.when(reward, "STOCK_REWARD").otherwise("TRADE").alias("event_type"),
+        F.when(n % 2503 == 0, "SHORT")
+        .when(reward & (n % 2111 != 0), "CREDIT")
+        .when(n % 5 == 0, F.lower("side"))
+        .otherwise(F.col("side"))
+        .alias("side"),
+        F.when(n % 2309 == 0, F.lit(0).cast("decimal(20,8)")).otherwise(F.col("quantity")).alias("quantity"),
+        F.when(n % 2017 != 0, F.col("price")).alias("price"),
+        "fees",
+        F.when(n % 2411 == 0, "HKD").when(n % 2 == 0, " usd").otherwise("USD").alias("currency"),
+        F.when(n % 2203 != 0, F.col("trade_time")).alias("trade_time"),
+        F.when(n % 3 == 0, F.concat(F.lit("Name "), (n % 5).cast("string"))).when(n % 3 == 1, " ").alias("company_name"),
+        "execution_id",
+        "seq",
+        "l_partkey",
+        "l_suppkey",
+    )
+
+
 def fx_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One large opening position per account and ticker, before the first fill."""
     return (

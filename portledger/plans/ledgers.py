@@ -11,6 +11,7 @@ from portledger.plans.fixtures import (
     fx_bars,
     fx_batches,
     fx_broker,
+    fx_broker_fills,
     fx_corrections,
     fx_decision_log,
     fx_holdings,
@@ -70,6 +71,53 @@ def position_fold_exact(spark, sf_dir):
     )
 
 
+@plan(
+    "i1_broker_contract",
+    """SELECT account_ref, seq, rule FROM ruled_fills WHERE rule IS NOT NULL""",
+    uses=("ruled_fills",),
+)
+def broker_contract(spark, sf_dir):
+    judged = p.broker_rules(fx_broker_fills(spark, sf_dir))
+    return judged.filter(F.col("rule").isNotNull()).select("account_ref", "seq", "rule")
+
+
+def broker_positions(spark, sf_dir):
+    return p.replay(fx_broker_fills(spark, sf_dir), fx_anchor(spark, sf_dir))
+
+
+@plan(
+    "i1_broker_positions",
+    """SELECT account_ref, ticker, coalesce(refused, 0) AS refused, first_rule, CASE WHEN fine THEN q END AS shares,
+              CASE WHEN fine AND known THEN round(cost + 3e-5, 2) END AS total_cost, CASE WHEN fine AND complete THEN round(realised + 3e-5, 2) END AS realised_pnl,
+              CASE WHEN fine THEN complete END AS realised_complete, CASE WHEN fine THEN known END AS cost_known,
+              CASE WHEN fine THEN fees_ok END AS fees_complete, CASE WHEN fine THEN n END AS applied, CASE WHEN fine THEN company END AS company_name
+       FROM broker_positions""",
+    uses=("broker_positions",),
+)
+def broker_position_rows(spark, sf_dir):
+    return broker_positions(spark, sf_dir).select(
+        "account_ref", "ticker", "refused", "first_rule", F.col("shares").cast("double").alias("shares"),
+        F.round(F.col("total_cost") + 3e-5, 2).alias("total_cost"), F.round(F.col("realised_pnl") + 3e-5, 2).alias("realised_pnl"),
+        "realised_complete", "cost_known", "fees_complete", "applied", "company_name",
+    )
+
+
+@plan(
+    "e3_broker_holdings",
+    """SELECT ticker, sum(q) AS shares, CASE WHEN bool_and(known) THEN round(sum(cost) + 3e-5, 2) END AS total_cost, bool_and(known) AS cost_known,
+              bool_and(fees_ok) AS fees_complete, count(*) AS accounts, arg_max(company, account_ref) FILTER (WHERE company IS NOT NULL) AS company_name
+       FROM broker_positions WHERE fine GROUP BY 1""",
+    uses=("broker_positions",),
+)
+def broker_holdings(spark, sf_dir):
+    """Positions without a refused fill, summed by ticker; all were opened at one time, so the last account names them."""
+    out = p.consolidate(broker_positions(spark, sf_dir).filter(F.col("refused") == 0))
+    return out.select(
+        "ticker", F.col("shares").cast("double").alias("shares"), F.round(F.col("total_cost") + 3e-5, 2).alias("total_cost"),
+        "cost_known", "fees_complete", "accounts", "company_name",
+    )
+
+
 @plan(
     "e3_position_consolidate",
     """SELECT ticker, sum(shares) AS shares, round(sum(total_cost) + 3e-5, 2) AS total_cost,

@@ -1,10 +1,11 @@
 """Main text of web pages by a minimum cut.
 
-A page is cut into blocks of text with the path of open elements above each. A small classifier gives
-every block a cost of being called content and one of being called boilerplate; these are its capacities to the two
-terminals. Neighbours in the page, and blocks whose paths share more of the DOM, are tied by smoothness
-edges. The maximum flow separates the page at the least total cost, and the blocks that stay on the
-content side are its text. Pages are independent, so this is one pass without an exchange.
+A page is cut into blocks of text, each in an element of the DOM. Evidence of names, links and length gives
+every block a cost of being called content and one of being called boilerplate, within bounds; these are its capacities to
+the two terminals. Neighbours in the page are tied by smoothness edges, and so are a block and its element, and elements and
+the ones around them, so that blocks near each other in the DOM hold together. The maximum flow separates
+the page at the least total cost, and the blocks that stay on the content side are its text: a block whose own
+evidence is weak follows those around it. Pages are independent, so this is one pass without an exchange.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -64,12 +65,14 @@ CORE = 0.2
 LOWEST = -12.0
 #: Constant, log odds for all text in links, and for a doubling of the words.
 START, LINKED, LENGTH = 0.3, -4.0, 0.3
-#: Smoothness between neighbours and for DOM proximity.
-NEXT, NEAR = 0.4, 0.6
+#: Bound of a block's evidence for both sides, on which its terminal capacities lie.
+BOUND = 6.0
+#: Smoothness between neighbours in the page, of a block with its element, and of an element with the one around it.
+NEXT, NEAR, AROUND = 0.6, 1.0, 1.0
 
 
 class Block(NamedTuple):
-    path: tuple[int, ...]
+    element: int
     odds: float
     text: str
 
@@ -121,11 +124,14 @@ def evidence(elements: list[Element], sizes: list[int]) -> list[float]:
         if n:
             inner[elements[n].parent] += inner[n]
     whole = inner[0]
+    beside = [False] * len(elements)  # in an element that stands beside the text
+    for n, e in enumerate(elements):
+        beside[n] = e.tag in ASIDE or (n > 0 and beside[e.parent])
     for kind in ("article", "main"):
         best = 0
         for n, e in enumerate(elements):
             if e.tag == kind and inner[n] >= max(CORE * whole, 1) and inner[n] > inner[best] * (best > 0):
-                if (kind == "main" or not e.bad or e.good) and not any(elements[m].tag in ASIDE for m in above(elements, n)):
+                if (kind == "main" or not e.bad or e.good) and not beside[n]:
                     best = n
         cores |= {best} - {0}
     frames = {m for n in cores for m in above(elements, n)}
@@ -143,12 +149,14 @@ def evidence(elements: list[Element], sizes: list[int]) -> list[float]:
     return [max(LOWEST, a) + o for a, o in zip(against, odds, strict=True)]
 
 
-def blocks(page: str) -> list[Block]:
-    """Visible text between block-level markup, in page order, with its elements and their evidence."""
-    found: list[tuple[tuple[int, ...], int, float, str]] = []  # path, innermost element, odds of its own, text
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """Visible text between block-level markup, in page order, with its evidence, and the page's elements."""
+    found: list[tuple[int, int, float, str]] = []  # innermost block-level element, innermost one, odds of its own, text
     elements = [Element("", 0, 0.0, 0.0)]
     sizes = [0]
     stack: list[tuple[str, int, bool]] = []  # element, its number, shown
+    solid: list[int] = []  # places of block-level elements in the stack
+    opened: Counter[str] = Counter()
     cores = 0  # open articles and mains
     parts: list[str] = []
     linked = at = links = 0
@@ -157,11 +165,10 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(n for tag, n, _ in stack if tag not in INLINE)
             share = min(1.0, linked / len(text))
             inner = stack[-1][1] if stack else 0
             sizes[inner] += len(text)
-            found.append((path, inner, START + LINKED * share + LENGTH * math.log2(1 + text.count(" ")), text))
+            found.append((stack[solid[-1]][1] if solid else 0, inner, START + LINKED * share + LENGTH * math.log2(1 + text.count(" ")), text))
         parts.clear()
         linked = 0
 
@@ -173,8 +180,11 @@ def blocks(page: str) -> list[Block]:
 
     def close(depth: int) -> None:
         nonlocal links, cores
-        if any(tag not in INLINE for tag, *_ in stack[depth:]):
+        if solid and solid[-1] >= depth:
             flush()
+        while solid and solid[-1] >= depth:
+            solid.pop()
+        opened.subtract(tag for tag, *_ in stack[depth:])
         links -= sum(tag == "a" for tag, *_ in stack[depth:])
         cores -= sum(tag in ("article", "main") for tag, *_ in stack[depth:])
         del stack[depth:]
@@ -185,19 +195,18 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
+            least = solid[-1] + 1 if solid and tag in INLINE else 0
+            for depth in range(len(stack) - 1, least - 1, -1) if opened[tag] else ():
                 if stack[depth][0] == tag:
                     close(depth)
                     break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
             continue
         if tag not in INLINE:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in reversed(solid):
                 if tag in ENDS.get(stack[depth][0], ()):
                     close(depth)
                     break
-                if stack[depth][0] not in INLINE and stack[depth][0] not in ENDS:
+                if stack[depth][0] not in ENDS:
                     break
             flush()
         if tag in VOID:
@@ -207,6 +216,9 @@ def blocks(page: str) -> list[Block]:
         links += tag == "a"
         outer, shown = (stack[-1][1], stack[-1][2]) if stack else (0, True)
         shown = shown and tag not in UNSEEN and not HIDDEN.search(m[3])
+        if tag not in INLINE:
+            solid.append(len(stack))
+        opened[tag] += 1
         stack.append((tag, len(elements), shown))
         elements.append(Element(tag, outer, *named(tag, m[3], cores > 0)))
         sizes.append(0)
@@ -217,83 +229,134 @@ def blocks(page: str) -> list[Block]:
     take(page[at:])
     flush()
     weights = evidence(elements, sizes)
-    return [Block(path, weights[inner] + odds, text) for path, inner, odds, text in found]
-
-
-def nodes(found: list[Block]) -> list[list[Block]]:
-    """Neighbours below one parent that lean to the same side act as one node of the graph."""
-    out: list[list[Block]] = []
-    for block in found:
-        if out and out[-1][-1].path[:-1] == block.path[:-1] and (out[-1][-1].odds > 0) == (block.odds > 0):
-            out[-1].append(block)
-        else:
-            out.append([block])
-    return out
-
-
-def closeness(a: tuple[int, ...], b: tuple[int, ...]) -> float:
-    shared = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return 2 * shared / max(1, len(a) + len(b))
+    return [Block(element, weights[inner] + odds, text) for element, inner, odds, text in found], elements
+
+
+def graph(found: list[Block], elements: list[Element]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminal odds and smoothness edges: a node for each block, then for each element with text, of no odds."""
+    odds = [min(BOUND, max(-BOUND, block.odds)) for block in found]
+    edges = [(i, i + 1, NEXT) for i in range(len(found) - 1)]
+    number: dict[int, int] = {}
+    for i, block in enumerate(found):
+        edge, n, tie = i, block.element, NEAR
+        while n:
+            known = n in number
+            if not known:
+                number[n] = len(odds)
+                odds.append(0.0)
+            edges.append((edge, number[n], tie))
+            if known:
+                break
+            edge, n, tie = number[n], elements[n].parent, AROUND
+    return odds, edges
 
 
 def content_side(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Nodes on the source side of a minimum cut; ``odds`` are the terminal capacities, by sign."""
-    source, sink = len(odds), len(odds) + 1
-    left: list[dict[int, float]] = [{} for _ in range(len(odds) + 2)]
+    """Nodes on the source side of a minimum cut; ``odds`` are the terminal capacities, by sign.
 
-    def tie(a: int, b: int, there: float, back: float) -> None:
-        left[a][b] = left[a].get(b, 0.0) + there
-        left[b][a] = left[b].get(a, 0.0) + back
-
-    for i, value in enumerate(odds):
-        tie(source, i, max(value, 0.0), 0.0)
-        tie(i, sink, max(-value, 0.0), 0.0)
+    A node whose odds outweigh all its edges is on their side in a least cut: its edges become odds of its
+    neighbours. This settles most nodes, one after the other; the flow decides about the rest.
+    """
+    ties: list[dict[int, float]] = [{} for _ in odds]
     for a, b, capacity in edges:
-        tie(a, b, capacity, capacity)
+        if a != b:
+            ties[a][b] = ties[a].get(b, 0.0) + capacity
+            ties[b][a] = ties[b].get(a, 0.0) + capacity
+    odds, weight = list(odds), [sum(t.values()) for t in ties]
+    side: list[bool | None] = [None] * len(odds)
+    ready = [i for i, value in enumerate(odds) if abs(value) >= weight[i] and value]
+    while ready:
+        i = ready.pop()
+        if side[i] is not None:
+            continue
+        side[i] = odds[i] > 0
+        for j, capacity in ties[i].items():
+            if side[j] is None:
+                odds[j] += capacity if side[i] else -capacity
+                weight[j] -= capacity
+                if abs(odds[j]) >= weight[j] - 1e-12 and odds[j]:
+                    ready.append(j)
+    rest = [i for i, s in enumerate(side) if s is None]
+    for i, content in zip(rest, flow(rest, odds, ties), strict=True):
+        side[i] = content
+    return side
+
+
+def flow(rest: list[int], odds: list[float], ties: list[dict[int, float]]) -> list[bool]:
+    """Source sides of the nodes of ``rest`` by a maximum flow along ever longer shortest paths, many in a round."""
+    place = {i: n for n, i in enumerate(rest)}
+    source, sink, size = len(rest), len(rest) + 1, len(rest) + 2
+    to: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(size)]
+
+    def tie(a: int, b: int, there: float, back: float) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
+    for n, i in enumerate(rest):
+        if odds[i] > 0:
+            tie(source, n, odds[i], 0.0)
+        elif odds[i] < 0:
+            tie(n, sink, -odds[i], 0.0)
+        for j, capacity in ties[i].items():
+            if place.get(j, -1) > n:
+                tie(n, place[j], capacity, capacity)
     while True:
-        before = {source: source}
-        queue = deque([source])
-        while queue and sink not in before:
-            a = queue.popleft()
-            for b, room in left[a].items():
-                if room > 1e-9 and b not in before:
-                    before[b] = a
-                    queue.append(b)
-        if sink not in before:
-            return [i in before for i in range(len(odds))]
-        path, b = [], sink
-        while b != source:
-            path.append((before[b], b))
-            b = before[b]
-        flow = min(left[a][b] for a, b in path)
-        for a, b in path:
-            left[a][b] -= flow
-            left[b][a] += flow
+        far = [-1] * size
+        far[source], wave = 0, [source]
+        while wave:
+            following = []
+            for a in wave:
+                for e in out[a]:
+                    if room[e] > 1e-9 and far[to[e]] < 0:
+                        far[to[e]] = far[a] + 1
+                        following.append(to[e])
+            wave = following
+        if far[sink] < 0:
+            return [far[n] >= 0 for n in range(len(rest))]
+        turn, path, at = [0] * size, [], source
+        while True:
+            if at == sink:
+                pushed = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= pushed
+                    room[e ^ 1] += pushed
+                cut = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                at = to[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            while turn[at] < len(out[at]):
+                e = out[at][turn[at]]
+                if room[e] > 1e-9 and far[to[e]] == far[at] + 1:
+                    break
+                turn[at] += 1
+            if turn[at] < len(out[at]):
+                path.append(out[at][turn[at]])
+                at = to[path[-1]]
+            elif path:
+                far[at] = -1
+                at = to[path.pop() ^ 1]
+            else:
+                break
 
 
 def main_text(page: str) -> str:
     """Content blocks of a page, joined by one space."""
-    groups = nodes(blocks(page))
-    if not groups:
+    found, elements = blocks(page)
+    if not found:
         return ""
-    odds = [sum(block.odds for block in group) for group in groups]
-    edges = [(i, i + 1, NEXT) for i in range(len(groups) - 1)]
-    last: dict[int, int] = {}  # the latest node below each element: the nearest in the DOM
-    for i, group in enumerate(groups):
-        near = {last[n] for n in group[0].path if n in last}
-        if near:
-            j = max(near)
-            edges.append((j, i, NEAR * closeness(groups[j][-1].path, group[0].path)))
-        last.update(dict.fromkeys(group[0].path, i))
-    side = content_side(odds, edges)
-    return " ".join(block.text for group, content in zip(groups, side, strict=True) if content for block in group)
+    side = content_side(*graph(found, elements))
+    return " ".join(block.text for block, content in zip(found, side) if content)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``.
 
     A null or empty page gives an empty text; null ids and urls stay; repeated rows are read each; other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. Long and deeply nested pages are read whole, in a time that grows with them.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

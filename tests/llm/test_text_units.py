@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -265,3 +266,42 @@ def test_frames_without_an_article():
     assert extract.main_text(page) == f"Title {PROSE} {PROSE}"
     cards = f"<body><div><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div><div class='related'><article><p>Another story.</p></article></div></body>"
     assert extract.main_text(cards) == f"Title {PROSE} {PROSE}"
+
+
+def signs(page):
+    """What the blocks' own evidence alone would keep."""
+    return " ".join(b.text for b in extract.blocks(page)[0] if b.odds > 0)
+
+
+LONG = "many words of a text that goes on and on about one thing after the other without a link in it"
+
+
+def test_weak_blocks_follow_their_neighbours():
+    """A sentence that is mostly a link stays in a text; a plain word in a list of links goes with the list."""
+    page = f"<body><div><p>{LONG}.</p><p>See <a href=x>the report of it</a> too.</p><p>{LONG}!</p></div><ul><li><a href=a>First entry</a></li><li>Topics</li><li><a href=b>Second entry</a></li></ul></body>"
+    assert extract.main_text(page) == f"{LONG}. See the report of it too. {LONG}!"
+    assert "See the report" not in signs(page) and signs(page).endswith("Topics")
+
+
+def test_dom_proximity_decides():
+    """The same weak block between the same neighbours goes with the element that it shares with one of them."""
+    weak, menu = "<p>See <a href=x>the report of it</a> all too, then.</p>", "<p><a href=a>First entry</a></p>"
+    inside = f"<body><div><p>{LONG}</p><p>{LONG}</p>{weak}</div><div>{menu * 4}</div></body>"
+    outside = f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div>{weak}{menu * 4}</div></body>"
+    assert "See the report" in extract.main_text(inside) and "See the report" not in extract.main_text(outside)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body>" + "".join(f"<p>{LONG} {i}</p><div class=ad>ad {i}</div>" for i in range(3000)),
+        "<div>t" * 6000,
+        "<b>" * 5000 + "<p>text</p>" * 3000,
+        "</i></p>" * 30_000 + "text",
+        "<body>" + "".join(f"<p>{'a b' if i % 3 else ''}<a href=x>{'link' if i % 3 != 1 else ''} some</a></p>" for i in range(6000)),
+    ],
+)
+def test_long_and_deep_pages_take_time_in_proportion(page):
+    begin = time.perf_counter()
+    extract.main_text(page)
+    assert time.perf_counter() - begin < 10

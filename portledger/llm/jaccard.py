@@ -159,27 +159,31 @@ def may_be_similar(percent: int, a: str, b: str) -> Column:
     return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (bits * (100 + percent) <= (m + n) * (100 - percent))
 
 
-def features(docs: DataFrame, words: int, percent: int, held: int) -> DataFrame:
-    """doc_id, n_shingles, a digest and a sketch of the set and its signatures."""
-    schema = "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>, signatures array<bigint>"
+def features(docs: DataFrame, words: int, percent: int, held: int, wanted: str = "both") -> DataFrame:
+    """doc_id and ``wanted``: n_shingles, a digest and a sketch of the set ("sets"), its signatures, or both."""
+    fields = {"doc_id": "bigint"}
+    if wanted != "signatures":
+        fields |= {"n_shingles": "bigint", "digest": "binary", "sketch": "array<bigint>"}
+    if wanted != "sets":
+        fields |= {"signatures": "array<bigint>"}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, signatures = Shingles(words), Signatures(percent, held)
         for batch in slices(batches):
             sets = [shingles(text) for text in as_bytes(batch.column(1))]
-            found = [signatures(s) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
-            columns = [
-                batch.column(0),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
-                pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sketch", "signatures"])
+            columns = [batch.column(0)]
+            if wanted != "signatures":
+                columns.append(pa.array([len(s) for s in sets], pa.int64()))
+                columns.append(pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()))
+                columns.append(pa.array([sketch(s) for s in sets], pa.list_(pa.int64())))
+            if wanted != "sets":
+                found = [signatures(s) for s in sets]
+                offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, names=list(fields))
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(task, ", ".join(f"{name} {kind}" for name, kind in fields.items()))
 
 
 def shared_signatures(sets: DataFrame) -> DataFrame:
@@ -257,7 +261,7 @@ def folded(sketch: Column, words: int) -> Column:
 
 
 def jaccard_classes(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, held: int = HELD, carried: int = 16
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, held: int = HELD, carried: int = 16, written: bool = True
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -265,15 +269,21 @@ def jaccard_classes(
     linked with nothing; a row without an id has a null component. Repeated rows get the same answer
     each. An empty table gives no rows. A text of any length is one set. ``carried`` is how many words (a power of
     two) of its sketch go with a signature of a set; the pairs found are held against the whole sketches afterwards.
+    Signatures are either ``written`` once, or made anew from the texts where they are sampled and sorted: that is two
+    more passes and a third less disk.
     """
     spark = docs.sparkSession
     release(spark)  # what earlier steps have left on disk
     docs = doc_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter("doc_id is not null")
-    signed = staged(features(docs, words, percent, held), "shingle-signatures")
-    sets = staged(signed.drop("signatures"), "shingle-sets")
-    shared = staged(shared_signatures(signed.filter("doc_id is not null")), "multiple-signatures")
-    discard(signed)
+    if written:
+        signed = staged(features(docs, words, percent, held), "shingle-signatures")
+        sets = staged(signed.drop("signatures"), "shingle-sets")
+        shared = staged(shared_signatures(signed.filter("doc_id is not null")), "multiple-signatures")
+        discard(signed)
+    else:
+        sets = staged(features(docs, words, percent, held, "sets"), "shingle-sets")
+        shared = staged(shared_signatures(features(known, words, percent, held, "signatures")), "multiple-signatures")
     # Equal sets act through the smallest id among them.
     roots = staged(equal_sets(sets), "equal-sets")
     star = shared.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -348,6 +358,6 @@ def promising(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, held: int = HELD) -> DataFrame:
     """The document with the smallest id of each group, with all its columns; rows without an id stay."""
-    classes = jaccard_classes(docs, words, percent, held).filter("doc_id is not null")
+    classes = jaccard_classes(docs, words, percent, held, written=False).filter("doc_id is not null")
     gone = classes.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -116,9 +116,9 @@ def shingle_set(text, n):
     return {tuple(split[i : i + n]) for i in range(max(1, len(split) - n + 1))} if split else set()
 
 
-@pytest.mark.parametrize(("n", "percent", "held"), [(3, 90, 16), (5, 80, 16), (2, 60, 3)])
-def test_jaccard_classes(docs, no_docs, corpus, n, percent, held):
-    out = {r.doc_id: r for r in jaccard.jaccard_classes(docs, n, percent, held).collect()}
+@pytest.mark.parametrize(("n", "percent", "held", "written"), [(3, 90, 16, True), (5, 80, 16, False), (2, 60, 3, True)])
+def test_jaccard_classes(docs, no_docs, corpus, n, percent, held, written):
+    out = {r.doc_id: r for r in jaccard.jaccard_classes(docs, n, percent, held, written=written).collect()}
     sets = {i: shingle_set(t, n) for i, t in corpus}
     root = {i: i for i in sets}
 
@@ -135,7 +135,7 @@ def test_jaccard_classes(docs, no_docs, corpus, n, percent, held):
                 root[max(x, y)] = min(x, y)
     assert {i: r.component_id for i, r in out.items()} == {i: find(i) for i in sets}
     assert {i: r.n_shingles for i, r in out.items()} == {i: len(s) for i, s in sets.items()}
-    assert jaccard.jaccard_classes(no_docs).count() == 0
+    assert jaccard.jaccard_classes(no_docs, written=written).count() == 0
 
 
 def test_jaccard_chain_needs_the_second_round(spark):

@@ -8,6 +8,7 @@ between two fills or ends is a handful of blocks.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from portledger.functions.columns import NEW_YORK, ceil_to_minute, fmt_outcome, session_date
 from portledger.operators.audit import stamp
 from portledger.operators.ledger import visible_as_of
-from portledger.operators.paths import blocks, extremes
+from portledger.operators.paths import RADIX, SIZES, blocks, extremes, units
+from portledger.operators.scans import Order, drop_chunks, running, with_chunks
 from portledger.operators.skew import attach
 from portledger.sources.staging import staged
 
@@ -268,72 +270,129 @@ def matured_rows(
     )
 
 
-def _spans(rows: DataFrame) -> DataFrame:
-    """Per decision and holding the span up to its longest matured end, one row per day."""
+def trades_in_span(rows: DataFrame, trades: DataFrame) -> DataFrame:
+    """Fills in (decision, last end] of each decision and holding in ``rows``, day by day.
+
+    For decisions that are replayed; whether they can be is known from ``judge_spans`` without their fills.
+    """
     spans = rows.filter(F.col("end_at").isNotNull()).groupBy(*KEY).agg(
         F.first("account_ref").alias("account_ref"),
         F.first("decision_at").alias("decision_at"),
-        F.first("reference_at").alias("reference_at"),
         F.first("reference_price").alias("reference_price"),
         F.first("start_shares").alias("start_shares"),
         F.max("end_at").alias("last_end"),
     )
-    days = F.sequence(F.to_date("decision_at"), F.to_date("last_end"))
-    return spans.withColumn("day", F.explode(days))
-
-
-def trades_in_span(rows: DataFrame, trades: DataFrame) -> DataFrame:
-    """Fills in (decision, last end]: an equi-join on account, ticker and day, then the exact bounds."""
+    spans = spans.withColumn("day", F.explode(F.sequence(F.to_date("decision_at"), F.to_date("last_end"))))
     fills = trades.select(
-        "account_ref", "ticker", "side", "quantity", "price", "fees", "trade_time", "trade_time_source", "seq",
-        F.to_date("trade_time").alias("day"),
+        "account_ref", "ticker", "side", "quantity", "price", "fees", "trade_time", "seq", F.to_date("trade_time").alias("day")
     )
-    joined = _spans(rows).join(fills, ["account_ref", "ticker", "day"])
+    joined = spans.join(fills, ["account_ref", "ticker", "day"])
     return joined.filter(
         (F.col("trade_time") > F.col("decision_at")) & (F.col("trade_time") <= F.col("last_end"))
     ).drop("day")
 
 
+def change() -> Column:
+    """What a fill does to the shares held."""
+    return F.when(F.col("side") == "SELL", -F.col("quantity")).otherwise(F.col("quantity"))
+
+
 def signed_fills(moves: DataFrame) -> DataFrame:
-    """Fills as changes of shares and cash, with the flaws that forbid an exact replay."""
+    """Fills as changes of shares and cash."""
     sell = F.col("side") == "SELL"
     amount = F.col("quantity") * F.col("price")
     return moves.select(
-        *KEY, "start_shares", "reference_price",
-        F.col("trade_time").alias("at"), "seq",
-        F.when(sell, -F.col("quantity")).otherwise(F.col("quantity")).alias("dq"),
+        *KEY, F.col("trade_time").alias("at"), "seq", change().alias("dq"),
         (F.when(sell, amount).otherwise(-amount) - F.coalesce("fees", F.lit(0.0))).alias("dc"),
-        F.when(F.coalesce(F.upper("trade_time_source"), F.lit("")) != "BROKER_EXECUTION_TIME", "TRADE_TIME_IS_PROXY")
-        .when(F.col("fees").isNull(), "FEES_MISSING")
-        .alias("flaw"),
-        (~F.coalesce(F.col("side").isin("BUY", "SELL"), F.lit(False))).alias("odd_side"),
     )
 
 
-def judge_fills(rows: DataFrame, fills: DataFrame) -> DataFrame:
+ACCOUNT = ("account_ref", "ticker")
+
+
+def span_marks(rows: DataFrame) -> DataFrame:
+    """Where the spans of ``rows`` start and end: a row per decision and holding, and one per end."""
+    ended = rows.filter(F.col("end_at").isNotNull())
+    start = ended.groupBy(*KEY, "account_ref").agg(F.first("decision_at").alias("at")).withColumn("mark", F.lit("start"))
+    end = ended.select(*KEY, "account_ref", F.col("end_at").alias("at")).distinct().withColumn("mark", F.lit("end"))
+    return start.unionByName(end)
+
+
+def sweep(rows: DataFrame, trades: DataFrame, sums: Mapping[str, Column] | None = None, **limits) -> DataFrame:
+    """Starts and ends of spans merged with the fills of their account and ticker, with what lies before and after.
+
+    Adds to every row ``before`` (fills so far), ``held`` (their shares) and the prefix sums ``sums``, all of them with the row
+    itself, and the next fills after the row that are flawed (``next_flaw``) and of an odd side (``next_odd``). What
+    lies in a span is a difference of its end and its start; no span is paired with its fills.
+    """
+    late = F.coalesce(F.upper("trade_time_source"), F.lit("")) != "BROKER_EXECUTION_TIME"
+    none = F.lit(None).cast("string")
+    fills = trades.select(
+        *ACCOUNT, F.col("trade_time").alias("at"), "seq", none.alias("decision_id"), F.lit("fill").alias("mark"), change().alias("dq"),
+        F.when(late, "TRADE_TIME_IS_PROXY").when(F.col("fees").isNull(), "FEES_MISSING").alias("flaw"),
+        (~F.coalesce(F.col("side").isin("BUY", "SELL"), F.lit(False))).alias("odd"),
+        *[value.alias(name) for name, value in (sums or {}).items()],
+    )
+    stream = fills.unionByName(span_marks(rows), allowMissingColumns=True).withColumn("pos", F.unix_micros("at"))
+    # A mark sees the fills of its own instant.
+    fill = F.col("mark") == "fill"
+    stream = stream.withColumn("kind", F.when(fill, 0).otherwise(1).cast("long")).withColumn("seq", F.coalesce("seq", F.lit(0).cast("long")))
+    stream = staged(stream, "span-stream")
+    order = Order(ACCOUNT, "pos", "kind", rest=("seq", "decision_id"))
+    counted = {"before": ("sum", F.when(fill, F.lit(1)).otherwise(0).cast("long"), True), "held": ("sum", F.coalesce("dq", F.lit(0.0)), True)}
+    counted |= {name: ("sum", F.coalesce(name, F.lit(0.0)), True) for name in (sums or {})}
+    seen = running(with_chunks(stream, order, **limits), order, {f"_{name}": how for name, how in counted.items()})
+    seen = drop_chunks(seen).drop(*(sums or {})).withColumnsRenamed({f"_{name}": name for name in counted})
+    back = seen.withColumn("_pos", -F.col("pos")).withColumn("_kind", -F.col("kind")).withColumn("_seq", -F.col("seq"))
+    back = staged(back, "span-counts")
+    order = Order(ACCOUNT, "_pos", "_kind", rest=("_seq", "decision_id"))
+    pointers = {
+        "next_flaw": ("last", F.when(F.col("flaw").isNotNull(), F.struct("pos", "flaw")), False),
+        "next_odd": ("last", F.when(F.col("odd"), F.struct("pos", "before")), False),
+    }
+    return drop_chunks(running(with_chunks(back, order, **limits), order, pointers)).drop("_pos", "_kind", "_seq")
+
+
+def lowest(ranges: DataFrame, swept: DataFrame, **limits) -> DataFrame:
+    """Adds ``least``, the fewest shares held after the fills numbered ``first`` to ``last`` of the account and ticker.
+
+    From blocks of 1, 8, 64, ... fills: a range is a handful of them.
+    """
+    numbered = swept.filter(F.col("mark") == "fill").select(*ACCOUNT, "before", "held")
+    size = F.pow(F.lit(RADIX), F.col("level")).cast("long")
+    sized = numbered.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(SIZES)])))
+    blocks_ = sized.groupBy(*ACCOUNT, "level", F.floor(F.col("before") / size).cast("long").alias("block")).agg(F.min("held").alias("_least"))
+    pieces = ranges.select(*KEY, "account_ref", "_end", F.explode(F.concat(*units(F.col("first"), F.col("last") + 1))).alias("_b"))
+    pieces = pieces.select(*KEY, "account_ref", "_end", "_b.*")
+    found = attach(pieces, blocks_, [*ACCOUNT, "level", "block"], how="inner", **limits)
+    least = found.groupBy(*KEY, "_end").agg(F.min("_least").alias("least"))
+    return ranges.join(least, [*KEY, "_end"], "left")
+
+
+def judge_spans(rows: DataFrame, trades: DataFrame, **limits) -> DataFrame:
     """Per horizon row with fills: how many, and why no exact result is possible (NULL if it is).
 
-    Judged from the fills alone, so bars are only brought in where they count.
+    Flaws of time and fees count before any replay; in a replay the first fill that can't be followed ends it.
     """
-    w = Window.partitionBy(*KEY).orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    held = fills.withColumn("held", F.col("start_shares") + F.sum("dq").over(w))
-    # Flaws of time and fees count before any replay; in a replay the first fill that can't be followed ends it.
-    stop = F.when(F.col("odd_side"), "UNSUPPORTED_SIDE").when(F.col("held") < 0, "SOLD_MORE_THAN_HELD")
-    held = held.withColumn("stop", stop)
-    ends = rows.filter(F.col("end_at").isNotNull()).select(*KEY, "horizon", "end_at")
-    start = F.col("start_shares")
-    judged = ends.join(held, list(KEY)).filter(F.col("at") <= F.col("end_at")).groupBy(
-        *KEY, "horizon", "end_at", "start_shares"
-    ).agg(
-        F.count(F.lit(1)).alias("fills"),
-        F.min_by("flaw", F.when(F.col("flaw").isNotNull(), F.struct("at", "seq"))).alias("flaw"),
-        F.min_by("stop", F.when(F.col("stop").isNotNull(), F.struct("at", "seq"))).alias("stop"),
-    )
+    swept = staged(sweep(rows, trades, **limits), "swept-spans")
+    start = swept.filter(F.col("mark") == "start").select(
+        *KEY, "account_ref", F.col("before").alias("_before"), F.col("held").alias("_held"), "next_flaw", "next_odd"
+    )
+    end = swept.filter(F.col("mark") == "end").select(*KEY, F.col("pos").alias("_end"), F.col("before").alias("_until"))
+    spans = end.join(start, list(KEY)).withColumn("fills", F.col("_until") - F.col("_before")).filter("fills > 0")
+    odd = F.coalesce(F.col("next_odd.pos") <= F.col("_end"), F.lit(False))
+    spans = spans.withColumn("odd", odd).withColumn("first", F.col("_before") + 1)
+    spans = staged(spans.withColumn("last", F.when(F.col("odd"), F.col("next_odd.before") - 1).otherwise(F.col("_until"))), "judged-spans")
+    spans = lowest(spans, swept, **limits)
+    facts = rows.filter(F.col("end_at").isNotNull()).select(*KEY, "horizon", "end_at", "start_shares", F.unix_micros("end_at").alias("_end"))
+    shares = F.col("start_shares")
     note = (
-        F.when(start.isNull() | (start <= 0), "START_SHARES_MISSING")
-        .otherwise(F.coalesce("flaw", "stop"))
+        F.when(shares.isNull() | (shares <= 0), "START_SHARES_MISSING")
+        .when(F.col("next_flaw.pos") <= F.col("_end"), F.col("next_flaw.flaw"))
+        .when(shares + F.col("least") - F.col("_held") < 0, "SOLD_MORE_THAN_HELD")
+        .when(F.col("odd"), "UNSUPPORTED_SIDE")
     )
-    return judged.select(*KEY, "horizon", "end_at", "fills", note.alias("actual_note"))
+    return facts.join(spans, [*KEY, "_end"]).select(*KEY, "horizon", "end_at", "fills", note.alias("actual_note"))
 
 
 def replay_values(rows: DataFrame, fills: DataFrame, table: DataFrame, judged: DataFrame, **limits) -> DataFrame:
@@ -357,7 +416,7 @@ def replay_values(rows: DataFrame, fills: DataFrame, table: DataFrame, judged: D
         )
 
     zero = F.lit(0).cast("long")
-    moves = fills.drop("start_shares", "reference_price").join(spans, list(KEY)).filter(F.col("at") <= F.col("last_end"))
+    moves = fills.join(spans, list(KEY)).filter(F.col("at") <= F.col("last_end"))
     moves = cut(moves, F.greatest(F.unix_micros("at"), F.col("_first")), 2, F.col("seq"), F.col("dq"), F.col("dc"))
     ends = exact.select(*KEY, "end_at").distinct().join(spans, list(KEY))
     timeline = (
@@ -427,6 +486,12 @@ def final_status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(partial, "MATURED_PARTIAL").otherwise(F.col("status")))
 
 
+def replayed_fills(rows: DataFrame, trades: DataFrame, judged: DataFrame) -> DataFrame:
+    """Fills of the horizon rows that can be replayed, as changes of shares and cash."""
+    exact = judged.filter(F.col("actual_note").isNull()).select(*KEY, "horizon")
+    return signed_fills(trades_in_span(rows.join(exact, [*KEY, "horizon"], "left_semi"), trades))
+
+
 def learnt_fills(trades: DataFrame, rules: OutcomeRules) -> DataFrame:
     """Fills executed, received and parsed by ``as_of``: one learnt later changes no outcome of that time."""
     return visible_as_of(trades, rules.now(), "trade_time", "received_at", "parsed_at")
@@ -457,8 +522,8 @@ def outcomes(
     # Several joins read the results of the lookups: write them once.
     rows = staged(score(matured_rows(holdings, bars, calendar, rules, **limits), rules), "matured")
     rows = staged(with_hold_path(rows, table, **limits), "held")
-    fills = staged(signed_fills(trades_in_span(rows, trades)), "fills")
-    judged = staged(judge_fills(rows, fills), "judged")
+    judged = staged(judge_spans(rows, trades, **limits), "judged")
+    fills = staged(replayed_fills(rows, trades, judged), "fills")
     return final_status(with_actual(rows, judged, replay_values(rows, fills, table, judged, **limits)))
 
 

@@ -49,10 +49,8 @@ def blocks(bars: DataFrame) -> DataFrame:
     return none.unionByName(wide.withColumn("bars", F.array().cast(single.schema["bars"].dataType)))
 
 
-def cover(lo: Column, hi: Column) -> Column:
-    """Blocks (level, block) that make up [lo, hi) in microseconds; its first and last minute are single ones."""
-    first, last = F.floor(lo / MINUTE).cast("long"), F.floor((hi - 1) / MINUTE).cast("long")
-    a, b = first + 1, last
+def units(a: Column, b: Column) -> list[Column]:
+    """Arrays of blocks (level, block) that make up the whole numbers [a, b), few of each size."""
 
     def run(level: int, start: Column, end: Column) -> Column:
         some = F.sequence(start, end - 1)
@@ -73,10 +71,16 @@ def cover(lo: Column, hi: Column) -> Column:
         up, down = inner(level + 1)
         fits = up <= down
         parts += [run(level, start, F.when(fits, up * RADIX).otherwise(end)), run(level, F.when(fits, down * RADIX).otherwise(end), end)]
+    return parts
+
+
+def cover(lo: Column, hi: Column) -> Column:
+    """Blocks (level, block) that make up [lo, hi) in microseconds; its first and last minute are single ones."""
+    first, last = F.floor(lo / MINUTE).cast("long"), F.floor((hi - 1) / MINUTE).cast("long")
     edge = F.array_distinct(
         F.array(*[F.struct(F.lit(0).alias("level"), m.alias("block")) for m in (first, last)])
     )
-    return F.when(lo < hi, F.concat(edge, *parts))
+    return F.when(lo < hi, F.concat(edge, *units(first + 1, last)))
 
 
 def extremes(stretches: DataFrame, table: DataFrame, path: Sequence[str], **limits) -> DataFrame:

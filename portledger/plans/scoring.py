@@ -156,12 +156,16 @@ def path_drawdown(spark, sf_dir):
     uses=("moves",),
 )
 def trade_interval(spark, sf_dir):
+    """Fills of each decision's longest span as differences of prefix sums at its end and its start."""
     rows = staged(matured(spark, sf_dir), "matured")
-    moves = o.trades_in_span(rows, trades(spark, sf_dir))
-    signed = F.when(F.col("side") == "SELL", -F.col("quantity")).otherwise(F.col("quantity"))
-    return moves.groupBy("decision_id", "ticker").agg(
-        F.count(F.lit(1)).alias("fills"), F.sum(signed * 1000000 + F.col("seq")).alias("checksum")
-    )
+    swept = staged(o.sweep(rows, trades(spark, sf_dir), {"checksum": o.change() * 1000000 + F.col("seq")}), "swept-spans")
+    key, last = list(o.KEY), F.max_by(F.struct("before", "checksum"), "pos")
+    end = swept.filter("mark = 'end'").groupBy(*key).agg(last.alias("end"))
+    start = swept.filter("mark = 'start'").select(*key, F.struct("before", "checksum").alias("start"))
+    return start.join(end, key).select(
+        *key, (F.col("end.before") - F.col("start.before")).alias("fills"),
+        F.round(F.col("end.checksum") - F.col("start.checksum"), 6).alias("checksum"),
+    ).filter("fills > 0")
 
 
 @plan(
@@ -174,8 +178,10 @@ def replay_shares_cash(spark, sf_dir):
     shared = bars(spark, sf_dir)
     rows = o.matured_rows(holdings(spark, sf_dir), shared, fx_sessions(spark, sf_dir), RULES)
     rows = staged(rows, "matured")
-    fills = staged(o.signed_fills(o.trades_in_span(rows, trades(spark, sf_dir))), "fills")
-    out = o.replay_values(rows, fills, staged(paths.blocks(shared), "price-blocks"), o.judge_fills(rows, fills))
+    known = staged(trades(spark, sf_dir), "trades")
+    judged = staged(o.judge_spans(rows, known), "judged")
+    fills = staged(o.replayed_fills(rows, known, judged), "fills")
+    out = o.replay_values(rows, fills, staged(paths.blocks(shared), "price-blocks"), judged)
     return out.select(
         "decision_id", "ticker", "horizon", F.round("end_value", 4).alias("end_value"),
         (F.round(F.least("worst", F.lit(0.0)) * 100, 6) + 0.0).alias("worst_pct"),

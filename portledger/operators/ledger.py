@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from portledger.functions.columns import (
     alias_ticker,
@@ -185,9 +185,9 @@ def append_idempotent(existing: DataFrame, incoming: DataFrame, key: str, order:
         F.min(content_hash(columns)).alias("_known"), F.max(content_hash(columns)).alias("_other")
     )
     rows = incoming.withColumn("_new", content_hash(columns)).withColumn("_place", F.struct(*order, "_new"))
-    # Exact repeats at one place: all but one of them are no-ops.
-    copies = Window.partitionBy(key, "_place").orderBy("_new")
-    rows = rows.withColumn("_copy", F.row_number().over(copies))
+    # Exact repeats at one place: all but one of them are no-ops. They are counted and told apart by number.
+    copies = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    rows = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
     first = rows.groupBy(key).agg(F.min("_place").alias("_first"))
     judged = attach(rows, first.join(known, key, "left"), [key])
     leads = (F.col("_place") == F.col("_first")) & (F.col("_copy") == 1)

@@ -443,6 +443,11 @@ cte("batch", """
 SELECT DISTINCT b, 'batch-' || lpad(CAST(b AS VARCHAR), 6, '0') AS batch_id FROM msg
 """, "msg")
 
+cte("chosen_facts", """
+SELECT * FROM facts WHERE CAST(substr(account_ref, 2) AS BIGINT) % 2 = 1
+  OR (close IS NOT NULL AND shares > 0 AND (CAST(substr(account_ref, 2) AS BIGINT) % 4 = 2 OR price_as_of = (SELECT max(price_as_of) FROM facts)))
+""", "facts")
+
 cte("ok", "SELECT b FROM batch WHERE b % 29 <> 0 AND b % 31 <> 0", "batch")
 
 cte("placed", """

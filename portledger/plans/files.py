@@ -351,6 +351,12 @@ def phrase_rewrite(spark, sf_dir):
 )
 def generation_chain(spark, sf_dir):
     """All generations of every account walked back; a link with a wrong hash ends the walk."""
+    rows, newest = generations(spark, sf_dir)
+    return audit.generation_chain(rows, newest)
+
+
+def generations(spark, sf_dir):
+    """Generations of every account, one an order, and each account's newest."""
     from portledger.operators.scans import Order, drop_chunks, running, with_chunks
 
     account = F.concat(F.lit("A"), (F.col("o_custkey") % 50).cast("string")).alias("account")
@@ -373,5 +379,30 @@ def generation_chain(spark, sf_dir):
         F.col("o_orderkey").alias("batch_id"),
     )
     rows = staged(rows, "generations")
-    newest = rows.groupBy("account").agg(F.max_by("transaction_id", "n").alias("transaction_id"))
-    return audit.generation_chain(rows, newest)
+    return rows, rows.groupBy("account").agg(F.max_by("transaction_id", "n").alias("transaction_id"))
+
+
+@plan(
+    "d16_batch_lookup",
+    """WITH RECURSIVE g AS (SELECT 'A' || (o_custkey % 50) || '-' || row_number() OVER w AS id, 'A' || (o_custkey % 50) || '-' || (row_number() OVER w - 1) AS parent,
+             row_number() OVER w AS n, count(*) OVER (PARTITION BY o_custkey % 50) AS m, o_orderkey, 'A' || (o_custkey % 50) AS account
+             FROM orders WINDOW w AS (PARTITION BY o_custkey % 50 ORDER BY o_orderkey)),
+       chain(head, id, parent, o_orderkey, hops) AS (SELECT id, id, parent, o_orderkey, 0 FROM g WHERE n = m
+         UNION ALL SELECT c.head, g.id, g.parent, g.o_orderkey, c.hops + 1 FROM chain c JOIN g ON g.id = c.parent WHERE c.o_orderkey % 503 <> 0),
+       wanted AS (SELECT h.id AS head, CASE WHEN g.o_orderkey % 7 = 0 THEN -g.o_orderkey ELSE g.o_orderkey END AS batch_id, g.o_orderkey % 5 = 0 AS other
+                  FROM g JOIN g h ON h.account = g.account AND h.n = h.m)
+       SELECT w.head, w.batch_id, CASE WHEN c.id IS NULL THEN 'NEW' WHEN other THEN 'CONFLICT' ELSE 'SAME' END AS found
+       FROM wanted w LEFT JOIN chain c ON c.head = w.head AND c.o_orderkey = w.batch_id""",
+)
+def batch_lookup(spark, sf_dir):
+    """Every order looked for among its account's generations: some ids are unknown, some contents differ."""
+    rows, newest = generations(spark, sf_dir)
+    content = F.sha2(F.col("batch_id").cast("string"), 256)
+    rows = staged(rows.withColumn("batch_hash", content), "hashed-generations")
+    heads = staged(newest, "heads")
+    wanted = rows.join(heads.withColumnRenamed("transaction_id", "head"), "account").select(
+        "head",
+        F.when(F.col("batch_id") % 7 == 0, -F.col("batch_id")).otherwise(F.col("batch_id")).alias("batch_id"),
+        F.when(F.col("batch_id") % 5 == 0, "other").otherwise(F.col("batch_hash")).alias("batch_hash"),
+    )
+    return audit.find_batch(audit.generation_chain(rows, heads), rows, wanted).select("head", "batch_id", "found")

@@ -25,7 +25,8 @@ from portledger.plans.fixtures import (
     fx_trades,
 )
 from portledger.plans.registry import plan
-from portledger.sources import readers
+from portledger.session import scratch_path
+from portledger.sources import readers, writers
 from portledger.sources.staging import staged
 
 
@@ -370,6 +371,21 @@ def append_idempotent(spark, sf_dir):
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"), F.sum("seq").alias("seq_sum"))
 
 
+@plan(
+    "a10_append_new",
+    """SELECT seq, round(close, 6) AS close FROM fx_raw_minutes WHERE seq % 3 <> 0 OR seq % 2 = 0""",
+    uses=("fx_raw_minutes",),
+)
+def append_new(spark, sf_dir):
+    """A ledger written once and the same rows appended twice: the second time nothing is added."""
+    bars = fx_raw_minutes(spark, sf_dir).drop("seen_at")
+    path = scratch_path(spark, "bar-ledger")
+    bars.filter(F.col("seq") % 3 != 0).write.parquet(path)
+    for _ in range(2):
+        writers.append_new(path, bars.filter(F.col("seq") % 2 == 0), "bar_id")
+    return spark.read.schema(bars.schema).parquet(path).select("seq", F.round("close", 6).alias("close"))
+
+
 @plan(
     "h1_merge_rows",
     """SELECT DISTINCT source_message_id, seq, processing_status, content_hash FROM fx_messages""",
@@ -546,6 +562,15 @@ def ledger_vs_watchlist(spark, sf_dir):
     return eventlog.ledger_vs_watchlist(eventlog.candidate_final(log), watch)
 
 
+@plan(
+    "d14_active_gate",
+    """SELECT count(*) FILTER (WHERE state <> 'REMOVED') AS active, count(*) FILTER (WHERE state <> 'REMOVED') > 5 AS too_many FROM state_final""",
+    uses=("state_final",),
+)
+def active_gate(spark, sf_dir):
+    return eventlog.active_gate(eventlog.candidate_final(fx_statelog(spark, sf_dir)))
+
+
 @plan(
     "i5_decision_replay",
     """SELECT decision_id, rule, event_id AS detail, seq FROM decision_rules
@@ -556,9 +581,7 @@ def decision_replay(spark, sf_dir):
     return eventlog.decision_violations(fx_decision_log(spark, sf_dir))
 
 
-@plan(
-    "i7_overlay_chain",
-    """WITH RECURSIVE e AS (
+OVERLAY_SQL = """WITH RECURSIVE e AS (
          SELECT 'A' || (user_id % 50) AS account_ref, event_id AS seq, 'corr-' || lpad(event_id::VARCHAR, 9, '0') AS id,
                 event_id - CASE WHEN event_id % 7 = 0 THEN 777600 ELSE 0 END AS happened FROM events WHERE event_type = 'view'),
        f AS (SELECT *, row_number() OVER w AS n, last_value(CASE WHEN seq % 9 <> 0 AND seq % 7 <> 0 THEN id END IGNORE NULLS)
@@ -572,14 +595,29 @@ def decision_replay(spark, sf_dir):
          FROM (SELECT o.account_ref, o.n, o.seq, o.id, o.happened, w.cur, w.cur_at,
                       CASE WHEN cur IS NULL AND wanted IS NULL THEN 'COMMIT' WHEN cur IS NULL THEN 'NOTHING_TO_REPLACE'
                            WHEN wanted IS DISTINCT FROM cur THEN 'PREVIOUS_DIFFERS' WHEN happened <= cur_at THEN 'NOT_LATER' ELSE 'COMMIT' END AS status
-               FROM w JOIN o ON o.account_ref = w.account_ref AND o.n = w.n + 1))
-       SELECT account_ref, seq, status FROM w WHERE n > 0""",
+               FROM w JOIN o ON o.account_ref = w.account_ref AND o.n = w.n + 1))"""
+
+
+@plan(
+    "i7_overlay_chain",
+    OVERLAY_SQL + " SELECT account_ref, seq, status FROM w WHERE n > 0",
 )
 def overlay_chain(spark, sf_dir):
     rows = overlay.overlay_chain(fx_corrections(spark, sf_dir))
     return rows.select("account_ref", "seq", "status")
 
 
+@plan(
+    "i7_latest_overlay",
+    OVERLAY_SQL
+    + """ SELECT account_ref, 'corr-' || lpad(seq::VARCHAR, 9, '0') AS correction_id, seq % 2 = 0 AS active
+          FROM w WHERE status = 'COMMIT' QUALIFY row_number() OVER (PARTITION BY account_ref ORDER BY seq DESC) = 1""",
+)
+def latest_overlay(spark, sf_dir):
+    """The correction in force of each account, out of its whole chain."""
+    return overlay.latest_overlay(overlay.overlay_chain(fx_corrections(spark, sf_dir))).select("account_ref", "correction_id", "active")
+
+
 @plan(
     "i8_active_holdings_view",
     """SELECT account_ref, basis, count(*) AS rows, round(sum(shares), 4) AS shares FROM (
@@ -668,6 +706,22 @@ def flatten_batch_events(spark, sf_dir):
     return rows.groupBy("source_message_id", "execution_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@plan(
+    "a6_flatten_quarantine",
+    """SELECT 'm' || c AS source_message_id, 't' || c AS source_thread_id, 'unclear' AS reason,
+              CASE WHEN c % 10 = 0 THEN 'RESOLVED' ELSE 'OPEN' END AS resolution_status, c % 10 <> 0 AS open
+       FROM msg WHERE c % 5 = 0""",
+    uses=("msg",),
+)
+def flatten_quarantine(spark, sf_dir):
+    """Quarantine rows of all batches, and which of them are still open."""
+    rows = staged(ledger.flatten_quarantine(ledger.message_rows(batches(spark, sf_dir))), "quarantine")
+    still = ledger.unresolved(rows, ["parsed_at"]).select("source_message_id", F.lit(True).alias("open"))
+    return rows.join(still, "source_message_id", "left").select(
+        "source_message_id", "source_thread_id", "reason", "resolution_status", F.coalesce("open", F.lit(False)).alias("open")
+    )
+
+
 @plan(
     "h4_discovered_only",
     """SELECT 'm' || c AS source_message_id, batch_id FROM msg JOIN batch USING (b)""",

@@ -17,6 +17,9 @@ from portledger.plans.fixtures import (
     fx_universe_raw,
 )
 from portledger.plans.registry import plan, rounded
+from portledger.session import scratch_path
+from portledger.sources import writers
+from portledger.sources.staging import staged
 
 
 def all_metrics(spark, sf_dir):
@@ -364,6 +367,30 @@ def snapshot_guard(spark, sf_dir):
     return h.snapshot_guard(facts(spark, sf_dir))
 
 
+@plan(
+    "a9_guarded_snapshot",
+    """SELECT account_ref, ticker, shares, round(shares * close, 4) AS market_value FROM chosen_facts
+       WHERE account_ref IN (SELECT account_ref FROM chosen_facts GROUP BY 1 HAVING count(*) FILTER (WHERE shares <= 0 OR close IS NULL) = 0 AND count(DISTINCT price_as_of) = 1)""",
+    uses=("chosen_facts",),
+)
+def guarded_snapshot(spark, sf_dir):
+    """Snapshots of the accounts that pass the guard, written by date and read back; the others write nothing.
+
+    Every second account is left as it is, the others keep complete rows, half of them those of one date.
+    """
+    rows = staged(facts(spark, sf_dir), "facts")
+    number = F.substring("account_ref", 2, 9).cast("long")
+    complete = F.col("close").isNotNull() & (F.col("shares") > 0)
+    latest = rows.agg(F.max("price_as_of").alias("d")).scalar()
+    rows = rows.filter((number % 2 == 1) | (complete & ((number % 4 == 2) | (F.col("price_as_of") == latest))))
+    rows = h.snapshot_rows(rows)
+    path = scratch_path(spark, "guarded-snapshots")
+    writers.upsert_slices(rows, path, "snapshot_date")
+    return spark.read.schema(rows.schema).parquet(path).select(
+        "account_ref", "ticker", "shares", F.round("market_value", 4).alias("market_value")
+    )
+
+
 @plan(
     "e13_distinct_price_date_guard",
     """SELECT account_ref, min(price_as_of) AS first_date, max(price_as_of) AS last_date,

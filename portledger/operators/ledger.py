@@ -207,15 +207,15 @@ def new_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     Rows match on a digest of all columns, blanks and NULLs alike; the anti-join
     is on the digest alone, so no column value can be hot.
     """
-    columns = existing.columns
+    fresh = row_digests(incoming, existing.columns).dropDuplicates(["_row"])
+    seen = row_digests(existing, existing.columns).select("_row").distinct()
+    return fresh.join(seen, "_row", "left_anti").drop("_row")
 
-    def keyed(df: DataFrame) -> DataFrame:
-        blanks = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-        return df.select(*columns, F.sha2(F.to_json(F.array(*blanks)), 256).alias("_row"))
 
-    fresh = keyed(incoming).dropDuplicates(["_row"])
-    seen = keyed(existing).select("_row").distinct()
-    return fresh.join(seen, "_row", "left_anti").drop("_row")
+def row_digests(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` and ``_row``, a digest of all of them, blanks and NULLs alike."""
+    blanks = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return df.select(*columns, F.sha2(F.to_json(F.array(*blanks)), 256).alias("_row"))
 
 
 def merge_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:

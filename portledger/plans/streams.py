@@ -76,10 +76,7 @@ def stream_late(spark, sf_dir):
     uses=("state_rules",),
 )
 def stream_candidates(spark, sf_dir):
-    log = fx_statelog(spark, sf_dir)
-    drain, path = s.into_table(log, "candidate-states", s.candidate_state)
-    s.feed(log, "statelog-stream", drain)
-    out = spark.read.schema(s.CANDIDATE_OUT).parquet(path)
+    out = s.live_candidates(fx_statelog(spark, sf_dir), "statelog-stream")
     return out.select(
         "ticker", "event_id", "seq", F.coalesce("state", F.lit("")).alias("state"),
         F.coalesce("rule", F.lit("")).alias("rule"),
@@ -88,17 +85,12 @@ def stream_candidates(spark, sf_dir):
 
 @plan(
     "k5_stream_decision_outbox",
-    "SELECT coalesce(rule, '') AS rule, count(*) AS events, CAST(sum(seq) AS BIGINT) AS seq_sum FROM decision_rules GROUP BY 1",
+    "SELECT decision_id, event_id, seq, coalesce(rule, '') AS rule FROM decision_rules",
     uses=("decision_rules",),
 )
 def stream_decisions(spark, sf_dir):
-    log = fx_decision_log(spark, sf_dir).withColumn("at", F.unix_micros("occurred_at"))
-    drain, path = s.into_table(log, "decision-rules", s.decision_outbox)
-    s.feed(log, "decisions-stream", drain)
-    out = spark.read.schema(s.DECISION_OUT).parquet(path)
-    return out.groupBy(F.coalesce("rule", F.lit("")).alias("rule")).agg(
-        F.count(F.lit(1)).alias("events"), F.sum("seq").alias("seq_sum")
-    )
+    out = s.live_decisions(fx_decision_log(spark, sf_dir), "decisions-stream")
+    return out.select("decision_id", "event_id", "seq", F.coalesce("rule", F.lit("")).alias("rule"))
 
 
 @plan(

@@ -1,7 +1,7 @@
 """Streaming twins of the ledger operators.
 
-Deduplication, merging and cursor checks stay in Spark SQL. Only the keyed
-replays carry Python state: a few fields per key, whose batch twins are native.
+Deduplication, merging, cursor checks and replays of logs stay in Spark SQL: a micro-batch is judged by
+the batch twins, which run on from one row a key in a table of buckets. Only positions carry Python state.
 """
 
 from __future__ import annotations
@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from portledger.operators.eventlog import TRANSITIONS
 from portledger.operators import positions as p
-from portledger.operators.ledger import new_rows, waterline_rules
+from portledger.operators.eventlog import STATE_EVENTS, candidate_rules, candidate_states, decision_history, decision_rules
+from portledger.operators.ledger import row_digests, waterline_rules
+from portledger.operators.skew import attach
 from portledger.session import scratch_path
 from portledger.sources.staging import staged
+from portledger.streaming.state import KeyedTable
 
 
 def dedup_by_id(stream: DataFrame, key: str, at: str, delay: str = "7 days") -> DataFrame:
@@ -73,20 +75,23 @@ def feed(df: DataFrame, name: str, drain: Drain, steps: int = 3, path: str | Non
 
 
 def merge_overlapping(df: DataFrame, name: str, columns: list[str], steps: int = 3) -> DataFrame:
-    """Overlapping scans merged into one table: every batch appends only new rows."""
+    """Overlapping scans merged into one table: every batch appends only new rows.
+
+    A batch is held against the digests in the buckets that its rows fall into, not against the table.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-merged")
-    schema = df.select(*columns).schema
-    spark.createDataFrame([], schema).write.parquet(path)
+    path, schema = scratch_path(spark, f"{name}-merged"), df.select(*columns).schema
+    seen = KeyedTable(spark, scratch_path(spark, f"{name}-digests"), "_row string", ["_row"])
 
-    def handle(batch: DataFrame, _: int) -> None:
-        # A batch replayed after a failure finds its rows present and adds nothing.
-        existing = batch.sparkSession.read.schema(schema).parquet(path)
-        fresh = new_rows(existing, batch.select(*columns))
-        staged(fresh, f"{name}-batch").write.mode("append").parquet(path)
+    def handle(batch: DataFrame, number: int) -> None:
+        rows = staged(row_digests(batch, columns).dropDuplicates(["_row"]), f"{name}-batch")
+        known = staged(seen.around(rows, number), f"{name}-known")
+        fresh = rows.join(known, "_row", "left_anti")
+        fresh.drop("_row").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        seen.put(known.unionByName(fresh.select("_row")), number)
 
     feed(df, name, by_batch(df, name, handle), steps)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*columns)
 
 
 def visible_by_learn_time(stream: DataFrame, learn: str, event: str, as_of: str, delay: str = "1 day") -> DataFrame:
@@ -130,86 +135,83 @@ def _rows(chunks: Iterator[pd.DataFrame], order: list[str]) -> Iterator[dict]:
     yield from frame.to_dict("records")
 
 
-def _candidate(key, chunks, group: GroupState) -> Iterator[pd.DataFrame]:
-    current, latest = group.get if group.exists else (None, None)
-    out = []
-    for row in _rows(chunks, ["pos", "seq"]):
-        kind, previous, new = row["event_type"], row["previous_state"], row["new_state"]
-        at, rule = row["pos"], None
-        added, changed = kind == "CANDIDATE_ADDED", kind == "STATE_CHANGED"
-        if latest is not None and at < latest:
-            rule = "TIME_OUT_OF_ORDER"
-        elif added:
-            rule = "ALREADY_EXISTS" if current else "ADDED_WITH_PREVIOUS" if previous else None
-        elif current is None:
-            rule = "NO_SUCH_CANDIDATE"
-        elif changed and previous != current or not changed and previous not in (None, current):
-            rule = "PREVIOUS_STATE_MISMATCH"
-        elif changed and new == current:
-            rule = "SAME_STATE"
-        elif changed and new not in TRANSITIONS[current]:
-            rule = "ILLEGAL_TRANSITION"
-        elif not changed and new not in (None, current):
-            rule = "STATE_CHANGED_BY_OTHER_EVENT"
-        # As in the batch twin, a refused change is still the state later events are judged by.
-        if added or changed:
-            current = new
-        latest = at if latest is None else max(latest, at)
-        out.append((key[0], row["event_id"], row["seq"], current, rule))
-    group.update((current, latest))
-    yield pd.DataFrame(out, columns=["ticker", "event_id", "seq", "state", "rule"])
-
-
-def candidate_state(stream: DataFrame) -> DataFrame:
-    """The candidate funnel as keyed state: one state and one time per ticker."""
-    return stream.groupBy("ticker").applyInPandasWithState(
-        _candidate, CANDIDATE_OUT, "current string, latest long", "append", GroupStateTimeout.NoTimeout
-    )
+def _judged(df: DataFrame, name: str, key: str, schema: str, out: str, judge, after, steps: int) -> DataFrame:
+    """Events of a log judged batch by batch against the few fields known of their key.
+
+    ``judge`` gives the batch's events with ``rule``, from the events and one row a key; ``after`` gives those rows anew.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-judged")
+    states = KeyedTable(spark, scratch_path(spark, f"{name}-states"), schema, [key])
 
+    def handle(batch: DataFrame, number: int) -> None:
+        rows = staged(batch, f"{name}-batch")
+        known = staged(states.around(rows, number), f"{name}-known")
+        found = judge(attach(rows, known, [key]))
+        found.select(*[part.split()[0] for part in out.split(", ")]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh = after(rows)
+        merged = known.join(fresh, key, "full")
+        fields = [part.split()[0] for part in schema.split(", ")][1:]
+        states.put(merged.select(key, *[MERGES[f](F.col(f), F.col(f"new_{f}")).alias(f) for f in fields]), number)
 
-def _decision(key, chunks, group: GroupState) -> Iterator[pd.DataFrame]:
-    created, intents, sent, marker, latest = group.get if group.exists else (0, 0, 0, None, None)
-    out = []
-    for row in _rows(chunks, ["pos", "seq"]):
-        kind, at, rule = row["event_type"], row["at"], None
-        blank = {c: not (row[c] or "").strip() for c in ("marker", "recipient", "subject", "message_id", "error")}
-        if kind == "DECISION_CREATED":
-            rule = "CREATED_TWICE" if created else None
-        elif created != 1:
-            rule = "NOT_CREATED_FIRST"
-        elif latest is not None and at < latest:
-            rule = "TIME_OUT_OF_ORDER"
-        elif kind == "EMAIL_SEND_INTENT":
-            checks = (
-                (blank["marker"], "MARKER_MISSING"), (intents or sent, "SECOND_INTENT"),
-                (blank["recipient"], "RECIPIENT_MISSING"), (blank["subject"], "SUBJECT_MISSING"),
-            )
-            rule = next((name for bad, name in checks if bad), None)
-        elif kind in ("EMAIL_SENT", "EMAIL_FAILED"):
-            ok = kind == "EMAIL_SENT"
-            checks = (
-                (blank["marker"], "MARKER_MISSING"), (intents != 1, "NO_SINGLE_INTENT"),
-                (row["marker"] != marker, "MARKER_DIFFERS"),
-                (sent, "SENT_TWICE" if ok else "FAILED_AFTER_SENT"),
-                (blank["message_id"] if ok else blank["error"], "MESSAGE_ID_MISSING" if ok else "ERROR_MISSING"),
-            )
-            rule = next((name for bad, name in checks if bad), None)
-        created += kind == "DECISION_CREATED"
-        sent += kind == "EMAIL_SENT"
-        if kind == "EMAIL_SEND_INTENT":
-            intents, marker = intents + 1, row["marker"]
-        latest = at if latest is None else max(latest, at)
-        out.append((key[0], row["event_id"], row["seq"], rule))
-    group.update((created, intents, sent, marker, latest))
-    yield pd.DataFrame(out, columns=["decision_id", "event_id", "seq", "rule"])
-
-
-def decision_outbox(stream: DataFrame) -> DataFrame:
-    """The decision outbox as keyed state: three counts, a marker and a time per decision."""
-    return stream.groupBy("decision_id").applyInPandasWithState(
-        _decision, DECISION_OUT, "created long, intents long, sent long, marker string, latest long",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+    feed(df, name, by_batch(df, name, handle), steps)
+    return spark.read.schema(out).parquet(path)
+
+
+def _later(old: Column, new: Column) -> Column:
+    return F.coalesce(new, old)
+
+
+def _more(old: Column, new: Column) -> Column:
+    return F.coalesce(old, F.lit(0).cast("long")) + F.coalesce(new, F.lit(0).cast("long"))
+
+
+#: How the fields known of a key go on with those of a batch.
+MERGES = {"state": _later, "_marker": _later, "latest": F.greatest, "created": _more, "intents": _more, "sent": _more}
+
+
+def live_candidates(df: DataFrame, name: str, steps: int = 3) -> DataFrame:
+    """The candidate funnel batch by batch: events of a batch run on from one state and one time per ticker.
+
+    As in the batch twin, a refused change is still the state later events are judged by.
+    """
+    sets = F.col("event_type").isin(*STATE_EVENTS)
+
+    def judge(rows: DataFrame) -> DataFrame:
+        seen = candidate_states(rows)
+        current = F.coalesce("current_state", "state")
+        seen = seen.withColumn("current_state", current).withColumn("latest_before", F.greatest("latest_before", "latest"))
+        return candidate_rules(seen).withColumn("state", F.when(sets, F.col("new_state")).otherwise(F.col("current_state")))
+
+    def after(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("ticker").agg(
+            F.max_by("new_state", F.when(sets, F.struct("pos", "seq"))).alias("new_state"), F.max("occurred_at").alias("new_latest")
+        )
+
+    return _judged(df, name, "ticker", "ticker string, state string, latest timestamp", CANDIDATE_OUT, judge, after, steps)
+
+
+def live_decisions(df: DataFrame, name: str, steps: int = 3) -> DataFrame:
+    """The decision outbox batch by batch: three counts, a marker and a time per decision."""
+    kind = F.col("event_type")
+
+    def judge(rows: DataFrame) -> DataFrame:
+        seen = decision_history(rows)
+        for column, known in (("created_before", "created"), ("intents_before", "intents"), ("sent_before", "sent")):
+            seen = seen.withColumn(column, _more(F.col(column), F.col(known)))
+        seen = seen.withColumn("intent_marker", F.coalesce("intent_marker", "_marker"))
+        return decision_rules(seen.withColumn("latest_before", F.greatest("latest_before", "latest")))
+
+    def after(rows: DataFrame) -> DataFrame:
+        intent = kind == "EMAIL_SEND_INTENT"
+        return rows.groupBy("decision_id").agg(
+            F.count_if(kind == "DECISION_CREATED").alias("new_created"), F.count_if(intent).alias("new_intents"),
+            F.count_if(kind == "EMAIL_SENT").alias("new_sent"), F.max_by("marker", F.when(intent, F.struct("pos", "seq"))).alias("new__marker"),
+            F.max("occurred_at").alias("new_latest"),
+        )
+
+    schema = "decision_id string, created long, intents long, sent long, _marker string, latest timestamp"
+    return _judged(df, name, "decision_id", schema, DECISION_OUT, judge, after, steps)
 
 
 def _position(key, chunks, group: GroupState) -> Iterator[pd.DataFrame]:

@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -35,7 +36,7 @@ POOL = 256
 #: Id after each document.
 END_ID = 2
 #: Words whose ids a task remembers before it starts afresh.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
@@ -118,12 +119,21 @@ class WordIds:
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One for all tasks of a Python worker, so that later ones find the words of earlier ones.
+    """One for all tasks of a Python worker, so that later ones find the words of earlier ones."""
+    return WordIds(path)
+
 
-    Packing makes no reference cycles; the collector would only walk the split words again and again.
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Packing makes no reference cycles; the collector would only walk the split words again and again.
+
+    It runs again for whatever the Python worker does next.
     """
     gc.disable()
-    return WordIds(path)
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -234,13 +244,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, pool: int =
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, pool)
-        for batch in slices(batches, 1024):
-            pieces: list[tuple] = []
-            texts = as_bytes(batch.column(1))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.documents(texts), strict=True):
-                pieces += packer.add(doc_id, ids)
-            yield _table(pieces)
-        yield _table(list(packer.finish()))
+        with uncollected():
+            for batch in slices(batches, 1024):
+                pieces: list[tuple] = []
+                texts = as_bytes(batch.column(1))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), words.documents(texts), strict=True):
+                    pieces += packer.add(doc_id, ids)
+                yield _table(pieces)
+            yield _table(list(packer.finish()))
 
     return doc_rows(docs, "doc_id", "text").mapInArrow(task, PIECES)
 

@@ -38,7 +38,7 @@ class Order:
         return [*self.keys, "_bucket", "_part"]
 
 
-#: Pieces a cut makes of a hot group at most; a second cut makes as many of each piece.
+#: Pieces a cut makes of a hot group at most, a power of two; a second cut makes as many of each piece.
 PIECES = 128
 
 
@@ -58,10 +58,14 @@ def _cut(df: DataFrame, order: Order, group: list[str], limit: int) -> DataFrame
         F.percentile_approx(place, shares, 100 * PIECES).alias("_marks"),
         *[F.first(c).alias(c) for c in ("_p0", "_t0", "_t1")],
     )
-    marked = df.join(staged(marks, "cut-marks"), group, "left")
-    before = F.size(F.filter("_marks", lambda mark: mark <= place))
-    cut = marked.withColumn("_cut", F.when(F.col("_marks").isNull(), 0).otherwise(before).cast("int"))
-    return cut.drop("_marks", "_p0", "_t0", "_t1")
+    cut = df.join(staged(marks, "cut-marks"), group, "left").withColumn("_place", place).withColumn("_cut", F.lit(0))
+    # How many marks lie at or before the place: a binary search over PIECES - 1 sorted marks, one bit a column.
+    step = PIECES // 2
+    while step:
+        reached = F.col("_marks")[F.col("_cut") + (step - 1)] <= F.col("_place")
+        cut = cut.withColumn("_cut", F.col("_cut") + F.when(reached, step).otherwise(0))
+        step //= 2
+    return cut.drop("_marks", "_p0", "_t0", "_t1", "_place")
 
 
 def with_chunks(df: DataFrame, order: Order, *, limit: int = ROWS) -> DataFrame:
@@ -71,7 +75,8 @@ def with_chunks(df: DataFrame, order: Order, *, limit: int = ROWS) -> DataFrame:
     first = _cut(bucketed, order, [*keys, "_bucket"], limit)
     if first is None:
         return bucketed.withColumn("_part", F.lit(0))
-    first = first.withColumnRenamed("_cut", "_part")
+    # Read again by the second cut and by every pass of a scan.
+    first = staged(first.withColumnRenamed("_cut", "_part"), "chunks")
     second = _cut(first, order, [*keys, "_bucket", "_part"], limit)
     if second is None:
         return first.withColumn("_part", F.col("_part") * PIECES)

@@ -90,3 +90,16 @@ def test_busy_instant_in_a_wide_chunk_is_cut(spark):
     assert cut.filter("pos = 50").select("_part").distinct().count() > 5
     w = Window.partitionBy("k").orderBy("pos", "tie")
     assert cut.withColumn("p", F.lag("_part").over(w)).filter(F.col("p") > F.col("_part")).count() == 0
+
+
+def test_a_cut_is_made_once_by_a_binary_search(rows):
+    """No list of marks is walked for every row, and what reads the chunks doesn't cut again."""
+    from portledger.operators import scans
+
+    order = Order(("k",), "pos", "tie", width=1000)
+    bucketed = rows.withColumn("_bucket", F.lit(0).cast("long"))
+    plan = scans._cut(bucketed, order, ["k", "_bucket"], 7)._jdf.queryExecution().toString()
+    assert "lambdafunction" not in plan
+    chunked = with_chunks(rows, order, limit=100)
+    assert chunked.select("_part").distinct().count() > 3
+    assert "Join" not in chunked._jdf.queryExecution().toString()

@@ -1,7 +1,8 @@
 """Walks along links (one successor a node) by pointer doubling.
 
 Each round joins the links with themselves, so a chain of n links takes log2(n) rounds; rounds are
-written to the shared folder and only a yes or no of each comes to the driver.
+written to the shared folder and only a count of each comes to the driver. Links are joined by sorting both
+sides: a small file may hold many of them, and a planner that goes by its size would send them all through the driver.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from portledger.sources.staging import staged
 
+#: Reached nodes that may be sent to every task.
+FEW = 10_000
+
 
 def walk(links: DataFrame, heads: DataFrame) -> DataFrame:
     """head, node and hops of every node that a head reaches along ``links`` (node, next), itself included.
@@ -19,15 +23,17 @@ def walk(links: DataFrame, heads: DataFrame) -> DataFrame:
     """
     jumps = staged(links.select("node", "next").filter("next is not null"), "jumps")
     reached = staged(heads.select(F.col("node").alias("head"), "node", F.lit(0).cast("long").alias("hops")), "reached")
-    step, most = 1, jumps.count()
+    step, most, size = 1, jumps.count(), reached.count()
     while step <= most:
-        further = reached.join(jumps, "node").select("head", F.col("next").alias("node"), (F.col("hops") + step).alias("hops"))
+        known = F.broadcast(reached) if size <= FEW else reached.hint("merge")
+        further = known.join(jumps, "node").select("head", F.col("next").alias("node"), (F.col("hops") + step).alias("hops"))
         further = staged(further, "reached-further")
-        if further.isEmpty():
+        more = further.count()
+        if not more:
             break
-        reached = reached.unionByName(further)
+        reached, size = reached.unionByName(further), size + more
         second = jumps.select(F.col("node").alias("next"), F.col("next").alias("_after"))
-        jumps = staged(jumps.join(second, "next").select("node", F.col("_after").alias("next")), "jumps")
+        jumps = staged(jumps.hint("merge").join(second, "next").select("node", F.col("_after").alias("next")), "jumps")
         step *= 2
     return reached
 
@@ -38,7 +44,7 @@ def ends(links: DataFrame) -> DataFrame:
     step, most = 1, now.count()
     while step <= most:
         further = now.select(F.col("node").alias("end"), F.col("end").alias("_after"))
-        now = staged(now.join(further, "end", "left").select("node", F.coalesce("_after", "end").alias("end"), F.col("_after").isNotNull().alias("_moved")), "ends")
+        now = staged(now.hint("merge").join(further, "end", "left").select("node", F.coalesce("_after", "end").alias("end"), F.col("_after").isNotNull().alias("_moved")), "ends")
         if now.filter("_moved").isEmpty():
             break
         now, step = now.drop("_moved"), step * 2

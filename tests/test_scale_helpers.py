@@ -103,3 +103,15 @@ def test_a_cut_is_made_once_by_a_binary_search(rows):
     chunked = with_chunks(rows, order, limit=100)
     assert chunked.select("_part").distinct().count() > 3
     assert "Join" not in chunked._jdf.queryExecution().toString()
+
+
+def test_links_of_a_walk_never_pass_through_the_driver(spark, monkeypatch):
+    from portledger.operators import chains
+
+    plans, write = [], chains.staged
+    monkeypatch.setattr(chains, "FEW", 0, raising=False)
+    monkeypatch.setattr(chains, "staged", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or write(df, name))
+    links = spark.range(50).select(F.col("id").alias("node"), (F.col("id") + 1).alias("next"))
+    assert chains.walk(links, links.filter("node = 0").select("node")).agg(F.max("hops")).first()[0] == 50
+    assert chains.ends(links).select("end").distinct().collect()[0][0] == 50
+    assert any("SortMergeJoin" in plan for plan in plans) and not any("BroadcastHashJoin" in plan for plan in plans)

@@ -258,12 +258,13 @@ def replayed(fills: DataFrame) -> DataFrame:
     The batch fold, for positions of any size; where a sell was more than was held, and is refused, what is held
     next depends on it, so these positions are folded fill by fill.
     """
+    # Written as they come: what a replay derives from them is wider than they are.
+    fills = staged(fills.select(*p.KEYS, "side", "quantity", "price", "fees", "pos", "item", "tie"), "replay-fills")
     rows = fills.select(
         *p.KEYS, "side", F.col("quantity").cast(p.BIG).alias("quantity"), "price", F.coalesce("fees", F.lit(0.0)).alias("fees"),
         "pos", F.col("item").alias("seq"), "tie", F.lit("TRADE").alias("event_type"), F.timestamp_micros("pos").alias("trade_time"),
         F.lit(None).cast("date").alias("entry_date"),
     ).withColumn("signed", F.when(F.col("side") == "SELL", -F.col("quantity")).otherwise(F.col("quantity")))
-    rows = staged(rows, "replay-fills")
     folded = staged(p.fold(rows, order=p.Order(p.KEYS, "pos", "seq", 30 * p.DAY, ("tie", "signed", "price"))), "replay-folded")
     plain = folded.filter(~F.col("oversold")).select(
         *p.KEYS, F.col("applied").alias("fills"), F.lit(0).cast("long").alias("refused"), F.col("shares").cast("double").alias("shares"),
@@ -294,19 +295,20 @@ def replayed(fills: DataFrame) -> DataFrame:
 def live_positions(df: DataFrame, name: str, steps: int = 3) -> DataFrame:
     """Positions of fills that arrive along ``seq`` in any order of their own times.
 
-    Keys whose fills arrive in order are kept as state. Rows of a key from its first late fill on go to a table of
-    their own; each batch that brings some replays these keys from the log of all fills.
+    Keys whose fills arrive in order are kept as state. Rows of a key from its first late fill on go to a part of
+    the table of their own; each batch that brings some replays these keys from the log of all fills.
     """
     spark = df.sparkSession
-    log, out, late, again = (scratch_path(spark, f"{name}{part}") for part in ("", "-applied", "-late", "-replayed"))
+    log, out, again = (scratch_path(spark, f"{name}{part}") for part in ("", "-applied", "-replayed"))
+    applied = f"{POSITION_OUT}, late boolean"
 
     def handle(batch: DataFrame, number: int) -> None:
         # A batch replayed after a failure writes its own folders anew.
-        session, rows = batch.sparkSession, staged(batch, f"{name}-batch")
-        marked = F.coalesce(F.col("rule") == "LATE", F.lit(False))
-        rows.filter(~marked).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        rows.filter(marked).write.mode("overwrite").parquet(f"{late}/batch={number}")
-        keys = rows.filter(marked).select(*p.KEYS).distinct()
+        session, folder = batch.sparkSession, f"{out}/batch={number}"
+        rows = batch.withColumn("late", F.coalesce(F.col("rule") == "LATE", F.lit(False)))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("late").parquet(folder)
+        late = session.read.schema(applied).parquet(folder).filter("late")
+        keys = staged(late.select(*p.KEYS).distinct(), f"{name}-late-keys")
         made = session.createDataFrame([], LIVE)
         if not keys.isEmpty():
             made = replayed(session.read.schema(df.schema).parquet(log).join(keys, list(p.KEYS), "left_semi"))
@@ -317,7 +319,7 @@ def live_positions(df: DataFrame, name: str, steps: int = 3) -> DataFrame:
     replays = spark.read.schema(f"{LIVE}, batch int").parquet(again).groupBy(*p.KEYS).agg(
         F.max_by(F.struct("fills", "refused", "shares", "total_cost", "realised"), "batch").alias("_e")
     )
-    kept = spark.read.schema(POSITION_OUT).parquet(out).join(replays, list(p.KEYS), "left_anti").groupBy(*p.KEYS).agg(
+    kept = spark.read.schema(f"{applied}, batch int").parquet(out).filter("not late").join(replays, list(p.KEYS), "left_anti").groupBy(*p.KEYS).agg(
         F.count(F.lit(1)).alias("fills"), F.count_if(F.col("rule") == "OVERSOLD").alias("refused"),
         F.max_by(F.struct("shares", "total_cost", "realised"), "step").alias("_e"),
     )

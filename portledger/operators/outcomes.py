@@ -209,26 +209,28 @@ def session_offset_close(
 def with_hold_path(rows: DataFrame, table: DataFrame, **limits) -> DataFrame:
     """Adds ``hold_max_drawdown_pct`` over (reference, end] to matured horizon rows.
 
-    The ends of a decision's horizons cut one path into stretches; ``table`` has the bars in blocks.
+    Decisions with one reference bar hold along one path, so a path is walked once however many follow it. The
+    ends of their horizons cut it into stretches; ``table`` has the bars in blocks.
     """
-    order = Window.partitionBy(*KEY).orderBy("hi")
-    ends = rows.filter(F.col("end_at").isNotNull()).select(
-        *KEY, "reference_at", F.col("reference_price").alias("initial"), F.unix_micros("end_at").alias("hi")
-    )
-    start = F.unix_micros("reference_at") + 1
-    stretches = ends.distinct().select(
-        *KEY, "hi", "initial", F.greatest(start, F.lag("hi").over(order)).alias("lo"), F.row_number().over(order).alias("part"),
+    path = ["ticker", "_from", "initial"]
+    marked = rows.withColumns(
+        {"_from": F.unix_micros("reference_at"), "initial": F.col("reference_price"), "_end": F.unix_micros("end_at")}
+    )
+    order = Window.partitionBy(*path).orderBy("hi")
+    ends = marked.filter(F.col("end_at").isNotNull()).select(*path, F.col("_end").alias("hi")).distinct()
+    stretches = ends.select(
+        *path, "hi", F.greatest(F.col("_from") + 1, F.lag("hi").over(order)).alias("lo"), F.row_number().over(order).alias("part"),
         F.lit(1.0).alias("shares"), F.lit(0.0).alias("cash"),
     ).withColumn("hi", F.col("hi") + 1)
     stretches = staged(stretches, "hold-stretches")
-    found = extremes(stretches, table, KEY, **limits).select(*KEY, "part", "worst")
-    so_far = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    worst = stretches.join(found, [*KEY, "part"], "left").select(
-        *KEY, (F.col("hi") - 1).alias("_end"), F.coalesce(F.min("worst").over(so_far), F.lit(0.0)).alias("_worst")
+    found = extremes(stretches, table, path, **limits).select(*path, "part", "worst")
+    so_far = Window.partitionBy(*path).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    worst = stretches.join(found, [*path, "part"], "left").select(
+        *path, (F.col("hi") - 1).alias("_end"), F.coalesce(F.min("worst").over(so_far), F.lit(0.0)).alias("_worst")
     )
-    joined = rows.withColumn("_end", F.unix_micros("end_at")).join(worst, [*KEY, "_end"], "left")
+    joined = attach(marked, staged(worst, "hold-falls"), [*path, "_end"], **limits)
     held = F.when(F.col("end_at").isNotNull(), F.coalesce("_worst", F.lit(0.0)) * 100.0)
-    return joined.withColumn("hold_max_drawdown_pct", held).drop("_end", "_worst")
+    return joined.select(*rows.columns, held.alias("hold_max_drawdown_pct"))
 
 
 def matured_rows(

@@ -12,6 +12,38 @@ from portledger.streaming import ledgers as streams
 START = 1_700_000_000_000_000
 
 
+def test_decisions_of_one_bar_share_a_path(spark, monkeypatch):
+    """Copies of a decision, other ends on the same path, other paths and rows without an end."""
+    rng = random.Random(5)
+    bars = [("T", START + m * paths.MINUTE, "INTRADAY", rng.uniform(50, 150)) for m in range(400)]
+    table = paths.blocks(spark.createDataFrame(bars, "ticker string, at long, bar_type string, close double").withColumn("price_at", F.timestamp_micros("at")))
+    rows = []
+    for n in range(40):
+        first = rng.choice([3, 60])
+        rows += [(f"D{n}", "T", h, START + first * paths.MINUTE, bars[first][3], START + e * paths.MINUTE if e else None) for h, e in (("1h", first + rng.choice([9, 60])), ("close", 390), ("5d", None))]
+    rows.append((rows[0][0], *rows[0][1:]))
+    frame = spark.createDataFrame(rows, "decision_id string, ticker string, horizon string, r long, reference_price double, e long")
+    frame = frame.select("decision_id", "ticker", "horizon", F.timestamp_micros("r").alias("reference_at"), "reference_price", F.timestamp_micros("e").alias("end_at"))
+    seen, plain = [], outcomes.extremes
+
+    def counted(stretches, *args, **kwargs):
+        seen.append(stretches.count())
+        return plain(stretches, *args, **kwargs)
+
+    monkeypatch.setattr(outcomes, "extremes", counted)
+    got = outcomes.with_hold_path(frame, table).select("decision_id", "horizon", "hold_max_drawdown_pct").collect()
+    want = []
+    for name, _, horizon, start, price, end in rows:
+        peak, worst = price, 0.0
+        for _, at, _, close in bars:
+            if end and start < at <= end:
+                peak = max(peak, close)
+                worst = min(worst, close / peak - 1.0)
+        want.append((name, horizon, worst * 100.0 if end else None))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert seen == [6]
+
+
 def test_a_batch_is_written_once(spark):
     """Rows of a batch lie in one table, late ones apart; nothing is copied before."""
     rows = [("x", "A", "BUY", 1.0, 2.0, 0.0, at, i, 0, arrival) for i, (at, arrival) in enumerate([(5, 1), (9, 2), (1, 3), (12, 4), (3, 5), (20, 6)])]

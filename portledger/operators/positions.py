@@ -188,42 +188,54 @@ def _step() -> Column:
     )
 
 
+def _identity_parts() -> dict[str, Column]:
+    return {
+        **{c: F.lit(v) for c, v in (("a", 1.0), ("b", 0.0), ("ra", 0.0), ("rb", 0.0))},
+        "resets": F.lit(0).cast("long"),
+        **{c: F.lit(False) for c in ("reward", "fee_gap", "sell_first", "sell_blind", "sell_fee_gap")},
+        "entry": F.lit(None).cast("date"),
+        "shares": F.lit(0).cast(BIG),
+        "applied": F.lit(0).cast("long"),
+        "oversold": F.lit(False),
+        "company": F.lit(None).cast("string"),
+        "seen": F.lit(None).cast("struct<pos:bigint,seq:bigint>"),
+    }
+
+
 def _identity() -> Column:
-    return F.struct(
-        F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("ra"), F.lit(0.0).alias("rb"),
-        F.lit(0).cast("long").alias("resets"),
-        *[F.lit(False).alias(f) for f in ("reward", "fee_gap", "sell_first", "sell_blind", "sell_fee_gap")],
-        F.lit(None).cast("date").alias("entry"),
-        F.lit(0).cast(BIG).alias("shares"),
-        F.lit(0).cast("long").alias("applied"),
-        F.lit(False).alias("oversold"),
-        F.lit(None).cast("string").alias("company"),
-        F.lit(None).cast("struct<pos:bigint,seq:bigint>").alias("seen"),
-    )
+    return F.struct(*[part.alias(c) for c, part in _identity_parts().items()])
 
 
-def _then(x: Column, y: Column) -> Column:
-    """The step ``x`` followed by the step ``y``."""
+def _ordered(x: Column, y: Column) -> dict[str, Column]:
+    """Cost and flags of the step ``x`` followed by the step ``y``."""
     fresh = y["resets"] > 0
-    return F.struct(
-        (y["a"] * x["a"]).alias("a"),
-        (y["a"] * x["b"] + y["b"]).alias("b"),
-        (x["ra"] + y["ra"] * x["a"]).alias("ra"),
-        (x["rb"] + y["rb"] + y["ra"] * x["b"]).alias("rb"),
-        (x["resets"] + y["resets"]).alias("resets"),
-        (y["reward"] | (~fresh & x["reward"])).alias("reward"),
-        (y["fee_gap"] | (~fresh & x["fee_gap"])).alias("fee_gap"),
+    return {
+        "a": y["a"] * x["a"],
+        "b": y["a"] * x["b"] + y["b"],
+        "ra": x["ra"] + y["ra"] * x["a"],
+        "rb": x["rb"] + y["rb"] + y["ra"] * x["b"],
+        "resets": x["resets"] + y["resets"],
+        "reward": y["reward"] | (~fresh & x["reward"]),
+        "fee_gap": y["fee_gap"] | (~fresh & x["fee_gap"]),
         # A sell whose cost knowledge still depends on what came before x.
-        (x["sell_first"] | ((x["resets"] == 0) & ~x["reward"] & y["sell_first"])).alias("sell_first"),
-        (x["sell_blind"] | y["sell_blind"] | (x["reward"] & y["sell_first"])).alias("sell_blind"),
-        (x["sell_fee_gap"] | y["sell_fee_gap"]).alias("sell_fee_gap"),
-        F.when(fresh, y["entry"]).otherwise(F.coalesce(x["entry"], y["entry"])).alias("entry"),
-        (x["shares"] + y["shares"]).cast(BIG).alias("shares"),
-        (x["applied"] + y["applied"]).alias("applied"),
-        (x["oversold"] | y["oversold"]).alias("oversold"),
-        F.coalesce(y["company"], x["company"]).alias("company"),
-        F.coalesce(x["seen"], y["seen"]).alias("seen"),
-    )
+        "sell_first": x["sell_first"] | ((x["resets"] == 0) & ~x["reward"] & y["sell_first"]),
+        "sell_blind": x["sell_blind"] | y["sell_blind"] | (x["reward"] & y["sell_first"]),
+        "entry": F.when(fresh, y["entry"]).otherwise(F.coalesce(x["entry"], y["entry"])),
+    }
+
+
+def _then(x: Column, y: Column) -> Column:
+    """The step ``x`` followed by the step ``y``."""
+    parts = {
+        **_ordered(x, y),
+        "sell_fee_gap": x["sell_fee_gap"] | y["sell_fee_gap"],
+        "shares": (x["shares"] + y["shares"]).cast(BIG),
+        "applied": x["applied"] + y["applied"],
+        "oversold": x["oversold"] | y["oversold"],
+        "company": F.coalesce(y["company"], x["company"]),
+        "seen": F.coalesce(x["seen"], y["seen"]),
+    }
+    return F.struct(*[parts[c].alias(c) for c in _identity_parts()])
 
 
 def _reduce(steps: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -234,6 +246,31 @@ def _reduce(steps: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return packed.select(*keys, folded.alias("step"))
 
 
+#: What a step does to cost and flags, which depends on the steps before it.
+ORDERED = ("a", "b", "ra", "rb", "resets", "reward", "fee_gap", "sell_first", "sell_blind", "entry")
+
+
+def _runs(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """Single fills reduced to one step per run: sums and firsts by plain aggregates, the rest in order."""
+    s, rn = F.col("step"), F.col("_rn")
+    packed = steps.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_rn", *[s[c].alias(c) for c in ORDERED]))).alias("_s"),
+        F.sum(s["shares"]).cast(BIG).alias("shares"),
+        F.sum(s["applied"]).alias("applied"),
+        F.bool_or(s["oversold"]).alias("oversold"),
+        F.bool_or(s["sell_fee_gap"]).alias("sell_fee_gap"),
+        F.max_by(s["company"], F.when(s["company"].isNotNull(), rn)).alias("company"),
+        F.min_by(s["seen"], rn).alias("seen"),
+    )
+
+    def then(x: Column, y: Column) -> Column:
+        return F.struct(*[step.alias(c) for c, step in _ordered(x, y).items()])
+
+    identity = F.struct(*[_identity_parts()[c].alias(c) for c in ORDERED])
+    folded = packed.withColumn("_o", F.aggregate("_s", identity, then))
+    return folded.select(*keys, F.struct(*[F.col(f"_o.{c}" if c in ORDERED else c).alias(c) for c in _identity_parts()]).alias("step"))
+
+
 def fold(fills: DataFrame, *, order: Order | None = None, run: int = RUN, **limits) -> DataFrame:
     """Final position per (account, ticker) from prepared fills.
 
@@ -246,7 +283,7 @@ def fold(fills: DataFrame, *, order: Order | None = None, run: int = RUN, **limi
     steps = rows.select(
         *order.chunk, "_rn", F.floor((F.col("_rn") - 1) / run).alias("_run"), _step().alias("step")
     )
-    runs = _reduce(steps, [*order.chunk, "_run"], ["_rn"])
+    runs = _runs(steps, [*order.chunk, "_run"])
     chunks = _reduce(runs, order.chunk, ["_run"])
     final = _reduce(chunks, list(KEYS), ["_bucket", "_part"])
     s = F.col("step")

@@ -119,11 +119,8 @@ def running(
     columns see only the rows strictly before the current one. ``row_number``
     names a column for the rank inside the chunk.
     """
-    tmp = chunked
-    for name, (_, value, _) in exprs.items():
-        tmp = tmp.withColumn(f"_v_{name}", value)
-    summaries = tmp.groupBy(*order.chunk).agg(
-        *[_summary(kind, F.col(f"_v_{n}"), order).alias(f"_c_{n}") for n, (kind, _, _) in exprs.items()]
+    summaries = chunked.groupBy(*order.chunk).agg(
+        *[_summary(kind, value, order).alias(f"_c_{n}") for n, (kind, value, _) in exprs.items()]
     )
     earlier = (
         Window.partitionBy(*order.keys)
@@ -137,11 +134,12 @@ def running(
     inside = Window.partitionBy(*order.chunk).orderBy(*order.columns)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = tmp.select(
+    # A plain column is scanned as it is: a copy of it would be shuffled as well.
+    local = chunked.select(
         *chunked.columns,
         *[
-            _running(kind, F.col(f"_v_{n}")).over(upto if inclusive else before).alias(f"_l_{n}")
-            for n, (kind, _, inclusive) in exprs.items()
+            _running(kind, value).over(upto if inclusive else before).alias(f"_l_{n}")
+            for n, (kind, value, inclusive) in exprs.items()
         ],
         *([F.row_number().over(inside).alias(row_number)] if row_number else []),
     )

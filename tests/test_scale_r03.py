@@ -44,6 +44,24 @@ def test_decisions_of_one_bar_share_a_path(spark, monkeypatch):
     assert seen == [6]
 
 
+def test_runs_equal_plain_reduction(spark):
+    """Sums and firsts taken by plain aggregates, the rest in order, against the composition of whole steps."""
+    rng = random.Random(4)
+    rows = []
+    for n in range(400):
+        kind, side = rng.choice([("TRADE", "BUY"), ("TRADE", "SELL"), ("TRADE", "SELL"), ("STOCK_REWARD", "CREDIT")])
+        rows.append((rng.choice("ab"), rng.choice("XYZ"), kind, side, float(rng.randrange(1, 4)), 5.0, rng.choice([None, 0.5]), START + n * 10**6, n, rng.choice([None, "N1", "N2"])))
+    frame = spark.createDataFrame(rows, "account_ref string, ticker string, event_type string, side string, quantity double, price double, fees double, at long, seq long, company_name string")
+    fills = p.prepare(frame.withColumn("trade_time", F.timestamp_micros("at")))
+    order = p.order_of(fills)
+    moved = p.running_quantity(fills, order)
+    steps = moved.select(*order.chunk, "_rn", F.floor((F.col("_rn") - 1) / 7).alias("_run"), p._step().alias("step"))
+    keys = [*order.chunk, "_run"]
+    got, want = p._runs(steps, keys), p._reduce(steps, keys, ["_rn"])
+    assert got.schema["step"].dataType.names == want.schema["step"].dataType.names
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_a_batch_is_written_once(spark):
     """Rows of a batch lie in one table, late ones apart; nothing is copied before."""
     rows = [("x", "A", "BUY", 1.0, 2.0, 0.0, at, i, 0, arrival) for i, (at, arrival) in enumerate([(5, 1), (9, 2), (1, 3), (12, 4), (3, 5), (20, 6)])]

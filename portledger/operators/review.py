@@ -216,24 +216,34 @@ def candidate_outcomes(
     w = Window.partitionBy("ticker").orderBy("session_idx")
     step = F.col("close") / F.lag("close").over(w) - 1.0
     days = days.withColumn("step", step)
+    # The longest path ahead holds all others: it is collected once and walked once for all horizons.
+    ahead = F.struct("session_idx", "close", "bench_close", "step")
+    path = F.sort_array(F.collect_list(ahead).over(w.rangeBetween(1, max(horizons))))
+    none = F.lit(None).cast("double")
+
+    def walked(a: Column, d: Column) -> Column:
+        peak, gap = F.greatest(a["peak"], d["close"]), d["session_idx"] - F.col("session_idx")
+        fall, parts = d["close"] / peak - 1.0, [peak.alias("peak")]
+        for k in horizons:
+            inside, last = gap <= k, gap == k
+            parts += [
+                F.when(inside, F.least(a[f"fall_{k}"], fall)).otherwise(a[f"fall_{k}"]).alias(f"fall_{k}"),
+                F.when(inside, F.least(a[f"step_{k}"], d["step"])).otherwise(a[f"step_{k}"]).alias(f"step_{k}"),
+                F.when(last, d["close"]).otherwise(a[f"end_{k}"]).alias(f"end_{k}"),
+                F.when(last, d["bench_close"]).otherwise(a[f"bench_{k}"]).alias(f"bench_{k}"),
+            ]
+        return F.struct(*parts)
+
+    start = [F.col("close").cast("double").alias("peak")]
     for k in horizons:
-        ahead = w.rangeBetween(1, k)
-        exact = w.rangeBetween(k, k)
-        path = F.transform(
-            F.array_sort(F.collect_list(F.struct("session_idx", "close")).over(ahead)), lambda d: d["close"]
-        )
-        end, bench = F.first("close").over(exact), F.first("bench_close").over(exact)
-        days = (
-            days.withColumn(f"_p{k}", path)
-            .withColumn(f"ret_{k}", (end / F.col("close") - 1.0) * 100.0)
-            .withColumn(f"rel_{k}", F.col(f"ret_{k}") - (bench / F.col("bench_close") - 1.0) * 100.0)
-            .withColumn(f"worst_day_{k}", F.min("step").over(ahead) * 100.0)
-        )
-        seed = F.struct(F.col("close").alias("peak"), F.lit(0.0).alias("worst"))
-        fold = F.aggregate(
-            f"_p{k}", seed,
-            lambda a, c: F.struct(F.greatest(a["peak"], c).alias("peak"), F.least(a["worst"], c / F.greatest(a["peak"], c) - 1.0).alias("worst")),
-        )
-        days = days.withColumn(f"drawdown_{k}", fold["worst"] * 100.0).drop(f"_p{k}")
+        start += [F.lit(0.0).alias(f"fall_{k}"), *[none.alias(f"{c}_{k}") for c in ("step", "end", "bench")]]
+    days = days.withColumn("_path", path).withColumn("_w", F.aggregate("_path", F.struct(*start), walked))
+    for k in horizons:
+        end, bench, fall, worst = (F.col(f"_w.{c}_{k}") for c in ("end", "bench", "fall", "step"))
+        days = days.withColumns({
+            f"ret_{k}": (end / F.col("close") - 1.0) * 100.0,
+            f"rel_{k}": (end / F.col("close") - 1.0) * 100.0 - (bench / F.col("bench_close") - 1.0) * 100.0,
+            f"drawdown_{k}": fall * 100.0, f"worst_day_{k}": worst * 100.0,
+        })
     measures = [f"{m}_{k}" for k in horizons for m in ("ret", "rel", "drawdown", "worst_day")]
     return entries.join(days.select("ticker", "session_date", *measures), ["ticker", "session_date"], "left")

@@ -155,6 +155,7 @@ def candidate_outcomes(spark, sf_dir):
     """Every session of every ticker as an entry, at all three horizons."""
     bench = fx_market(spark, sf_dir).select("session_date", F.col("close").alias("bench_close"))
     closes = fx_bars(spark, sf_dir).select("ticker", "session_date", "close").join(F.broadcast(bench), "session_date")
+    closes = staged(closes, "closes")
     entries = closes.select("ticker", "session_date")
     out = r.candidate_outcomes(entries, closes, fx_calendar(spark, sf_dir))
     return rounded(out.withColumn("session_date", F.col("session_date").cast("string")))

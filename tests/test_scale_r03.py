@@ -44,6 +44,40 @@ def test_decisions_of_one_bar_share_a_path(spark, monkeypatch):
     assert seen == [6]
 
 
+def test_candidate_outcomes_walk_once(spark):
+    """Gaps, a ticker of one session and missing values, against walking every horizon apart."""
+    rng = random.Random(8)
+    day = dt.date(2024, 1, 1)
+    calendar = spark.createDataFrame([(day + dt.timedelta(i), i) for i in range(60)], "session_date date, session_idx int")
+    closes = {(t, i): (rng.choice([None, rng.uniform(5, 9), rng.uniform(5, 9)]), rng.uniform(90, 110)) for t in "AB" for i in range(60) if rng.random() < 0.7}
+    closes["C", 7] = (3.0, 100.0)
+    frame = spark.createDataFrame([(t, day + dt.timedelta(i), c, b) for (t, i), (c, b) in closes.items()], "ticker string, session_date date, close double, bench_close double")
+    out = review.candidate_outcomes(frame.select("ticker", "session_date"), frame, calendar)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
+    found = {(r.ticker, (r.session_date - day).days): r for r in out.collect()}
+    assert found.keys() == closes.keys()
+    before = {}
+    for t in "ABC":
+        days = sorted(i for s, i in closes if s == t)
+        before |= {(t, b): (t, a) for a, b in zip(days, days[1:])}
+    for (t, i), (close, bench) in closes.items():
+        for k in (1, 5, 20):
+            ahead = [(j, closes[t, j][0]) for j in range(i + 1, i + k + 1) if (t, j) in closes]
+            end, mark = closes.get((t, i + k), (None, None))
+            ret = (end / close - 1) * 100 if end and close else None
+            steps = [c / closes[before[t, j]][0] - 1 for j, c in ahead if c and closes[before[t, j]][0]]
+            peak, worst = close, 0.0
+            for _, c in ahead:
+                if c is not None:
+                    peak = max(peak, c) if peak is not None else c
+                    worst = min(worst, c / peak - 1)
+            row = found[t, i]
+            assert row[f"ret_{k}"] == (ret if ret is None else pytest.approx(ret, abs=1e-9))
+            assert row[f"rel_{k}"] == (ret if ret is None else pytest.approx(ret - (mark / bench - 1) * 100, abs=1e-9))
+            assert row[f"worst_day_{k}"] == (pytest.approx(min(steps) * 100, abs=1e-9) if steps else None)
+            assert row[f"drawdown_{k}"] == pytest.approx(worst * 100, abs=1e-9)
+
+
 def test_runs_equal_plain_reduction(spark):
     """Sums and firsts taken by plain aggregates, the rest in order, against the composition of whole steps."""
     rng = random.Random(4)

@@ -37,6 +37,8 @@ POOL = 256
 END_ID = 2
 #: Words whose ids a task remembers before it starts afresh.
 CACHE_WORDS = 400_000
+#: Stands between the ids of words; ids below 2 ** 24 never hold these bytes, at whatever place.
+BETWEEN = b"\xff" * 4
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
@@ -45,14 +47,14 @@ PIECES = (
 
 
 def _plain_pieces() -> re.Pattern:
-    """What the tokenizer's own pattern cuts lower-cased words into, for letters below U+0250."""
+    """What the tokenizer's own pattern cuts lower-cased words into, for letters below U+0250, and single spaces."""
     kinds = {"L": "", "N": ""}
     for char in map(chr, range(0x250)):
         kind = unicodedata.category(char)[0]
         if kind in kinds:
             kinds[kind] += char
     letters, numbers = kinds["L"], kinds["N"]
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
+    return re.compile(f" |'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
 
 
 class WordIds:
@@ -76,14 +78,15 @@ class WordIds:
         self.plain, self.other = _plain_pieces(), re.compile("[\x00-\x1f\x7f-\xa0\u0250-\U0010ffff]|<\\|")
         # Ids as little-endian unsigned 32-bit bytes, so that a text is their concatenation.
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {" ": BETWEEN}
 
     def _learn_pieces(self, pieces: set[str]) -> None:
-        new = [piece for piece in pieces if piece not in self.pieces]
+        new = list(pieces.difference(self.pieces))
         if not new:
             return
         if len(self.pieces) + len(new) > CACHE_WORDS:
-            self.pieces, new = {}, list(pieces)
+            self.pieces = {" ": BETWEEN}
+            new = list(pieces.difference(self.pieces))
         encoded = self.model.encode_batch([" ".join(new)], add_special_tokens=False)[0]
         ids = np.array(encoded.ids, dtype="<u4").tobytes()
         ends = 4 * np.searchsorted(encoded.word_ids, np.arange(len(new)), side="right")
@@ -93,22 +96,28 @@ class WordIds:
             begin = end
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [word.decode("utf-8", "replace") for word in words]
-        cut = [None if self.other.search(text) else self.plain.findall(text.lower()) for text in texts]
-        self._learn_pieces(set(chain.from_iterable(pieces for pieces in cut if pieces)))
-        piece = self.pieces.__getitem__
-        for word, text, pieces in zip(words, texts, cut, strict=True):
-            if pieces is None:
-                ids = self.whole.encode(text, add_special_tokens=False).ids
-                self.words[word] = np.array(ids, dtype="<u4").tobytes()
-            else:
-                self.words[word] = b"".join(map(piece, pieces))
+        """Plain words are cut and put together as one text, with no step of its own for each word."""
+        text = b" ".join(words).decode("utf-8", "replace")
+        if self.other.search(text):
+            plain = []
+            for word, part in zip(words, text.split(" "), strict=True):
+                if self.other.search(part):
+                    ids = self.whole.encode(part, add_special_tokens=False).ids
+                    self.words[word] = np.array(ids, dtype="<u4").tobytes()
+                else:
+                    plain.append(word)
+            words, text = plain, b" ".join(plain).decode()
+        if words:
+            cut = self.plain.findall(text.lower())
+            self._learn_pieces(set(cut))
+            ids = b"".join(map(self.pieces.__getitem__, cut)).split(BETWEEN)
+            self.words.update(zip(words, ids, strict=True))
 
     def documents(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text and the closing id, unsigned 32 bit, little-endian."""
         split = [text.split() for text in texts]
         distinct = set().union(*split)
-        new = [word for word in distinct if word not in self.words]
+        new = list(distinct.difference(self.words))
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words, new = {}, list(distinct)
         self._learn(new)

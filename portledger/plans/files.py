@@ -359,12 +359,15 @@ def generations(spark, sf_dir):
     """Generations of every account, one an order, and each account's newest."""
     from portledger.operators.scans import Order, drop_chunks, running, with_chunks
 
-    account = F.concat(F.lit("A"), (F.col("o_custkey") % 50).cast("string")).alias("account")
+    # Orders of no account are numbered as one account, too.
+    account = F.coalesce(F.concat(F.lit("A"), (F.col("o_custkey") % 50).cast("string")), F.lit("")).alias("account")
     orders = table(spark, sf_dir, "orders").select(account, "o_orderkey")
-    order = Order(("account",), "o_orderkey", "o_orderkey", width=1 << 20)
+    order = Order(("account",), "o_orderkey", "o_orderkey", width=1 << 18)
     numbered = drop_chunks(
         running(with_chunks(orders, order), order, {"n": ("sum", F.lit(1).cast("long"), True)})
     )
+    # Written narrow: names and digests are made by what reads them.
+    numbered = staged(numbered.withColumn("account", F.nullif("account", F.lit(""))), "generations")
 
     def name(number):
         return F.concat_ws("-", "account", number.cast("string"))
@@ -378,7 +381,6 @@ def generations(spark, sf_dir):
         F.when(broken, "wrong").otherwise(digest(n - 1)).alias("parent_hash"), digest(n).alias("content_hash"),
         F.col("o_orderkey").alias("batch_id"),
     )
-    rows = staged(rows, "generations")
     return rows, rows.groupBy("account").agg(F.max_by("transaction_id", "n").alias("transaction_id"))
 
 
@@ -398,7 +400,7 @@ def batch_lookup(spark, sf_dir):
     """Every order looked for among its account's generations: some ids are unknown, some contents differ."""
     rows, newest = generations(spark, sf_dir)
     content = F.sha2(F.col("batch_id").cast("string"), 256)
-    rows = staged(rows.withColumn("batch_hash", content), "hashed-generations")
+    rows = rows.withColumn("batch_hash", content)
     heads = staged(newest, "heads")
     wanted = rows.join(heads.withColumnRenamed("transaction_id", "head"), "account").select(
         "head",

@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portledger.llm.common import as_bytes, doc_rows, slices
+from portledger.llm.common import WHITE_BYTES, as_bytes, doc_rows, slices
 
 CAPACITY = 4096
 #: Remainders kept before sequences are filled; more give the subset sum more choice.
 POOL = 256
 #: Id after each document.
 END_ID = 2
-#: Words whose ids a task remembers before it starts afresh.
+#: Words whose ids a task remembers before it forgets those that a batch doesn't hold.
 CACHE_WORDS = 400_000
 #: Stands between the ids of words; ids below 2 ** 24 never hold these bytes, at whatever place.
 BETWEEN = b"\xff" * 4
@@ -57,13 +57,36 @@ def _plain_pieces() -> re.Pattern:
     return re.compile(f" |'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
 
 
+_BLACK = np.ones(256, dtype=bool)
+_BLACK[list(WHITE_BYTES)] = False
+
+
+def distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of all texts, which of them stands at each place, and how many places each text has."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    sizes = np.array([len(text) for text in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    black = _BLACK[data]
+    first = black.copy()
+    first[1:] &= ~black[:-1]
+    begins = (ends - sizes)[sizes > 0]
+    first[begins] = black[begins]
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), ends), prepend=0)
+    data, first = data[black], first[black]
+    offsets = np.append(np.flatnonzero(first), len(data)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    found = words.dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), counts
+
+
 class WordIds:
     """Ids of whole texts, from remembered ids of words and of the pieces words are cut into.
 
-    The tokenizer never joins text across ASCII white space, so words are encoded one by one. A word
-    not seen before is lower-cased and cut here if all its characters lie below U+0250, where the
-    tokenizer's normalisation is lower-casing alone, and its pieces go to the tokenizer's model in one call a batch; any
-    other word, and one that may hold a special token, goes through the whole tokenizer.
+    The tokenizer never joins text across ASCII white space, so words are encoded one by one, and each distinct
+    word of a batch is looked up once. A word not seen before is lower-cased and cut here if all its characters
+    lie below U+0250, where the tokenizer's normalisation is lower-casing alone, and its pieces go to the
+    tokenizer's model in one call a batch; any other word, and one that may hold a special token, goes through
+    the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -72,9 +95,15 @@ class WordIds:
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
-        self.model.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([])
+        # The model reads bytes as characters: printable ones as themselves, the others as those from U+0100 on.
+        known, later = set(pre_tokenizers.ByteLevel.alphabet()), iter(range(256, 512))
+        self.characters = np.array([b if chr(b) in known else next(later) for b in range(256)], dtype="<u4")
+        self.characters[ord(" ")] = ord(" ")
+        # The last id of a piece, and no other, is one of these.
+        suffix = self.model.model.end_of_word_suffix
+        self.last = np.zeros(self.model.get_vocab_size(), dtype=bool)
+        self.last[[i for token, i in self.model.get_vocab(False).items() if token.endswith(suffix)]] = True
         self.plain, self.other = _plain_pieces(), re.compile("[\x00-\x1f\x7f-\xa0\u0250-\U0010ffff]|<\\|")
         # Ids as little-endian unsigned 32-bit bytes, so that a text is their concatenation.
         self.words: dict[bytes, bytes] = {}
@@ -85,12 +114,12 @@ class WordIds:
         if not new:
             return
         if len(self.pieces) + len(new) > CACHE_WORDS:
-            self.pieces = {" ": BETWEEN}
-            new = list(pieces.difference(self.pieces))
-        encoded = self.model.encode_batch([" ".join(new)], add_special_tokens=False)[0]
-        ids = np.array(encoded.ids, dtype="<u4").tobytes()
-        ends = 4 * np.searchsorted(encoded.word_ids, np.arange(len(new)), side="right")
-        begin = 0
+            self.pieces = {piece: self.pieces[piece] for piece in pieces.intersection(self.pieces)} | {" ": BETWEEN}
+        text = self.characters[np.frombuffer(" ".join(new).encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        encoded = self.model.encode_batch_fast([text.split(" ")], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(encoded.ids, dtype="<u4")
+        ends = 4 * np.flatnonzero(self.last[ids]) + 4
+        ids, begin = ids.tobytes(), 0
         for piece, end in zip(new, ends.tolist(), strict=True):
             self.pieces[piece] = ids[begin:end]
             begin = end
@@ -115,15 +144,24 @@ class WordIds:
 
     def documents(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text and the closing id, unsigned 32 bit, little-endian."""
-        split = [text.split() for text in texts]
-        distinct = set().union(*split)
-        new = list(distinct.difference(self.words))
+        distinct, which, counts = distinct_words(texts)
+        new = [word for word in distinct if word not in self.words]
         if len(self.words) + len(new) > CACHE_WORDS:
-            self.words, new = {}, list(distinct)
+            self.words = {word: self.words[word] for word in distinct if word in self.words}
         self._learn(new)
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        for words in split:
-            yield np.frombuffer(b"".join([*map(self.words.__getitem__, words), end]), dtype="<u4")
+        held = [*map(self.words.__getitem__, distinct), np.array([END_ID], dtype="<u4").tobytes()]
+        ids = np.frombuffer(b"".join(held), dtype="<u4")
+        lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
+        begins = np.cumsum(lengths) - lengths
+        # The closing id is one more word after those of each text.
+        which = np.insert(which, np.cumsum(counts), len(distinct))
+        lengths = lengths[which]
+        ends = np.cumsum(lengths)
+        ids = ids[np.repeat(begins[which] - ends + lengths, lengths) + np.arange(lengths.sum())]
+        begin = 0
+        for end in ends[np.cumsum(counts + 1) - 1].tolist():
+            yield ids[begin:end].copy()  # what waits in a pool must not hold the whole batch
+            begin = end
 
 
 @lru_cache(maxsize=1)

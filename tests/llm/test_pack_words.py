@@ -30,3 +30,61 @@ def test_plain_words_are_cut_together(monkeypatch, held):
         for text, ids in zip(texts, words.documents([t.encode() for t in texts]), strict=True):
             assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, pack.END_ID]
     assert words.plain.calls <= len(batches) + 1
+
+
+class Lookups(dict):
+    count = 0
+
+    def __getitem__(self, word):
+        self.count += 1
+        return super().__getitem__(word)
+
+
+def test_a_batch_looks_its_distinct_words_up_once():
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    words = pack.WordIds(path)
+    words.words = Lookups()
+    texts = [b"to be or not to be " * 50, b"", b"or not", b"to\tbe\nor\x0bnot\x0cto\rbe"]
+    lengths = [len(ids) for ids in words.documents(texts)]
+    assert lengths == [301, 1, 3, 7]
+    assert words.words.count <= 4
+
+
+def test_new_pieces_are_encoded_in_one_call_without_their_places(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    words, calls = pack.WordIds(path), []
+
+    class Model:
+        def encode_batch_fast(self, given, **kinds):
+            calls.append(given)
+            return kept.encode_batch_fast(given, **kinds)
+
+    kept = words.model
+    monkeypatch.setattr(words, "model", Model())
+    whole = words.whole
+    texts = ["naïve Straße, don't! ÿ·ł §12", "Straße ¿qué? “ok”", "½ ­x naïve"]
+    for text, ids in zip(texts, words.documents([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, pack.END_ID]
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_words_are_cut_where_bytes_split_cuts(seed):
+    rng = random.Random(seed)
+    texts = [bytes(rng.choice(b"ab\xc3 \t\n\x0b\x0c\r\x1c\x85") for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(40)]
+    distinct, which, counts = pack.distinct_words(texts)
+    split = [text.split() for text in texts]
+    assert counts.tolist() == [len(words) for words in split]
+    assert [distinct[i] for i in which] == [word for words in split for word in words]
+    assert len(distinct) == len({word for words in split for word in words})
+
+
+def test_words_that_a_full_memory_still_needs_stay(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    monkeypatch.setattr(pack, "CACHE_WORDS", 6)
+    words, learnt = pack.WordIds(path), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: (learnt.append(sorted(new)), learn(new)))
+    for texts in ([b"one two three four"], [b"one two five six seven"], [b"three"]):
+        list(words.documents(texts))
+    assert learnt == [[b"four", b"one", b"three", b"two"], [b"five", b"seven", b"six"], [b"three"]]
